@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact, langid, quality, topk, toxicity, urls
+from tidewire.llm import exact, langid, quality, simhash, substring, topk, toxicity, urls
 from tidewire.llm.common import id_residue, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_shared(table(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -35,6 +39,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(spark, sf_dir, "documents"), simhash.EXACT)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """Documents with their labels, without those held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").where(id_residue("doc_id", 5) != 0)
@@ -62,13 +71,35 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_residue("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_url_filter, op6_topk, op8_quality, op9_toxicity, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_exact_dedup, op5_url_filter, op6_topk, op7_simhash, op8_quality, op9_toxicity, op10_language)}
 
 _HOST = r"CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = r"CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ),
+        w AS (
+            SELECT doc_id, s, md5(array_to_string(ws[s : s + 49], ' ')) AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM d WHERE len(ws) >= 50)
+        ),
+        hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS least FROM w) WHERE least < doc_id),
+        t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+        c AS (
+            SELECT t.doc_id, p, word, last_value(hit.s IGNORE NULLS) OVER (PARTITION BY t.doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS s
+            FROM t LEFT JOIN hit ON hit.doc_id = t.doc_id AND hit.s = t.p
+        ),
+        k AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (s IS NOT NULL AND p < s + 50) AS n_removed,
+                   string_agg(word, ' ' ORDER BY p) FILTER (s IS NULL OR p >= s + 50) AS kept
+            FROM c GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
