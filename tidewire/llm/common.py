@@ -64,3 +64,11 @@ def texts(column: pa.Array) -> list[bytes]:
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The separators of words: space and 0x09 to 0x0D.
 IS_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, or what follows from it, as the name of no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

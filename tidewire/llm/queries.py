@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact, langid, quality, simhash, substring, topk, toxicity, urls
+from tidewire.llm import exact, langid, mixing, packing, quality, simhash, substring, topk, toxicity, urls
 from tidewire.llm.common import id_residue, table
 
 
@@ -15,6 +15,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_shared(table(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+#: Wanted shares of tokens by language.
+MIX_WEIGHTS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    mix = mixing.fit_mix(docs, MIX_WEIGHTS)
+    return mixing.with_rates(docs, mix, tokens_col="tokens").select("doc_id", "lang", "tokens", "rate")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -71,7 +85,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_residue("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_exact_dedup, op5_url_filter, op6_topk, op7_simhash, op8_quality, op9_toxicity, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_mixing, op4_exact_dedup, op5_url_filter, op6_topk, op7_simhash, op8_quality, op9_toxicity, op10_language)}
 
 _HOST = r"CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = r"CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
