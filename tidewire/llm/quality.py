@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewire.llm.common import pieces, texts
-from tidewire.llm.sampling import class_sample
+from tidewire.llm.sampling import labelled_texts
 from tidewire.llm.words import Hasher, Words
 
 #: Labelled rows that are read into the fit, of each label.
@@ -114,11 +114,9 @@ def _row_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], ["label", "x"])
 
 
-def fit_quality(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float]:
-    """Fit on rows that hold a text and its label."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    sample, _ = class_sample(rows, "id", "label", sample_per_label, 2)
-    got = sample.select("text", "label").mapInArrow(_row_features, "label int, x array<double>").toArrow()
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float]:
+    """Fit on the texts of ``docs`` whose ids are in ``labels``."""
+    got = labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).mapInArrow(_row_features, "label int, x array<double>").toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, N_FEATURES) if got.num_rows else np.zeros((0, N_FEATURES))
     y = np.asarray(got["label"])
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order in which tasks end

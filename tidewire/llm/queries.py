@@ -58,22 +58,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Documents with their labels, without those held out."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").where(id_residue("doc_id", 5) != 0)
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels without those held out."""
+    return table(spark, sf_dir, "labels").where(id_residue("doc_id", 5) != 0)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit_quality(_labelled(spark, sf_dir, docs))
+    model = quality.fit_quality(docs, _labels(spark, sf_dir))
     scored = quality.with_quality(docs.select("doc_id", "text"), model, out_col="score", cut=0.3)
     return scored.select("doc_id", (id_residue("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit_toxicity(_labelled(spark, sf_dir, docs))
+    model = toxicity.fit_toxicity(docs, _labels(spark, sf_dir))
     scored = toxicity.with_toxicity(docs.select("doc_id", "text"), model, out_col="score")
     return scored.select("doc_id", (id_residue("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

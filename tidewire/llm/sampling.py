@@ -20,3 +20,15 @@ def class_sample(rows: DataFrame, id_col: str, label: str, per_class: int, class
     for value, n in counts.items():
         keep = keep | ((F.col(label) == F.lit(value)) & (unit < F.lit(min(1.0, per_class / n))))
     return rows.where(keep), counts
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
+    """text, label (0 or 1) of a bounded sample of labelled rows.
+
+    The labels are sampled first; about twice ``per_label`` ids and labels are what
+    is broadcast, so no text is dealt out to find its label.
+    """
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    sample, _ = class_sample(rows, "id", "label", per_label, 2)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return own.join(F.broadcast(sample), "id").select("text", "label")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewire.llm.common import IS_SPACE, LOWER, pieces, texts
-from tidewire.llm.sampling import class_sample
+from tidewire.llm.sampling import labelled_texts
 
 SAMPLE_PER_LABEL = 2_500
 BUCKET_BITS = 22
@@ -119,11 +119,9 @@ def fit_nb(rows: list[np.ndarray], y: np.ndarray, l2: float = 1.0) -> tuple[np.n
     return kept, ratio * w, b
 
 
-def fit_toxicity(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on rows that hold a text and its label."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    sample, _ = class_sample(rows, "id", "label", sample_per_label, 2)
-    got = sample.select("text", "label").mapInArrow(_sample_grams, "label int, grams binary").orderBy("label", F.xxhash64("grams")).toArrow()
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on the texts of ``docs`` whose ids are in ``labels``."""
+    got = labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).mapInArrow(_sample_grams, "label int, grams binary").orderBy("label", F.xxhash64("grams")).toArrow()
     return fit_nb([np.frombuffer(g, dtype="<i4") for g in got["grams"].to_pylist()], np.asarray(got["label"]))
 
 
