@@ -21,6 +21,7 @@ target 0; repeated rows get equal rates; other columns are handed through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -50,33 +51,52 @@ class Mix:
     most: float | None
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it and filters are pushed down."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _counted(text: Column) -> list[Column]:
-    """Tokens (words), characters, and the marker counts."""
+def _counted(text: Column) -> Column:
+    """A struct of tokens (words), chars, and the counts of marker classes as m0, m1, ..."""
     own = F.coalesce(text, F.lit(""))
-    return [F.regexp_count(own, F.lit(r"[^\x20\x09-\x0D]+")).cast("double").alias("tokens"), F.length(own).cast("double").alias("chars"), *(F.regexp_count(own, F.lit(m)).cast("double").alias(f"m{k}") for k, m in enumerate(MARKERS))]
+    marks = [F.regexp_count(own, F.lit(m)).cast("double").alias(f"m{k}") for k, m in enumerate(MARKERS)]
+    return F.struct(F.regexp_count(own, F.lit(r"[^\x20\x09-\x0D]+")).cast("double").alias("tokens"), F.length(own).cast("double").alias("chars"), *marks)
+
+
+def _posteriors(mix: Mix, counted: Column) -> Column:
+    """An array of the domains' posteriors from a struct of counts."""
+
+    def logits(c: Column) -> Column:
+        marks = [c[f"m{k}"] for k in range(len(MARKERS))]
+        counts = [*marks, c["chars"] - _total(marks)]
+        scale = F.least(F.lit(1.0), F.lit(EFFECTIVE_CHARS) / F.greatest(c["chars"], F.lit(1.0)))
+        return _let(scale, lambda x: F.array(*(F.lit(float(mix.prior[d])) + x * _total([n * float(w) for n, w in zip(counts, mix.shares[d], strict=True)]) for d in range(len(mix.domains)))))
+
+    def softmax(logit: Column) -> Column:
+        odds = _let(F.array_max(logit), lambda best: F.transform(logit, lambda x: F.exp(x - best)))
+        return _let(odds, lambda o: _let(F.aggregate(o, F.lit(0.0), lambda t, x: t + x), lambda t: F.transform(o, lambda x: x / t)))
+
+    return _let(_let(counted, logits), softmax)
+
 
+def _rate(mix: Mix, posteriors: Column) -> Column:
+    """The rate that the steps so far lead to."""
+    if not mix.steps:
+        return F.lit(1.0)
+    steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in mix.steps))
 
-def _posterior(mix: Mix) -> list[Column]:
-    """Posteriors of the domains from the columns chars, m0, m1, ..."""
-    counts = [*(F.col(f"m{k}") for k in range(len(MARKERS))), F.col("chars") - _total([F.col(f"m{k}") for k in range(len(MARKERS))])]
-    scale = F.least(F.lit(1.0), F.lit(EFFECTIVE_CHARS) / F.greatest(F.col("chars"), F.lit(1.0)))
-    logits = [F.lit(float(mix.prior[d])) + scale * _total([c * float(w) for c, w in zip(counts, mix.shares[d], strict=True)]) for d in range(len(mix.domains))]
-    best = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    odds = [F.exp(x - best) for x in logits]
-    return [o / _total(odds) for o in odds]
+    def step(p: Column) -> Callable[[Column, Column], Column]:
+        def move(rate: Column, s: Column) -> Column:
+            moved = F.greatest(F.lit(0.0), rate - _total([p[d] * s[d] for d in range(len(mix.domains))]))
+            return moved if mix.most is None else F.least(F.lit(float(mix.most)), moved)
 
+        return move
 
-def _rate(mix: Mix, posterior: list[Column]) -> Column:
-    rate = F.lit(1.0)
-    for step in mix.steps:
-        rate = F.greatest(F.lit(0.0), rate - _total([p * float(s) for p, s in zip(posterior, step, strict=True)]))
-        if mix.most is not None:
-            rate = F.least(F.lit(mix.most), rate)
-    return rate
+    return _let(posteriors, lambda p: F.aggregate(steps, F.lit(1.0), step(p)))
 
 
 def fit_mix(docs: DataFrame, weights: dict[str, float], *, label_col: str = "lang", text_col: str = "text", budget: float | None = None, most: float | None = None) -> Mix:
@@ -85,7 +105,7 @@ def fit_mix(docs: DataFrame, weights: dict[str, float], *, label_col: str = "lan
     ``budget`` is the total of tokens wanted; where it is None, the largest that the
     weights allow without repeating a document.  ``most`` bounds the rates above.
     """
-    seen = written(docs.select(F.col(label_col).cast("string").alias("label"), *_counted(F.col(text_col))), "mix-counts")
+    seen = written(docs.select(F.col(label_col).cast("string").alias("label"), _counted(F.col(text_col)).alias("c")).select("label", "c.*"), "mix-counts")
     classes = [F.sum(f"m{k}") for k in range(len(MARKERS))]
     learnt = seen.where("label is not null").groupBy("label").agg(F.count("*"), F.sum("chars"), *classes).orderBy("label").limit(MOST_DOMAINS + 1).collect()
     if len(learnt) > MOST_DOMAINS:
@@ -95,10 +115,10 @@ def fit_mix(docs: DataFrame, weights: dict[str, float], *, label_col: str = "lan
     rows = np.array([[r[1], r[2], *r[3:]] for r in learnt], dtype=float)
     marks = np.hstack([rows[:, 2:], (rows[:, 1] - rows[:, 2:].sum(axis=1))[:, None]]) + 1
     mix = Mix([r[0] for r in learnt], np.log(rows[:, 0] / rows[:, 0].sum()), np.log(marks / marks.sum(axis=1, keepdims=True)), [], most)
-    names = [f"p{d}" for d in range(len(mix.domains))]
     # posteriors once; each pass then reads tokens and posteriors only
-    soft = written(seen.where("tokens > 0").select("tokens", *(p.alias(n) for p, n in zip(_posterior(mix), names, strict=True))), "mix-posteriors")
-    p = [F.col(n) for n in names]
+    counted = F.struct("chars", *(f"m{k}" for k in range(len(MARKERS))))
+    soft = written(seen.where("tokens > 0").select("tokens", _posteriors(mix, counted).alias("p")), "mix-posteriors")
+    p = [F.col("p")[d] for d in range(len(mix.domains))]
     wanted = np.array([max(0.0, weights.get(d, 0.0)) for d in mix.domains])
     if not wanted.sum():
         raise ValueError("no domain has a weight")
@@ -109,7 +129,7 @@ def fit_mix(docs: DataFrame, weights: dict[str, float], *, label_col: str = "lan
         free = (rate > 0) & (rate < most) if most is not None else rate > 0
         pairs = [(a, b) for a in range(len(p)) for b in range(a, len(p))]
         got = (
-            soft.withColumn("rate", _rate(mix, p))
+            soft.withColumn("rate", _rate(mix, F.col("p")))
             .agg(*(F.sum(F.col("tokens") * rate * x) for x in p), *(F.sum(F.when(free | F.lit(not mix.steps), F.col("tokens") * p[a] * p[b])) for a, b in pairs))
             .first()
         )
@@ -134,14 +154,9 @@ def with_rates(docs: DataFrame, mix: Mix, *, text_col: str = "text", rate_col: s
     """``docs`` with their rates, and their tokens if a name is given for them."""
     if not mix.domains:
         return docs.withColumn(rate_col, F.lit(1.0))
-    own = free_name(docs, "__tw_mix")
-    nested = docs.withColumn(own, F.struct(*_counted(F.col(text_col))))
-    flat = nested.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__tw_row"), f"{own}.*")
-    names = [f"p{d}" for d in range(len(mix.domains))]
-    soft = flat.select("__tw_row", "tokens", *(p.alias(n) for p, n in zip(_posterior(mix), names, strict=True)))
-    rated = soft.select("__tw_row", "tokens", _rate(mix, [F.col(n) for n in names]).alias("__tw_rate"))
-    extra = [F.col("tokens").cast("long").alias(tokens_col)] if tokens_col else []
-    return rated.select("__tw_row.*", *extra, F.col("__tw_rate").alias(rate_col))
+    counted = _counted(F.col(text_col))
+    rated = docs.withColumn(rate_col, _rate(mix, _posteriors(mix, counted)))
+    return rated.withColumn(tokens_col, counted["tokens"].cast("long")) if tokens_col else rated
 
 
 def mixed(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +164,7 @@ def mixed(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", text_col: str =
     name = free_name(docs, "__tw_rate")
     rated = with_rates(docs, mix, text_col=text_col, rate_col=name)
     unit = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(29)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.floor(name) + (unit < F.col(name) - F.floor(name)).cast("int")
+    copies = _let(F.col(name), lambda r: F.floor(r) + (unit < r - F.floor(r)).cast("int"))
     if mix.most is not None and mix.most <= 1:
         return rated.where(copies >= 1).drop(name)
     again = free_name(rated, "__tw_copy")

@@ -55,7 +55,7 @@ class Near:
     def triples(self) -> list[tuple[int, int, int]]:
         if self.parts == 1:
             return turan_triples()
-        return [t for t in combinations(range(8 * self.parts), 3) if sum(t) % 7 == 0]
+        return [t for t in combinations(range(8 * self.parts), 3) if sum(t) % 5 == 0]
 
 
 def turan_triples() -> list[tuple[int, int, int]]:
@@ -77,7 +77,7 @@ def turan_triples() -> list[tuple[int, int, int]]:
 #: The contract: 4-word shingles, 64 bits, at most 4 of them different.
 EXACT = Near(shingle=4, parts=1, most_bits=4, least_bytes=4)
 #: Five words and a similarity of 0.8 or more: 128 bits, of which a share arccos(0.889) / pi differs at 0.8.
-SIMILAR = Near(shingle=5, parts=2, most_bits=22, least_bytes=4)
+SIMILAR = Near(shingle=5, parts=2, most_bits=26, least_bytes=3)
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.int64)
 
@@ -167,7 +167,7 @@ def _link(near: Near) -> Callable:
         good = two[_compare(f[two], f[two + 1], near)] if len(two) else two
         us, vs = [np.minimum(node[good], node[good + 1])], [np.maximum(node[good], node[good + 1])]
         for a, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if n <= LONG_LIST:
+            if n <= LONG_LIST or near.least_bytes <= 3:  # where the key's bytes are all that is guaranteed, no further one is
                 u, v = span(node[a : a + n], f[a : a + n], near)
                 us += u
                 vs += v
