@@ -11,8 +11,8 @@ a search goes from node to node and compares each with the nodes not reached yet
 so that a group of n copies gives n - 1 links and never all pairs.  A very long
 list is first split by one further equal byte, which the tally guarantees.
 
-The wide form (128 bits, for similarities where most pairs differ in more bits)
-uses a fixed family of triples of 16 positions and finds a pair of the given
+The wide form (256 bits, for similarities where most pairs differ in more bits)
+uses a fixed family of triples of 32 positions and finds a pair of the given
 similarity with high probability, not always; see the README for figures.
 
 Defined cases: texts with fewer words than a shingle have one shingle, the whole
@@ -55,7 +55,7 @@ class Near:
     def triples(self) -> list[tuple[int, int, int]]:
         if self.parts == 1:
             return turan_triples()
-        return [t for t in combinations(range(8 * self.parts), 3) if sum(t) % 5 == 0]
+        return [t for t in combinations(range(8 * self.parts), 3) if sum(t) % 41 == 0]
 
 
 def turan_triples() -> list[tuple[int, int, int]]:
@@ -76,8 +76,8 @@ def turan_triples() -> list[tuple[int, int, int]]:
 
 #: The contract: 4-word shingles, 64 bits, at most 4 of them different.
 EXACT = Near(shingle=4, parts=1, most_bits=4, least_bytes=4)
-#: Five words and a similarity of 0.8 or more: 128 bits, of which a share arccos(0.889) / pi differs at 0.8.
-SIMILAR = Near(shingle=5, parts=2, most_bits=26, least_bytes=3)
+#: Five words and a similarity of 0.8 or more: 256 bits, of which arccos(0.889) / pi, 39 in the mean, differ at 0.8.
+SIMILAR = Near(shingle=5, parts=4, most_bits=47, least_bytes=3)
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.int64)
 
