@@ -1 +1 @@
-
+"""Column functions and special functions."""

@@ -1 +1 @@
-
+"""Embedding, estimators, permutations, tests."""

@@ -1 +1 @@
-
+"""Event streams as series."""
