@@ -33,13 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import pieces, texts
-from tidewire.llm.words import Hasher, Words
+from tidewire.llm.words import Hasher, Words, mix
 
 WINDOW = 50
 PERIOD = 31
 #: A perfect difference set modulo 31.
 COVER = (1, 5, 11, 24, 25, 27)
-BUCKETS_PER_PARTITION = 1
 _REPORT, _ANSWER = 0, 1
 _ROW = "bucket int, kind int, payload binary"
 
@@ -132,9 +131,9 @@ def _window_map(buckets: int, window: int) -> Callable:
                 at, h = _anchors(w, length)
                 shared = np.zeros(len(at), dtype=bool)
                 begin = np.searchsorted(at, w.first)
-                for d, payloads in enumerate(part.column("found").to_pylist()):
+                for d, found in enumerate(part.column("found").to_pylist()):
                     own = slice(begin[d], begin[d + 1])
-                    shared[own] = np.isin(h[own], np.concatenate([np.frombuffer(p, "<u8") for p in payloads]))
+                    shared[own] = np.isin(h[own], np.frombuffer(found, "<u8"))
                 # a window from s on holds the anchors that begin in [s, s + PERIOD); one must be shared
                 known = np.zeros(len(w) + 1, dtype=np.int64)
                 known[at[shared] + 1] = 1
@@ -152,38 +151,52 @@ def _window_map(buckets: int, window: int) -> Callable:
     return run
 
 
-def _answers(docs: np.ndarray, hashes: np.ndarray, at_once: int = 2_000) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((hashes, docs))
-    docs, hashes = docs[order], hashes[order]
-    first, count = _split(docs)
-    for k in range(0, len(first), at_once):
-        part = list(zip(first[k : k + at_once].tolist(), count[k : k + at_once].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in part], pa.int64()), pa.array([hashes[a : a + n].astype("<u8").tobytes() for a, n in part], pa.binary())], ["doc_id", "found"])
+def _place(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _reduce(smaller_only: bool) -> Callable:
-    """Per hash, answer the documents that share it (or that a smaller document has it)."""
+def _reduce(smaller_only: bool, buckets: int) -> Callable:
+    """Per hash, answer the documents that share it (or that a smaller document has it), packed by their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_docs, held_hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+        held = {kind: ([np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]) for kind in (_REPORT, _ANSWER)}
         for batch in batches:
             for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 docs, hashes = _unpack(payload)
-                if kind == _ANSWER:
-                    yield from _answers(docs, hashes)
-                else:
-                    held_docs.append(docs)
-                    held_hashes.append(hashes)
-        docs, hashes = _once(np.concatenate(held_docs), np.concatenate(held_hashes))
+                held[kind][0].append(docs)
+                held[kind][1].append(hashes)
+        docs, hashes = _once(*map(np.concatenate, held.pop(_REPORT)))
         first, count = _split(hashes)
         told = np.repeat(count > 1, count)
         if smaller_only:
             told[first] = False
-        yield from _answers(docs[told], hashes[told])
+        docs = np.concatenate([docs[told], *held[_ANSWER][0]])
+        hashes = np.concatenate([hashes[told], *held[_ANSWER][1]])
+        if not len(docs):
+            return
+        place = _place(docs, buckets)
+        order = np.lexsort((hashes, docs, place))
+        place, docs, hashes = place[order], docs[order], hashes[order]
+        for a, n in zip(*(x.tolist() for x in _split(place)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([int(place[a])], pa.int32()), pa.array([_pack(docs[a : a + n], hashes[a : a + n])], pa.binary())], ["bucket", "payload"])
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's answers from all buckets as one row."""
+    got = [_unpack(payload) for batch in batches for payload in batch.column("payload").to_pylist()]
+    if not got:
+        return
+    docs, hashes = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(docs, kind="stable")
+    docs, hashes = docs[order], hashes[order]
+    first, count = _split(docs)
+    for k in range(0, len(first), 2_000):
+        part = list(zip(first[k : k + 2_000].tolist(), count[k : k + 2_000].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in part], pa.int64()), pa.array([hashes[a : a + n].astype("<u8").tobytes() for a, n in part], pa.binary())], ["doc_id", "found"])
+
+
 def _final(window: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -191,12 +204,12 @@ def _final(window: int, with_text: bool) -> Callable:
             for part in pieces(batch, "text"):
                 w = Words(texts(part.column("text")), hasher)
                 n, removed, digests, kept_texts = [], [], [], []
-                for d, payloads in enumerate(part.column("found").to_pylist()):
+                for d, found in enumerate(part.column("found").to_pylist()):
                     a, b = int(w.first[d]), int(w.first[d + 1])
                     keep = None
-                    if payloads:
+                    if found:
                         s = np.arange(a, max(a, b - window + 1))
-                        hit = s[np.isin(w.hashes(s, window), np.concatenate([np.frombuffer(p, "<u8") for p in payloads]))] - a
+                        hit = s[np.isin(w.hashes(s, window), np.frombuffer(found, "<u8"))] - a
                         delta = np.zeros(b - a + 1, dtype=np.int64)
                         np.add.at(delta, hit, 1)
                         np.add.at(delta, hit + window, -1)
@@ -217,14 +230,14 @@ def remove_shared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     some = own.where("doc_id is not null and text is not null")
 
     def told(sent: DataFrame, smaller_only: bool) -> DataFrame:
-        """Answers of the buckets, a document's together."""
-        back = sent.repartition(buckets, "bucket").mapInArrow(_reduce(smaller_only), "doc_id long, found binary")
-        return back.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+        """doc_id, found: the hashes that are told to a document."""
+        back = sent.repartition(buckets, "bucket").mapInArrow(_reduce(smaller_only, buckets), "bucket int, payload binary")
+        return back.repartition(buckets, "bucket").mapInArrow(_gather, "doc_id long, found binary")
 
     shared = told(some.mapInArrow(_anchor_map(buckets, window), _ROW), False)
     # the merge join brings documents in the order of their ids, so that a task that runs again makes the same batches
