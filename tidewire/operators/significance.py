@@ -22,10 +22,10 @@ def p_value_of(statistic: float, surrogates: Sequence[float], alpha: float = 0.0
         raise ValueError(f"unknown tail {tail!r}")
     n = len(surrogates)
     check_n_perm(n, alpha)
-    bigger, smaller = sum(s >= statistic for s in surrogates) / n, sum(s <= statistic for s in surrogates) / n
+    bigger, smaller = sum(bool(s >= statistic) for s in surrogates) / n, sum(bool(s <= statistic) for s in surrogates) / n
     p = {"one_smaller": smaller, "two": min(bigger, smaller)}.get(tail, bigger)
     p = p or 1 / n
-    return p < (alpha / 2 if tail == "two" else alpha), p
+    return p < (alpha / 2 if tail == "two" else alpha), float(p)
 
 
 def p_value(statistic: Column, surrogate: Column, tail: str = "one_bigger") -> Column:

@@ -197,7 +197,7 @@ def shuffling_of(counts: dict[int, int], bins: int, seed: int = 1) -> tuple[floa
             code[rng.choice(int(size), active, replace=False)] += 1 << b
             independent += entropy_of_counts(np.array([active, size - active]))
         correction += size / sizes.sum() * (independent - entropy_of_counts(np.unique(code, return_counts=True)[1]))
-    mi -= correction
+    mi = float(mi - correction)
     return mi, mi / h if h > 0 else 0.0
 
 

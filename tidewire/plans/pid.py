@@ -6,6 +6,7 @@ joint symbols, so the solvers run on small arrays.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import cache
 from itertools import chain, combinations
@@ -37,26 +38,42 @@ def _conditional(q: np.ndarray) -> float:
     return float((q * (_log2(q) + _log2(z) - _log2(xz) - _log2(yz))).sum())
 
 
-def closest_to_unique(p: np.ndarray, rounds: int = 2_000, tolerance: float = 1e-13) -> np.ndarray:
+def closest_to_unique(p: np.ndarray, sweeps: int = 300, tolerance: float = 1e-12) -> np.ndarray:
     """The table with the (t, s1) and (t, s2) margins of p[t, s1, s2] that has the least I(T; S1 | S2).
 
-    Alternates between the best s1-given-s2 for a table and the projection of that
-    product onto the margins (iterative scaling).
+    Tables of these margins differ by exchanges of mass around rectangles of (s1, s2)
+    at one t.  With (t, s2) fixed, the least information is the largest H(T | S1, S2),
+    which is concave along every exchange; each is taken to its best point by halving
+    on the slope, in turn, until a sweep gains nothing.
     """
-    a, b = p.sum(axis=2), p.sum(axis=1)
-    q = np.einsum("ts,tr->tsr", a, b) / np.where(p.sum(axis=(1, 2)) > 0, p.sum(axis=(1, 2)), 1)[:, None, None]
-    before = np.inf
-    for _ in range(rounds):
-        r = q.sum(axis=0)
-        r = r / np.where(r.sum(axis=0) > 0, r.sum(axis=0), 1)
-        q = b[:, None, :] * r[None, :, :]
-        for _ in range(200):
-            rows = q.sum(axis=2)
-            q = q * np.where(rows > 0, a / np.where(rows > 0, rows, 1), 0)[:, :, None]
-            columns = q.sum(axis=1)
-            q = q * np.where(columns > 0, b / np.where(columns > 0, columns, 1), 0)[:, None, :]
-            if np.abs(q.sum(axis=2) - a).max() < 1e-13:
-                break
+    a, b, t = p.sum(axis=2), p.sum(axis=1), p.sum(axis=(1, 2))
+    q = a[:, :, None] * b[:, None, :] / np.where(t > 0, t, 1)[:, None, None]
+    moves = [(k, i, j, x, y) for k in range(len(p)) for i, j in combinations(np.flatnonzero(a[k]), 2) for x, y in combinations(np.flatnonzero(b[k]), 2)]
+    sums = q.sum(axis=0)
+
+    def slope(k: int, i: int, j: int, x: int, y: int, e: float) -> float:
+        grow = ((q[k, i, x] + e) / (sums[i, x] + e), (q[k, j, y] + e) / (sums[j, y] + e))
+        shrink = ((q[k, i, y] - e) / (sums[i, y] - e), (q[k, j, x] - e) / (sums[j, x] - e))
+        return math.log(shrink[0]) + math.log(shrink[1]) - math.log(grow[0]) - math.log(grow[1])
+
+    before = _conditional(q)
+    for _ in range(sweeps):
+        for k, i, j, x, y in moves:
+            low, high = -min(q[k, i, x], q[k, j, y]), min(q[k, i, y], q[k, j, x])
+            if high - low < 1e-15:
+                continue
+            for _ in range(50):
+                e = (low + high) / 2
+                if not low < e < high:
+                    break
+                if slope(k, i, j, x, y, e) > 0:
+                    low = e
+                else:
+                    high = e
+            e = (low + high) / 2
+            for u, v, sign in ((i, x, e), (j, y, e), (i, y, -e), (j, x, -e)):
+                q[k, u, v] = max(0.0, q[k, u, v] + sign)
+                sums[u, v] = q[:, u, v].sum()
         now = _conditional(q)
         if before - now < tolerance:
             break
