@@ -99,13 +99,18 @@ def _rate(mix: Mix, posteriors: Column) -> Column:
     return _let(posteriors, lambda p: F.aggregate(steps, F.lit(1.0), step(p)))
 
 
-def fit_mix(docs: DataFrame, weights: dict[str, float], *, label_col: str = "lang", text_col: str = "text", budget: float | None = None, most: float | None = None) -> Mix:
-    """Fit the classifier and the steps.
+def count_table(docs: DataFrame, *, id_col: str = "doc_id", label_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """doc_id, label, and the counts of each document, written once: no later pass reads the texts."""
+    counted = _counted(F.col(text_col)).alias("c")
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("string").alias("label"), counted).select("doc_id", "label", "c.*"), "mix-counts")
+
+
+def fit_mix(seen: DataFrame, weights: dict[str, float], *, budget: float | None = None, most: float | None = None) -> Mix:
+    """Fit the classifier and the steps on a count table.
 
     ``budget`` is the total of tokens wanted; where it is None, the largest that the
     weights allow without repeating a document.  ``most`` bounds the rates above.
     """
-    seen = written(docs.select(F.col(label_col).cast("string").alias("label"), _counted(F.col(text_col)).alias("c")).select("label", "c.*"), "mix-counts")
     classes = [F.sum(f"m{k}") for k in range(len(MARKERS))]
     learnt = seen.where("label is not null").groupBy("label").agg(F.count("*"), F.sum("chars"), *classes).orderBy("label").limit(MOST_DOMAINS + 1).collect()
     if len(learnt) > MOST_DOMAINS:
@@ -116,8 +121,7 @@ def fit_mix(docs: DataFrame, weights: dict[str, float], *, label_col: str = "lan
     marks = np.hstack([rows[:, 2:], (rows[:, 1] - rows[:, 2:].sum(axis=1))[:, None]]) + 1
     mix = Mix([r[0] for r in learnt], np.log(rows[:, 0] / rows[:, 0].sum()), np.log(marks / marks.sum(axis=1, keepdims=True)), [], most)
     # posteriors once; each pass then reads tokens and posteriors only
-    counted = F.struct("chars", *(f"m{k}" for k in range(len(MARKERS))))
-    soft = written(seen.where("tokens > 0").select("tokens", _posteriors(mix, counted).alias("p")), "mix-posteriors")
+    soft = written(seen.where("tokens > 0").select("tokens", _posteriors(mix, _of_table()).alias("p")), "mix-posteriors")
     p = [F.col("p")[d] for d in range(len(mix.domains))]
     wanted = np.array([max(0.0, weights.get(d, 0.0)) for d in mix.domains])
     if not wanted.sum():
@@ -150,13 +154,19 @@ def fit_mix(docs: DataFrame, weights: dict[str, float], *, label_col: str = "lan
     return mix
 
 
-def with_rates(docs: DataFrame, mix: Mix, *, text_col: str = "text", rate_col: str = "rate", tokens_col: str | None = None) -> DataFrame:
-    """``docs`` with their rates, and their tokens if a name is given for them."""
-    if not mix.domains:
-        return docs.withColumn(rate_col, F.lit(1.0))
-    counted = _counted(F.col(text_col))
-    rated = docs.withColumn(rate_col, _rate(mix, _posteriors(mix, counted)))
-    return rated.withColumn(tokens_col, counted["tokens"].cast("long")) if tokens_col else rated
+def _of_table() -> Column:
+    return F.struct("chars", *(f"m{k}" for k in range(len(MARKERS))))
+
+
+def rates(seen: DataFrame, mix: Mix) -> DataFrame:
+    """doc_id, label, tokens, rate of a count table's rows."""
+    rate = _rate(mix, _posteriors(mix, _of_table())) if mix.domains else F.lit(1.0)
+    return seen.select("doc_id", "label", F.col("tokens").cast("long").alias("tokens"), rate.alias("rate"))
+
+
+def with_rates(docs: DataFrame, mix: Mix, *, text_col: str = "text", rate_col: str = "rate") -> DataFrame:
+    """``docs`` with their rates."""
+    return docs.withColumn(rate_col, _rate(mix, _posteriors(mix, _counted(F.col(text_col)))) if mix.domains else F.lit(1.0))
 
 
 def mixed(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,9 +24,8 @@ MIX_WEIGHTS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    mix = mixing.fit_mix(docs, MIX_WEIGHTS)
-    return mixing.with_rates(docs, mix, tokens_col="tokens").select("doc_id", "lang", "tokens", "rate")
+    seen = mixing.count_table(table(spark, sf_dir, "documents"))
+    return mixing.rates(seen, mixing.fit_mix(seen, MIX_WEIGHTS)).withColumnRenamed("label", "lang")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
