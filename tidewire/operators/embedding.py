@@ -30,19 +30,21 @@ def lag_embed(series: DataFrame, variables: Sequence[Var], max_lag: int) -> Data
         raise ValueError("no variables to embed")
     if any(lag > max_lag or lag < 0 for _, lag in variables):
         raise RuntimeError("lags are between 0 and the largest lag")
+    # rows end with the series: where no variable is of lag 0, one is embedded for that alone
+    bound = variables if any(lag == 0 for _, lag in variables) else [*variables, (variables[0][0], 0)]
     uses: dict[int, list[int]] = {}
-    for p, lag in variables:
+    for p, lag in bound:
         uses.setdefault(p, []).append(lag)
     lags = F.lit(None).cast("array<int>")
     for p, own in uses.items():
         lags = F.when(F.col("proc") == p, F.array(*map(F.lit, own))).otherwise(lags)
     dealt = series.where(F.col("proc").isin(list(uses))).select("repl", "proc", "sample", "value", F.explode(lags).alias("lag"))
     rows = dealt.groupBy("repl", (F.col("sample") + F.col("lag")).alias("sample"))
-    wide = rows.agg(*(F.max(F.when((F.col("proc") == p) & (F.col("lag") == lag), F.col("value"))).alias(column((p, lag))) for p, lag in variables))
+    wide = rows.agg(*(F.max(F.when((F.col("proc") == p) & (F.col("lag") == lag), F.col("value"))).alias(column((p, lag))) for p, lag in bound))
     complete = F.lit(True)
-    for v in variables:
+    for v in bound:
         complete = complete & F.col(column(v)).isNotNull()
-    return wide.where(complete & (F.col("sample") >= max_lag))
+    return wide.where(complete & (F.col("sample") >= max_lag)).select("repl", "sample", *map(column, variables))
 
 
 def realisations(series: DataFrame, current_sample: int, indices: Sequence[tuple[int, int]]) -> DataFrame:
