@@ -52,6 +52,7 @@ def test_digamma(spark):
 @given(st.floats(0.01, 0.99), st.integers(1, 40))
 def test_chi2_quantiles(p, dof):
     assert abs(1 - special.chi2_sf(special.chi2_ppf(p, dof), dof) - p) < 1e-9
+    assert np.allclose(special.chi2_quantiles(np.array([p, p / 2]), dof), [special.chi2_ppf(p, dof), special.chi2_ppf(p / 2, dof)], rtol=1e-7)
 
 
 def test_array_dimensions(spark):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalar import equal_width, max_entropy
-from tidewire.functions.special import chi2_ppf
+from tidewire.functions.special import chi2_quantiles
 from tidewire.operators import discrete, gaussian
 from tidewire.operators.knn import ksg
 
@@ -48,6 +48,13 @@ class Estimator:
     def evaluate(self, frame: DataFrame, jobs: Sequence[Job]) -> Stats:
         raise NotImplementedError
 
+    def summary(self, frame: DataFrame) -> object | None:
+        """What one pass over a frame must keep so that all observed statistics follow from it; None if nothing can."""
+        return None
+
+    def from_summary(self, summary: object, jobs: Sequence[Job]) -> Stats:
+        raise NotImplementedError
+
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
         raise RuntimeError(f"{self.name} has no closed-form null distribution")
 
@@ -57,12 +64,22 @@ class GaussianCMI(Estimator):
 
     def evaluate(self, frame: DataFrame, jobs: Sequence[Job]) -> Stats:
         columns = sorted({c for j in jobs for c in (*j.x, *j.y, *j.z)})
+        return self._of(columns, gaussian.covariances(frame, columns, "perm"), jobs)
+
+    @staticmethod
+    def _of(columns: list[str], found: dict, jobs: Sequence[Job]) -> Stats:
         at = {c: k for k, c in enumerate(columns)}
-        found = gaussian.covariances(frame, columns, "perm")
         return {(k, perm): gaussian.cmi_of(c, [at[v] for v in j.x], [at[v] for v in j.y], [at[v] for v in j.z]) for perm, (_, c) in found.items() for k, j in enumerate(jobs)}
 
+    def summary(self, frame: DataFrame) -> object | None:
+        columns = sorted(c for c in frame.columns if c not in ("repl", "sample"))
+        return columns, {-1: gaussian.covariances(frame, columns)[None]}
+
+    def from_summary(self, summary: object, jobs: Sequence[Job]) -> Stats:
+        return self._of(*summary, jobs)
+
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
-        return np.array([chi2_ppf(p, len(job.x) * len(job.y)) for p in u]) / (2 * n)
+        return chi2_quantiles(u, len(job.x) * len(job.y)) / (2 * n)
 
 
 class DiscreteCMI(Estimator):
@@ -82,7 +99,7 @@ class DiscreteCMI(Estimator):
 
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
         dof = (levels ** len(job.x) - 1) * (levels ** len(job.y) - 1) * levels ** len(job.z)
-        return np.array([chi2_ppf(p, dof) for p in u]) / (2 * n * np.log(2))
+        return chi2_quantiles(u, dof) / (2 * n * np.log(2))
 
 
 class KernelCMI(Estimator):

@@ -211,7 +211,7 @@ def firing_rate(spikes: DataFrame, bin_size: float = 0.005) -> DataFrame:
 
 
 def auto_information(spikes: DataFrame, bin_size: float, most_delays: int) -> DataFrame:
-    """proc, delay, r: 2 - H(now, now + delay) / H(now) of binned activity, delays in bins."""
+    """proc, delay, r: 2 - H(now, now + delay) / H(now) of binned activity, delays in bins; 0 where the activity never changes."""
     bins = spikes.select("proc", F.floor(F.col("t") / bin_size).cast("long").alias("b")).distinct()
     size = spikes.groupBy("proc").agg((F.floor(F.max("t") / bin_size) + 1).alias("n_bins"))
     active = bins.groupBy("proc").agg(F.count("*").alias("n1")).join(size, "proc")
@@ -230,7 +230,7 @@ def auto_information(spikes: DataFrame, bin_size: float, most_delays: int) -> Da
     joint = term(F.col("n11"), m) + term(F.col("a") - F.col("n11"), m) + term(F.col("c") - F.col("n11"), m) + term(m - F.col("a") - F.col("c") + F.col("n11"), m)
     n_bins = F.col("n_bins").cast("double")
     own = term(F.col("n1"), n_bins) + term(n_bins - F.col("n1"), n_bins)
-    return met.select("proc", "delay", (2 - joint / own).alias("r"))
+    return met.select("proc", "delay", F.when(own > 0, 2 - F.try_divide(joint, own)).otherwise(0.0).alias("r"))
 
 
 def temporal_depth(max_r: dict[float, float], sd: float = 0.0) -> float:

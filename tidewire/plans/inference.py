@@ -7,7 +7,8 @@ evaluates all candidates, observed and permuted, over one embedded frame.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 from tidewire.operators.embedding import Var, column, lag_embed
 from tidewire.operators.permutation import permuted, replication_map, sample_map
 from tidewire.operators.significance import fdr_of, p_value_of
-from tidewire.plans.estimators import Estimator, Job, get_estimator
+from tidewire.plans.estimators import Estimator, Job, Stats, get_estimator
 from tidewire.plans.settings import Settings
 from tidewire.sources.series import TimeSeries
 
+#: Targets whose rounds run side by side.
+TARGETS_AT_ONCE = 4
+
 
 @dataclass
 class TargetResult:
@@ -61,6 +65,7 @@ class Evaluator:
         self.current = column((target, 0))
         self.frame = lag_embed(estimator.prepare(series.df), [*variables, (target, 0)], max_lag).cache()
         self.rounds = 0
+        self._summary: object | None = None
         self._levels: int | None = None
 
     def close(self) -> None:
@@ -88,10 +93,9 @@ class Evaluator:
         """
         self.rounds += 1
         plain = [Job(tuple(column(v) for v in x), (self.current,), tuple(column(v) for v in z)) for x, z in jobs]
-        observed = self.frame.withColumn("perm", F.lit(-1))
         closed = n_perm and self.estimator.analytic and self.settings.permute_in_time
         if not n_perm or closed:
-            got = self.estimator.evaluate(observed, plain)
+            got = self._observed(plain)
             stats = np.array([got[k, -1] for k in range(len(plain))])
             if not closed:
                 return stats, np.zeros((len(plain), 0))
@@ -106,6 +110,14 @@ class Evaluator:
         got = self.estimator.evaluate(both, moved)
         return np.array([got[k, -1] for k in range(len(plain))]), np.array([[got[k, p] for p in range(n_perm)] for k in range(len(plain))])
 
+    def _observed(self, jobs: Sequence[Job]) -> Stats:
+        """Unpermuted statistics: from one summary of the frame for all rounds, where the estimator has one."""
+        if self._summary is None:
+            self._summary = self.estimator.summary(self.frame)
+        if self._summary is not None:
+            return self.estimator.from_summary(self._summary, jobs)
+        return self.estimator.evaluate(self.frame.withColumn("perm", F.lit(-1)), jobs)
+
     @property
     def levels(self) -> int:
         """Symbols of the most varied column."""
@@ -152,6 +164,19 @@ def max_sequential(stats: np.ndarray, table: np.ndarray, alpha: float, keep_fail
     return sign, p
 
 
+def _each(settings: dict | Settings, series: TimeSeries, jobs: Sequence, run: Callable) -> list:
+    """Targets don't depend on each other: their rounds are submitted side by side, so that small jobs fill the cluster.
+
+    A run that notes its progress goes target by target, since one table takes the notes.
+    """
+    held = TimeSeries(series.df.cache())
+    try:
+        with ThreadPoolExecutor(1 if Settings.of(settings).checkpoint_path else TARGETS_AT_ONCE) as pool:
+            return list(pool.map(lambda job: run(held, job), jobs))
+    finally:
+        held.df.unpersist()
+
+
 class NetworkInference:
     """Transfer entropy (``te``) or mutual information (``mi``), multivariate or bivariate."""
 
@@ -257,11 +282,8 @@ class NetworkInference:
         nested = not isinstance(sources, str) and len(sources) and not isinstance(sources[0], int)
         if nested and len(sources) != len(own):
             raise RuntimeError("there is one list of sources for each target")
-        out = []
-        for k, target in enumerate(own):
-            mine = sources[k] if nested else sources if isinstance(sources, str) else [p for p in sources if p != target]
-            out.append(self.analyse_single_target(settings, series, target, mine))
-        return out
+        jobs = [(target, sources[k] if nested else sources if isinstance(sources, str) else [p for p in sources if p != target]) for k, target in enumerate(own)]
+        return _each(settings, series, jobs, lambda data, job: self.analyse_single_target(settings, data, *job))
 
 
 def link_values(ev: Evaluator, variables: Sequence[Var], target_past: Sequence[Var], sources: Sequence[int], conditioning: str) -> np.ndarray:
@@ -298,8 +320,8 @@ class InformationStorage:
         return out
 
     def analyse_network(self, settings: dict | Settings, series: TimeSeries, processes: str | Sequence[int] = "all") -> list[StorageResult]:
-        own = range(series.n_processes) if isinstance(processes, str) else processes
-        return [self.analyse_single_process(settings, series, p) for p in own]
+        own = list(range(series.n_processes)) if isinstance(processes, str) else list(processes)
+        return _each(settings, series, own, lambda data, p: self.analyse_single_process(settings, data, p))
 
 
 def network_fdr(settings: dict | Settings, results: Sequence[TargetResult]) -> list[TargetResult] | None:

@@ -93,8 +93,10 @@ class SubgraphMining:
 
     def _frequent(self, rows: DataFrame, least: int) -> DataFrame | None:
         """Rows of the subgraphs that occur often enough.  Pairs that differ don't shrink with the graph, so within subjects all occurrences count."""
-        kept = rows.groupBy("links").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("links")
-        out = rows.join(kept, "links", "left_semi").cache()
+        if least > 1:
+            kept = rows.groupBy("links").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("links")
+            rows = rows.join(kept, "links", "left_semi")
+        out = rows.cache()
         return None if out.isEmpty() else out
 
     def counted(self, least: int = 1) -> DataFrame:

@@ -642,7 +642,7 @@ def _(spark, sf_dir):
     h1 AS (SELECT proc, -sum(p * ln(p)) AS h FROM (SELECT proc, count(*) / CAST(sum(count(*)) OVER (PARTITION BY proc) AS DOUBLE) AS p FROM bin GROUP BY proc, x) GROUP BY proc),
     pr AS (SELECT u.proc, CAST(d.delay AS INTEGER) AS delay, u.x AS x, v.x AS y FROM bin u JOIN (VALUES (1), (2), (3), (4)) d(delay) ON true JOIN bin v ON v.proc = u.proc AND v.b = u.b + d.delay),
     h2 AS (SELECT proc, delay, -sum(p * ln(p)) AS h FROM (SELECT proc, delay, count(*) / CAST(sum(count(*)) OVER (PARTITION BY proc, delay) AS DOUBLE) AS p FROM pr GROUP BY proc, delay, x, y) GROUP BY ALL)
-    SELECT h2.proc, delay, round(2 - h2.h / h1.h, 8) + 0.0 AS r FROM h2 JOIN h1 ON h1.proc = h2.proc""",
+    SELECT h2.proc, delay, round(CASE WHEN h1.h > 0 THEN 2 - h2.h / h1.h ELSE 0.0 END, 8) + 0.0 AS r FROM h2 JOIN h1 ON h1.proc = h2.proc""",
 )
 def _(spark, sf_dir):
     return history.auto_information(trains(spark, sf_dir), _STEP, 4)
