@@ -58,13 +58,16 @@ def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in pieces(batch, "text"):
             own = texts(part.column("text"))
-            found = [[] for _ in own]
+            codes = []
             for n in SIZES:
                 h, first = grams(own, n)
-                for d in range(len(own)):
-                    found[d].append(np.unique(h[first[d] : first[d + 1]]))
-            packed = [np.unique(np.concatenate(f)) for f in found]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([f[f >= 0].astype("<i4").tobytes() for f in packed], pa.binary())], ["label", "grams"])
+                doc = np.repeat(np.arange(len(own)), np.diff(np.minimum(first, len(h))))
+                codes.append((doc << BUCKET_BITS | h)[h >= 0])
+            once = np.sort(np.concatenate(codes))
+            once = once[np.concatenate([[True], once[1:] != once[:-1]])] if len(once) else once
+            ends = np.searchsorted(once, np.arange(len(own) + 1) << BUCKET_BITS)
+            found = (once & (1 << BUCKET_BITS) - 1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([found[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["label", "grams"])
 
 
 def fit_nb(rows: list[np.ndarray], y: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
