@@ -121,3 +121,35 @@ def test_series_slices(spark):
     ts = TimeSeries.from_array(spark, np.arange(20.0).reshape(2, 10), "ps", normalise=False)
     assert sorted(r["value"] for r in ts.slice(1, 7).collect()) == [17.0, 18.0, 19.0]
     assert ts.n_realisations(3) == 7
+
+
+def test_slices_of_replications_and_samples(spark):
+    x = np.repeat(np.arange(4.0)[:, None], 20, axis=1)
+    df = array_frame(spark, x, "rs")
+    got = permutation.slice_surrogates(df, 0, permutation.replication_map(spark, 4, 3, 1), "repl").collect()
+    for p in range(3):
+        rows = {}
+        for r in got:
+            if r["perm"] == p:
+                rows.setdefault(r["repl"], set()).add(r["value"])
+        assert sorted(v for s in rows.values() for v in s) == [0.0, 1.0, 2.0, 3.0] and all(len(s) == 1 for s in rows.values())
+
+
+@pytest.mark.parametrize("dependent", [True, False])
+def test_replications_are_swapped_or_dealt(spark, dependent):
+    got = permutation.swapped_replications(spark, 5, 4, 1, dependent).collect()
+    for p in range(4):
+        own = [r for r in got if r["perm"] == p]
+        assert sorted((r["group_id"], r["i"]) for r in own) == sorted((r["from_group"], r["src"]) for r in own) == [(g, i) for g in (0, 1) for i in range(5)]
+        if dependent:
+            assert all(r["i"] == r["src"] for r in own)
+
+
+def test_helpers():
+    from tidewire.functions import helpers
+
+    assert helpers.swap_chars("abc", 0, 2) == "cba" and helpers.descending([1, 3, 2]).tolist() == [3, 2, 1] and helpers.descending_order([1, 3, 3]).tolist() == [1, 2, 0]
+    assert helpers.equal_settings({"a": np.arange(2)}, {"a": np.arange(2)}) and helpers.conflicting({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}) == {"b": (2, 3)}
+    with pytest.raises(TimeoutError), helpers.time_limit(1):
+        while True:
+            pass

@@ -233,3 +233,29 @@ def test_stream_bins(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("bins").collect())) == sorted(map(tuple, binned(df).collect()))
+
+
+def test_local_values_average_to_the_links(coupled):
+    from tidewire.plans.inference import local_link_values
+
+    own = TargetResult(2, [0, 1], 1, [(2, 1)], [(0, 1), (1, 1)])
+    for s in (dict(estimator="gaussian"), dict(estimator="kraskov", estimator_options=dict(k=4))):
+        c = comparison.NetworkComparison({**s, "stats_type": "independent", "n_perm_comp": 100})
+        want = c.calculate_link_te(coupled, [own])
+        got = {(r["target"], r["source"]): r["m"] for r in local_link_values(s, coupled, own).groupBy("target", "source").agg({"local": "avg"}).withColumnRenamed("avg(local)", "m").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < (0.01 if s["estimator"] == "gaussian" else 1e-9) for k in want)
+
+
+def test_decomposition_of_a_network(spark):
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 2, (2, 400))
+    x = np.r_[0, (a ^ b)[:-1]]
+    ts = TimeSeries.from_array(spark, np.stack([a, b, x]), "ps", normalise=False)
+    got = pid.analyse_network(ts.df, [2, 0], [[0, 1], [1, 2]]).collect()
+    assert 0.9 < got[0]["syn_s1_s2"] <= 1.1 and got[0]["target"] == 2 and got[1]["syn_s1_s2"] < 0.1
+    tested = {r["atom"]: r["significant"] for r in pid.against_surrogates(ts.df, 2, [0, 1], 30).collect()}
+    assert tested["syn_s1_s2"] and len(tested) == 4
+    with pytest.raises(RuntimeError):
+        pid.analyse_network(ts.df, [2], [[0]])
+    with pytest.raises(RuntimeError):
+        pid.sources_frame(ts.df, 2, [2, 1])

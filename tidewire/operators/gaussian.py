@@ -51,3 +51,23 @@ def cmi_expr(x: str, y: str, z: str) -> Column:
     xy, xz, yz = F.corr(x, y), F.corr(x, z), F.corr(y, z)
     partial2 = (xy - xz * yz) * (xy - xz * yz) / ((1 - xz * xz) * (1 - yz * yz))
     return -0.5 * F.log(1 - partial2)
+
+
+def local_cmi(df: DataFrame, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), name: str = "local") -> DataFrame:
+    """Each row with its pointwise value: log densities under the covariance of all rows, as column expressions."""
+    columns = list(dict.fromkeys([*x, *y, *z]))
+    at = {c: k for k, c in enumerate(columns)}
+    _, c = covariances(df, columns)[None]
+    means = df.agg(*(F.avg(v) for v in columns)).first()
+    gap = [F.col(v) - F.lit(float(m)) for v, m in zip(columns, means, strict=True)]
+
+    def half_distance(which: Sequence[str]) -> Column:
+        own = [at[v] for v in which]
+        if not own:
+            return F.lit(0.0)
+        inverse = np.linalg.inv(c[np.ix_(own, own)])
+        return sum((gap[a] * gap[b] * float(0.5 * inverse[i, j]) for i, a in enumerate(own) for j, b in enumerate(own)), F.lit(0.0))
+
+    joint, xz, yz = columns, list(dict.fromkeys([*x, *z])), list(dict.fromkeys([*y, *z]))
+    average = cmi_of(c, [at[v] for v in x], [at[v] for v in y], [at[v] for v in z])
+    return df.withColumn(name, F.lit(average) - half_distance(joint) - half_distance(list(z)) + half_distance(xz) + half_distance(yz))

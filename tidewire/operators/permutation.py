@@ -86,3 +86,24 @@ def permuted(embedded: DataFrame, columns: list[str], maps: DataFrame, axis: str
     moved = maps.select("perm", (F.col("i") + offset).alias(axis), (F.col("src") + offset).alias("__src"))
     dealt = source.join(moved, "__src").drop("__src")
     return kept.join(dealt, [other, axis])
+
+
+def slice_surrogates(series: DataFrame, proc: int, maps: DataFrame, axis: str = "sample") -> DataFrame:
+    """perm, repl, sample, value of one process under each permutation of samples or replications."""
+    own = series.where(F.col("proc") == proc).select("repl", "sample", "value")
+    return permuted(own, ["value"], maps, axis).select("perm", "repl", "sample", "value")
+
+
+def swapped_replications(spark: SparkSession, n: int, n_perm: int, seed: int, dependent: bool) -> DataFrame:
+    """perm, group_id, i, from_group, src: the replication that takes place i of group 0 or 1.
+
+    Dependent conditions exchange a replication's two versions by the toss of a coin;
+    independent ones deal all 2 n replications anew.
+    """
+    grid = _grid(spark, n_perm, n).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("group_id")))
+    if dependent:
+        toss = F.conv(F.substring(keyed(seed, "perm", "i"), 1, 8), 16, 10).cast("long") % 2
+        return grid.select("perm", "group_id", "i", F.when(toss == 1, 1 - F.col("group_id")).otherwise(F.col("group_id")).cast("int").alias("from_group"), F.col("i").alias("src"))
+    order = Window.partitionBy("perm").orderBy(keyed(seed, "perm", "group_id", "i"), "group_id", "i")
+    place = F.row_number().over(order) - 1
+    return grid.select("perm", F.floor(place / n).cast("int").alias("group_id"), (place % n).cast("int").alias("i"), F.col("group_id").alias("from_group"), F.col("i").alias("src"))

@@ -55,6 +55,10 @@ class Estimator:
     def from_summary(self, summary: object, jobs: Sequence[Job]) -> Stats:
         raise NotImplementedError
 
+    def local(self, frame: DataFrame, job: Job) -> DataFrame:
+        """repl, sample, local: the pointwise values whose mean is the statistic."""
+        raise RuntimeError(f"{self.name} has no local values")
+
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
         raise RuntimeError(f"{self.name} has no closed-form null distribution")
 
@@ -78,6 +82,9 @@ class GaussianCMI(Estimator):
     def from_summary(self, summary: object, jobs: Sequence[Job]) -> Stats:
         return self._of(*summary, jobs)
 
+    def local(self, frame: DataFrame, job: Job) -> DataFrame:
+        return gaussian.local_cmi(frame, job.x, job.y, job.z).select("repl", "sample", "local")
+
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
         return chi2_quantiles(u, len(job.x) * len(job.y)) / (2 * n)
 
@@ -97,6 +104,9 @@ class DiscreteCMI(Estimator):
         rows = values.select("perm", F.explode(F.array(*each)).alias("e")).select("perm", "e.*")
         return {(r["job"], r["perm"]): r["cmi"] for r in discrete.cmi(rows, ["x"], ["y"], ["z"], ["job", "perm"]).collect()}
 
+    def local(self, frame: DataFrame, job: Job) -> DataFrame:
+        return discrete.local_cmi(frame, job.x, job.y, job.z).select("repl", "sample", "local")
+
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
         dof = (levels ** len(job.x) - 1) * (levels ** len(job.y) - 1) * levels ** len(job.z)
         return chi2_quantiles(u, dof) / (2 * n * np.log(2))
@@ -120,6 +130,19 @@ class KernelCMI(Estimator):
         return {(r["job"], r["perm"]): r["stat"] for r in got}
 
 
+    def local(self, frame: DataFrame, job: Job) -> DataFrame:
+        if self.function is not ksg:
+            return super().local(frame, job)
+        options = dict(self.options)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["repl", "sample"])
+            values = ksg(pdf[list(job.x)].to_numpy(float), pdf[list(job.y)].to_numpy(float), pdf[list(job.z)].to_numpy(float) if job.z else None, local=True, **options)
+            return pd.DataFrame({"repl": pdf["repl"], "sample": pdf["sample"], "local": values})
+
+        return frame.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "repl int, sample int, local double")
+
+
 _REGISTRY: dict[str, Callable[[dict], Estimator]] = {
     "gaussian": lambda o: GaussianCMI("gaussian", True, o),
     "discrete": lambda o: DiscreteCMI("discrete", True, o),

@@ -295,6 +295,22 @@ def link_values(ev: Evaluator, variables: Sequence[Var], target_past: Sequence[V
     return ev.run(jobs)[0]
 
 
+def local_link_values(settings: dict | Settings, series: TimeSeries, result: TargetResult) -> DataFrame:
+    """target, source, repl, sample, local: the pointwise values of each link of a result."""
+    s = Settings.of(settings)
+    variables, past = result.selected_vars_sources, result.selected_vars_target
+    if not variables:
+        raise RuntimeError("the target has no links")
+    ev = Evaluator(series, result.target, [*variables, *past], result.current_lag, s, get_estimator(s.estimator, s.estimator_options))
+    out = None
+    for p in sorted({v[0] for v in variables}):
+        x = tuple(column(v) for v in variables if v[0] == p)
+        z = tuple(column(v) for v in [*past, *(v for v in variables if v[0] != p)])
+        own = ev.estimator.local(ev.frame, Job(x, (ev.current,), z)).select(F.lit(result.target).alias("target"), F.lit(p).alias("source"), "repl", "sample", "local")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 class InformationStorage:
     """Active information storage: which of a process's own past values tell of its next."""
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.discrete import pmf
 from tidewire.operators.embedding import column, lag_embed
+from tidewire.operators.permutation import permuted, sample_map
+from tidewire.operators.significance import check_n_perm, p_value
 
 Antichain = tuple[tuple[int, ...], ...]
 
@@ -193,3 +195,50 @@ def shared_exclusions_two(rows: DataFrame, keys: Sequence[str] = ()) -> DataFram
         atoms.append({"{1}{2}": c["{1}{2}"], "{1}": c["{1}"] - c["{1}{2}"], "{2}": c["{2}"] - c["{1}{2}"], "{12}": c["{12}"] - c["{1}"] - c["{2}"] + c["{1}{2}"]})
     each = F.array(*(F.struct(F.lit(k).alias("alpha"), atoms[0][k].alias("a"), atoms[1][k].alias("b")) for k in plus))
     return wide.select(*keys, "p", F.explode(each).alias("e")).groupBy(*keys, F.col("e.alpha").alias("alpha")).agg(F.sum(F.col("p") * F.col("e.a")).alias("pi_plus"), F.sum(F.col("p") * F.col("e.b")).alias("pi_minus"), F.sum(F.col("p") * (F.col("e.a") - F.col("e.b"))).alias("pi"))
+
+
+def analyse_network(series: DataFrame, targets: Sequence[int], sources: Sequence[Sequence[int]], lags: Sequence[Sequence[int]] | None = None, method: str = "two_source") -> DataFrame:
+    """The decomposition of each target with its sources (and lags), in one frame keyed by target.
+
+    ``method`` is two_source (exactly two sources) or shared_exclusions (two to four).
+    """
+    if len(targets) != len(sources) or (lags is not None and len(lags) != len(targets)):
+        raise RuntimeError("there is one list of sources (and of lags) for each target")
+    if method not in ("two_source", "shared_exclusions"):
+        raise RuntimeError(f"unknown method {method!r}")
+    out = None
+    for k, (target, own) in enumerate(zip(targets, sources, strict=True)):
+        if method == "two_source" and len(own) != 2:
+            raise RuntimeError("a two-source decomposition has two sources")
+        rows = sources_frame(series, target, own, lags[k] if lags is not None else None)
+        found = decompose_two(rows) if method == "two_source" else decompose(rows, len(own))
+        found = found.select(F.lit(target).alias("target"), F.lit(",".join(map(str, own))).alias("sources"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def against_surrogates(series: DataFrame, target: int, sources: Sequence[int], n_perm: int = 500, alpha: float = 0.05, seed: int = 1, lags: Sequence[int] | None = None) -> DataFrame:
+    """atom, value, pval, significant: unique terms against permuted sources of their own, shared and synergistic ones against a permuted target.
+
+    All permutations are decomposed in one grouped job.
+    """
+    check_n_perm(n_perm, alpha)
+    spark = series.sparkSession
+    most = max([*(lags or [1] * len(sources)), 0])
+    embedding = [(target, 0), *zip(sources, lags or [1] * len(sources), strict=True)]
+    names = dict(zip(map(column, embedding), ("t", "s1", "s2"), strict=True))
+    wide = lag_embed(series, embedding, most)
+    rows = wide.select("repl", "sample", *(F.col(c).cast("int").alias(n) for c, n in names.items())).cache()
+    n = rows.agg(F.max("sample")).first()[0] - most + 1
+    observed = decompose_two(rows.drop("repl", "sample")).select("unq_s1", "unq_s2", "shd_s1_s2", "syn_s1_s2")
+    maps = sample_map(spark, n, n_perm, seed)
+    tables = None
+    for under, atoms in (("s1", ["unq_s1"]), ("s2", ["unq_s2"]), ("t", ["shd_s1_s2", "syn_s1_s2"])):
+        moved = permuted(rows, [under], maps, "sample", most).select("perm", "s1", "s2", "t")
+        each = F.array(*(F.struct(F.lit(a).alias("atom"), F.col(a).alias("s")) for a in atoms))
+        part = decompose_two(moved, ["perm"]).select("perm", F.explode(each).alias("e")).select("perm", "e.*")
+        tables = part if tables is None else tables.unionByName(part)
+    each = F.array(*(F.struct(F.lit(a).alias("atom"), F.col(a).alias("value")) for a in observed.columns))
+    met = tables.join(observed.select(F.explode(each).alias("e")).select("e.*"), "atom")
+    tested = met.groupBy("atom", "value").agg(p_value(F.col("value"), F.col("s")).alias("pval"))
+    return tested.withColumn("significant", F.col("pval") < alpha)

@@ -502,11 +502,52 @@ def _(spark, sf_dir):
     return pid.decompose_two(pid_rows(spark, sf_dir))
 
 
+@query("pid_network")
+def _(spark, sf_dir):
+    return pid.analyse_network(hourly_bins(spark, sf_dir), [2, 3, 4], [[0, 1], [0, 1], [2, 3]])
+
+
+@query("pid_against_surrogates")
+def _(spark, sf_dir):
+    return pid.against_surrogates(hourly_bins(spark, sf_dir), 2, [0, 1], PERMS, seed=SEED)
+
+
 @query("pid_three_sources")
 def _(spark, sf_dir):
     return pid.decompose(pid.sources_frame(hourly_bins(spark, sf_dir), 3, [0, 1, 2]), 3)
 
 
+@query(
+    "slice_surrogates",
+    f"""WITH {_DAILY}, {_map_sql('24', '24')}
+    SELECT m.perm, s.repl, m.i AS sample, round(s.value, 8) + 0.0 AS value FROM moved m JOIN series s ON s.sample = m.src AND s.proc = 1""",
+)
+def _(spark, sf_dir):
+    return permutation.slice_surrogates(views.daily_series(spark, sf_dir), 1, permutation.sample_map(spark, 24, PERMS, SEED))
+
+
+@query(
+    "swapped_replications",
+    f"""SELECT CAST(p AS INTEGER) AS perm, CAST(g AS INTEGER) AS group_id, CAST(i AS INTEGER) AS i,
+        CAST(CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', p, i)), 1, 8)) AS BIGINT) % 2 = 1 THEN 1 - g ELSE g END AS INTEGER) AS from_group, CAST(i AS INTEGER) AS src
+    FROM unnest(range(0, {PERMS})) a(p), unnest(range(0, 30)) b(i), unnest(range(0, 2)) c(g)""",
+)
+def _(spark, sf_dir):
+    return permutation.swapped_replications(spark, 30, PERMS, SEED, True)
+
+
+@query(
+    "gaussian_local_mi",
+    f"""WITH {_HOURLY}, q AS (SELECT a.sample, a.value AS x, b.value AS y FROM series a JOIN series b ON a.sample = b.sample AND a.proc = 0 AND b.proc = 1),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM q)
+    SELECT sample, round(-0.5 * ln(1 - c * c / (vx * vy)) - 0.5 * ((x - mx) * (x - mx) * vy - 2 * (x - mx) * (y - my) * c + (y - my) * (y - my) * vx) / (vx * vy - c * c)
+        + 0.5 * (x - mx) * (x - mx) / vx + 0.5 * (y - my) * (y - my) / vy, 8) + 0.0 AS local FROM q, m""",
+)
+def _(spark, sf_dir):
+    wide = lag_embed(hourly(spark, sf_dir), [(0, 0), (1, 0)], 0)
+    return gaussian.local_cmi(wide, ["v0_0"], ["v1_0"]).select("sample", "local")
+
+
 # ---- comparison and graphs ------------------------------------------------------------------
 
 _STEPS = f"""{_EVENTS},
