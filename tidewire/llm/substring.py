@@ -240,8 +240,11 @@ def remove_shared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return back.repartition(buckets, "bucket").mapInArrow(_gather, "doc_id long, found binary")
 
     shared = told(some.mapInArrow(_anchor_map(buckets, window), _ROW), False)
-    # the merge join brings documents in the order of their ids, so that a task that runs again makes the same batches
+    # Both joins deal out the same rows, so Spark shuffles the texts once for the two.  The merge join brings
+    # documents in the order of their ids, so that a task that runs again makes the same batches.
     near = some.hint("merge").join(shared, "doc_id")
     covered = told(near.select("doc_id", "text", "found").mapInArrow(_window_map(buckets, window), _ROW), True)
-    every = own.hint("merge").join(covered, "doc_id", "left")
-    return every.select("doc_id", "text", "found").mapInArrow(_final(window, with_text), "doc_id long, n_words long, n_removed long, kept string")
+    met = some.hint("merge").join(covered, "doc_id", "left").select("doc_id", "text", "found")
+    rest = own.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("binary").alias("found"))
+    kind = "doc_id long, n_words long, n_removed long, kept string"
+    return met.mapInArrow(_final(window, with_text), kind).unionByName(rest.mapInArrow(_final(window, with_text), kind))
