@@ -15,9 +15,21 @@ def _by(by: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in by]
 
 
-def _joined(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per-group facts next to their rows: groups are few, rows aren't dealt out for them."""
-    return df.join(facts, list(by)) if by else df.crossJoin(facts)
+#: Rows of per-group facts up to which they are broadcast.
+FEW_ROWS = 100_000
+
+
+def beside(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per-group facts next to their rows.
+
+    Groups (processes) are few against rows, and dealing rows out by them would leave
+    a few tasks with everything.  The facts are counted; up to FEW_ROWS they are
+    broadcast and the rows stay where they are, beyond that both sides are dealt out.
+    """
+    facts = facts.cache()
+    if not by:
+        return df.crossJoin(F.broadcast(facts))  # one row
+    return df.join(F.broadcast(facts) if facts.count() <= FEW_ROWS else facts, list(by))
 
 
 def standardise(df: DataFrame, by: Sequence[str] = ("proc",), value: str = "value", ddof: int = 1) -> DataFrame:
@@ -25,7 +37,7 @@ def standardise(df: DataFrame, by: Sequence[str] = ("proc",), value: str = "valu
     spread = F.stddev_samp(value) if ddof else F.stddev_pop(value)
     facts = df.groupBy(*by).agg(F.avg(value).alias("__mean"), spread.alias("__sd"))
     flat = F.coalesce(F.abs("__sd") < 1e-12, F.lit(True))
-    return _joined(df, facts, by).withColumn(value, F.when(flat, F.col(value) - F.col("__mean")).otherwise((F.col(value) - F.col("__mean")) / F.col("__sd"))).drop("__mean", "__sd")
+    return beside(df, facts, by).withColumn(value, F.when(flat, F.col(value) - F.col("__mean")).otherwise((F.col(value) - F.col("__mean")) / F.col("__sd"))).drop("__mean", "__sd")
 
 
 def equal_width(df: DataFrame, bins: int, by: Sequence[str] = ("proc",), value: str = "value") -> DataFrame:
@@ -33,26 +45,47 @@ def equal_width(df: DataFrame, bins: int, by: Sequence[str] = ("proc",), value:
     facts = df.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
     step = (F.col("__high") - F.col("__low")) / F.lit(float(bins))
     code = F.when(step == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("__low")) / step), F.lit(bins - 1)))
-    return _joined(df, facts, by).withColumn(value, code.cast("int")).drop("__low", "__high")
+    return beside(df, facts, by).withColumn(value, code.cast("int")).drop("__low", "__high")
+
+
+#: Approximate quantiles that cut a group into parts for exact ranks.
+SPLITS = 64
+
+
+def _below(value: str, cuts: str) -> Column:
+    """The number of ``cuts`` (an array) that lie below the value."""
+    return F.size(F.filter(cuts, lambda c: c < F.col(value)))
+
+
+def rank_values(df: DataFrame, ranks: Sequence[Column], by: Sequence[str], value: str) -> DataFrame:
+    """by, cuts: the values at the given ranks (from 1; expressions of the group's row count __n), sorted.
+
+    Approximate quantiles cut each group into parts whose rows are counted; only the
+    parts that hold a wanted rank are put in order.  No task sorts a whole group.
+    """
+    sketch = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(k / SPLITS) for k in range(1, SPLITS))), F.lit(10_000)).alias("__splits"), F.count("*").alias("__n"))
+    parted = beside(df.select(*by, value), sketch, by).select(*by, value, "__n", _below(value, "__splits").alias("__part"))
+    sizes = parted.groupBy(*by, "__part", "__n").agg(F.count("*").alias("__m"))
+    before = F.sum("__m").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__m")
+    wanted = sizes.withColumn("__before", before).select(*by, "__part", "__before", "__m", F.explode(F.array(*ranks)).alias("__rank")).where("__rank > __before and __rank <= __before + __m")
+    held = wanted.groupBy(*by, "__part", "__before").agg(F.collect_list("__rank").alias("__ranks"))
+    counts = beside(parted, held, [*by, "__part"]).groupBy(*by, "__part", "__before", "__ranks", value).agg(F.count("*").alias("__m"))
+    upto = F.col("__before") + F.sum("__m").over(Window.partitionBy(*by, "__part").orderBy(value))
+    reached = counts.withColumn("__upto", upto).select(*by, value, F.explode("__ranks").alias("__rank"), "__upto").where("__rank <= __upto")
+    cuts = reached.groupBy(*by, "__rank").agg(F.min(value).alias("__cut"))
+    return cuts.groupBy(*by).agg(F.sort_array(F.collect_list("__cut")).alias("cuts"))
 
 
 def max_entropy(df: DataFrame, bins: int, by: Sequence[str] = ("proc",), value: str = "value") -> DataFrame:
     """Bins of about equal counts; equal values share the lower bin.
 
-    Only counts of distinct values are ordered within a group; cutoff b is the value
-    at rank floor((b + 1) n / bins), and a value's bin is the number of cutoffs below it.
+    Cutoff b is the value at rank floor((b + 1) n / bins), and a value's bin is the
+    number of cutoffs below it.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    upto = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__n").over(Window.partitionBy(*by))
-    ranked = counts.withColumn("__upto", upto).withColumn("__total", total)
-    # the number of cutoff ranks that lie before the value's first row
-    before = F.col("__upto") - F.col("__n")
-    ranks = [F.floor(F.lit(b + 1) * F.col("__total") / F.lit(float(bins))) for b in range(bins - 1)]
-    code = reduce(lambda a, b: a + b, [F.when((r >= 1) & (r <= before), 1).otherwise(0) for r in ranks], F.lit(0))
-    table = ranked.select(*by, value, code.cast("int").alias("__bin"))
-    return df.join(table, [*by, value]).withColumn(value, F.col("__bin")).drop("__bin")
+    ranks = [F.floor(F.lit(b + 1) * F.col("__n") / F.lit(float(bins))) for b in range(bins - 1)]
+    found = rank_values(df, ranks, by, value).withColumnRenamed("cuts", "__cuts")
+    groups = df.select(*by).distinct().join(found, list(by), "left") if by else found
+    return beside(df, groups, by).withColumn(value, F.coalesce(_below(value, "__cuts"), F.lit(0)).cast("int")).drop("__cuts")
 
 
 def radix(columns: Sequence[Column | str], base: int) -> Column:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.scalar import uniform
+from tidewire.functions.scalar import beside, uniform
 from tidewire.functions.special import digamma
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
@@ -68,7 +68,7 @@ def symbols(spikes: DataFrame, e: Embedding, step: float = 0.005) -> DataFrame:
     counts = spikes.groupBy("proc").agg(F.max("t").alias("__last")).select("proc", F.floor((F.col("__last") - length) / step).cast("long").alias("n_windows")).where("n_windows > 0")
     first = F.greatest(F.floor((F.col("t") - length) / step) - 1, F.lit(0))
     last = F.least(F.floor(F.col("t") / step) + 1, F.col("n_windows") - 1)
-    dealt = spikes.join(counts, "proc").where(first <= last).select("proc", "n_windows", "t", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("k"))
+    dealt = beside(spikes, counts, ["proc"]).where(first <= last).select("proc", "n_windows", "t", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("k"))
     begin = F.col("k") * F.lit(step)
     inside = dealt.where((F.col("t") >= begin) & (F.col("t") < begin + length))
     place: Column = F.lit(e.bins)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.scalar import standardise
+from tidewire.functions.scalar import beside, standardise
 
 _NAMES = {"p": "proc", "s": "sample", "r": "repl"}
 COLUMNS = ("proc", "repl", "sample", "value")
@@ -85,4 +85,4 @@ class TimeSeries:
 def spike_trains(df: DataFrame) -> DataFrame:
     """proc, t: each process's spike times counted from its first."""
     first = df.groupBy("proc").agg(F.min("t").alias("__first"))
-    return df.join(first, "proc").select("proc", (F.col("t") - F.col("__first")).alias("t"))
+    return beside(df, first, ["proc"]).select("proc", (F.col("t") - F.col("__first")).alias("t"))
