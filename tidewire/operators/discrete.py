@@ -52,12 +52,17 @@ def pmf(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), name: s
 
 
 def pair_table(series: DataFrame, lags: Sequence[int] = (1,)) -> DataFrame:
-    """source, target, lag, and x (source past), y (target now), w (target past at lag 1): all ordered pairs of processes."""
-    now = series.select(F.col("proc").alias("target"), "repl", "sample", F.col("value").alias("y"))
-    own = series.select(F.col("proc").alias("target"), "repl", (F.col("sample") + 1).alias("sample"), F.col("value").alias("w"))
-    past = series.select(F.col("proc").alias("source"), "repl", F.explode(F.array(*map(F.lit, lags))).alias("lag"), F.col("sample"), F.col("value").alias("x"))
-    past = past.withColumn("sample", F.col("sample") + F.col("lag"))
-    return now.join(own, ["target", "repl", "sample"]).join(past, ["repl", "sample"]).where("source <> target")
+    """source, target, lag, and x (source past), y (target now), w (target past at lag 1): all ordered pairs of processes.
+
+    Values are dealt once to the time steps that use them; pairs are made from the
+    values that meet at a step, without a join.
+    """
+    dealt = series.select("proc", "repl", "sample", "value", F.explode(F.array(*(F.lit(k) for k in sorted({0, 1, *lags})))).alias("lag"))
+    steps = dealt.groupBy("repl", (F.col("sample") + F.col("lag")).alias("sample")).agg(F.collect_list(F.struct("proc", "lag", "value")).alias("all"))
+    now = steps.select("repl", "sample", "all", F.explode(F.filter("all", lambda e: e["lag"] == 0)).alias("y"))
+    own = now.withColumn("w", F.filter("all", lambda e: (e["proc"] == F.col("y.proc")) & (e["lag"] == 1))).where(F.size("w") > 0)
+    past = own.select("repl", "sample", "y", "w", F.explode(F.filter("all", lambda e: e["lag"].isin(list(lags)) & (e["proc"] != F.col("y.proc")))).alias("x"))
+    return past.select(F.col("x.proc").alias("source"), F.col("y.proc").alias("target"), F.col("x.lag").alias("lag"), "repl", "sample", F.col("x.value").alias("x"), F.col("y.value").alias("y"), F.col("w")[0]["value"].alias("w"))
 
 
 def te_pairs(series: DataFrame, lags: Sequence[int] = (1,)) -> DataFrame:
@@ -72,11 +77,11 @@ def mi_pairs(series: DataFrame, lags: Sequence[int] = (1,)) -> DataFrame:
 
 def history(series: DataFrame, length: int, tau: int = 1) -> DataFrame:
     """proc, repl, sample, y (now), and h1 ... the past values at lags tau, 2 tau, ..."""
-    out = series.select("proc", "repl", "sample", F.col("value").alias("y"))
-    for k in range(1, length + 1):
-        past = series.select("proc", "repl", (F.col("sample") + k * tau).alias("sample"), F.col("value").alias(f"h{k}"))
-        out = out.join(past, ["proc", "repl", "sample"])
-    return out
+    dealt = series.select("proc", "repl", "sample", "value", F.explode(F.array(*(F.lit(k * tau) for k in range(length + 1)))).alias("lag"))
+    rows = dealt.groupBy("proc", "repl", (F.col("sample") + F.col("lag")).alias("sample"))
+    names = ["y", *(f"h{k}" for k in range(1, length + 1))]
+    wide = rows.agg(*(F.max(F.when(F.col("lag") == k * tau, F.col("value"))).alias(n) for k, n in enumerate(names)))
+    return wide.dropna(subset=names)
 
 
 def ais(series: DataFrame, length: int, tau: int = 1) -> DataFrame:
