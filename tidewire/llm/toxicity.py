@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tidewire.llm.common import IS_SPACE, LOWER, pieces, texts
 from tidewire.llm.sampling import labelled_texts
 
-SAMPLE_PER_LABEL = 2_500
+SAMPLE_PER_LABEL = 1_500
 BUCKET_BITS = 22
 SIZES = (4, 5, 6)
 MOST_FEATURES = 30_000
