@@ -44,6 +44,20 @@ def test_coordinates_prune_safely():
         assert sorted(which[who == i]) == sorted(want) and sorted(score[who == i]) == sorted(s[want])
 
 
+def test_dominant_coordinates_prune_safely():
+    c = np.array([[58, 244]] * 5 + [[215, 0]])
+    who, which, score = topk.search_block(np.array([100]), np.array([[230, 100]]), np.arange(6), c, 5)
+    assert which[0] == 5 and score[0] == 49450
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        q = np.array([[1, 0, 0]]) * rng.choice([-1, 1], (3, 1)) + 0.4 * rng.normal(size=(3, 3))
+        near = q[rng.integers(0, 3, 40)] * rng.uniform(0.3, 1.2, (40, 1)) + rng.choice([0.05, 0.8], (40, 1)) * rng.normal(size=(40, 3))
+        q, c = np.floor(256 * q).astype(np.int64), np.floor(256 * near).astype(np.int64)
+        who, which, score = topk.search_block(np.arange(100, 103), q, np.arange(40), c, 5)
+        for i in range(3):
+            assert sorted(score[who == 100 + i]) == sorted(c @ q[i])[-5:]
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (5, None), (10, [float("nan"), 1.0]), (15, [float("inf"), 1.0]), (20, [None, 1.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [1.0]), (25, []), (30, [0.0, 0.0])]
     assert run(spark, rows) == brute(rows, 5, 5)

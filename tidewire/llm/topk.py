@@ -68,8 +68,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             unit_c = c[at:end] / np.maximum(lengths[at:end], 1e-300)[:, None]
             mid = unit_q[active, focus[active]]
             spread = np.sqrt((1 - cosine**2) * (1 - np.minimum(mid**2, 1)))
-            low = np.where(cosine <= 0, -2, mid * cosine - spread - 1e-9)
-            high = np.where(cosine <= 0, 2, mid * cosine + spread + 1e-9)
+            # where the query's own coordinate is beyond the threshold, all coordinates on that side can qualify
+            low = np.where((cosine <= 0) | (mid <= -cosine), -2, mid * cosine - spread - 1e-9)
+            high = np.where((cosine <= 0) | (mid >= cosine), 2, mid * cosine + spread + 1e-9)
             for f in np.unique(focus[active]):
                 own = np.flatnonzero(focus[active] == f)
                 x = unit_c[:, f]
