@@ -49,6 +49,22 @@ def test_pairs_rank(spark):
     assert abs(w[0]) > 5 * np.abs(w[1:]).max() and np.mean((x @ w >= t) == (y == 1)) > 0.9
 
 
+def test_quality_threshold_covers_all_labelled_rows(spark, documents, monkeypatch):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):  # labels that overlap, one in four 0
+        good = i % 4 > 0
+        odd = rng.randint(0, 12) if good else rng.randint(6, 20)
+        rows.append((i, " ".join(w + "$$$" * (k < odd) for k, w in enumerate(prose(30).split()))))
+        labels.append((i, int(good)))
+    docs, labels = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    for most in (10_000, 20):
+        monkeypatch.setattr(quality, "SORTED", most)
+        weights, threshold = quality.fit_quality(docs, labels, sample_per_label=40)
+        raw = quality.features([t.encode() for _, t in rows], quality.Hasher()) @ weights
+        assert abs(threshold - np.quantile(raw, 0.25, method="median_unbiased")) < 1e-9
+
+
 def test_toxicity(spark, documents, odd, empty):
     docs, labels = labelled(spark, documents, lambda bad: prose(80, ["nastyword"] * (3 * bad)), "toxic")
     model = toxicity.fit_toxicity(docs, labels.where(id_residue("doc_id", 5) != 0))

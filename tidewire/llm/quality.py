@@ -2,9 +2,10 @@
 
 Pairs of a document labelled 1 and one labelled 0 are preferences; the weights
 minimise the logistic loss of the differences of their features (Newton steps on
-the driver over a bounded sample of labelled rows).  The threshold is the quantile
-of the raw scores of the labelled sample at the share of label 0; scores are
-logistic in the raw score and equal ``cut`` at the threshold.
+the driver over a bounded sample of labelled rows).  The threshold is the exact
+quantile of the raw scores of all labelled rows at their share of label 0, found
+from counts over ever narrower ranges; scores are logistic in the raw score and
+equal ``cut`` at the threshold.
 
 Features are taken from whole texts, in numpy over a batch of texts: shares of
 classes of bytes, repeated words, word and line lengths.
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewire.llm.common import pieces, texts
+from tidewire.llm.common import pieces, texts, written
 from tidewire.llm.sampling import labelled_texts
 from tidewire.llm.words import Hasher, Words
 
 #: Labelled rows that are read into the fit, of each label.
 SAMPLE_PER_LABEL = 8_000
 PAIRS = 40_000
+#: Bins of a range of scores, and scores that are sorted on the driver.
+BINS, SORTED = 4_096, 10_000
 _KINDS = ["lower", "upper", "digit", "space", "line", "stop", "bang", "bar", "mark", "quote", "other", "high"]
 
 
@@ -84,7 +87,7 @@ def features(batch: list[bytes], hasher: Hasher) -> np.ndarray:
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int, l2: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights of the Bradley-Terry model, and the threshold of the raw scores."""
+    """Weights of the Bradley-Terry model, and the threshold of the raw scores of these rows."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     weights = np.zeros(x.shape[1])
     if not len(good) or not len(bad):
@@ -102,7 +105,6 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int, l2: float = 1e-3, seed:
             break
     weights = weights / scale
     raw = x @ weights
-    # the sample holds labels in other shares than the corpus: quantile over labels, each row weighted alike
     return weights, float(np.quantile(raw, len(bad) / len(y), method="median_unbiased"))
 
 
@@ -120,7 +122,51 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, N_FEATURES) if got.num_rows else np.zeros((0, N_FEATURES))
     y = np.asarray(got["label"])
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order in which tasks end
-    return fit_pairs(x[order], y[order], PAIRS)
+    weights, threshold = fit_pairs(x[order], y[order], PAIRS)
+    if np.isnan(threshold):
+        return weights, threshold
+    # the sample holds labels in other shares than the corpus, so all labelled rows decide on the threshold
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    raw = written(own.mapInArrow(_raw_scores(weights), StructType([own.schema["id"], StructField("raw", DoubleType())])).join(rows, "id").select("raw", "label"), "scores")
+    return weights, _threshold(raw)
+
+
+def _raw_scores(weights: np.ndarray) -> Callable:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(features(texts(part.column("text")), hasher) @ weights)], ["id", "raw"])
+
+    return score
+
+
+def _threshold(scores: DataFrame) -> float:
+    """The median-unbiased quantile of ``raw`` at the share of label 0."""
+    n, bad = scores.agg(F.count("*"), F.count_if(F.col("label") == 0)).first()
+    place = min(max((n + 1 / 3) * bad / n + 1 / 3, 1), n)
+    below = nth(scores, int(place))
+    above = nth(scores, min(int(place) + 1, n))
+    return below + (place - int(place)) * (above - below)
+
+
+def nth(scores: DataFrame, rank: int) -> float:
+    """The rank-th smallest (from 1) of the column ``raw``; a range is counted in bins until few values are left."""
+    rest, x = scores.select("raw"), F.col("raw")
+    while True:
+        n, low, high = rest.agg(F.count("*"), F.min("raw"), F.max("raw")).first()
+        if low == high:
+            return low
+        if n <= SORTED:
+            return float(np.sort(rest.toArrow()["raw"].to_numpy())[rank - 1])
+        place = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * BINS), F.lit(BINS - 1))
+        seen = sorted(tuple(r) for r in rest.groupBy(place.alias("place")).agg(F.count("*")).collect())
+        for b, many in seen:
+            if rank <= many:
+                rest = rest.where(place == b)
+                break
+            rank -= many
 
 
 def _scorer(weights: np.ndarray, threshold: float, cut: float, text_col: str, out_col: str) -> Callable:
