@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewire.llm import simhash
+from tidewire.llm import jaccard, simhash
 from tidewire.llm.components import components
 
 
@@ -109,3 +109,44 @@ def test_similar_documents_go_and_others_stay(documents):
     assert all(ids[0] in kept for ids in groups.values())
     twins = [ids[1] for ids in groups.values() if len(ids) > 1]
     assert sum(t not in kept for t in twins) >= 0.9 * len(twins)
+
+
+def shingles(text, k=5):
+    w = text.split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_dedup_equals_brute_force_around_the_limit(documents, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for g in range(60):
+        base = [f"v{rng.randint(0, 3_000)}" for _ in range(rng.choice([12, 60, 250, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(2 if g else 40):  # similarities from about 0.6 to 1, and one long list
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 20))):
+                w[rng.randrange(len(w))] = f"c{rng.randint(0, 9)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    below = 0
+    for a, b in combinations(range(len(texts)), 2):
+        shared = len(sets[a] & sets[b])
+        if 5 * shared >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+        else:
+            below += 10 * shared >= 7 * len(sets[a] | sets[b])
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert below > 20 and len(texts) - len(want) > 40
+    for short_list in (jaccard.SHORT_LIST, 3):
+        monkeypatch.setattr(jaccard, "SHORT_LIST", short_list)
+        got = {r["doc_id"] for r in simhash.near_dedup(documents(list(enumerate(texts)))).collect()}
+        assert got == want

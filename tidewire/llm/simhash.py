@@ -11,9 +11,8 @@ a search goes from node to node and compares each with the nodes not reached yet
 so that a group of n copies gives n - 1 links and never all pairs.  A very long
 list is first split by one further equal byte, which the tally guarantees.
 
-The wide form (256 bits, for similarities where most pairs differ in more bits)
-uses a fixed family of triples of 32 positions and finds a pair of the given
-similarity with high probability, not always; see the README for figures.
+Similarities where no shared byte is guaranteed (five words, 0.8) are joined on the
+shingles themselves, see ``jaccard``.
 
 Defined cases: texts with fewer words than a shingle have one shingle, the whole
 sequence; texts without words, and null texts, have fingerprint zero and are linked
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import LOWER, pieces, texts, written
 from tidewire.llm.components import components
+from tidewire.llm.jaccard import similar_components
 from tidewire.llm.words import Words, mix
 
 SEED = 42
@@ -53,9 +53,7 @@ class Near:
 
     @property
     def triples(self) -> list[tuple[int, int, int]]:
-        if self.parts == 1:
-            return turan_triples()
-        return [t for t in combinations(range(8 * self.parts), 3) if sum(t) % 41 == 0]
+        return turan_triples()
 
 
 def turan_triples() -> list[tuple[int, int, int]]:
@@ -76,8 +74,8 @@ def turan_triples() -> list[tuple[int, int, int]]:
 
 #: The contract: 4-word shingles, 64 bits, at most 4 of them different.
 EXACT = Near(shingle=4, parts=1, most_bits=4, least_bytes=4)
-#: Five words and a similarity of 0.8 or more: 256 bits, of which arccos(0.889) / pi, 39 in the mean, differ at 0.8.
-SIMILAR = Near(shingle=5, parts=4, most_bits=47, least_bytes=3)
+#: Words in a shingle where the Jaccard similarity of the shingles decides.
+SIMILAR = 5
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.int64)
 
@@ -228,8 +226,8 @@ def near_components(docs: DataFrame, near: Near = EXACT, **columns: str) -> Data
     return rows.join(classes, [f"n{p}" for p in parts], "left").select("doc_id", *parts, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, near: Near = SIMILAR, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the smallest id; rows without an id stay."""
-    found = near_components(docs, near, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
+def near_dedup(docs: DataFrame, shingle: int = SIMILAR, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of similar texts the smallest id; rows without an id stay."""
+    found = similar_components(docs, shingle, id_col=id_col, text_col=text_col)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")
