@@ -1,4 +1,5 @@
 import hashlib
+import os
 from collections import defaultdict
 
 import pytest
@@ -45,7 +46,9 @@ def test_rows_that_stay(odd, empty):
 
 def test_clashing_columns(documents):
     docs = documents([(1, "a", "en", "x", 5), (2, "a", "en", "y", 6)], ", digest string, keep_id int")
-    assert [r["doc_id"] for r in exact_dedup(docs).collect()] == [2]
+    assert [tuple(r) for r in exact_dedup(docs).collect()] == [(2, "a", "en", "src0", 1, "y", 6)]
+    docs = documents([(1, "a", "en", "x", 5), (2, "b", "en", "y", 6)], ", __tw_digest string, __tw_row int")
+    assert exact_dedup(docs).columns == docs.columns and exact_dedup(docs).count() == 2
     assert exact_groups(docs).count() == 2
 
 
@@ -55,7 +58,29 @@ def test_spilling_keeps_groups_whole(tmp_path):
     for k in range(3_000):
         content = f"text {k % 700}".encode() * 5
         d = digest(content)
-        rows.append((int.from_bytes(d[:8], "big"), content, d, k, 1))
+        rows.append((int.from_bytes(d[:8], "big"), content, d, k, 1, 1))
     got = [r for part in grace(rows, digest, str(tmp_path), 5_000) for r in part]
     assert len(got) == 700 and sum(r[4] for r in got) == 3_000 and not list(tmp_path.iterdir())
     assert all(r[3] >= 2_300 - 1 for r in got)
+
+
+def test_least_id_is_an_id(documents):
+    least = -(1 << 63)
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_groups(documents([(least, "a"), (None, "a"), (None, "b")])).collect()}
+    assert got == {(least, least, True), (None, least, False), (None, None, True)}
+    assert sorted((r["text"], r["doc_id"]) for r in exact_dedup(documents([(least, "a"), (None, "a"), (None, "b"), (None, "b")])).collect()) == [("a", least), ("b", None)]
+
+
+@pytest.mark.parametrize("digest", ["sha256", "crc32"])
+def test_rows_alike_but_for_other_columns(documents, digest):
+    docs = documents([(2, "plumless", "en", "z"), (2, "plumless", "en", "y"), (1, "plumless", "en", "a"), (3, "buckeroo", "en", None)], ", extra string")
+    for rows in (docs, docs.orderBy("extra"), docs.repartition(5)):
+        assert sorted((r["doc_id"], r["extra"]) for r in exact_dedup(rows, digest=digest).collect()) == [(2, "y"), (3, None)]
+
+
+def test_spilling_leaves_no_files_open(tmp_path):
+    digest = lambda b: hashlib.sha256(b).digest()
+    before = len(os.listdir("/proc/self/fd"))
+    rows = ((int.from_bytes((d := digest(b"%d" % k))[:8], "big"), b"%d" % k, d, k, 1, 1) for k in range(5_000))
+    assert sum(len(part) for part in grace(rows, digest, str(tmp_path), 20_000)) == 5_000
+    assert len(os.listdir("/proc/self/fd")) == before

@@ -10,9 +10,13 @@ can split.  Should two different texts share a digest, their rows meet by digest
 and whole text.
 
 Defined cases: null text counts as empty; empty texts are equal to one another;
-the row with the largest ``doc_id`` stays, a null id counting as smallest (a
-group of null ids only keeps all its rows, which nothing tells apart); rows that
-repeat an id and a text get the same answer; other columns are ignored.
+the row with the largest ``doc_id`` stays, a null id counting as smaller than any
+other (``exact_groups`` marks all rows of a group of null ids as kept, which their
+ids don't tell apart); rows that repeat an id and a text get the same answer.  Of
+rows that share the id and the text that stay, ``exact_dedup`` keeps the one whose
+other columns, as JSON, sort first.  An empty table gives no rows; other columns are
+ignored by ``exact_groups`` and handed through, whatever their names, by
+``exact_dedup``.
 """
 
 from __future__ import annotations
@@ -34,8 +38,7 @@ from tidewire.llm.common import texts, written
 #: Bytes of distinct content that a table may hold before it is handed on or spilled.
 TABLE_BYTES = 96 << 20
 _FANOUT_BITS = 4
-_NO_ID = -(1 << 63)
-_HEAD = "<Qqqi"
+_HEAD = "<Q?qqqi"
 
 _DIGESTS: dict[str, tuple[Callable[[bytes], bytes], Callable]] = {
     "sha256": (lambda b: hashlib.sha256(b).digest(), lambda c: F.unhex(F.sha2(c, 256))),
@@ -49,21 +52,24 @@ class ContentTable:
 
     def __init__(self) -> None:
         self.slots = [-1] * 1024
-        self.rows: list[list] = []  # hash, content, digest, largest id, count
+        self.rows: list[list] = []  # hash, content, digest, largest id (None: no row has one), count, count of the largest id
         self.bytes = 0
 
-    def add(self, h: int, content: bytes, digest: bytes, top: int, count: int) -> None:
+    def add(self, h: int, content: bytes, digest: bytes, top: int | None, count: int, tops: int) -> None:
         mask = len(self.slots) - 1
         at = h & mask
         while (k := self.slots[at]) >= 0:
             row = self.rows[k]
             if row[0] == h and row[1] == content:
-                row[3] = max(row[3], top)
                 row[4] += count
+                if row[3] == top:
+                    row[5] += tops
+                elif row[3] is None or (top is not None and top > row[3]):
+                    row[3], row[5] = top, tops
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.rows)
-        self.rows.append([h, content, digest, top, count])
+        self.rows.append([h, content, digest, top, count, tops])
         self.bytes += len(content) + 160
         if 2 * len(self.rows) > len(self.slots):
             self._grow()
@@ -86,14 +92,14 @@ class ContentTable:
 def _read(path: str, digest: Callable[[bytes], bytes]) -> Iterator[tuple]:
     with open(path, "rb") as f:
         while head := f.read(struct.calcsize(_HEAD)):
-            h, top, count, n = struct.unpack(_HEAD, head)
+            h, known, top, count, tops, n = struct.unpack(_HEAD, head)
             content = f.read(n)
-            yield h, content, digest(content), top, count
+            yield h, content, digest(content), top if known else None, count, tops
     os.unlink(path)
 
 
 def grace(rows: Iterable[tuple], digest: Callable[[bytes], bytes], folder: str, most: int, level: int = 0) -> Iterator[list[list]]:
-    """Fold ``rows`` (hash, content, digest, top id, count); yields lists of folded rows.
+    """Fold ``rows`` (hash, content, digest, top id, count, count of the top id); yields lists of folded rows.
 
     All rows of one hash come in one list.  Buckets are cut by the hash's high bits,
     four per level; when the 64 bits are used up, equal hashes are folded in memory.
@@ -103,14 +109,14 @@ def grace(rows: Iterable[tuple], digest: Callable[[bytes], bytes], folder: str,
     def spill() -> None:
         for row in held.drain():
             f = files[row[0] >> (64 - _FANOUT_BITS * (level + 1)) & (1 << _FANOUT_BITS) - 1]
-            f.write(struct.pack(_HEAD, row[0], row[3], row[4], len(row[1])) + row[1])
+            f.write(struct.pack(_HEAD, row[0], row[3] is not None, row[3] or 0, row[4], row[5], len(row[1])) + row[1])
 
     for row in rows:
         held.add(*row)
         if held.bytes > most and _FANOUT_BITS * (level + 1) <= 64:
             if files is None:
-                paths = [tempfile.mkstemp(dir=folder)[1] for _ in range(1 << _FANOUT_BITS)]
-                files = [open(p, "wb") for p in paths]
+                made = [tempfile.mkstemp(dir=folder) for _ in range(1 << _FANOUT_BITS)]
+                files, paths = [os.fdopen(fd, "wb") for fd, _ in made], [path for _, path in made]
             spill()
     if files is None:
         yield held.drain()
@@ -122,8 +128,8 @@ def grace(rows: Iterable[tuple], digest: Callable[[bytes], bytes], folder: str,
         yield from grace(_read(path, digest), digest, folder, most, level + 1)
 
 
-_FOLDED = "digest binary, content binary, top long, n long"
-_CLASSES = "digest binary, class_content binary, keep_id long, group_size long, n_classes int"
+_FOLDED = "digest binary, content binary, top long, n long, tops long"
+_CLASSES = "digest binary, class_content binary, keep_id long, group_size long, keep_rows long, n_classes int"
 
 
 def _folder(digest_name: str, most: int) -> Callable:
@@ -135,14 +141,14 @@ def _folder(digest_name: str, most: int) -> Callable:
         def out() -> pa.RecordBatch:
             rows = held.drain()
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[2] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],
-                ["digest", "content", "top", "n"],
+                [pa.array([r[2] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4, 5))],
+                ["digest", "content", "top", "n", "tops"],
             )
 
         for batch in batches:
             for top, content in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 d = digest(content)
-                held.add(int.from_bytes(d[:8], "big"), content, d, _NO_ID if top is None else top, 1)
+                held.add(int.from_bytes(d[:8], "big"), content, d, top, 1, 1)
                 if held.bytes > most:
                     yield out()
         if held.rows:
@@ -156,8 +162,8 @@ def _reducer(digest_name: str, most: int) -> Callable:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for d, content, top, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield int.from_bytes(d[:8], "big"), content, d, top, n
+            for d, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield int.from_bytes(d[:8], "big"), rest[0], d, *rest[1:]
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
@@ -169,16 +175,20 @@ def _reducer(digest_name: str, most: int) -> Callable:
                         [
                             pa.array([r[2] for r in part], pa.binary()),
                             pa.array([r[1] if classes[r[2]] > 1 else None for r in part], pa.binary()),
-                            pa.array([None if r[3] == _NO_ID else r[3] for r in part], pa.int64()),
-                            pa.array([r[4] for r in part], pa.int64()),
+                            *(pa.array([r[k] for r in part], pa.int64()) for k in (3, 4, 5)),
                             pa.array([classes[r[2]] for r in part], pa.int32()),
                         ],
-                        ["digest", "class_content", "keep_id", "group_size", "n_classes"],
+                        ["digest", "class_content", "keep_id", "group_size", "keep_rows", "n_classes"],
                     )
 
     return reduce
 
 
+def _classes(own: DataFrame, digest: str, table_bytes: int) -> DataFrame:
+    """One row per distinct text of ``own`` (id, text), written."""
+    return written(own.mapInArrow(_folder(digest, table_bytes), _FOLDED).repartition("digest").mapInArrow(_reducer(digest, table_bytes), _CLASSES), "exact-classes")
+
+
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: str = "sha256", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest (binary).
 
@@ -186,8 +196,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = _DIGESTS[digest][1]
-    classes = own.mapInArrow(_folder(digest, table_bytes), _FOLDED).repartition("digest").mapInArrow(_reducer(digest, table_bytes), _CLASSES)
-    classes = written(classes, "exact-classes")
+    classes = _classes(own, digest, table_bytes).drop("keep_rows")
     whole = own.select("doc_id", key(F.col("text").cast("binary")).alias("digest"))
     met = whole.join(classes.where("n_classes = 1").drop("class_content", "n_classes"), "digest")
     shared = classes.where("n_classes > 1")
@@ -197,13 +206,25 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return met.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def exact_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a repeated row stays once."""
-    id_col = options.get("id_col", "doc_id")
-    groups = exact_groups(docs, **options)
-    stay = groups.where("kept").select(F.col("doc_id").alias(id_col), F.col("digest").alias("__tw_digest")).distinct()
-    key = _DIGESTS[options.get("digest", "sha256")][1]
-    text = F.coalesce(F.col(options.get("text_col", "text")), F.lit("")).cast("binary")
-    with_digest = docs.withColumn("__tw_digest", key(text))
-    joined = with_digest.alias("d").join(stay.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"s.{id_col}")) & (F.col("d.__tw_digest") == F.col("s.__tw_digest")), "left_semi")
-    return joined.dropDuplicates([id_col, "__tw_digest"]).drop("__tw_digest")
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: str = "sha256", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; one row of each group.
+
+    Rows meet their class in one join; only rows that repeat the id and the text that
+    stay are dealt out once more.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    classes = _classes(own, digest, table_bytes).select(*(F.col(c).alias(f"__tw_{c}") for c in ("digest", "class_content", "keep_id", "keep_rows", "n_classes")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__tw_row"), _DIGESTS[digest][1](F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("__tw_digest"))
+    of = F.col("__tw_row").getField
+    content = F.coalesce(of(text_col), F.lit("")).cast("binary")
+    meets = F.col("__tw_n_classes") == 1
+    if not classes.where(~meets).isEmpty():
+        meets = meets | (content == F.col("__tw_class_content"))
+    met = rows.join(classes, "__tw_digest").where(meets & of(id_col).cast("long").eqNullSafe(F.col("__tw_keep_id")))
+    once = met.where("__tw_keep_rows = 1").select("__tw_row")
+    if not classes.where("__tw_keep_rows > 1").isEmpty():
+        others = [of(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+        first = F.min_by("__tw_row", F.to_json(F.struct(*others)) if others else F.lit(0))
+        many = met.where("__tw_keep_rows > 1").groupBy("__tw_digest", F.col("__tw_class_content")).agg(first.alias("__tw_row"))
+        once = once.unionByName(many.select("__tw_row"))
+    return once.select("__tw_row.*")
