@@ -6,15 +6,18 @@ residues are in D.  So if two documents share ``window`` words, they share an
 aligned run of ``window - v + 1`` words, an anchor, and only anchors at cover
 positions are hashed: 6 of 31 positions.
 
-1. Anchors that occur in more than one document are found from hashes alone.
+1. Anchors that occur in more than one document are found from 64-bit hashes alone;
+   anchors that only collide cost time and decide nothing.
 2. Matches are extended from them: a window can be shared only if an anchor in it
-   is, so only such windows are hashed, and the smallest document of each is found.
+   is, so only such windows are looked at, and the smallest document of each is
+   found.  Windows are equal when 128 bits of the sha256 of their words are, which no
+   two different word sequences are known to share.
 3. Words covered by a window that a smaller document has are removed.
 
-Hashes go to their bucket packed, a document's together, and what is equal inside a
+Keys go to their bucket packed, a document's together, and what is equal inside a
 batch is settled there: one report for the batch goes out, however many documents
 share a passage, so a passage that much of the corpus has isn't one task's work.
-Answers come back by hash, and the text's own hashes are looked up in them.
+Answers come back by key, and the text's own keys are looked up in them.
 
 Defined cases: null texts have no words; texts shorter than a window keep all
 words; windows repeated only inside one document stay; rows without an id neither
@@ -39,56 +42,72 @@ WINDOW = 50
 PERIOD = 31
 #: A perfect difference set modulo 31.
 COVER = (1, 5, 11, 24, 25, 27)
+#: Bytes of text per bucket: a bucket's keys are held by one task, so their number follows the input.
+BUCKET_BYTES = 16 << 20
 _REPORT, _ANSWER = 0, 1
 _ROW = "bucket int, kind int, payload binary"
 
 
-def _pack(docs: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Documents (sorted) with their hashes: count, ids, how many each, hashes."""
+def _pack(docs: np.ndarray, keys: np.ndarray) -> bytes:
+    """Documents (sorted) with their keys (a row of lanes each): counts of ids and lanes, ids, how many each, keys."""
     ids, first = np.unique(docs, return_index=True)
     each = np.diff([*first, len(docs)])
-    return np.array([len(ids)], "<i8").tobytes() + ids.astype("<i8").tobytes() + each.astype("<i8").tobytes() + hashes.astype("<u8").tobytes()
+    return np.array([len(ids), keys.shape[1]], "<i8").tobytes() + ids.astype("<i8").tobytes() + each.astype("<i8").tobytes() + keys.astype("<u8").tobytes()
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(payload, "<i8", 1)[0])
-    ids = np.frombuffer(payload, "<i8", n, 8)
-    each = np.frombuffer(payload, "<i8", n, 8 + 8 * n)
-    return np.repeat(ids, each), np.frombuffer(payload, "<u8", -1, 8 + 16 * n)
+    n, lanes = np.frombuffer(payload, "<i8", 2).tolist()
+    ids = np.frombuffer(payload, "<i8", n, 16)
+    each = np.frombuffer(payload, "<i8", n, 16 + 8 * n)
+    return np.repeat(ids, each), np.frombuffer(payload, "<u8", -1, 16 + 16 * n).reshape(-1, lanes)
 
 
-def _once(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (hash, document) in that order."""
-    order = np.lexsort((docs, hashes))
-    docs, hashes = docs[order], hashes[order]
-    new = np.ones(len(docs), dtype=bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
-    return docs[new], hashes[new]
+def _changes(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys, whether each differs from the one before."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    return new
+
+
+def _once(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, document) in that order."""
+    order = np.lexsort((docs, *keys.T[::-1]))
+    docs, keys = docs[order], keys[order]
+    new = _changes(keys)
+    new[1:] |= docs[1:] != docs[:-1]
+    return docs[new], keys[new]
 
 
-def _split(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted hashes, the first place and the length of each run."""
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, dtype=np.int64)
-    return first, np.diff([*first, len(hashes)])
+def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys, the first place and the length of each run."""
+    first = np.flatnonzero(_changes(keys if keys.ndim == 2 else keys[:, None]))
+    return first, np.diff([*first, len(keys)])
 
 
-def _sent(docs: np.ndarray, hashes: np.ndarray, settled: np.ndarray, report: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
-    """Reports to the bucket of their hash, and what the batch has settled to a bucket in turn."""
+def _sent(docs: np.ndarray, keys: np.ndarray, settled: np.ndarray, report: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
+    """Reports to the bucket of their key, and what the batch has settled to a bucket in turn."""
     rows = []
-    d, h = docs[report], hashes[report]
-    b = (h >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((h, d, b))
+    d, h = docs[report], keys[report]
+    b = (h[:, 0] >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((*h.T[::-1], d, b))
     d, h, b = d[order], h[order], b[order]
     first, count = _split(b)
     for a, n in zip(first.tolist(), count.tolist(), strict=True):
         rows.append((int(b[a]), _REPORT, _pack(d[a : a + n], h[a : a + n])))
     if settled.any():
-        d, h = docs[settled], hashes[settled]
-        order = np.lexsort((h, d))
+        d, h = docs[settled], keys[settled]
+        order = np.lexsort((*h.T[::-1], d))
         rows.append((turn % buckets, _ANSWER, _pack(d[order], h[order])))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
 
 
+def window_keys(w: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of the sha256 of the words (joined by one space) of the window from each word of ``at`` on."""
+    data, sha256 = memoryview(w.data), hashlib.sha256
+    spans = zip(w.starts[at].tolist(), w.ends[at + window - 1].tolist(), strict=True)
+    return np.frombuffer(b"".join([sha256(data[a:b]).digest()[:16] for a, b in spans]), "<u8").reshape(-1, 2)
+
+
 def cover_positions(w: Words) -> np.ndarray:
     """Words at which an anchor begins: the residue of the place in its text is in the cover."""
     place = np.arange(len(w)) - w.first[w.doc]
@@ -108,7 +127,7 @@ def _anchor_map(buckets: int, window: int) -> Callable:
             for part in pieces(batch, "text"):
                 w = Words(texts(part.column("text")), hasher)
                 at, h = _anchors(w, window - PERIOD + 1)
-                docs, h = _once(part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]], h)
+                docs, h = _once(part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]], h[:, None])
                 first, count = _split(h)
                 many = np.repeat(count > 1, count)
                 ends = np.zeros(len(h), dtype=bool)  # of what many documents share, the first and last document speak for all
@@ -141,7 +160,7 @@ def _window_map(buckets: int, window: int) -> Callable:
                 s = np.arange(len(w))
                 s = s[w.within(s, window)]
                 s = s[known[s + PERIOD] > known[s]]
-                docs, h = _once(ids[w.doc[s]], w.hashes(s, window))
+                docs, h = _once(ids[w.doc[s]], window_keys(w, s, window))
                 first, count = _split(h)
                 least = np.zeros(len(h), dtype=bool)
                 least[first] = True
@@ -155,11 +174,11 @@ def _place(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _reduce(smaller_only: bool, buckets: int) -> Callable:
-    """Per hash, answer the documents that share it (or that a smaller document has it), packed by their place."""
+def _reduce(smaller_only: bool, lanes: int, buckets: int) -> Callable:
+    """Per key, answer the documents that share it (or that a smaller document has it), packed by their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {kind: ([np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]) for kind in (_REPORT, _ANSWER)}
+        held = {kind: ([np.zeros(0, dtype=np.int64)], [np.zeros((0, lanes), dtype=np.uint64)]) for kind in (_REPORT, _ANSWER)}
         for batch in batches:
             for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 docs, hashes = _unpack(payload)
@@ -175,7 +194,7 @@ def _reduce(smaller_only: bool, buckets: int) -> Callable:
         if not len(docs):
             return
         place = _place(docs, buckets)
-        order = np.lexsort((hashes, docs, place))
+        order = np.lexsort((*hashes.T[::-1], docs, place))
         place, docs, hashes = place[order], docs[order], hashes[order]
         for a, n in zip(*(x.tolist() for x in _split(place)), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([int(place[a])], pa.int32()), pa.array([_pack(docs[a : a + n], hashes[a : a + n])], pa.binary())], ["bucket", "payload"])
@@ -209,7 +228,9 @@ def _final(window: int, with_text: bool) -> Callable:
                     keep = None
                     if found:
                         s = np.arange(a, max(a, b - window + 1))
-                        hit = s[np.isin(w.hashes(s, window), np.frombuffer(found, "<u8"))] - a
+                        known = {found[k : k + 16] for k in range(0, len(found), 16)}
+                        raw = window_keys(w, s, window).tobytes()
+                        hit = s[np.fromiter((raw[k : k + 16] in known for k in range(0, len(raw), 16)), bool, len(s))] - a
                         delta = np.zeros(b - a + 1, dtype=np.int64)
                         np.add.at(delta, hit, 1)
                         np.add.at(delta, hit + window, -1)
@@ -230,20 +251,21 @@ def remove_shared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     some = own.where("doc_id is not null and text is not null")
+    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
-    def told(sent: DataFrame, smaller_only: bool) -> DataFrame:
-        """doc_id, found: the hashes that are told to a document."""
-        back = sent.repartition(buckets, "bucket").mapInArrow(_reduce(smaller_only, buckets), "bucket int, payload binary")
+    def told(sent: DataFrame, smaller_only: bool, lanes: int) -> DataFrame:
+        """doc_id, found: the keys that are told to a document."""
+        back = sent.repartition(buckets, "bucket").mapInArrow(_reduce(smaller_only, lanes, buckets), "bucket int, payload binary")
         return back.repartition(buckets, "bucket").mapInArrow(_gather, "doc_id long, found binary")
 
-    shared = told(some.mapInArrow(_anchor_map(buckets, window), _ROW), False)
+    shared = told(some.mapInArrow(_anchor_map(buckets, window), _ROW), False, 1)
     # Both joins deal out the same rows, so Spark shuffles the texts once for the two.  The merge join brings
     # documents in the order of their ids, so that a task that runs again makes the same batches.
     near = some.hint("merge").join(shared, "doc_id")
-    covered = told(near.select("doc_id", "text", "found").mapInArrow(_window_map(buckets, window), _ROW), True)
+    covered = told(near.select("doc_id", "text", "found").mapInArrow(_window_map(buckets, window), _ROW), True, 2)
     met = some.hint("merge").join(covered, "doc_id", "left").select("doc_id", "text", "found")
     rest = own.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("binary").alias("found"))
     kind = "doc_id long, n_words long, n_removed long, kept string"
