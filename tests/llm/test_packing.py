@@ -76,3 +76,31 @@ def test_plan_covers_all_ranks(seed):
             assert offset == at
             at += n
         assert at <= 64
+
+
+def best_fit(lengths, capacity):
+    """Sequences that best-fit decreasing takes, one document at a time."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fit = [r for r in room if r >= n]
+        if fit:
+            room.remove(min(fit))
+            room.append(min(fit) - n)
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plan_takes_as_many_sequences_as_best_fit_over_documents(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 64): rng.randint(1, 60) for _ in range(rng.randint(1, 30))}
+    planned = 1 + max(seq + end - first - 1 for _, first, end, seq, _ in packing.plan(counts, 64))
+    assert planned == best_fit([n for n, many in counts.items() for _ in range(many)], 64)
+
+
+def test_many_buckets_repeated_rows_and_clashing_columns(documents, tokenizer):
+    rows = [(1, "same words here", "en", 7, "x")] * 40 + [(None, "other", "en", 8, "y")] * 3
+    docs = documents(rows, ", length int, bucket string")
+    got = packing.pack(docs, capacity=16, bucket_pieces=4).collect()
+    assert check(got, [r[1] for r in rows], tokenizer, 16) and len(got) == 43

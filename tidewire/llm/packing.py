@@ -4,12 +4,13 @@ Texts are tokenised once, cut into pieces of at most the capacity, and the piece
 lengths counted.  The plan is best-fit decreasing over those counts: it is made of
 runs of sequences that are filled alike, so its size depends on the capacity and
 not on the corpus.  A piece's rank within its length (a bucket's offset and the
-place in the bucket, so that a frequent length is spread over many tasks) leads it
-to its planned slot.
+place in the bucket) leads it to its planned slot.  A length has as many buckets as
+its count asks for, so that a frequent length is spread over many tasks of one size
+however large the corpus is, and the offsets are one row per bucket.
 
 Defined cases: null texts count as empty; an empty text is its end token alone;
-rows that repeat an id or a text are packed each on its own; an empty table gives
-no rows; other columns are ignored.
+rows that repeat an id or a text, and rows without an id, are packed each on their
+own; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from tidewire.llm.common import written
 CAPACITY = 1_024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Buckets of a length for ranks; the offsets are at most capacity x RANK_BUCKETS rows.
-RANK_BUCKETS = 256
+#: Pieces of one length that are ranked together, and rows of offsets that are small enough to send to every task.
+BUCKET_PIECES = 1 << 16
+SMALL_ROWS = 1 << 20
 #: UTF-8 lead bytes from here on begin characters from U+0580 on.
 _RARE_FROM = 0xD6
 
@@ -71,16 +73,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenise(path: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode, turn = Encoder(path), 0
         for batch in batches:
             for part in parts(batch, "text"):
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = np.array([*encode(text or ""), end_id], dtype="<u4")
+                    turn += 1
                     for k, (at, n) in enumerate(cut(len(ids), capacity)):
-                        rows.append((doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
-                own = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes()), turn))
+                own = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
     return run
 
@@ -120,22 +123,26 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, and turn, a number that repeated rows differ in."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    return own.mapInArrow(_tokenise(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return own.mapInArrow(_tokenise(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, bucket_pieces: int = BUCKET_PIECES, **options) -> DataFrame:
     """Pieces with sequence_id and offset."""
     spark = docs.sparkSession
-    found = written(tokenised(docs, capacity=capacity, **options), "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
-    by_bucket = found.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    found = written(tokenised(docs, capacity=capacity, **options), "pieces")
     counts = {r[0]: r[1] for r in found.groupBy("length").agg(F.count("*")).collect()}  # at most ``capacity`` rows
     slots = spark.createDataFrame(plan(counts, capacity), "slot_length long, first_rank long, end_rank long, first_sequence long, offset long")
-    place = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = found.withColumn("place", F.row_number().over(place) - 1).join(F.broadcast(offsets), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("place"))
+    buckets = {n: -(-many // bucket_pieces) for n, many in counts.items()}
+    of_length = F.split(F.lit(",".join(str(buckets.get(n, 1)) for n in range(capacity + 1))), ",").cast("array<long>")[F.col("length").cast("int")]
+    found = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "turn"), of_length))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = found.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sum(buckets.values()) <= SMALL_ROWS:
+        offsets = F.broadcast(offsets)
+    place = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "turn")
+    ranked = found.withColumn("place", F.row_number().over(place) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("place"))
     met = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
     return met.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
