@@ -77,3 +77,9 @@ def test_windows_of_one_polynomial_hash_are_told_apart(documents):
     rows = [(1 + flip, " ".join([word(bit(k) ^ flip) for k in range(16)] + rest)) for flip in (0, 1)]
     assert run(documents(rows)) == brute(rows, 50)
     assert [r["n_removed"] for r in remove_shared(documents(rows)).orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_rows_that_share_an_id_and_repeat_passages(documents):
+    p, q = [f"p{k}" for k in range(60)], [f"q{k}" for k in range(55)]
+    rows = [(1, " ".join(p)), (5, " ".join(["x", *p, "y", *p, "z"])), (5, " ".join(q + p)), (5, " ".join(q)), (7, " ".join(q)), (7, " ".join(q))]
+    assert run(documents(rows)) == brute(rows, 50)

@@ -17,7 +17,8 @@ positions are hashed: 6 of 31 positions.
 Keys go to their bucket packed, a document's together, and what is equal inside a
 batch is settled there: one report for the batch goes out, however many documents
 share a passage, so a passage that much of the corpus has isn't one task's work.
-Answers come back by key, and the text's own keys are looked up in them.
+Answers about anchors come back by hash, those about windows as runs of words, with a
+tag of the text where rows share an id.
 
 Defined cases: null texts have no words; texts shorter than a window keep all
 words; windows repeated only inside one document stay; rows without an id neither
@@ -29,9 +30,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,62 +48,103 @@ COVER = (1, 5, 11, 24, 25, 27)
 #: Bytes of text per bucket: a bucket's keys are held by one task, so their number follows the input.
 BUCKET_BYTES = 16 << 20
 _REPORT, _ANSWER = 0, 1
+_RUN = np.dtype([("tag", "<u8"), ("at", "<u4"), ("many", "<u4")])
 _ROW = "bucket int, kind int, payload binary"
 
 
-def _pack(docs: np.ndarray, keys: np.ndarray) -> bytes:
-    """Documents (sorted) with their keys (a row of lanes each): counts of ids and lanes, ids, how many each, keys."""
+def _pack(docs: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Documents (sorted) with their hashes: count, ids, how many each, hashes."""
     ids, first = np.unique(docs, return_index=True)
     each = np.diff([*first, len(docs)])
-    return np.array([len(ids), keys.shape[1]], "<i8").tobytes() + ids.astype("<i8").tobytes() + each.astype("<i8").tobytes() + keys.astype("<u8").tobytes()
+    return np.array([len(ids)], "<i8").tobytes() + ids.astype("<i8").tobytes() + each.astype("<i8").tobytes() + hashes.astype("<u8").tobytes()
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, lanes = np.frombuffer(payload, "<i8", 2).tolist()
-    ids = np.frombuffer(payload, "<i8", n, 16)
-    each = np.frombuffer(payload, "<i8", n, 16 + 8 * n)
-    return np.repeat(ids, each), np.frombuffer(payload, "<u8", -1, 16 + 16 * n).reshape(-1, lanes)
+    n = int(np.frombuffer(payload, "<i8", 1)[0])
+    ids = np.frombuffer(payload, "<i8", n, 8)
+    each = np.frombuffer(payload, "<i8", n, 8 + 8 * n)
+    return np.repeat(ids, each), np.frombuffer(payload, "<u8", -1, 8 + 16 * n)
 
 
-def _changes(keys: np.ndarray) -> np.ndarray:
-    """Of sorted keys, whether each differs from the one before."""
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-    return new
-
-
-def _once(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (key, document) in that order."""
-    order = np.lexsort((docs, *keys.T[::-1]))
-    docs, keys = docs[order], keys[order]
-    new = _changes(keys)
-    new[1:] |= docs[1:] != docs[:-1]
-    return docs[new], keys[new]
+def _once(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, document) in that order."""
+    order = np.lexsort((docs, hashes))
+    docs, hashes = docs[order], hashes[order]
+    new = np.ones(len(docs), dtype=bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
+    return docs[new], hashes[new]
 
 
-def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted keys, the first place and the length of each run."""
-    first = np.flatnonzero(_changes(keys if keys.ndim == 2 else keys[:, None]))
-    return first, np.diff([*first, len(keys)])
+def _split(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes, the first place and the length of each run."""
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, dtype=np.int64)
+    return first, np.diff([*first, len(hashes)])
 
 
-def _sent(docs: np.ndarray, keys: np.ndarray, settled: np.ndarray, report: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
-    """Reports to the bucket of their key, and what the batch has settled to a bucket in turn."""
+def _sent(docs: np.ndarray, hashes: np.ndarray, settled: np.ndarray, report: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
+    """Reports to the bucket of their hash, and what the batch has settled to a bucket in turn."""
     rows = []
-    d, h = docs[report], keys[report]
-    b = (h[:, 0] >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((*h.T[::-1], d, b))
+    d, h = docs[report], hashes[report]
+    b = (h >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((h, d, b))
     d, h, b = d[order], h[order], b[order]
     first, count = _split(b)
     for a, n in zip(first.tolist(), count.tolist(), strict=True):
         rows.append((int(b[a]), _REPORT, _pack(d[a : a + n], h[a : a + n])))
     if settled.any():
-        d, h = docs[settled], keys[settled]
-        order = np.lexsort((*h.T[::-1], d))
+        d, h = docs[settled], hashes[settled]
+        order = np.lexsort((h, d))
         rows.append((turn % buckets, _ANSWER, _pack(d[order], h[order])))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
 
 
+@dataclass
+class Windows:
+    """Windows by document, tag of its text and first word; ``keys`` (two lanes each) are left out where they have served."""
+
+    docs: np.ndarray
+    tags: np.ndarray
+    at: np.ndarray
+    keys: np.ndarray | None
+
+    def __getitem__(self, which: np.ndarray) -> Windows:
+        return Windows(self.docs[which], self.tags[which], self.at[which], None if self.keys is None else self.keys[which])
+
+    def pack(self) -> bytes:
+        """Sorted by document and tag: counts of groups and lanes, then ids, tags and sizes of groups, first words, keys."""
+        new = np.ones(len(self.docs), dtype=bool)
+        new[1:] = (self.docs[1:] != self.docs[:-1]) | (self.tags[1:] != self.tags[:-1])
+        first = np.flatnonzero(new)
+        head = np.array([len(first), 0 if self.keys is None else 2], "<i8").tobytes()
+        groups = self.docs[first].astype("<i8").tobytes() + self.tags[first].astype("<u8").tobytes() + np.diff([*first, len(new)]).astype("<i8").tobytes()
+        return head + groups + self.at.astype("<u4").tobytes() + (b"" if self.keys is None else self.keys.astype("<u8").tobytes())
+
+    @staticmethod
+    def unpack(payload: bytes) -> Windows:
+        n, lanes = np.frombuffer(payload, "<i8", 2).tolist()
+        each = np.frombuffer(payload, "<i8", n, 16 + 16 * n)
+        docs, tags = (np.repeat(np.frombuffer(payload, kind, n, 16 + 8 * n * k), each) for k, kind in enumerate(("<i8", "<u8")))
+        at = np.frombuffer(payload, "<u4", len(docs), 16 + 24 * n)
+        keys = np.frombuffer(payload, "<u8", -1, 16 + 24 * n + 4 * len(docs)).reshape(-1, lanes) if lanes else None
+        return Windows(docs, tags, at, keys)
+
+    @staticmethod
+    def joined(parts: list[Windows]) -> Windows:
+        keys = None if any(p.keys is None for p in parts) else np.concatenate([np.zeros((0, 2), dtype=np.uint64), *(p.keys for p in parts)])
+        of = lambda name, kind: np.concatenate([np.zeros(0, dtype=kind), *(getattr(p, name) for p in parts)])
+        return Windows(of("docs", np.int64), of("tags", np.uint64), of("at", np.uint32), keys)
+
+
+def by_key(found: Windows) -> tuple[Windows, np.ndarray]:
+    """Windows in the order of keys and documents, and whether each one's document is the smallest with its key."""
+    found = found[np.lexsort((found.at, found.tags, found.docs, found.keys[:, 1], found.keys[:, 0]))]
+    new = np.ones(len(found.docs), dtype=bool)
+    new[1:] = (found.keys[1:] != found.keys[:-1]).any(axis=1)
+    first = np.flatnonzero(new)
+    least = np.repeat(found.docs[first], np.diff([*first, len(new)]))
+    return found, found.docs == least
+
+
 def window_keys(w: Words, at: np.ndarray, window: int) -> np.ndarray:
     """128 bits of the sha256 of the words (joined by one space) of the window from each word of ``at`` on."""
     data, sha256 = memoryview(w.data), hashlib.sha256
@@ -127,7 +171,7 @@ def _anchor_map(buckets: int, window: int) -> Callable:
             for part in pieces(batch, "text"):
                 w = Words(texts(part.column("text")), hasher)
                 at, h = _anchors(w, window - PERIOD + 1)
-                docs, h = _once(part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]], h[:, None])
+                docs, h = _once(part.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[at]], h)
                 first, count = _split(h)
                 many = np.repeat(count > 1, count)
                 ends = np.zeros(len(h), dtype=bool)  # of what many documents share, the first and last document speak for all
@@ -138,6 +182,26 @@ def _anchor_map(buckets: int, window: int) -> Callable:
     return run
 
 
+def text_tags(own: list[bytes]) -> np.ndarray:
+    """Tells apart the texts of rows that share an id."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+
+
+def _windows_sent(found: Windows, least: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
+    """Windows of smallest documents to the bucket of their key; the others, which the batch has settled, to a bucket in turn."""
+    rows = []
+    report = found[least]
+    bucket = (report.keys[:, 0] % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((report.at, report.tags, report.docs, bucket))
+    report, bucket = report[order], bucket[order]
+    for a, n in zip(*(x.tolist() for x in _split(bucket)), strict=True):
+        rows.append((int(bucket[a]), _REPORT, report[np.arange(a, a + n)].pack()))
+    rest = Windows(found.docs[~least], found.tags[~least], found.at[~least], None)
+    if len(rest.docs):
+        rows.append((turn % buckets, _ANSWER, rest[np.lexsort((rest.at, rest.tags, rest.docs))].pack()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
+
+
 def _window_map(buckets: int, window: int) -> Callable:
     length = window - PERIOD + 1
 
@@ -145,14 +209,15 @@ def _window_map(buckets: int, window: int) -> Callable:
         hasher, turn = Hasher(), 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                w = Words(texts(part.column("text")), hasher)
+                own = texts(part.column("text"))
+                w = Words(own, hasher)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 at, h = _anchors(w, length)
                 shared = np.zeros(len(at), dtype=bool)
                 begin = np.searchsorted(at, w.first)
-                for d, found in enumerate(part.column("found").to_pylist()):
-                    own = slice(begin[d], begin[d + 1])
-                    shared[own] = np.isin(h[own], np.frombuffer(found, "<u8"))
+                for d, told in enumerate(part.column("found").to_pylist()):
+                    mine = slice(begin[d], begin[d + 1])
+                    shared[mine] = np.isin(h[mine], np.frombuffer(told, "<u8"))
                 # a window from s on holds the anchors that begin in [s, s + PERIOD); one must be shared
                 known = np.zeros(len(w) + 1, dtype=np.int64)
                 known[at[shared] + 1] = 1
@@ -160,12 +225,10 @@ def _window_map(buckets: int, window: int) -> Callable:
                 s = np.arange(len(w))
                 s = s[w.within(s, window)]
                 s = s[known[s + PERIOD] > known[s]]
-                docs, h = _once(ids[w.doc[s]], window_keys(w, s, window))
-                first, count = _split(h)
-                least = np.zeros(len(h), dtype=bool)
-                least[first] = True
+                tags = text_tags(own)
+                found, least = by_key(Windows(ids[w.doc[s]], tags[w.doc[s]], (s - w.first[w.doc[s]]).astype(np.uint32), window_keys(w, s, window)))
                 turn += 1
-                yield _sent(docs, h, ~least, least, buckets, turn * 7919 + (int(docs[0]) if len(docs) else 0))
+                yield _windows_sent(found, least, buckets, turn * 7919 + (int(ids[0]) if len(ids) else 0))
 
     return run
 
@@ -174,11 +237,11 @@ def _place(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _reduce(smaller_only: bool, lanes: int, buckets: int) -> Callable:
-    """Per key, answer the documents that share it (or that a smaller document has it), packed by their place."""
+def _reduce(buckets: int) -> Callable:
+    """Per anchor, answer the documents that share it, packed by their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {kind: ([np.zeros(0, dtype=np.int64)], [np.zeros((0, lanes), dtype=np.uint64)]) for kind in (_REPORT, _ANSWER)}
+        held = {kind: ([np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]) for kind in (_REPORT, _ANSWER)}
         for batch in batches:
             for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 docs, hashes = _unpack(payload)
@@ -187,14 +250,12 @@ def _reduce(smaller_only: bool, lanes: int, buckets: int) -> Callable:
         docs, hashes = _once(*map(np.concatenate, held.pop(_REPORT)))
         first, count = _split(hashes)
         told = np.repeat(count > 1, count)
-        if smaller_only:
-            told[first] = False
         docs = np.concatenate([docs[told], *held[_ANSWER][0]])
         hashes = np.concatenate([hashes[told], *held[_ANSWER][1]])
         if not len(docs):
             return
         place = _place(docs, buckets)
-        order = np.lexsort((*hashes.T[::-1], docs, place))
+        order = np.lexsort((hashes, docs, place))
         place, docs, hashes = place[order], docs[order], hashes[order]
         for a, n in zip(*(x.tolist() for x in _split(place)), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([int(place[a])], pa.int32()), pa.array([_pack(docs[a : a + n], hashes[a : a + n])], pa.binary())], ["bucket", "payload"])
@@ -202,6 +263,42 @@ def _reduce(smaller_only: bool, lanes: int, buckets: int) -> Callable:
     return run
 
 
+def _reduce_windows(buckets: int) -> Callable:
+    """Tell documents their windows that smaller documents have, packed by their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Windows]] = {_REPORT: [], _ANSWER: []}
+        for batch in batches:
+            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                held[kind].append(Windows.unpack(payload))
+        found, least = by_key(Windows.joined(held.pop(_REPORT)))
+        rest = Windows.joined([Windows(found.docs[~least], found.tags[~least], found.at[~least], None), *held[_ANSWER]])
+        place = _place(rest.docs, buckets)
+        order = np.lexsort((rest.at, rest.tags, rest.docs, place))
+        place, rest = place[order], rest[order]
+        for a, n in zip(*(x.tolist() for x in _split(place)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([int(place[a])], pa.int32()), pa.array([rest[np.arange(a, a + n)].pack()], pa.binary())], ["bucket", "payload"])
+
+    return run
+
+
+def _gather_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's windows as runs (tag, first word of the first window, windows), in one row."""
+    found = Windows.joined([Windows.unpack(payload) for batch in batches for payload in batch.column("payload").to_pylist()])
+    found = found[np.lexsort((found.at, found.tags, found.docs))]
+    new = np.ones(len(found.docs), dtype=bool)
+    new[1:] = (found.docs[1:] != found.docs[:-1]) | (found.tags[1:] != found.tags[:-1]) | (found.at[1:] > found.at[:-1] + 1)
+    run = np.flatnonzero(new)
+    last = np.append(run[1:], len(new))[: len(run)] - 1
+    runs = np.zeros(len(run), dtype=_RUN)
+    runs["tag"], runs["at"], runs["many"] = found.tags[run], found.at[run], found.at[last] - found.at[run] + 1
+    docs = found.docs[run]
+    first, count = _split(docs)
+    for k in range(0, len(first), 2_000):
+        part = list(zip(first[k : k + 2_000].tolist(), count[k : k + 2_000].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in part], pa.int64()), pa.array([runs[a : a + n].tobytes() for a, n in part], pa.binary())], ["doc_id", "found"])
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's answers from all buckets as one row."""
     got = [_unpack(payload) for batch in batches for payload in batch.column("payload").to_pylist()]
@@ -218,22 +315,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _final(window: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             for part in pieces(batch, "text"):
-                w = Words(texts(part.column("text")), hasher)
+                own = texts(part.column("text"))
+                w = Words(own)
+                tags = text_tags(own)
                 n, removed, digests, kept_texts = [], [], [], []
                 for d, found in enumerate(part.column("found").to_pylist()):
                     a, b = int(w.first[d]), int(w.first[d + 1])
                     keep = None
                     if found:
-                        s = np.arange(a, max(a, b - window + 1))
-                        known = {found[k : k + 16] for k in range(0, len(found), 16)}
-                        raw = window_keys(w, s, window).tobytes()
-                        hit = s[np.fromiter((raw[k : k + 16] in known for k in range(0, len(raw), 16)), bool, len(s))] - a
+                        runs = np.frombuffer(found, _RUN)
+                        runs = runs[runs["tag"] == tags[d]]
                         delta = np.zeros(b - a + 1, dtype=np.int64)
-                        np.add.at(delta, hit, 1)
-                        np.add.at(delta, hit + window, -1)
+                        np.add.at(delta, runs["at"], 1)
+                        np.add.at(delta, runs["at"] + runs["many"].astype(np.int64) - 1 + window, -1)
                         keep = np.cumsum(delta)[:-1] == 0
                     kept = w.joined(d, keep)
                     n.append(b - a)
@@ -256,16 +352,16 @@ def remove_shared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
-    def told(sent: DataFrame, smaller_only: bool, lanes: int) -> DataFrame:
-        """doc_id, found: the keys that are told to a document."""
-        back = sent.repartition(buckets, "bucket").mapInArrow(_reduce(smaller_only, lanes, buckets), "bucket int, payload binary")
-        return back.repartition(buckets, "bucket").mapInArrow(_gather, "doc_id long, found binary")
+    def told(sent: DataFrame, reduce: Callable, gather: Callable) -> DataFrame:
+        """doc_id, found: what is told to a document."""
+        back = sent.repartition(buckets, "bucket").mapInArrow(reduce, "bucket int, payload binary")
+        return back.repartition(buckets, "bucket").mapInArrow(gather, "doc_id long, found binary")
 
-    shared = told(some.mapInArrow(_anchor_map(buckets, window), _ROW), False, 1)
+    shared = told(some.mapInArrow(_anchor_map(buckets, window), _ROW), _reduce(buckets), _gather)
     # Both joins deal out the same rows, so Spark shuffles the texts once for the two.  The merge join brings
     # documents in the order of their ids, so that a task that runs again makes the same batches.
     near = some.hint("merge").join(shared, "doc_id")
-    covered = told(near.select("doc_id", "text", "found").mapInArrow(_window_map(buckets, window), _ROW), True, 2)
+    covered = told(near.select("doc_id", "text", "found").mapInArrow(_window_map(buckets, window), _ROW), _reduce_windows(buckets), _gather_windows)
     met = some.hint("merge").join(covered, "doc_id", "left").select("doc_id", "text", "found")
     rest = own.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("binary").alias("found"))
     kind = "doc_id long, n_words long, n_removed long, kept string"
