@@ -5,8 +5,8 @@ lengths counted.  The plan is best-fit decreasing over those counts: it is made
 runs of sequences that are filled alike, so its size depends on the capacity and
 not on the corpus.  A piece's rank within its length (a bucket's offset and the
 place in the bucket) leads it to its planned slot.  A length has as many buckets as
-its count asks for, so that a frequent length is spread over many tasks of one size
-however large the corpus is, and the offsets are one row per bucket.
+its count asks for, so that a frequent length is spread over many tasks, and there are
+at most ``BUCKETS`` + ``capacity`` of them, a row of offsets each.
 
 Defined cases: null texts count as empty; an empty text is its end token alone;
 rows that repeat an id or a text, and rows without an id, are packed each on their
@@ -33,9 +33,9 @@ from tidewire.llm.common import written
 CAPACITY = 1_024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces of one length that are ranked together, and rows of offsets that are small enough to send to every task.
-BUCKET_PIECES = 1 << 16
-SMALL_ROWS = 1 << 20
+#: Pieces of one length that are ranked together: as many as give BUCKETS buckets, BUCKET_PIECES at least.
+BUCKETS = 1 << 17
+BUCKET_PIECES = 1 << 10
 #: UTF-8 lead bytes from here on begin characters from U+0580 on.
 _RARE_FROM = 0xD6
 
@@ -135,14 +135,13 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, bucket_pieces: int = BUCK
     found = written(tokenised(docs, capacity=capacity, **options), "pieces")
     counts = {r[0]: r[1] for r in found.groupBy("length").agg(F.count("*")).collect()}  # at most ``capacity`` rows
     slots = spark.createDataFrame(plan(counts, capacity), "slot_length long, first_rank long, end_rank long, first_sequence long, offset long")
-    buckets = {n: -(-many // bucket_pieces) for n, many in counts.items()}
+    each = max(bucket_pieces, -(-sum(counts.values()) // BUCKETS))
+    buckets = {n: -(-many // each) for n, many in counts.items()}
     of_length = F.split(F.lit(",".join(str(buckets.get(n, 1)) for n in range(capacity + 1))), ",").cast("array<long>")[F.col("length").cast("int")]
     found = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "turn"), of_length))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = found.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if sum(buckets.values()) <= SMALL_ROWS:
-        offsets = F.broadcast(offsets)
     place = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "turn")
-    ranked = found.withColumn("place", F.row_number().over(place) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("place"))
+    ranked = found.withColumn("place", F.row_number().over(place) - 1).join(F.broadcast(offsets), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("place"))
     met = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
     return met.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
