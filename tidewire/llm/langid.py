@@ -7,8 +7,10 @@ a long text, and the language with the smallest encoding wins.  A prediction is
 rejected when the runner-up's encoding is within ``margin`` of the smallest.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
-ties go to the language that sorts first; without labelled rows all is ``und``;
-other columns are ignored.
+ties go to the language that sorts first; every label that a row with an id and a text
+with letters has is a language, however rare; without labelled rows all is ``und``;
+rows that repeat an id count once per label in the fit and are each judged; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import pieces
 from tidewire.llm.sampling import class_sample
 
-#: Texts of a language that go into its dictionary, bytes of each, and bytes of all.
+#: Texts of a language that go into its dictionary, characters of each (one slice, at a place
+#: dealt by the id, so that no long text fills the dictionary), and bytes of all.
 SAMPLE_PER_LANGUAGE = 400
-SLICE_CHARS = 1_500
-DICTIONARY_BYTES = 112 << 10
-MOST_LANGUAGES = 200
+SLICE_CHARS = 300
+DICTIONARY_BYTES = 128 << 10
 BLOCK_BYTES = 4 << 10
 LEVEL = 3
 #: Matches from three bytes on count: most of what tells languages apart is that short.
@@ -48,14 +50,13 @@ def fit_languages(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A sampled text gives one slice at a place dealt by its id.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sample, counts = class_sample(rows, "id", "lang", SAMPLE_PER_LANGUAGE, MOST_LANGUAGES)
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null")
     start = F.pmod(F.xxhash64("id", F.lit(5)), F.greatest(F.lit(1), F.length("text") - SLICE_CHARS)) + 1
-    got = sample.select("lang", F.xxhash64("id").alias("h"), F.substring("text", start.cast("int"), F.lit(SLICE_CHARS)).alias("text")).collect()
-    out = {}
-    for lang in sorted(counts):
-        parts = [letters(r.text) for r in sorted((r for r in got if r.lang == lang), key=lambda r: (r.h, r.text))]
-        out[lang] = b" ".join(parts)[-DICTIONARY_BYTES:]
+    piece = F.substring("text", start.cast("int"), F.lit(SLICE_CHARS))
+    got = class_sample(rows, "id", "lang", SAMPLE_PER_LANGUAGE).groupBy("lang", "id").agg(F.min(piece).alias("text")).select("lang", F.xxhash64("id").alias("h"), "text").collect()
+    out: dict[str, bytes] = {}
+    for lang, _, text in sorted(map(tuple, got)):
+        out[lang] = b" ".join([*([out[lang]] if lang in out else []), letters(text)])[:DICTIONARY_BYTES]
     return {k: v for k, v in out.items() if v}
 
 

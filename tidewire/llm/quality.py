@@ -11,8 +11,10 @@ Features are taken from whole texts, in numpy over a batch of texts: shares of
 classes of bytes, repeated words, word and line lengths.
 
 Defined cases: null and empty texts get the features of a text without words;
-labels that are null, or other than 0 and 1, are ignored; without labels of both
-kinds every score is 0.5; other columns are ignored or handed through.
+labels that are null, or other than 0 and 1, are ignored; an id that several rows of
+the labels repeat counts as often in the threshold; without labels of both kinds every
+score is 0.5; other columns are ignored or handed through, and ``with_quality`` raises
+ValueError where one has the name of its result.
 """
 
 from __future__ import annotations
@@ -116,20 +118,50 @@ def _row_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], ["label", "x"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float]:
-    """Fit on the texts of ``docs`` whose ids are in ``labels``."""
+def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> np.ndarray | None:
+    """Weights of the features from a sample of the labelled rows; None without labels of both kinds."""
     got = labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).mapInArrow(_row_features, "label int, x array<double>").toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, N_FEATURES) if got.num_rows else np.zeros((0, N_FEATURES))
     y = np.asarray(got["label"])
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order in which tasks end
     weights, threshold = fit_pairs(x[order], y[order], PAIRS)
-    if np.isnan(threshold):
-        return weights, threshold
-    # the sample holds labels in other shares than the corpus, so all labelled rows decide on the threshold
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    raw = written(own.mapInArrow(_raw_scores(weights), StructType([own.schema["id"], StructField("raw", DoubleType())])).join(rows, "id").select("raw", "label"), "scores")
-    return weights, _threshold(raw)
+    return None if np.isnan(threshold) else weights
+
+
+def raw_scores(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and raw of every row, written."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return written(own.mapInArrow(_raw_scores(weights), StructType([own.schema["doc_id"], StructField("raw", DoubleType())])), "scores")
+
+
+def threshold_of(raw: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> float:
+    """The quantile of the raw scores of all labelled rows at their share of label 0.
+
+    The sample of the fit holds labels in other shares than the corpus, so all labelled
+    rows decide.
+    """
+    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    return _threshold(written(raw.join(rows, "doc_id").select("raw", "label"), "labelled-scores"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float]:
+    """Weights and threshold from the texts of ``docs`` whose ids are in ``labels``."""
+    weights = fit_weights(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample_per_label=sample_per_label)
+    if weights is None:
+        return np.zeros(N_FEATURES), float("nan")
+    raw = raw_scores(docs.where(F.col(id_col).isNotNull()), weights, id_col=id_col, text_col=text_col)
+    return weights, threshold_of(raw, labels, id_col=id_col, label_col=label_col)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3) -> DataFrame:
+    """doc_id and score of every row; the texts are scored once, for the threshold and the result."""
+    weights = fit_weights(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    if weights is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.5).alias("score"))
+    raw = raw_scores(docs, weights, id_col=id_col, text_col=text_col)
+    threshold = threshold_of(raw, labels, id_col=id_col, label_col=label_col)
+    moved = F.least(F.greatest(F.col("raw") - F.lit(threshold) + F.lit(float(np.log(cut / (1 - cut)))), F.lit(-40.0)), F.lit(40.0))
+    return raw.select("doc_id", (F.lit(1.0) / (F.lit(1.0) + F.exp(-moved))).alias("score"))
 
 
 def _raw_scores(weights: np.ndarray) -> Callable:
@@ -137,7 +169,7 @@ def _raw_scores(weights: np.ndarray) -> Callable:
         hasher = Hasher()
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(features(texts(part.column("text")), hasher) @ weights)], ["id", "raw"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(features(texts(part.column("text")), hasher) @ weights)], ["doc_id", "raw"])
 
     return score
 
@@ -186,7 +218,7 @@ def _scorer(weights: np.ndarray, threshold: float, cut: float, text_col: str, ou
 
 def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", out_col: str = "__tw_score", cut: float = 0.3) -> DataFrame:
     """``docs`` with the score as ``out_col``; a row passes if its score is at least ``cut``."""
-    if out_col in docs.columns:
+    if out_col.lower() in map(str.lower, docs.columns):
         raise ValueError(f"{out_col} is a column of the input")
     schema = StructType([*docs.schema.fields, StructField(out_col, DoubleType())])
     return docs.mapInArrow(_scorer(*model, cut, text_col, out_col), schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import exact, langid, mixing, packing, quality, simhash, substring, topk, toxicity, urls
@@ -62,25 +62,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(id_residue("doc_id", 5) != 0)
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Rows without an id are not held out; nothing is learnt from them either."""
+    return F.coalesce(id_residue("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality.fit_quality(docs, _labels(spark, sf_dir))
-    scored = quality.with_quality(docs.select("doc_id", "text"), model, out_col="score", cut=0.3)
-    return scored.select("doc_id", (id_residue("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), _labels(spark, sf_dir), cut=0.3)
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit_toxicity(docs, _labels(spark, sf_dir))
-    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), model, out_col="score")
-    return scored.select("doc_id", (id_residue("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, _labels(spark, sf_dir)))
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs.where(id_residue("doc_id", 4) != 2))
     found = langid.predict_languages(docs, model)
-    return found.select("doc_id", (id_residue("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_mixing, op4_exact_dedup, op5_url_filter, op6_topk, op7_simhash, op8_quality, op9_toxicity, op10_language)}

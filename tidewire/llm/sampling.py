@@ -1,4 +1,10 @@
-"""Bounded samples of labelled rows, dealt by a hash of the id."""
+"""Bounded samples of labelled rows, dealt by a hash of the id.
+
+Defined cases: rows without an id or a label are never sampled; an id counts once per
+label, however many rows repeat it; of texts that share an id the one that sorts first
+stands for all; labels are as many as the rows have, none is left out for being rare;
+an empty table gives an empty sample.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def class_sample(rows: DataFrame, id_col: str, label: str, per_class: int, classes: int) -> tuple[DataFrame, dict]:
-    """About ``per_class`` rows of each of the ``classes`` most frequent labels (all rows of rarer ones).
+def class_sample(rows: DataFrame, id_col: str, label: str, per_class: int) -> DataFrame:
+    """About ``per_class`` ids of each label with their rows (all of labels with fewer rows).
 
     Rows whose hashed id falls below the label's share stay, so no sort or shuffle of
-    rows is needed and the sample doesn't depend on partitions.  Returns the rows and
-    the counts by label over all rows.
+    rows is needed and the sample doesn't depend on partitions.  The share is of rows,
+    so ids that many rows repeat make the sample smaller, never larger.
     """
-    counted = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(classes).collect()
-    counts = {r[0]: r[1] for r in counted}
+    own = rows.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    counts = own.groupBy(label).agg(F.count("*").alias("__tw_n"))  # a row per label; Spark broadcasts it if it is small
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (unit < F.lit(min(1.0, per_class / n))))
-    return rows.where(keep), counts
+    return own.join(counts, label).where(unit < F.lit(float(per_class)) / F.col("__tw_n")).select(*rows.columns)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
@@ -29,6 +32,6 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     is broadcast, so no text is dealt out to find its label.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    sample, _ = class_sample(rows, "id", "label", per_label, 2)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return own.join(F.broadcast(sample), "id").select("text", "label")
+    sample = class_sample(rows, "id", "label", per_label).distinct()
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")

@@ -1,15 +1,19 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes.
 
-Whether a hashed n-gram occurs in a text is a binary feature, scaled by the log of
-the ratio of its smoothed shares among toxic and other labelled texts; a logistic
-regression over the scaled features (Newton with conjugate gradients, on a bounded
-sample of labelled rows) gives the score.  Only n-grams whose ratio is clear of
-chance are kept, so that the model stays small and long texts gather no noise.
-Whole texts are scored: every position is looked up in the model's table.
+Whether a hashed n-gram of characters occurs in a text is a binary feature, scaled by
+the log of the ratio of its smoothed shares among toxic and other labelled texts; a
+logistic regression over the scaled features (Newton with conjugate gradients, on a
+bounded sample of labelled rows) gives the score.  How many texts of each label hold an
+n-gram is a grouped count; only n-grams whose shares differ by ``CLEAR`` standard
+errors are features, so that the model stays small and long texts gather no noise, and
+only these reach the driver.  Whole texts are scored: every position is looked up in
+the model's table.
 
 Defined cases: null and empty texts have no n-grams and get the intercept's score;
-labels that are null, or other than 0 and 1, are ignored; without labels of both
-kinds every score is 0; other columns are ignored or handed through.
+letters count in lower case, and characters beyond ASCII as one each; labels that are
+null, or other than 0 and 1, are ignored; without labels of both kinds every score is
+0; other columns are ignored or handed through, and ``with_toxicity`` raises ValueError
+where one has the name of its result.
 """
 
 from __future__ import annotations
@@ -22,84 +26,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewire.llm.common import IS_SPACE, LOWER, pieces, texts
+from tidewire.llm.common import pieces, written
 from tidewire.llm.sampling import labelled_texts
 
-SAMPLE_PER_LABEL = 1_500
+#: Labelled rows that are read into the fit, of each label.
+SAMPLE_PER_LABEL = 5_000
 BUCKET_BITS = 22
 SIZES = (4, 5, 6)
-MOST_FEATURES = 30_000
-_TABLE = np.where(IS_SPACE, np.uint8(0x20), np.frombuffer(LOWER, dtype=np.uint8))
+#: Standard errors between the shares of a feature, and texts that hold it, at least.
+CLEAR, LEAST_TEXTS = 3.0, 3
+_SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(batch: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams at each position, and each text's first position.
+def strings(column: pa.Array) -> list[str]:
+    """Each row's text in lower case, separators as spaces; null counts as empty."""
+    return [(x or "").lower().translate(_SPACES) for x in column.to_pylist()]
+
+
+def grams(batch: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each size, buckets of the n-grams at each position; and each text's first position.
 
     Texts have a space before and after; positions whose n-gram runs over a text's
     end hold -1.
     """
-    joined = b" " + b"  ".join(batch) + b" "
-    raw = _TABLE[np.frombuffer(joined, dtype=np.uint8)].astype(np.uint64)
+    joined = "".join(f" {t} " for t in batch)
+    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 2 for t in batch), np.int64, len(batch)))])
-    m = len(raw) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.int64), first
-    packed = raw[:m].copy()
-    for k in range(1, n):
-        packed |= raw[k : k + m] << np.uint64(8 * k)
-    h = ((packed + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    for back in range(1, n):
-        over = first[1:] - back
-        h[over[(over >= 0) & (over < m)]] = -1
-    return h, first
-
-
-def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, h = [], raw
+    for n in range(2, max(SIZES) + 1):
+        m = max(len(raw) - n + 1, 0)
+        h = (h[:m] ^ (h[:m] >> np.uint64(29))) * _STEP + raw[n - 1 :]
+        if n not in SIZES:
+            continue
+        bucket = ((h ^ (h >> np.uint64(32))) * _STEP >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        for back in range(1, n):
+            over = first[1:] - back
+            bucket[over[(over >= 0) & (over < m)]] = -1
+        out.append(bucket)
+    return out, first
+
+
+def sample_grams(own: list[str]) -> list[np.ndarray]:
+    """The sorted distinct buckets of each text."""
+    found, first = grams(own)
+    codes = [np.zeros(0, dtype=np.int64)]
+    for h in found:
+        doc = np.repeat(np.arange(len(own)), np.diff(np.minimum(first, len(h))))
+        codes.append((doc << BUCKET_BITS | h)[h >= 0])
+    once = np.unique(np.concatenate(codes))
+    ends = np.searchsorted(once, np.arange(len(own) + 1) << BUCKET_BITS)
+    found = (once & (1 << BUCKET_BITS) - 1).astype("<i4")
+    return [found[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
-            own = texts(part.column("text"))
-            codes = []
-            for n in SIZES:
-                h, first = grams(own, n)
-                doc = np.repeat(np.arange(len(own)), np.diff(np.minimum(first, len(h))))
-                codes.append((doc << BUCKET_BITS | h)[h >= 0])
-            once = np.sort(np.concatenate(codes))
-            once = once[np.concatenate([[True], once[1:] != once[:-1]])] if len(once) else once
-            ends = np.searchsorted(once, np.arange(len(own) + 1) << BUCKET_BITS)
-            found = (once & (1 << BUCKET_BITS) - 1).astype("<i4")
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([found[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["label", "grams"])
-
-
-def fit_nb(rows: list[np.ndarray], y: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, their weights (log-count ratio times coefficient) and the intercept."""
+            rows = sample_grams(strings(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "grams"])
+
+
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, and the texts of label 1 and of label 0 that hold it."""
+    seen = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
+    for batch in batches:
+        for label, row in zip(batch.column("label").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            seen[label, np.frombuffer(row, "<i4")] += 1
+    some = np.flatnonzero(seen.any(axis=0))
+    for a in range(0, len(some), 100_000):
+        at = some[a : a + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[1, at]), pa.array(seen[0, at])], ["bucket", "c1", "c0"])
+
+
+def _kept_only(kept: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
+        place[kept] = np.arange(len(kept))
+        for batch in batches:
+            rows = [(f := place[np.frombuffer(g, "<i4")])[f >= 0].astype("<i4").tobytes() for g in batch.column("grams").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "features"])
+
+    return run
+
+
+def clear_features(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """Of counts (bucket, c1, c0), those of features."""
+    p, q, pooled = F.col("c1") / n1, F.col("c0") / n0, (F.col("c1") + F.col("c0")) / (n1 + n0)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    return counts.where((F.col("c1") + F.col("c0") >= LEAST_TEXTS) & (F.abs(p - q) > CLEAR * error))
+
+
+def log_ratios(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    return np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
+
+
+def fit_scaled(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights of the features (log-count ratio times coefficient) and the intercept; rows hold places of features."""
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    none = np.zeros(0, dtype=np.int64), np.zeros(0), float("-inf")
-    if not n1 or not n0:
-        return none
-    c1 = np.zeros(1 << BUCKET_BITS)
-    c0 = np.zeros(1 << BUCKET_BITS)
-    for row, label in zip(rows, y, strict=True):
-        (c1 if label else c0)[row] += 1
-    p, q = c1 / n1, c0 / n0
-    pooled = (c1 + c0) / (n1 + n0)
-    z = np.abs(p - q) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
-    kept = np.flatnonzero(z > 4.5)
-    kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:MOST_FEATURES]])
-    ratio = np.log((c1[kept] + 1) / (n1 + 2)) - np.log((c0[kept] + 1) / (n0 + 2))
-    place = np.full(1 << BUCKET_BITS, -1, dtype=np.int64)
-    place[kept] = np.arange(len(kept))
-    found = [(f := place[row])[f >= 0] for row in rows]
-    cols = np.concatenate([*found, np.zeros(0, dtype=np.int64)])
-    at = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+    cols = np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64)
+    at = np.repeat(np.arange(len(rows)), [len(f) for f in rows])
     balance = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    w, b = np.zeros(len(kept)), 0.0
+    w, b = np.zeros(len(ratio)), 0.0
 
     def times(v: np.ndarray) -> np.ndarray:
         return np.bincount(at, weights=(ratio * v)[cols], minlength=len(rows))
 
     def back(r: np.ndarray) -> np.ndarray:
-        return ratio * np.bincount(cols, weights=r[at], minlength=len(kept))
+        return ratio * np.bincount(cols, weights=r[at], minlength=len(ratio))
 
     for _ in range(12):
         s = 1 / (1 + np.exp(-np.clip(times(w) + b, -30, 30)))
@@ -119,16 +153,42 @@ def fit_nb(rows: list[np.ndarray], y: np.ndarray, l2: float = 1.0) -> tuple[np.n
         w, b = w + d, b + db
         if np.abs(d).max(initial=0) < 1e-3:
             break
-    return kept, ratio * w, b
+    return ratio * w, b
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on the texts of ``docs`` whose ids are in ``labels``."""
-    got = labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).mapInArrow(_sample_grams, "label int, grams binary").orderBy("label", F.xxhash64("grams")).toArrow()
-    return fit_nb([np.frombuffer(g, dtype="<i4") for g in got["grams"].to_pylist()], np.asarray(got["label"]))
-
-
-def _scorer(model: tuple[np.ndarray, np.ndarray, float], text_col: str, out_col: str) -> Callable:
+    """Buckets of the features, their weights and the intercept, from the texts of ``docs`` whose ids are in ``labels``."""
+    sample = written(labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).mapInArrow(_sample_rows, "label int, grams binary"), "grams")
+    many = dict(sample.groupBy("label").agg(F.count("*")).collect())
+    n1, n0 = many.get(1, 0), many.get(0, 0)
+    if not n1 or not n0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0), float("-inf")
+    counts = sample.mapInArrow(_partial_counts, "bucket int, c1 long, c0 long").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    found = clear_features(counts, n1, n0).toArrow().sort_by("bucket")
+    kept = found["bucket"].to_numpy().astype(np.int64)
+    got = sample.mapInArrow(_kept_only(kept), "label int, features binary").toArrow()
+    order = sorted(zip(got["label"].to_pylist(), got["features"].to_pylist(), strict=True))  # the fit doesn't depend on the order in which tasks end
+    weights, intercept = fit_scaled([np.frombuffer(g, "<i4") for _, g in order], np.array([y for y, _ in order]), log_ratios(found["c1"].to_numpy(), found["c0"].to_numpy(), n1, n0))
+    return kept, weights, intercept
+
+
+def _scores(own: list[str], place: np.ndarray, weights: np.ndarray, intercept: float) -> np.ndarray:
+    """Of each text; ``place`` leads from a bucket to its feature."""
+    if not np.isfinite(intercept):
+        return np.zeros(len(own))
+    hits = [np.zeros(0, dtype=np.int64)]
+    found, first = grams(own)
+    many = max(1, len(weights))
+    for h in found:
+        f = place[h]
+        at = np.flatnonzero((f >= 0) & (h >= 0))
+        hits.append((np.searchsorted(first, at, side="right") - 1) * many + f[at])
+    once = np.unique(np.concatenate(hits))
+    total = intercept + np.bincount(once // many, weights=weights[once % many] if len(once) else None, minlength=len(own))[: len(own)]
+    return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+
+
+def _scorer(model: tuple[np.ndarray, np.ndarray, float], text_col: str, out_col: str, keep: str | None) -> Callable:
     kept, weights, intercept = model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,23 +196,20 @@ def _scorer(model: tuple[np.ndarray, np.ndarray, float], text_col: str, out_col:
         place[kept] = np.arange(len(kept))
         for batch in batches:
             for part in pieces(batch, text_col):
-                own = texts(part.column(text_col))
-                hits = []
-                for n in SIZES:
-                    h, first = grams(own, n)
-                    f = place[h]
-                    at = np.flatnonzero((f >= 0) & (h >= 0))
-                    hits.append((np.searchsorted(first, at, side="right") - 1) * len(kept) + f[at])
-                once = np.unique(np.concatenate(hits)) if len(kept) else np.zeros(0, dtype=np.int64)
-                total = intercept + np.bincount(once // max(1, len(kept)), weights=weights[once % max(1, len(kept))], minlength=len(own))[: len(own)]
-                s = 1 / (1 + np.exp(-np.clip(total, -40, 40))) if np.isfinite(intercept) else np.zeros(len(own))
-                yield part.append_column(pa.field(out_col, pa.float64()), pa.array(s))
+                s = pa.array(_scores(strings(part.column(text_col)), place, weights, intercept))
+                yield part.append_column(pa.field(out_col, pa.float64()), s) if keep is None else pa.RecordBatch.from_arrays([part.column(keep), s], [keep, out_col])
 
     return score
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_col: str = "text", out_col: str = "__tw_score") -> DataFrame:
     """``docs`` with the score as ``out_col``."""
-    if out_col in docs.columns:
+    if out_col.lower() in map(str.lower, docs.columns):
         raise ValueError(f"{out_col} is a column of the input")
-    return docs.mapInArrow(_scorer(model, text_col, out_col), StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
+    return docs.mapInArrow(_scorer(model, text_col, out_col, None), StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
+
+
+def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row; no text comes back from the scoring."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(_scorer(model, "text", "score", "doc_id"), StructType([own.schema["doc_id"], StructField("score", DoubleType())]))
