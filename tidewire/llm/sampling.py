@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Labels whose counts are broadcast, at most; more are joined.
+FEW_LABELS = 100_000
+
 
 def class_sample(rows: DataFrame, id_col: str, label: str, per_class: int) -> DataFrame:
     """About ``per_class`` ids of each label with their rows (all of labels with fewer rows).
@@ -20,7 +23,9 @@ def class_sample(rows: DataFrame, id_col: str, label: str, per_class: int) -> Da
     so ids that many rows repeat make the sample smaller, never larger.
     """
     own = rows.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
-    counts = own.groupBy(label).agg(F.count("*").alias("__tw_n"))  # a row per label; Spark broadcasts it if it is small
+    counts = own.groupBy(label).agg(F.count("*").alias("__tw_n"))
+    if counts.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
+        counts = F.broadcast(counts)
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return own.join(counts, label).where(unit < F.lit(float(per_class)) / F.col("__tw_n")).select(*rows.columns)
 
