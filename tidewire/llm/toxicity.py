@@ -35,6 +35,8 @@ BUCKET_BITS = 22
 SIZES = (4, 5, 6)
 #: Standard errors between the shares of a feature, and texts that hold it, at least.
 CLEAR, LEAST_TEXTS = 3.0, 3
+#: Bytes of text that are worked on at once.
+PIECE_BYTES = 1 << 20
 _SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,8 +46,8 @@ def strings(column: pa.Array) -> list[str]:
     return [(x or "").lower().translate(_SPACES) for x in column.to_pylist()]
 
 
-def grams(batch: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each size, buckets of the n-grams at each position; and each text's first position.
+def grams(batch: list[str]) -> tuple[Iterator[np.ndarray], np.ndarray]:
+    """For one size after the other, buckets of the n-grams at each position; and each text's first position.
 
     Texts have a space before and after; positions whose n-gram runs over a text's
     end hold -1.
@@ -53,18 +55,21 @@ def grams(batch: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     joined = "".join(f" {t} " for t in batch)
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 2 for t in batch), np.int64, len(batch)))])
-    out, h = [], raw
-    for n in range(2, max(SIZES) + 1):
-        m = max(len(raw) - n + 1, 0)
-        h = (h[:m] ^ (h[:m] >> np.uint64(29))) * _STEP + raw[n - 1 :]
-        if n not in SIZES:
-            continue
-        bucket = ((h ^ (h >> np.uint64(32))) * _STEP >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        for back in range(1, n):
-            over = first[1:] - back
-            bucket[over[(over >= 0) & (over < m)]] = -1
-        out.append(bucket)
-    return out, first
+
+    def sizes() -> Iterator[np.ndarray]:
+        h = raw
+        for n in range(2, max(SIZES) + 1):
+            m = max(len(raw) - n + 1, 0)
+            h = (h[:m] ^ (h[:m] >> np.uint64(29))) * _STEP + raw[n - 1 :]
+            if n not in SIZES:
+                continue
+            bucket = ((h ^ (h >> np.uint64(32))) * _STEP >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+            for back in range(1, n):
+                over = first[1:] - back
+                bucket[over[(over >= 0) & (over < m)]] = -1
+            yield bucket
+
+    return sizes(), first
 
 
 def sample_grams(own: list[str]) -> list[np.ndarray]:
@@ -73,7 +78,7 @@ def sample_grams(own: list[str]) -> list[np.ndarray]:
     codes = [np.zeros(0, dtype=np.int64)]
     for h in found:
         doc = np.repeat(np.arange(len(own)), np.diff(np.minimum(first, len(h))))
-        codes.append((doc << BUCKET_BITS | h)[h >= 0])
+        codes.append((doc << BUCKET_BITS | h.astype(np.int64))[h >= 0])
     once = np.unique(np.concatenate(codes))
     ends = np.searchsorted(once, np.arange(len(own) + 1) << BUCKET_BITS)
     found = (once & (1 << BUCKET_BITS) - 1).astype("<i4")
@@ -82,21 +87,21 @@ def sample_grams(own: list[str]) -> list[np.ndarray]:
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE_BYTES):
             rows = sample_grams(strings(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "grams"])
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, and the texts of label 1 and of label 0 that hold it."""
-    seen = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
+    seen = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int32)
     for batch in batches:
         for label, row in zip(batch.column("label").to_pylist(), batch.column("grams").to_pylist(), strict=True):
             seen[label, np.frombuffer(row, "<i4")] += 1
     some = np.flatnonzero(seen.any(axis=0))
     for a in range(0, len(some), 100_000):
         at = some[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[1, at]), pa.array(seen[0, at])], ["bucket", "c1", "c0"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(seen[k, at].astype(np.int64)) for k in (1, 0))], ["bucket", "c1", "c0"])
 
 
 def _kept_only(kept: np.ndarray) -> Callable:
@@ -195,7 +200,7 @@ def _scorer(model: tuple[np.ndarray, np.ndarray, float], text_col: str, out_col:
         place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
         place[kept] = np.arange(len(kept))
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, PIECE_BYTES):
                 s = pa.array(_scores(strings(part.column(text_col)), place, weights, intercept))
                 yield part.append_column(pa.field(out_col, pa.float64()), s) if keep is None else pa.RecordBatch.from_arrays([part.column(keep), s], [keep, out_col])
 
