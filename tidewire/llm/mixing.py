@@ -1,28 +1,36 @@
 """Mixing to target weights with soft membership, in DataFrame operations throughout.
 
-A multinomial naive Bayes over counts of marker characters, fitted by aggregates
-over the labelled rows, gives each document posteriors over domains.  Rates r >= 0
-then minimise the squared distance between the expected token totals of domains,
-sum over documents of r * tokens * posterior, and their targets: projected gradient
-steps in which every pass over the corpus brings the driver one number per domain
-and one per pair of domains, and the step, scaled by the inverse of the latter, is
-one vector.  A document's rate follows from its posteriors and the vectors so far,
-so no state is kept between passes.
-
-Domains are the values of a labelled column (``lang`` in the query: a document's
-source leaves no trace in its text, so posteriors over sources would all equal the
-prior and no rates could meet a target).
-
-Defined cases: null texts have no tokens and the prior as posteriors; rows without
-a label take part but aren't learnt from; without labelled rows all rates are 1;
-weights of domains that no row has are left out, and domains without a weight have
-target 0; repeated rows get equal rates; other columns are handed through.
+A multinomial naive Bayes over hashed character n-grams (the three characters at the
+start and at the end of each word), learnt from the labelled rows, gives each document
+posteriors over domains.  Rates r >= 0 then minimise half the sum over domains of
+
+    (sum over documents of r * tokens * posterior - target)**2 / tokens at rate 1
+
+by projected gradient with momentum, which is dropped whenever the sum has grown.
+Posteriors are rounded to multiples of 1 / ``GRID``, so that a
+pass reads one row for each posterior vector that occurs, with the tokens it stands
+for, instead of documents, and brings the driver one number per domain.  Steps are
+scaled by a document's tokens; as posteriors sum to one, the curvature in that measure
+is at most one, and the step of length one never overshoots, whatever rates are clipped
+at 0 or at ``most``.  Passes end when the totals meet the targets or, where no rates
+can meet them, when they move no more; ``Mix.gap`` says what is left.  A document's
+rate follows from its posteriors and the vectors of the passes, so no state is kept.
+
+Domains are the labels that have a weight (``lang`` in the query: a document's source
+leaves no trace in its text, so posteriors over sources would all equal the prior and
+no rates could meet a target); all other labels are one further domain of target 0.
+
+Defined cases: null texts and texts without words have no tokens and the prior as
+posteriors; rows without a label or an id take part but aren't learnt from; without
+labelled rows all rates are 1; weights of labels that no row has are left out, and
+where none is left ValueError is raised; repeated rows get equal rates; other columns
+are handed through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -30,25 +38,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import free_name, written
+from tidewire.llm.sampling import class_sample
 
-#: Classes of characters that are counted (fixed values); what is in none is counted as the rest.
-MARKERS = ("[éèêàçœ]", "[äöüß]", "[ñóíúá]", "[wk]", "[th]", "[qjx]", "[lou]", "[ds]")
-#: A document's counts are scaled to this many characters, so that long texts aren't certain of everything.
-EFFECTIVE_CHARS = 120.0
-MOST_DOMAINS = 64
-PASSES = 15
-TOLERANCE = 1e-6
+#: Labelled documents of each domain that the n-grams are learnt from.
+SAMPLE_PER_DOMAIN = 2_000
+BUCKETS = 4_096
+#: A document's evidence is scaled to this many n-grams, so that long texts aren't certain of everything.
+EFFECTIVE_GRAMS = 60.0
+GRID = 64
+#: Share of all tokens that a domain's total may be off its target, and the largest movement of a fit that has ended.
+TOLERANCE, STILL = 1e-6, 1e-7
 
 
 @dataclass
-class Mix:
-    """Domains, log priors, log shares of marker classes (domain x class), and step vectors."""
+class Domains:
+    """Names (None: all labels without a weight), log priors, and log shares of buckets (domain x bucket)."""
 
-    domains: list[str]
+    names: list[str | None]
     prior: np.ndarray
     shares: np.ndarray
-    steps: list[np.ndarray]
-    most: float | None
+
+
+@dataclass
+class Mix:
+    """Steps (a vector, the momentum after it, and whether the momentum before it is dropped), the bound of the rates, and by how much of all tokens the totals of domains are off their targets."""
+
+    steps: list[tuple[np.ndarray, float, bool]] = field(default_factory=list)
+    most: float | None = None
+    gap: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,126 +73,161 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
 
 
-def _counted(text: Column) -> Column:
-    """A struct of tokens (words), chars, and the counts of marker classes as m0, m1, ..."""
-    own = F.coalesce(text, F.lit(""))
-    marks = [F.regexp_count(own, F.lit(m)).cast("double").alias(f"m{k}") for k, m in enumerate(MARKERS)]
-    return F.struct(F.regexp_count(own, F.lit(r"[^\x20\x09-\x0D]+")).cast("double").alias("tokens"), F.length(own).cast("double").alias("chars"), *marks)
+def _literal(values: np.ndarray) -> Column:
+    """An array of doubles that is one literal in the plan."""
+    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
 
 
-def _posteriors(mix: Mix, counted: Column) -> Column:
-    """An array of the domains' posteriors from a struct of counts."""
+def _looked_up(places: Column, values: np.ndarray) -> Column:
+    """The sum of the values at ``places``."""
+    table = _literal(values)
+    return F.aggregate(places, F.lit(0.0), lambda t, at: t + table[at])
 
-    def logits(c: Column) -> Column:
-        marks = [c[f"m{k}"] for k in range(len(MARKERS))]
-        counts = [*marks, c["chars"] - _total(marks)]
-        scale = F.least(F.lit(1.0), F.lit(EFFECTIVE_CHARS) / F.greatest(c["chars"], F.lit(1.0)))
-        return _let(scale, lambda x: F.array(*(F.lit(float(mix.prior[d])) + x * _total([n * float(w) for n, w in zip(counts, mix.shares[d], strict=True)]) for d in range(len(mix.domains)))))
 
-    def softmax(logit: Column) -> Column:
-        odds = _let(F.array_max(logit), lambda best: F.transform(logit, lambda x: F.exp(x - best)))
-        return _let(odds, lambda o: _let(F.aggregate(o, F.lit(0.0), lambda t, x: t + x), lambda t: F.transform(o, lambda x: x / t)))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
-    return _let(_let(counted, logits), softmax)
 
+def _grams(words: Column) -> Column:
+    """Buckets of the n-grams at the starts and ends of words."""
 
-def _rate(mix: Mix, posteriors: Column) -> Column:
-    """The rate that the steps so far lead to."""
+    def bucket(gram: Column, end: int) -> Column:
+        return F.pmod(F.xxhash64(gram, F.lit(end)), F.lit(BUCKETS)).cast("int")
+
+    return F.concat(F.transform(words, lambda w: bucket(F.substring(w, 1, 3), 0)), F.transform(words, lambda w: bucket(F.right(w, F.lit(3)), 1)))
+
+
+def fit_domains(docs: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", label_col: str = "lang", text_col: str = "text") -> Domains:
+    """Learn the domains' n-grams from a sample of the labelled rows, and their priors from all."""
+    label = F.col(label_col).cast("string")
+    rows = docs.where(label.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("raw"))
+    # labels that have a weight are told from the remainder by their place, so that "" can be a label too
+    rows = rows.withColumn("label", F.when(F.col("raw").isin([w for w, x in weights.items() if x > 0]), F.concat(F.lit("w"), F.col("raw"))).otherwise(F.lit("rest"))).drop("raw")
+    counts = dict(rows.groupBy("label").agg(F.count("*")).collect())
+    names = sorted(counts)
+    if names and names == ["rest"]:
+        raise ValueError("no domain has a weight")
+    seen = np.zeros((len(names), BUCKETS))
+    grams = class_sample(rows, "id", "label", SAMPLE_PER_DOMAIN).select("label", F.explode(_grams(_words(F.col("text")))).alias("bucket"))
+    for name, bucket, n in grams.groupBy("label", "bucket").agg(F.count("*")).collect():
+        seen[names.index(name), bucket] = n
+    shares = np.log((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
+    many = np.array([counts[x] for x in names], dtype=float)
+    return Domains([None if x == "rest" else x[1:] for x in names], np.log(many / max(many.sum(), 1.0)), shares)
+
+
+def membership(domains: Domains, text: Column) -> Column:
+    """A struct of tokens (words) and parts, the posteriors as whole multiples of 1 / GRID (about; their sum is the unit)."""
+    n = len(domains.names)
+
+    def posteriors(grams: Column) -> Column:
+        scale = F.least(F.lit(1.0), F.lit(EFFECTIVE_GRAMS) / F.greatest(F.size(grams), F.lit(1)))
+        # logits against the first domain: a softmax knows no more
+        evidence = [_looked_up(grams, domains.shares[d] - domains.shares[0]) for d in range(1, n)]
+        logits = F.array(F.lit(0.0), *(F.lit(float(domains.prior[d] - domains.prior[0])) + e * scale for d, e in enumerate(evidence, 1)))
+        odds = _let(logits, lambda own: _let(F.array_max(own), lambda best: F.transform(own, lambda x: F.exp(x - best))))
+        return _let(odds, lambda o: _let(_sum(o), lambda t: F.transform(o, lambda x: F.round(x / t * GRID).cast("int"))))
+
+    if not n:
+        return _let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), F.array().cast("array<int>").alias("parts")))
+    return _let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), _let(_grams(w), posteriors).alias("parts")))
+
+
+def member_table(docs: DataFrame, domains: Domains, *, id_col: str = "doc_id", label_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """doc_id, label, tokens, parts of each document, written once: no later pass reads the texts."""
+    own = membership(domains, F.col(text_col)).alias("m")
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("string").alias("label"), own).select("doc_id", "label", "m.*"), "mix-members")
+
+
+def _state(mix: Mix, p: Column) -> Column:
+    """From posteriors, a struct of the rate that the steps so far lead to and of the place that momentum takes it to."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not mix.steps:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in mix.steps))
+        return start
+    n = len(mix.steps[0][0])
+    flat = _literal(np.concatenate([[*step, push, float(fresh)] for step, push, fresh in mix.steps]))
+
+    def moved(own: Column, k: Column) -> Column:
+        at = k * (n + 2)
+        begin = F.when(flat[at + n + 1] > 0, own["rate"]).otherwise(own["ahead"])
+        rate = F.greatest(F.lit(0.0), begin - _sum(F.zip_with(p, F.slice(flat, at + 1, F.lit(n)), lambda x, y: x * y)))
+        if mix.most is not None:
+            rate = F.least(F.lit(float(mix.most)), rate)
+        return _let(rate, lambda r: F.struct(r.alias("rate"), (r + flat[at + n] * (r - own["rate"])).alias("ahead")))
 
-    def step(p: Column) -> Callable[[Column, Column], Column]:
-        def move(rate: Column, s: Column) -> Column:
-            moved = F.greatest(F.lit(0.0), rate - _total([p[d] * s[d] for d in range(len(mix.domains))]))
-            return moved if mix.most is None else F.least(F.lit(float(mix.most)), moved)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(mix.steps) - 1)), start, moved)
 
-        return move
 
-    return _let(posteriors, lambda p: F.aggregate(steps, F.lit(1.0), step(p)))
+def _rate(mix: Mix, parts: Column) -> Column:
+    """The rate that the steps so far lead to."""
+    return _let(_let(_shares(parts), lambda p: _state(mix, p)), lambda own: own["rate"]) if mix.steps else F.lit(1.0)
 
 
-def count_table(docs: DataFrame, *, id_col: str = "doc_id", label_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """doc_id, label, and the counts of each document, written once: no later pass reads the texts."""
-    counted = _counted(F.col(text_col)).alias("c")
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("string").alias("label"), counted).select("doc_id", "label", "c.*"), "mix-counts")
+def _shares(parts: Column) -> Column:
+    """Posteriors of whole parts."""
+    return _let(F.aggregate(parts, F.lit(0), lambda t, x: t + x), lambda t: F.transform(parts, lambda x: x / t))
 
 
-def fit_mix(seen: DataFrame, weights: dict[str, float], *, budget: float | None = None, most: float | None = None) -> Mix:
-    """Fit the classifier and the steps on a count table.
+def fit_mix(members: DataFrame, domains: Domains, weights: dict[str, float], *, budget: float | None = None, most: float | None = None) -> Mix:
+    """Fit the rates on a table with the columns tokens and parts.
 
     ``budget`` is the total of tokens wanted; where it is None, the largest that the
     weights allow without repeating a document.  ``most`` bounds the rates above.
     """
-    classes = [F.sum(f"m{k}") for k in range(len(MARKERS))]
-    learnt = seen.where("label is not null").groupBy("label").agg(F.count("*"), F.sum("chars"), *classes).orderBy("label").limit(MOST_DOMAINS + 1).collect()
-    if len(learnt) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
-    if not learnt:
-        return Mix([], np.zeros(0), np.zeros((0, 0)), [], most)
-    rows = np.array([[r[1], r[2], *r[3:]] for r in learnt], dtype=float)
-    marks = np.hstack([rows[:, 2:], (rows[:, 1] - rows[:, 2:].sum(axis=1))[:, None]]) + 1
-    mix = Mix([r[0] for r in learnt], np.log(rows[:, 0] / rows[:, 0].sum()), np.log(marks / marks.sum(axis=1, keepdims=True)), [], most)
-    # posteriors once; each pass then reads tokens and posteriors only
-    soft = written(seen.where("tokens > 0").select("tokens", _posteriors(mix, _of_table()).alias("p")), "mix-posteriors")
-    p = [F.col("p")[d] for d in range(len(mix.domains))]
-    wanted = np.array([max(0.0, weights.get(d, 0.0)) for d in mix.domains])
-    if not wanted.sum():
-        raise ValueError("no domain has a weight")
+    mix = Mix([], most)
+    n = len(domains.names)
+    cells = written(members.where("tokens > 0").groupBy("parts").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-cells").select("tokens", "parts", _shares(F.col("parts")).alias("p"))
+    wanted = np.array([0.0 if d is None else max(0.0, weights[d]) for d in domains.names])
+    if not n or cells.isEmpty():
+        return mix
+
+    def totals() -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by domain at the rates, and where momentum takes them."""
+        got = cells.withColumn("own", _state(mix, F.col("p"))).agg(*(F.sum(F.col("tokens") * F.col("own")[x] * F.col("p")[d]) for x in ("rate", "ahead") for d in range(n))).first()
+        return np.array(got[:n], dtype=float), np.array(got[n:], dtype=float)
+
+    now, ahead = totals()
+    whole = now
     wanted /= wanted.sum()
-    target = None
-    for _ in range(PASSES):
-        rate = F.col("rate")
-        free = (rate > 0) & (rate < most) if most is not None else rate > 0
-        pairs = [(a, b) for a in range(len(p)) for b in range(a, len(p))]
-        got = (
-            soft.withColumn("rate", _rate(mix, F.col("p")))
-            .agg(*(F.sum(F.col("tokens") * rate * x) for x in p), *(F.sum(F.when(free | F.lit(not mix.steps), F.col("tokens") * p[a] * p[b])) for a, b in pairs))
-            .first()
-        )
-        if got[0] is None:
-            break
-        totals = np.array(got[: len(p)], dtype=float)
-        if target is None:
-            reach = totals[wanted > 0] / wanted[wanted > 0]
-            target = wanted * (budget if budget is not None else reach.min())
-        gap = (totals - target) / target.sum()
-        if np.abs(gap).max() < TOLERANCE:
-            break
-        curve = np.zeros((len(p), len(p)))
-        for (a, b), v in zip(pairs, got[len(p) :], strict=True):
-            curve[a, b] = curve[b, a] = (v or 0.0) / target.sum()
-        ridge = 1e-6 * max(np.trace(curve), 1e-9)
-        mix.steps.append(np.round(np.linalg.solve(curve + ridge * np.eye(len(p)), gap), 9))
-    return mix
-
-
-def _of_table() -> Column:
-    return F.struct("chars", *(f"m{k}" for k in range(len(MARKERS))))
-
-
-def rates(seen: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, label, tokens, rate of a count table's rows."""
-    rate = _rate(mix, _posteriors(mix, _of_table())) if mix.domains else F.lit(1.0)
-    return seen.select("doc_id", "label", F.col("tokens").cast("long").alias("tokens"), rate.alias("rate"))
-
-
-def with_rates(docs: DataFrame, mix: Mix, *, text_col: str = "text", rate_col: str = "rate") -> DataFrame:
-    """``docs`` with their rates."""
-    return docs.withColumn(rate_col, _rate(mix, _posteriors(mix, _counted(F.col(text_col)))) if mix.domains else F.lit(1.0))
-
-
-def mixed(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` drawn at their rates: the whole part as copies, the rest by a hash of the id."""
-    name = free_name(docs, "__tw_rate")
-    rated = with_rates(docs, mix, text_col=text_col, rate_col=name)
+    asked = wanted > 0
+    target = wanted * (budget if budget is not None else float((whole[asked] / wanted[asked]).min()))
+    unit = max(float(target.sum()), 1e-300)
+    before, best, t = None, np.inf, 1.0
+    while True:
+        mix.gap = (now - target) / unit
+        if np.abs(mix.gap).max() < TOLERANCE or (before is not None and np.abs(mix.gap - before).max() < STILL):
+            return mix
+        height = float(((now - target) ** 2 / np.maximum(whole, 1e-300)).sum())
+        fresh = height > best
+        if fresh:
+            ahead, t = now, 1.0
+        before, best = mix.gap, height
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        mix.steps.append(((ahead - target) / np.maximum(whole, 1e-300), (last - 1) / t, fresh))
+        now, ahead = totals()
+
+
+def rates(members: DataFrame, mix: Mix) -> DataFrame:
+    """doc_id, label, tokens, rate of a member table's rows."""
+    return members.select("doc_id", "label", "tokens", _rate(mix, F.col("parts")).alias("rate"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float], *, budget: float | None = None, most: float | None = None, id_col: str = "doc_id", label_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """``docs`` drawn at their rates: the whole part as copies, the rest by a hash of the id.
+
+    The rows are written with their membership, so that texts are read once for it.
+    """
+    domains = fit_domains(docs, weights, id_col=id_col, label_col=label_col, text_col=text_col)
+    name = free_name(docs, "__tw_member")
+    held = written(docs.withColumn(name, membership(domains, F.col(text_col))), "mix-rows")
+    mix = fit_mix(held.select(F.col(f"{name}.tokens").alias("tokens"), F.col(f"{name}.parts").alias("parts")), domains, weights, budget=budget, most=most)
     unit = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(29)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = _let(F.col(name), lambda r: F.floor(r) + (unit < r - F.floor(r)).cast("int"))
-    if mix.most is not None and mix.most <= 1:
-        return rated.where(copies >= 1).drop(name)
-    again = free_name(rated, "__tw_copy")
-    return rated.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(name, again)
+    copies = _let(_rate(mix, F.col(f"{name}.parts")), lambda r: F.floor(r) + (unit < r - F.floor(r)).cast("int"))
+    if most is not None and most <= 1:
+        return held.where(copies >= 1).drop(name)
+    again = free_name(held, "__tw_copy")
+    return held.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(name, again)

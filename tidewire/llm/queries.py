@@ -24,8 +24,10 @@ MIX_WEIGHTS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = mixing.count_table(table(spark, sf_dir, "documents"))
-    return mixing.rates(seen, mixing.fit_mix(seen, MIX_WEIGHTS)).withColumnRenamed("label", "lang")
+    docs = table(spark, sf_dir, "documents")
+    domains = mixing.fit_domains(docs, MIX_WEIGHTS)
+    members = mixing.member_table(docs, domains)
+    return mixing.rates(members, mixing.fit_mix(members, domains, MIX_WEIGHTS)).withColumnRenamed("label", "lang")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
