@@ -146,7 +146,8 @@ def test_near_dedup_equals_brute_force_around_the_limit(documents, monkeypatch):
             below += 10 * shared >= 7 * len(sets[a] | sets[b])
     want = {i for i in range(len(texts)) if find(i) == i}
     assert below > 20 and len(texts) - len(want) > 40
-    for short_list in (jaccard.SHORT_LIST, 3):
-        monkeypatch.setattr(jaccard, "SHORT_LIST", short_list)
+    for pairs_each, few in ((jaccard.PAIRS_EACH, jaccard.FEW_CANDIDATES), (0, 0)):
+        monkeypatch.setattr(jaccard, "PAIRS_EACH", pairs_each)
+        monkeypatch.setattr(jaccard, "FEW_CANDIDATES", few)
         got = {r["doc_id"] for r in simhash.near_dedup(documents(list(enumerate(texts)))).collect()}
         assert got == want
