@@ -99,7 +99,7 @@ def test_toxicity_counts_and_ratios_equal_brute_force(spark, documents):
     for g in set().union(*sets):
         c1, c0 = sum(g in s for s in sets[::3]), sum(g in s for k, s in enumerate(sets) if k % 3)
         pooled = (c1 + c0) / 60
-        if c1 + c0 >= 3 and abs(c1 / 20 - c0 / 40) > 4.5 * np.sqrt(max(pooled * (1 - pooled), 1e-12) * (1 / 20 + 1 / 40)):
+        if c1 + c0 >= 3 and abs(c1 / 20 - c0 / 40) > toxicity.CLEAR * np.sqrt(max(pooled * (1 - pooled), 1e-12) * (1 / 20 + 1 / 40)):
             want[g] = np.log((c1 + 1) / 22) - np.log((c0 + 1) / 42)
     assert sorted(want) == kept.tolist() and len(kept)
     got, b = toxicity.fit_scaled([np.array([k for k, g in enumerate(kept) if g in s]) for s in sets], np.array([int(k % 3 == 0) for k in range(60)]), np.array([want[g] for g in kept]))

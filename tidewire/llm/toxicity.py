@@ -37,6 +37,8 @@ SIZES = (4, 5, 6)
 CLEAR, LEAST_TEXTS = 3.0, 3
 #: Bytes of text that are worked on at once.
 PIECE_BYTES = 1 << 20
+#: Tasks that count the sample; each hands on one row per n-gram it has seen.
+FIT_TASKS = 8
 _SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,23 +87,17 @@ def sample_grams(own: list[str]) -> list[np.ndarray]:
     return [found[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, "text", PIECE_BYTES):
-            rows = sample_grams(strings(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "grams"])
-
-
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, and the texts of label 1 and of label 0 that hold it."""
     seen = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int32)
     for batch in batches:
-        for label, row in zip(batch.column("label").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-            seen[label, np.frombuffer(row, "<i4")] += 1
+        for part in pieces(batch, "text", PIECE_BYTES):
+            for label, row in zip(part.column("label").to_pylist(), sample_grams(strings(part.column("text"))), strict=True):
+                seen[label, row] += 1
     some = np.flatnonzero(seen.any(axis=0))
     for a in range(0, len(some), 100_000):
         at = some[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(seen[k, at].astype(np.int64)) for k in (1, 0))], ["bucket", "c1", "c0"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(seen[k, at]) for k in (1, 0))], ["bucket", "c1", "c0"])
 
 
 def _kept_only(kept: np.ndarray) -> Callable:
@@ -109,8 +105,9 @@ def _kept_only(kept: np.ndarray) -> Callable:
         place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
         place[kept] = np.arange(len(kept))
         for batch in batches:
-            rows = [(f := place[np.frombuffer(g, "<i4")])[f >= 0].astype("<i4").tobytes() for g in batch.column("grams").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "features"])
+            for part in pieces(batch, "text", PIECE_BYTES):
+                rows = [(f := place[g])[f >= 0].astype("<i4").tobytes() for g in sample_grams(strings(part.column("text")))]
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.binary())], ["label", "features"])
 
     return run
 
@@ -163,12 +160,12 @@ def fit_scaled(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: flo
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets of the features, their weights and the intercept, from the texts of ``docs`` whose ids are in ``labels``."""
-    sample = written(labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).mapInArrow(_sample_rows, "label int, grams binary"), "grams")
+    sample = written(labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).coalesce(FIT_TASKS), "labelled-texts")
     many = dict(sample.groupBy("label").agg(F.count("*")).collect())
     n1, n0 = many.get(1, 0), many.get(0, 0)
     if not n1 or not n0:
         return np.zeros(0, dtype=np.int64), np.zeros(0), float("-inf")
-    counts = sample.mapInArrow(_partial_counts, "bucket int, c1 long, c0 long").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    counts = sample.mapInArrow(_partial_counts, "bucket int, c1 int, c0 int").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     found = clear_features(counts, n1, n0).toArrow().sort_by("bucket")
     kept = found["bucket"].to_numpy().astype(np.int64)
     got = sample.mapInArrow(_kept_only(kept), "label int, features binary").toArrow()
