@@ -104,3 +104,14 @@ def ksg_by_group(points: DataFrame, keys: Sequence[str], x: Sequence[str], y: Se
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, name: [value]})
 
     return points.groupBy(*keys).applyInPandas(run, f"{kinds}, {name} double")
+
+
+def ais_by_process(series: DataFrame, past: int, **options) -> DataFrame:
+    """proc, ais: I(last ``past`` values; current value) of each process of a series (proc, repl, sample, value)."""
+    embedded, lags = series.select("proc", "repl", "sample", F.col("value").alias("y")), []
+    for lag in range(1, past + 1):
+        lags.append(f"h{lag}")
+        earlier = series.select("proc", "repl", (F.col("sample") + lag).alias("sample"), F.col("value").alias(lags[-1]))
+        embedded = embedded.join(earlier, ["proc", "repl", "sample"])
+    points = embedded.withColumn("rid", F.col("repl").cast("long") * (1 << 32) + F.col("sample"))
+    return ksg_by_group(points, ["proc"], lags, ["y"], name="ais", **options)

@@ -137,3 +137,11 @@ def between_groups(values: DataFrame, n_perm: int, alpha: float = 0.05, tail: st
     tested = group_difference(values, keys).join(table, keys).groupBy(*keys, "diff").agg(p_value(F.col("diff"), F.col("__s"), tail).alias("pval"))
     limit = alpha / 2 if tail == "two" else alpha
     return tested.select(*keys, "diff", F.abs("diff").alias("diff_abs"), (F.col("diff") > 0).alias("a_larger"), "pval", (F.col("pval") < limit).alias("significant"))
+
+
+def adjacency(compared: DataFrame, weights: str = "comparison") -> DataFrame:
+    """source, target, weight of a comparison: every link (union), the significant ones (comparison), or all with their diff_abs or pvalue."""
+    kinds = {"union": F.lit(1.0), "comparison": F.when(F.col("significant"), 1.0), "diff_abs": F.col("diff_abs"), "pvalue": F.col("pval")}
+    if weights not in kinds:
+        raise RuntimeError(f"unknown weights {weights!r}")
+    return compared.select("source", "target", kinds[weights].alias("weight")).where("weight is not null")

@@ -177,6 +177,18 @@ def _each(settings: dict | Settings, series: TimeSeries, jobs: Sequence, run: Ca
         held.df.unpersist()
 
 
+def forced_variables(s: Settings, target: int, sources: Sequence[int]) -> list[Var]:
+    """Conditionals that are in from the start; ``faes`` means all sources at lag 0."""
+    given = s.add_conditionals
+    if isinstance(given, dict):
+        given = given.get(target, ())
+    if given is None:
+        return []
+    if given == "faes":
+        return [(p, 0) for p in sources]
+    return [given] if isinstance(given, tuple) and given and isinstance(given[0], int) else [tuple(v) for v in given]
+
+
 class NetworkInference:
     """Transfer entropy (``te``) or mutual information (``mi``), multivariate or bivariate."""
 
@@ -196,22 +208,11 @@ class NetworkInference:
             raise RuntimeError(f"sources {found} are not all processes")
         return found
 
-    def _forced(self, s: Settings, target: int, sources: Sequence[int]) -> list[Var]:
-        """Conditionals that are in from the start; ``faes`` means all sources at lag 0."""
-        given = s.add_conditionals
-        if isinstance(given, dict):
-            given = given.get(target, ())
-        if given is None:
-            return []
-        if given == "faes":
-            return [(p, 0) for p in sources]
-        return [given] if isinstance(given, tuple) and given and isinstance(given[0], int) else [tuple(v) for v in given]
-
     def analyse_single_target(self, settings: dict | Settings, series: TimeSeries, target: int, sources: str | int | Sequence[int] = "all") -> TargetResult:
         s = replace(Settings.of(settings))
         s.check_network(self.te)
         own = self._sources(series, target, sources)
-        forced = self._forced(s, target, own)
+        forced = forced_variables(s, target, own)
         past = [(target, lag) for lag in range(1, s.max_lag_target + 1, s.tau_target)] if self.te else []
         grid = {p: [(p, lag) for lag in range(s.min_lag_sources, s.max_lag_sources + 1, s.tau_sources)] for p in own}
         every = [*past, *(v for vs in grid.values() for v in vs), *forced, *([(target, 1)] if self.te else [])]
@@ -311,6 +312,17 @@ def local_link_values(settings: dict | Settings, series: TimeSeries, result: Tar
     return out
 
 
+def local_storage(settings: dict | Settings, series: TimeSeries, result: StorageResult) -> DataFrame:
+    """process, repl, sample, local: the pointwise storage of a result's selected values."""
+    s = Settings.of(settings)
+    if not result.selected_vars:
+        raise RuntimeError("the process has no selected values")
+    max_lag = max([s.max_lag or 0, *(lag for _, lag in result.selected_vars)])
+    ev = Evaluator(series, result.process, result.selected_vars, max_lag, s, get_estimator(s.estimator, s.estimator_options))
+    own = ev.estimator.local(ev.frame, Job(tuple(column(v) for v in result.selected_vars), (ev.current,), ()))
+    return own.select(F.lit(result.process).alias("process"), "repl", "sample", "local")
+
+
 class InformationStorage:
     """Active information storage: which of a process's own past values tell of its next."""
 
@@ -320,11 +332,15 @@ class InformationStorage:
         if not isinstance(process, int) or not 0 <= process < series.n_processes:
             raise RuntimeError(f"{process!r} is not a process")
         past = [(process, lag) for lag in range(1, s.max_lag + 1, s.tau)]
-        ev = Evaluator(series, process, past, s.max_lag, s, get_estimator(s.estimator, s.estimator_options))
+        forced = forced_variables(s, process, [p for p in range(series.n_processes) if p != process])
+        max_lag = max([s.max_lag, *(lag for _, lag in forced)])
+        ev = Evaluator(series, process, list(dict.fromkeys([*past, *forced])), max_lag, s, get_estimator(s.estimator, s.estimator_options))
         out = StorageResult(process)
         try:
-            chosen: list[Var] = []
+            chosen: list[Var] = list(forced)
             include(ev, past, chosen, (), s)
+            if s.checkpoint_path:
+                write_progress(series.df.sparkSession, s.checkpoint_path, process, chosen)
             prune(ev, chosen, (), s)
             if chosen:
                 stats, table = ev.run([(chosen, ())], s.n_perm_mi, of="y")

@@ -62,6 +62,7 @@ class SubgraphMining:
         self.n_a, self.n_b, self.alpha, self.design, self.most_links = n_a, n_b, alpha, design, most_links
         self.spark: SparkSession = graphs.sparkSession
         self._found: dict[int, DataFrame] = {}
+        self._held: list[DataFrame] = []
 
     @property
     def most(self) -> int:
@@ -97,11 +98,22 @@ class SubgraphMining:
             kept = rows.groupBy("links").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("links")
             rows = rows.join(kept, "links", "left_semi")
         out = rows.cache()
+        self._held.append(out)
         return None if out.isEmpty() else out
 
+    def totals(self, least: int = 1) -> DataFrame:
+        """links, in_a, total."""
+        return self._totals(self.occurrences(least))
+
+    def close(self) -> None:
+        """Release the levels that are held."""
+        for held in self._held:
+            held.unpersist()
+        self._held, self._found = [], {}
+
     def counted(self, least: int = 1) -> DataFrame:
         """links, in_a, total, p_value, min_p."""
-        totals = self._totals(self.occurrences(least))
+        totals = self.totals(least)
         pairs = totals.select("in_a", "total").distinct().collect()  # at most (n_a + 1) (n_a + n_b + 1) rows
         rows = [(a, t, p_of(self.design, self.n_a, self.n_b, a, t), min_p(self.design, self.n_a, self.n_b, t)) for a, t in pairs]
         table = self.spark.createDataFrame(rows, "in_a long, total long, p_value double, min_p double")

@@ -601,7 +601,7 @@ _GRAPHS = f"{_STEPS}, graphs AS (SELECT DISTINCT CAST(user_id % 2 AS INTEGER) AS
 )
 def _(spark, sf_dir):
     mining = subgraphs.SubgraphMining(views.user_graphs(spark, sf_dir), *_group_sizes(spark, sf_dir), most_links=2)
-    return mining.counted(1).select(F.array_join("links", ",").alias("links"), "in_a", "total")
+    return mining.totals().select(F.array_join("links", ",").alias("links"), "in_a", "total")
 
 
 def _group_sizes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
