@@ -64,3 +64,25 @@ def test_odd_vectors(spark):
     assert run(spark, []) == []
     twice = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (0, [1.0, 2.0])]
     assert run(spark, twice) == brute(twice[:2], 5, 5)
+
+
+def test_large_components(spark):
+    rows = [(0, [1.0e7, 2.0]), (1, [1.1e7, 3.0]), (2, [-1.0e7, 1.0]), (3, [0.9e7, 0.5]), (4, [1.0, 1.0])]
+    assert run(spark, rows, k=2) == brute(rows, 2, 5)
+    with pytest.raises(Exception, match="fit a long"):
+        run(spark, [(0, [1.0e30, 1.0]), (1, [1.0e30, 2.0])])
+
+
+def test_waves_double_and_go_from_the_longest_on():
+    buckets = [(8, b, 10, float(b)) for b in range(1, 41)] + [(4, 1, 3, 2.0)]
+    found = topk.waves(buckets, 20)
+    own = [[b[1] for b in wave if b[0] == 8] for wave in found]
+    assert [b for wave in own for b in wave] == list(range(40, 0, -1))
+    assert [10 * len(w) for w in own] == [20, 20, 40, 80, 160, 80] and (4, 1, 3, 2.0) in found[0]
+
+
+def test_clashing_columns_and_dimensions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(i, v, 0, 1.0, "x") for i, v in rows], KIND + ", theta double, bucket string")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, 5).collect()) == brute(rows, 5, 5)
