@@ -9,7 +9,7 @@ lost.  Within a list the equal positional bytes of pairs are tallied, pairs that
 reach the minimum are verified on all bits, and a list gives spanning links only:
 a search goes from node to node and compares each with the nodes not reached yet,
 so that a group of n copies gives n - 1 links and never all pairs.  A very long
-list is first split by one further equal byte, which the tally guarantees.
+list is dealt out once more by one further equal byte, which the tally guarantees.
 
 Similarities where no shared byte is guaranteed (five words, 0.8) are joined on the
 shingles themselves, see ``jaccard``.
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import LOWER, pieces, texts, written
@@ -40,6 +40,8 @@ from tidewire.llm.words import Words, mix
 SEED = 42
 #: Lists longer than this are split by one further byte before nodes are compared.
 LONG_LIST = 20_000
+#: Nodes that are looked at to find long lists, and keys of these that are broadcast, at most.
+SAMPLE_NODES, FEW_KEYS = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -206,12 +208,40 @@ def _link(near: Near) -> Callable:
     return run
 
 
+def _long_keys(keyed: DataFrame, n: int) -> DataFrame | None:
+    """Keys whose lists are longer than LONG_LIST, by a sample of the nodes; the sample decides on speed, never on links."""
+    if n <= LONG_LIST:
+        return None
+    share = min(1.0, SAMPLE_NODES / n)
+    unit = F.pmod(F.xxhash64("node", F.lit(31)), F.lit(1 << 30))
+    seen = keyed.where(unit < F.lit(int(share * (1 << 30)))).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, LONG_LIST * share))
+    # lists of LONG_LIST nodes and more: at most 20 n / LONG_LIST in truth, and no more than the sample has rows
+    return written(seen.select("key"), "long-lists")
+
+
 def near_links(nodes: DataFrame, near: Near) -> DataFrame:
-    """Spanning links (u, v) between nodes (node, f0, ...) with different fingerprints."""
+    """Spanning links (u, v) between nodes (node, f0, ...) with different fingerprints.
+
+    A long list is dealt out once more by one further equal byte, which the tally
+    guarantees, so that it isn't one task's work.
+    """
+    parts = [f"f{k}" for k in range(near.parts)]
     byte = [F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255)) for p in range(8 * near.parts)]
-    keys = [F.lit(t << 24).bitwiseOR(F.shiftleft(byte[i], 16)).bitwiseOR(F.shiftleft(byte[j], 8)).bitwiseOR(byte[k]) for t, (i, j, k) in enumerate(near.triples)]
-    postings = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *(f"f{k}" for k in range(near.parts)))
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(_link(near), "u long, v long")
+
+    def key(t: int, i: int, j: int, k: int) -> Column:
+        return F.shiftleft(F.lit(t << 24).cast("long").bitwiseOR(F.shiftleft(byte[i], 16)).bitwiseOR(F.shiftleft(byte[j], 8)).bitwiseOR(byte[k]), 16)
+
+    def further(t: int, triple: tuple[int, int, int]) -> Column:
+        return F.array(*(key(t, *triple).bitwiseOR(F.lit((p + 1) << 8).cast("long")).bitwiseOR(byte[p]) for p in range(len(byte)) if p not in triple))
+
+    keys = [F.struct(key(t, *triple).alias("key"), further(t, triple).alias("further")) for t, triple in enumerate(near.triples)]
+    postings = nodes.select(F.explode(F.array(*keys)).alias("e"), "node", *parts).select("e.key", "e.further", "node", *parts)
+    if near.least_bytes > 3 and (long := _long_keys(postings.select("key", "node"), nodes.count())) is not None:
+        if long.count() <= FEW_KEYS:
+            long = F.broadcast(long)
+        met = postings.join(long.withColumn("long", F.lit(True)), "key", "left")
+        postings = met.select(F.explode(F.when(F.col("long"), F.col("further")).otherwise(F.array("key"))).alias("key"), "node", *parts)
+    return postings.select("key", "node", *parts).repartition("key").sortWithinPartitions("key").mapInArrow(_link(near), "u long, v long")
 
 
 def near_components(docs: DataFrame, near: Near = EXACT, **columns: str) -> DataFrame:
