@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and all runs in one
+    process, as in tests; on a cluster that names none there is no folder to share.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
     own = os.path.join(tempfile.gettempdir(), "tidewire-shared")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
