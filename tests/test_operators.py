@@ -153,3 +153,14 @@ def test_helpers():
     with pytest.raises(TimeoutError), helpers.time_limit(1):
         while True:
             pass
+
+
+def test_wide_covariances_equal_single_ones(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4)) + 1e3
+    df = spark.createDataFrame([(k % 3, *map(float, row)) for k, row in enumerate(x)], "perm int, a double, b double, c double, d double").repartition(5)
+    for by in (None, "perm"):
+        one, many = gaussian.covariances(df, list("abcd"), by), gaussian.wide_covariances(df, list("abcd"), by)
+        assert one.keys() == many.keys()
+        for k in one:
+            assert one[k][0] == many[k][0] and np.allclose(one[k][1], many[k][1])
