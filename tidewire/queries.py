@@ -268,26 +268,50 @@ def _(spark, sf_dir):
     return knn.neighbour_counts(_points(spark, sf_dir).drop("z"), [], {"x": ["x"], "y": ["y"]}, 4)
 
 
+def _pairs_sql(joint: str, counts: str) -> str:
+    """The counts of every ordered pair of processes, one step apart."""
+    return f"""{_HOURLY},
+    points AS (
+        SELECT a.proc AS source, b.proc AS target, b.sample AS rid, a.value AS x, b.value AS y, c.value AS z
+        FROM series a JOIN series b ON a.proc <> b.proc AND a.sample = b.sample - 1 JOIN series c ON c.proc = b.proc AND c.sample = b.sample - 1
+    ),
+    size AS (SELECT count(*) AS n FROM points WHERE source = 0 AND target = 1),
+    psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(CASE WHEN n > 1 THEN 1.0 / (n - 1) END) OVER (ORDER BY n), 0) AS psi FROM unnest(range(1, (SELECT n + 2 FROM size))) t(n)),
+    d AS (SELECT a.source, a.target, a.rid, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, abs(a.z - b.z) AS dz FROM points a JOIN points b ON a.source = b.source AND a.target = b.target AND a.rid <> b.rid),
+    r AS (SELECT source, target, rid, list_sort(min({joint}, 4))[4] AS radius FROM d GROUP BY ALL),
+    n AS (SELECT source, target, rid, {counts} FROM d JOIN r USING (source, target, rid) GROUP BY ALL)"""
+
+
+def _lagged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discrete.pair_table(hourly(spark, sf_dir), (1,)).select("source", "target", F.col("sample").alias("rid"), "x", "y", F.col("w").alias("z"))
+
+
 @query(
     "kraskov_mi",
-    f"""WITH {_neighbours_sql('greatest(dx, dy)', 'count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y')}
-    SELECT round((SELECT psi FROM psi WHERE n = 4) - avg(a.psi + b.psi) + (SELECT psi FROM psi WHERE n = (SELECT count(*) FROM points)), 8) + 0.0 AS mi
-    FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1""",
+    f"""WITH {_pairs_sql('greatest(dx, dy)', 'count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y')}
+    SELECT source, target, round((SELECT psi FROM psi WHERE n = 4) - avg(a.psi + b.psi) + (SELECT psi FROM psi WHERE n = (SELECT n FROM size)), 8) + 0.0 AS mi
+    FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1 GROUP BY source, target""",
 )
 def _(spark, sf_dir):
-    points = _points(spark, sf_dir).drop("z")
-    counted = knn.neighbour_counts(points, [], {"x": ["x"], "y": ["y"]}, 4)
-    return counted.agg((psi(F.lit(4)) - F.avg(psi(F.col("n_x") + 1) + psi(F.col("n_y") + 1)) + psi(F.count("*"))).alias("mi"))
+    return knn.ksg_by_group(_lagged_points(spark, sf_dir), ["source", "target"], ["x"], ["y"], name="mi", k=4)
 
 
 @query(
     "kraskov_te",
-    f"""WITH {_neighbours_sql('greatest(dx, dy, dz)', 'count(*) FILTER (greatest(dx, dz) < radius) AS n_xz, count(*) FILTER (greatest(dy, dz) < radius) AS n_yz, count(*) FILTER (dz < radius) AS n_z')}
-    SELECT round((SELECT psi FROM psi WHERE n = 4) + avg(c.psi - a.psi - b.psi), 8) + 0.0 AS te
-    FROM n JOIN psi a ON a.n = n_xz + 1 JOIN psi b ON b.n = n_yz + 1 JOIN psi c ON c.n = n_z + 1""",
+    f"""WITH {_pairs_sql('greatest(dx, dy, dz)', 'count(*) FILTER (greatest(dx, dz) < radius) AS n_xz, count(*) FILTER (greatest(dy, dz) < radius) AS n_yz, count(*) FILTER (dz < radius) AS n_z')}
+    SELECT source, target, round((SELECT psi FROM psi WHERE n = 4) + avg(c.psi - a.psi - b.psi), 8) + 0.0 AS te
+    FROM n JOIN psi a ON a.n = n_xz + 1 JOIN psi b ON b.n = n_yz + 1 JOIN psi c ON c.n = n_z + 1 GROUP BY source, target""",
 )
 def _(spark, sf_dir):
-    return knn.ksg_by_group(_points(spark, sf_dir).withColumn("g", F.lit(0)), ["g"], ["x"], ["y"], ["z"], "te", k=4).select("te")
+    return knn.ksg_by_group(_lagged_points(spark, sf_dir), ["source", "target"], ["x"], ["y"], ["z"], "te", k=4)
+
+
+@query("kraskov_mi_by_joins", f"WITH {_neighbours_sql('greatest(dx, dy)', 'count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y')} SELECT round((SELECT psi FROM psi WHERE n = 4) - avg(a.psi + b.psi) + (SELECT psi FROM psi WHERE n = (SELECT count(*) FROM points)), 8) + 0.0 AS mi FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1")
+def _(spark, sf_dir):
+    """The join form, on one pair of processes."""
+    points = _points(spark, sf_dir).drop("z")
+    counted = knn.neighbour_counts(points, [], {"x": ["x"], "y": ["y"]}, 4)
+    return counted.agg((psi(F.lit(4)) - F.avg(psi(F.col("n_x") + 1) + psi(F.col("n_y") + 1)) + psi(F.count("*"))).alias("mi"))
 
 
 # ---- surrogates -----------------------------------------------------------------------------
@@ -720,7 +744,7 @@ def _(spark, sf_dir):
 @query("benchmark_network")
 def _(spark, sf_dir):
     series = TimeSeries.from_frame(generators.coupled_network(spark, 300, 5))
-    found = inference.NetworkInference("te").analyse_network({**_NETWORK, "max_lag_sources": 3}, series, [1, 2])
+    found = inference.NetworkInference("te").analyse_network({**_NETWORK, "max_lag_sources": 3}, series)
     return results.variables_frame(spark, inference.network_fdr({**_NETWORK, "max_lag_sources": 3}, found) or found)
 
 
