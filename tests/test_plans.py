@@ -259,3 +259,19 @@ def test_decomposition_of_a_network(spark):
         pid.analyse_network(ts.df, [2], [[0]])
     with pytest.raises(RuntimeError):
         pid.sources_frame(ts.df, 2, [2, 1])
+
+
+def test_duality_gap_is_small_at_the_best_table_only():
+    rng = np.random.default_rng(4)
+    for shape in ((2, 2, 2), (3, 2, 4), (2, 3, 3)):
+        p = rng.dirichlet(np.ones(np.prod(shape))).reshape(shape)
+        q = pid.closest_to_unique(p)
+        assert pid.duality_gap(p, q) < 1e-4 and pid.two_source(p)["gap"] < 1e-4
+        spread = p.sum(axis=2)[:, :, None] * p.sum(axis=1)[:, None, :] / p.sum(axis=(1, 2))[:, None, None]
+        assert pid.duality_gap(p, spread) >= pid._conditional(spread) - pid._conditional(q) - 1e-9
+    for gate in (lambda a, b: a & b, lambda a, b: a ^ b):
+        p = np.zeros((2, 2, 2))
+        for a in (0, 1):
+            for b in (0, 1):
+                p[gate(a, b), a, b] = 0.25
+        assert pid.two_source(p)["gap"] < 1e-6

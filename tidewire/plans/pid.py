@@ -83,12 +83,46 @@ def closest_to_unique(p: np.ndarray, sweeps: int = 300, tolerance: float = 1e-12
     return q
 
 
+def duality_gap(p: np.ndarray, q: np.ndarray, rounds: int = 50) -> float:
+    """By how much the information of q[t, s1, s2] can exceed the least that p's margins allow, at most.
+
+    For any numbers a[t, s1] and b[t, s2] with sum over t of 2**(a + b) <= 1 at every
+    (s1, s2), the mean of a + b over p is a lower bound of -H(T | S1, S2).  They are taken
+    from the conditional probabilities of q, which add up so at the best table, and moved
+    by s1 and s2 alone until the sums fit.
+    """
+    sums = q.sum(axis=0)
+    rest = _log2(q) - _log2(sums)
+    n, m = sums.shape
+    a, b = np.zeros((len(q), n)), np.zeros((len(q), m))
+    rows, columns = np.indices((n, m))
+    for t in range(len(q)):
+        weight = np.sqrt(q[t]).ravel()
+        design = np.zeros((n * m, n + m))
+        design[np.arange(n * m), rows.ravel()] = weight
+        design[np.arange(n * m), n + columns.ravel()] = weight
+        found = np.linalg.lstsq(design, weight * rest[t].ravel(), rcond=None)[0]
+        a[t], b[t] = found[:n], found[n:]
+    own, other = p.sum(axis=2), p.sum(axis=1)
+    here, there = own > 0, other > 0  # elsewhere no table has mass
+    total = np.where(here[:, :, None] & there[:, None, :], 2.0 ** (a[:, :, None] + b[:, None, :]), 0).sum(axis=0)
+    z = np.where(total > 0, _log2(total), -np.inf)
+    move, also = np.zeros(n), np.zeros(m)
+    for _ in range(rounds):
+        top = (z + also[None, :]).max(axis=1)
+        move = np.where(np.isfinite(top), -top, 0)
+        top = (z + move[:, None]).max(axis=0)
+        also = np.where(np.isfinite(top), -top, 0)
+    bound = float((own * (a + move)).sum() + (other * (b + also)).sum())
+    return max(0.0, float((q * rest).sum()) - bound)
+
+
 def two_source(p: np.ndarray) -> dict[str, float]:
-    """Unique, shared and synergistic information of p[t, s1, s2]."""
+    """Unique, shared and synergistic information of p[t, s1, s2]; ``gap`` bounds the error of each."""
     q = closest_to_unique(p)
     unique1, unique2 = max(0.0, _conditional(q)), max(0.0, _conditional(q.transpose(0, 2, 1)))
     total, in_q = _information(p.reshape(len(p), -1)), _information(q.reshape(len(q), -1))
-    return {"unq_s1": unique1, "unq_s2": unique2, "shd_s1_s2": _information(p.sum(axis=2)) - unique1, "syn_s1_s2": max(0.0, total - in_q), "num_err": float(max(np.abs(q.sum(axis=2) - p.sum(axis=2)).max(), np.abs(q.sum(axis=1) - p.sum(axis=1)).max()))}
+    return {"unq_s1": unique1, "unq_s2": unique2, "shd_s1_s2": _information(p.sum(axis=2)) - unique1, "syn_s1_s2": max(0.0, total - in_q), "num_err": float(max(np.abs(q.sum(axis=2) - p.sum(axis=2)).max(), np.abs(q.sum(axis=1) - p.sum(axis=1)).max())), "gap": duality_gap(p, q)}
 
 
 @cache
@@ -140,7 +174,7 @@ def sources_frame(series: DataFrame, target: int, sources: Sequence[int], lags:
     return wide.select(*(F.col(column((p, lag))).cast("int").alias(f"s{k + 1}") for k, (p, lag) in enumerate(zip(sources, lags, strict=True))), F.col(column((target, 0))).cast("int").alias("t"))
 
 
-_TWO = "unq_s1 double, unq_s2 double, shd_s1_s2 double, syn_s1_s2 double, num_err double"
+_TWO = "unq_s1 double, unq_s2 double, shd_s1_s2 double, syn_s1_s2 double, num_err double, gap double"
 
 
 def decompose_two(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
