@@ -151,3 +151,53 @@ def test_near_dedup_equals_brute_force_around_the_limit(documents, monkeypatch):
         monkeypatch.setattr(jaccard, "FEW_CANDIDATES", few)
         got = {r["doc_id"] for r in simhash.near_dedup(documents(list(enumerate(texts)))).collect()}
         assert got == want
+
+
+def test_pairs_of_positions_meet_every_nine():
+    rng = random.Random(2)
+    pairs = simhash.turan_pairs(32)
+    assert len(pairs) == 48 and all(any(set(p) <= q for p in pairs) for q in (set(rng.sample(range(32), 9)) for _ in range(5_000)))
+
+
+def test_near_stage_links_by_the_fingerprint_index(documents, monkeypatch):
+    """Index links of 256 bits equal brute force where a shared key is guaranteed, and give the stage its similar pairs."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = [f"v{rng.randint(0, 3_000)}" for _ in range(300)]
+        for copy in range(4):
+            w = list(base)
+            for _ in range(2 * copy):
+                w[rng.randrange(300)] = f"c{rng.randint(0, 99)}"
+            texts.append(" ".join(w))
+    seen, links = [], simhash.near_links
+
+    def spy(nodes, near):
+        found = links(nodes, near)
+        seen.append((nodes.collect(), found.collect(), near))
+        return found
+
+    monkeypatch.setattr(simhash, "near_links", spy)
+    for long_list, short_list in ((simhash.LONG_LIST, simhash.SHORT_LIST), (3, 2)):
+        monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+        monkeypatch.setattr(simhash, "SHORT_LIST", short_list)
+        seen.clear()
+        kept = {r["doc_id"] for r in simhash.near_dedup(documents(list(enumerate(texts)))).collect()}
+        assert kept == set(range(0, 120, 4))
+        [(nodes, found, near)] = seen
+        f = {r["node"]: [r[f"f{k}"] % (1 << 64) for k in range(4)] for r in nodes}
+        assert len(f) == 120 and all(sum((x ^ y).bit_count() for x, y in zip(f[r["u"]], f[r["v"]], strict=True)) == r["bits"] <= near.most_bits for r in found)
+        group = {n: n for n in f}
+
+        def find(n, group=group):
+            while group[n] != n:
+                n = group[n]
+            return n
+
+        for r in found:
+            group[find(r["u"])] = find(r["v"])
+        for a, b in combinations(f, 2):
+            x = b"".join((p ^ q).to_bytes(8, "little") for p, q in zip(f[a], f[b], strict=True))
+            if x.count(0) >= 9 and int.from_bytes(x, "little").bit_count() <= near.most_bits:
+                assert find(a) == find(b)
+        assert len({find(n) for n in f}) <= 33

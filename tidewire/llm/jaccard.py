@@ -1,4 +1,5 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, joined by prefixes.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: pairs that fingerprints
+link (``simhash``) are verified, and a join by prefixes finds what they leave.
 
 A text is the set of its shingles' 64-bit hashes, and texts with equal sets are one
 node.  All sets are put in one order, shingles that are frequent in a sample last
@@ -7,10 +8,11 @@ share at least ``wanted`` hashes among the first ``prefix`` of each, so postings
 kept for prefixes only and no link is lost.  Nodes that are in enough lists with
 others to have a similar set at all are candidates; all that follows is about these.
 
-1. Stars: in each list the node of smallest hash is paired with one node of each other
+1. Fingerprints: the pairs that their index links are verified.
+2. Stars: in each list the node of smallest hash is paired with one node of each other
    component, each node keeps the partner it met in most lists, and the pairs are
-   verified.  Groups of copies fall together here, at one pair for each node.
-2. Rest: pairs of different components are counted over the lists, and those that share
+   verified.  What is left of groups of copies falls together here, at one pair for each node.
+3. Rest: pairs of different components are counted over the lists, and those that share
    enough are verified.  A list with very many such pairs is a meeting instead: whole
    sets are compared in one place, by a search that goes from node to node and compares
    each with the nodes not reached yet.
@@ -303,8 +305,8 @@ def _stars(lists: DataFrame, turn: int) -> DataFrame:
     return counted.groupBy("b").agg(F.max(F.struct("many", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
-def similar_links(own: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
-    """Spanning links (u, v) between the nodes of ``own`` (doc_id, text); ``found`` has doc_id and node."""
+def similar_links(own: DataFrame, found: DataFrame, shingle: int, likely: DataFrame) -> DataFrame:
+    """Spanning links (u, v) between the nodes of ``own`` (doc_id, text); ``found`` has doc_id and node, ``likely`` pairs (a, b) of nodes."""
     n = found.count()
     posted = own.mapInArrow(_each_set(shingle, ["key", "node", "n"], _postings(*_frequent(own, n, shingle))), "key long, node long, n long")
     shared = posted.repartition("key").sortWithinPartitions("key").mapInArrow(_whole_lists(["key", "node", "n"], _shared, ["key", "node", "n"]), "key long, node long, n long")
@@ -317,7 +319,7 @@ def similar_links(own: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
     texts_of = own.join(F.broadcast(ids) if ids.count() <= FEW_CANDIDATES else ids, "doc_id")
     every = _each_set(shingle, ["node", "n", "sketch", "hashes"], lambda ids, sets, nodes: [nodes, np.fromiter(map(len, sets), np.int64, len(sets)), [sketch(s).tobytes() for s in sets], [s.tobytes() for s in sets]])
     sets = written(texts_of.mapInArrow(every, "node long, n long, sketch binary, hashes binary").dropDuplicates(["node"]), "sets")
-    links = own.sparkSession.createDataFrame([], "u long, v long")
+    links = _verified(likely, sets).toDF("u", "v")
 
     def labelled() -> DataFrame:
         if links.isEmpty():
@@ -334,16 +336,3 @@ def similar_links(own: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
     meetings = apart.where("many is null").select(F.col("a").alias("meeting"), F.col("b").alias("node")).distinct()
     come = sets.select("node", "hashes").join(meetings, "node").select("meeting", "node", "hashes").repartition("meeting").sortWithinPartitions("meeting")
     return links.unionByName(come.mapInArrow(_whole_lists(["meeting", "node", "hashes"], _links, ["u", "v"]), "u long, v long"))
-
-
-def similar_components(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable over similarities of 0.8 or more), of rows with an id."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = written(own.mapInArrow(_each_set(shingle, ["doc_id", "node"], lambda ids, sets, nodes: [ids, nodes]), "doc_id long, node long"), "sets")
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"))
-    links = written(similar_links(own, found, shingle).distinct(), "links")
-    ends = links.join(nodes.select(F.col("node").alias("u"), F.col("least").alias("lu")), "u").join(nodes.select(F.col("node").alias("v"), F.col("least").alias("lv")), "v")
-    # a document with several texts is one: its nodes are linked by its id
-    own_links = found.join(nodes, "node").where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v"))
-    of_doc = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")).unionByName(own_links))
-    return found.select("doc_id").distinct().join(of_doc.select(F.col("node").alias("doc_id"), "component").distinct(), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
