@@ -205,8 +205,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # a copy of one pair at a time
+            x, y = np.frombuffer(x.as_py(), "<i8"), np.frombuffer(y.as_py(), "<i8")
             keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
