@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact, langid, mixing, packing, quality, simhash, substring, topk, toxicity, urls
+from tidewire.llm import bpe, exact, langid, merkle, mixing, packing, quality, simhash, substring, topk, toxicity, urls, yinyang
 from tidewire.llm.common import id_residue, table
 
 
@@ -87,12 +87,71 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_mixing, op4_exact_dedup, op5_url_filter, op6_topk, op7_simhash, op8_quality, op9_toxicity, op10_language)}
+#: Clusters, dimension and rounds.
+CLUSTERS, DIM, ROUNDS = 16, 64, 3
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = lambda vec_id: F.sha2(F.concat(F.lit("1:"), vec_id.cast("string")), 256)
+    found = yinyang.yinyang(table(spark, sf_dir, "embeddings"), CLUSTERS, DIM, order, rounds=ROUNDS)
+    return yinyang.with_inertia(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = merkle.leaf_digest(*fields, F.replace("text", F.lit("\n"), F.lit("")))
+    probe = F.when((id_residue("doc_id", 2) == 0) & F.contains("text", F.lit("\n")), changed)
+    made = merkle.manifest(table(spark, sf_dir, "documents"), merkle.leaf_digest(*fields, F.col("text")), more={"probe": probe})
+    told = merkle.folded(made.withColumn("probe", F.coalesce("probe", "leaf")), "probe")
+    return told.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_mixing, op4_exact_dedup, op5_url_filter, op6_topk, op7_simhash, op8_quality, op9_toxicity, op10_language, op11_centroids, op12_bpe, op13_manifest)}
 
 _HOST = r"CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = r"CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
+
+
+def _rounds_sql() -> str:
+    """Assignment and update of each round as common table expressions."""
+    out = []
+    for k in range(ROUNDS + 1):
+        out.append(f"""
+        a{k} AS (
+            SELECT vec_id, any_value(e) AS e, min({{'d': d, 'c': c}}) AS m
+            FROM (SELECT vec_id, v.e, c, list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c{k}.e) + list_inner_product(c{k}.e, c{k}.e) AS d FROM v, c{k}) GROUP BY vec_id
+        )""")
+        if k < ROUNDS:
+            out.append(f"""
+        s{k} AS (SELECT c, i, CAST(sum(x) AS HUGEINT) AS t, count(*) AS n FROM (SELECT m.c AS c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{k}) GROUP BY c, i),
+        m{k} AS (SELECT c, list(CAST((t - ((t % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS e FROM s{k} GROUP BY c),
+        c{k + 1} AS (SELECT c, coalesce(m{k}.e, c{k}.e) AS e FROM c{k} LEFT JOIN m{k} USING (c))""")
+    return ",".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256(concat({fields}))"
+
+
+def _climb_sql(start: str) -> str:
+    """A recursive step of proof and folded digest from a level to the next."""
+    before, after = "coalesce(array_to_string(hs[1 : i % 3], ''), '')", "coalesce(array_to_string(hs[i % 3 + 2 :], ''), '')"
+    return f"""
+            {start}
+            UNION ALL
+            SELECT rid, p.tree, p.level + 1, i // 3, proof || {before} || {after}, sha256({before} || fold || {after})
+            FROM p JOIN runs ON runs.tree = p.tree AND runs.level = p.level AND runs.parent = i // 3"""
+
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH d AS (
@@ -145,4 +204,45 @@ SQL: dict[str, str] = {
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM k WHERE r <= 5
     """,
+    "op11_centroids": f"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, e FROM v ORDER BY c LIMIT {CLUSTERS}),{_rounds_sql()},
+        t AS (SELECT c, array_to_string(list_transform(e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS told FROM c{ROUNDS})
+        SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(told) AS centroid_sha256
+        FROM a{ROUNDS} JOIN t ON t.c = m.c
+    """,
+    "op13_manifest": f"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps),
+        o AS (
+            SELECT row_number() OVER () AS rid, doc_id, leaf, CASE WHEN even AND contains(text, chr(10)) THEN changed ELSE leaf END AS probe,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS leaves, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g
+            FROM (
+                SELECT *, {_leaf_sql("text")} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS changed,
+                       xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 2 = 0 AS even
+                FROM documents, crc
+            )
+        ),
+        tree AS (
+            SELECT g AS tree, 0 AS level, pos AS i, leaf AS h, leaves AS n FROM o
+            UNION ALL
+            SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY tree, level, i // 3, n
+        ),
+        sub AS (SELECT tree, h AS subroot, count(*) OVER () AS groups FROM tree WHERE n = 1),
+        top AS (
+            SELECT -1 AS tree, 0 AS level, tree AS i, subroot AS h, groups AS n FROM sub
+            UNION ALL
+            SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY tree, level, i // 3, n
+        ),
+        runs AS (SELECT tree, level, i // 3 AS parent, list(h ORDER BY i) AS hs FROM (SELECT * FROM tree UNION ALL SELECT * FROM top) WHERE n > 1 GROUP BY ALL),
+        low AS ({_climb_sql("SELECT rid, g AS tree, 0 AS level, pos AS i, '' AS proof, probe AS fold FROM o").replace("FROM p JOIN", "FROM low p JOIN")}),
+        high AS ({_climb_sql("SELECT rid, -1 AS tree, 0 AS level, tree AS i, proof, fold FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS k FROM low) WHERE k = 1").replace("FROM p JOIN", "FROM high p JOIN")})
+        SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT h FROM top WHERE n = 1) AS verified
+        FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS k FROM high) p JOIN o USING (rid) JOIN sub ON sub.tree = o.g
+        WHERE k = 1
+    """,
 }
