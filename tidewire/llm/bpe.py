@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pre-tokens that are looked up together, and pre-tokens that a task remembers, up to so many characters each.
-AT_ONCE, REMEMBERED, SHORT = 1 << 16, 1 << 18, 40
+#: Characters that are split at once; a longer text is split a quarter as many pre-tokens at a time.
+AT_ONCE = 1 << 20
+#: Pre-tokens that a task remembers, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 1 << 19, 1 << 23
 #: Bytes of decoded text that a task hands over together, or one row.
 OUT_BYTES = 4 << 20
 #: A piece's kind and a model's type in sentencepiece's file format (fixed values).
@@ -98,36 +100,48 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern)
         self.tokens = [unmapped(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size() - 1)]
-        self.whole = {token: i for i, token in enumerate(self.tokens)}
+        self.whole = {token: struct.pack("<i", i) for i, token in enumerate(self.tokens)}
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        """Ids of pre-tokens, as little-endian 32-bit integers."""
-        raw = [p.encode() for p in parts]
-        rest = [k for k, b in enumerate(raw) if b not in self.whole]
-        out = [struct.pack("<i", self.whole[b]) if b in self.whole else b"" for b in raw]
-        for k, ids in zip(rest, self.model.encode([mapped(raw[k]) for k in rest], num_threads=1) if rest else (), strict=True):
-            out[k] = struct.pack(f"<{len(ids)}i", *ids)
+        self.held = 0
+
+    def _learn(self, parts: set[str]) -> None:
+        """Ids of pre-tokens that aren't known yet, by one call of the model."""
+        new = [p for p in parts if p not in self.known]
+        raw = [p.encode() for p in new]
+        rest = [b for b in raw if b not in self.whole]
+        found = iter(self.model.encode([mapped(b) for b in rest], num_threads=1)) if rest else iter(())
+        for p, b in zip(new, raw, strict=True):
+            if b in self.whole:
+                self.known[p] = self.whole[b]
+            else:
+                ids = next(found)
+                self.known[p] = struct.pack(f"<{len(ids)}i", *ids)
+        self.held += sum(map(len, new))
+
+    def _forget(self) -> None:
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_CHARS:
+            self.known.clear()
+            self.held = 0
+
+    def encode(self, *texts: str) -> list[bytes]:
+        """Ids of texts, as little-endian 32-bit integers; together they have some MB, or are one text of any length."""
+        if len(texts) == 1 and len(texts[0]) > AT_ONCE:
+            found, out = (m[0] for m in self.split.finditer(texts[0])), []
+            while some := list(itertools.islice(found, AT_ONCE // 4)):
+                self._learn(set(some))
+                out.append(b"".join(map(self.known.__getitem__, some)))
+                self._forget()
+            return [b"".join(out)]
+        parts = [self.split.findall(t) for t in texts]
+        self._learn(set().union(*parts))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        self._forget()
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers."""
-        out = []
-        found = (m[0] for m in self.split.finditer(text))
-        while some := list(itertools.islice(found, AT_ONCE)):
-            new = list({p for p in some if p not in self.known})
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(some))
-            own = dict(zip(new, self._ids(new), strict=True))
-            self.known |= {p: ids for p, ids in own.items() if len(p) <= SHORT}
-            out.append(b"".join([self.known[p] if p in self.known else own[p] for p in some]))
-        return b"".join(out)
-
-    def decode(self, ids: list[int]) -> bytes:
-        if ids and min(ids) < 0:
+    def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and ids.min() < 0:
             raise ValueError("an id below 0")
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 def rust_pattern(pattern: str) -> str:
@@ -139,8 +153,8 @@ def _encoding(model: bytes, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, pattern)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                rows = [codec.encode(t or "") for t in part.column("text").to_pylist()]
+            for part in pieces(batch, "text", AT_ONCE):
+                rows = codec.encode(*(t or "" for t in part.column("text").to_pylist()))
                 ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
                 ids = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), ids)], ["doc_id", "ids"])
@@ -159,7 +173,7 @@ def _decoding(model: bytes, pattern: str) -> Callable:
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("ids"), pa.array(raw, pa.binary())], ["doc_id", "ids", "raw"])
                     start, total, raw = k, 0, []
                 if k < batch.num_rows:
-                    raw.append(codec.decode(ids[k].values.to_pylist() if ids[k].is_valid else []))
+                    raw.append(codec.decode(ids[k].values.to_numpy()) if ids[k].is_valid else b"")
                     total += len(raw[-1])
 
     return run
