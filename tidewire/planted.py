@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators import discrete, knn
+from tidewire.operators import discrete
 from tidewire.operators.embedding import lag_embed
 from tidewire.plans import comparison, inference, pid, results, subgraphs
 from tidewire.plans.estimators import Job, get_estimator
@@ -166,36 +166,6 @@ def _(spark, sf_dir):
 # ---- estimators -------------------------------------------------------------------------------
 
 
-def _ksg_sql(points: str, least_gap: int = 1) -> str:
-    """Kraskov's I(x; y) of points (rid, x, y), in SQL."""
-    return f"""{points},
-    psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(CASE WHEN n > 1 THEN 1.0 / (n - 1) END) OVER (ORDER BY n), 0) AS psi FROM unnest(range(1, (SELECT count(*) + 2 FROM points))) t(n)),
-    d AS (SELECT a.rid, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM points a JOIN points b ON abs(a.rid - b.rid) >= {least_gap}),
-    k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY greatest(dx, dy)) AS k FROM d),
-    e AS (SELECT *, max(CASE WHEN k = 4 THEN greatest(dx, dy) END) OVER (PARTITION BY rid) AS radius FROM k),
-    n AS (SELECT rid, count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y FROM e GROUP BY rid)
-    SELECT round((SELECT psi FROM psi WHERE n = 4) - avg(a.psi + b.psi) + (SELECT psi FROM psi WHERE n = (SELECT count(*) FROM points)), 8) + 0.0"""
-
-
-_PAST = f"{_HOURLY}, points AS (SELECT a.sample AS rid, b.value AS x, a.value AS y FROM series a JOIN series b ON a.proc = 2 AND b.proc = 2 AND b.sample = a.sample - 1)"
-
-
-def _past(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = lag_embed(hourly(spark, sf_dir), [(2, 1), (2, 0)], 1)
-    return wide.select(F.col("sample").alias("rid"), F.col("v2_1").alias("x"), F.col("v2_0").alias("y"), F.lit(0).alias("g"))
-
-
-@query("kraskov_ais", f"WITH {_ksg_sql(_PAST)} AS ais FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1")
-def _(spark, sf_dir):
-    return knn.ais_by_process(hourly(spark, sf_dir).where("proc = 2"), 1, k=4).select("ais")
-
-
-@query("kraskov_theiler", f"WITH {_ksg_sql(_PAST, 6)} AS mi FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1")
-def _(spark, sf_dir):
-    """Neighbours are at least six samples away."""
-    return knn.ksg_by_group(_past(spark, sf_dir), ["g"], ["x"], ["y"], name="mi", k=4, theiler=5).select("mi")
-
-
 @query("closed_form_null", "SELECT u, round(-ln(1 - u) / (100 * ln(2)), 8) + 0.0 AS quantile FROM (SELECT CAST(k / 20.0 AS DOUBLE) AS u FROM unnest(range(1, 20)) t(k))")
 def _(spark, sf_dir):
     """Two symbols and one condition of two: chi-square of two degrees of freedom."""

@@ -241,64 +241,51 @@ def _(spark, sf_dir):
 # ---- nearest neighbours ---------------------------------------------------------------------
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = lag_embed(hourly(spark, sf_dir), [(0, 1), (1, 0), (1, 1)], 1)
-    return wide.select(F.col("sample").alias("rid"), F.col("v0_1").alias("x"), F.col("v1_0").alias("y"), F.col("v1_1").alias("z"))
-
-
-_POINTS = f"""{_HOURLY},
+_LAGGED = f"""{_HOURLY},
 points AS (
-    SELECT b.sample AS rid, a.value AS x, b.value AS y, c.value AS z
-    FROM series a JOIN series b ON a.proc = 0 AND b.proc = 1 AND a.sample = b.sample - 1 JOIN series c ON c.proc = 1 AND c.sample = b.sample - 1
+    SELECT a.proc AS source, b.proc AS target, b.sample AS rid, a.value AS x, b.value AS y, c.value AS z
+    FROM series a JOIN series b ON a.proc <> b.proc AND a.sample = b.sample - 1 JOIN series c ON c.proc = b.proc AND c.sample = b.sample - 1
 )"""
-_PSI = "(SELECT -0.5772156649015329 + coalesce(sum(1.0 / i), 0) FROM unnest(range(1, {n})) t(i))"
+#: Each process's value and the one before.
+_OWN_PAST = f"{_HOURLY}, points AS (SELECT a.proc, a.sample AS rid, b.value AS x, a.value AS y, 0 AS z FROM series a JOIN series b ON b.proc = a.proc AND b.sample = a.sample - 1)"
 
 
-def _neighbours_sql(joint: str, counts: str) -> str:
-    return f"""{_POINTS},
+def _neighbours_sql(points: str, keys: str, joint: str, counts: str, least_gap: int = 1) -> str:
+    """The k-th distance and the counts of closer points of every point in its group, by comparing all pairs."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return f"""{points},
     psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(CASE WHEN n > 1 THEN 1.0 / (n - 1) END) OVER (ORDER BY n), 0) AS psi FROM unnest(range(1, (SELECT count(*) + 2 FROM points))) t(n)),
-    d AS (SELECT a.rid, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, abs(a.z - b.z) AS dz FROM points a JOIN points b ON a.rid <> b.rid),
-    k AS (SELECT *, {joint} AS dj, row_number() OVER (PARTITION BY rid ORDER BY {joint}) AS k FROM d),
-    e AS (SELECT *, max(CASE WHEN k = 4 THEN dj END) OVER (PARTITION BY rid) AS radius FROM k),
-    n AS (SELECT rid, max(radius) AS radius, {counts} FROM e GROUP BY rid)"""
+    d AS (SELECT {", ".join(f"a.{k}" for k in keys.split(", "))}, a.rid, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, abs(a.z - b.z) AS dz FROM points a JOIN points b ON {same} AND abs(a.rid - b.rid) >= {least_gap}),
+    r AS (SELECT {keys}, rid, list_sort(min({joint}, 4))[4] AS radius FROM d GROUP BY ALL),
+    n AS (SELECT {keys}, rid, radius, {counts} FROM d JOIN r USING ({keys}, rid) GROUP BY ALL)"""
 
 
-@query("knn_neighbour_counts", f"WITH {_neighbours_sql('greatest(dx, dy)', 'count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y')} SELECT rid, round(radius, 8) + 0.0 AS radius, n_x, n_y FROM n")
-def _(spark, sf_dir):
-    return knn.neighbour_counts(_points(spark, sf_dir).drop("z"), [], {"x": ["x"], "y": ["y"]}, 4)
+_XY = ("greatest(dx, dy)", "count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y")
 
 
-def _pairs_sql(joint: str, counts: str) -> str:
-    """The counts of every ordered pair of processes, one step apart."""
-    return f"""{_HOURLY},
-    points AS (
-        SELECT a.proc AS source, b.proc AS target, b.sample AS rid, a.value AS x, b.value AS y, c.value AS z
-        FROM series a JOIN series b ON a.proc <> b.proc AND a.sample = b.sample - 1 JOIN series c ON c.proc = b.proc AND c.sample = b.sample - 1
-    ),
-    size AS (SELECT count(*) AS n FROM points WHERE source = 0 AND target = 1),
-    psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(CASE WHEN n > 1 THEN 1.0 / (n - 1) END) OVER (ORDER BY n), 0) AS psi FROM unnest(range(1, (SELECT n + 2 FROM size))) t(n)),
-    d AS (SELECT a.source, a.target, a.rid, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, abs(a.z - b.z) AS dz FROM points a JOIN points b ON a.source = b.source AND a.target = b.target AND a.rid <> b.rid),
-    r AS (SELECT source, target, rid, list_sort(min({joint}, 4))[4] AS radius FROM d GROUP BY ALL),
-    n AS (SELECT source, target, rid, {counts} FROM d JOIN r USING (source, target, rid) GROUP BY ALL)"""
+def _mi_sql(points: str, keys: str, name: str, least_gap: int = 1) -> str:
+    return f"""WITH {_neighbours_sql(points, keys, *_XY, least_gap)}
+    SELECT {keys}, round((SELECT psi FROM psi WHERE n = 4) - w + psi, 8) + 0.0 AS {name}
+    FROM (SELECT {keys}, avg(a.psi + b.psi) AS w, count(*) AS size FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1 GROUP BY {keys}) JOIN psi ON psi.n = size"""
 
 
 def _lagged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discrete.pair_table(hourly(spark, sf_dir), (1,)).select("source", "target", F.col("sample").alias("rid"), "x", "y", F.col("w").alias("z"))
 
 
-@query(
-    "kraskov_mi",
-    f"""WITH {_pairs_sql('greatest(dx, dy)', 'count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y')}
-    SELECT source, target, round((SELECT psi FROM psi WHERE n = 4) - avg(a.psi + b.psi) + (SELECT psi FROM psi WHERE n = (SELECT n FROM size)), 8) + 0.0 AS mi
-    FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1 GROUP BY source, target""",
-)
+@query("knn_neighbour_counts", f"WITH {_neighbours_sql(_LAGGED, 'source, target', *_XY)} SELECT source, target, rid, round(radius, 8) + 0.0 AS radius, n_x, n_y FROM n")
+def _(spark, sf_dir):
+    return knn.neighbour_counts(_lagged_points(spark, sf_dir), ["source", "target"], {"x": ["x"], "y": ["y"]}, 4)
+
+
+@query("kraskov_mi", _mi_sql(_LAGGED, "source, target", "mi"))
 def _(spark, sf_dir):
     return knn.ksg_by_group(_lagged_points(spark, sf_dir), ["source", "target"], ["x"], ["y"], name="mi", k=4)
 
 
 @query(
     "kraskov_te",
-    f"""WITH {_pairs_sql('greatest(dx, dy, dz)', 'count(*) FILTER (greatest(dx, dz) < radius) AS n_xz, count(*) FILTER (greatest(dy, dz) < radius) AS n_yz, count(*) FILTER (dz < radius) AS n_z')}
+    f"""WITH {_neighbours_sql(_LAGGED, 'source, target', 'greatest(dx, dy, dz)', 'count(*) FILTER (greatest(dx, dz) < radius) AS n_xz, count(*) FILTER (greatest(dy, dz) < radius) AS n_yz, count(*) FILTER (dz < radius) AS n_z')}
     SELECT source, target, round((SELECT psi FROM psi WHERE n = 4) + avg(c.psi - a.psi - b.psi), 8) + 0.0 AS te
     FROM n JOIN psi a ON a.n = n_xz + 1 JOIN psi b ON b.n = n_yz + 1 JOIN psi c ON c.n = n_z + 1 GROUP BY source, target""",
 )
@@ -306,12 +293,34 @@ def _(spark, sf_dir):
     return knn.ksg_by_group(_lagged_points(spark, sf_dir), ["source", "target"], ["x"], ["y"], ["z"], "te", k=4)
 
 
-@query("kraskov_mi_by_joins", f"WITH {_neighbours_sql('greatest(dx, dy)', 'count(*) FILTER (dx < radius) AS n_x, count(*) FILTER (dy < radius) AS n_y')} SELECT round((SELECT psi FROM psi WHERE n = 4) - avg(a.psi + b.psi) + (SELECT psi FROM psi WHERE n = (SELECT count(*) FROM points)), 8) + 0.0 AS mi FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1")
+@query("kraskov_mi_by_joins", _mi_sql(_LAGGED, "source, target", "mi"))
+def _(spark, sf_dir):
+    """The same estimate by expressions over the joined neighbour counts."""
+    counted = knn.neighbour_counts(_lagged_points(spark, sf_dir), ["source", "target"], {"x": ["x"], "y": ["y"]}, 4)
+    return counted.groupBy("source", "target").agg((psi(F.lit(4)) - F.avg(psi(F.col("n_x") + 1) + psi(F.col("n_y") + 1)) + psi(F.count("*"))).alias("mi"))
+
+
+@query("kraskov_ais", _mi_sql(_OWN_PAST, "proc", "ais"))
+def _(spark, sf_dir):
+    return knn.ais_by_process(hourly(spark, sf_dir), 1, k=4)
+
+
+@query("kraskov_theiler", _mi_sql(_OWN_PAST, "proc", "mi", 6))
+def _(spark, sf_dir):
+    """Neighbours are at least six samples away."""
+    past = discrete.history(hourly(spark, sf_dir), 1).select("proc", F.col("sample").alias("rid"), F.col("h1").alias("x"), "y")
+    return knn.ksg_by_cells(past, ["proc"], ["x"], ["y"], k=4, theiler=5)
+
+
+@query(
+    "kraskov_segments",
+    _mi_sql("points AS (SELECT c_mktsegment AS segment, o_orderkey AS rid, o_totalprice AS x, c_acctbal AS y, 0 AS z FROM orders JOIN customer ON o_custkey = c_custkey)", "segment", "mi"),
+)
 def _(spark, sf_dir):
-    """The join form, on one pair of processes."""
-    points = _points(spark, sf_dir).drop("z")
-    counted = knn.neighbour_counts(points, [], {"x": ["x"], "y": ["y"]}, 4)
-    return counted.agg((psi(F.lit(4)) - F.avg(psi(F.col("n_x") + 1) + psi(F.col("n_y") + 1)) + psi(F.count("*"))).alias("mi"))
+    """What an order's price says of its customer's balance, by market segment: groups that grow with the tables, balances tied."""
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    points = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("segment"), F.col("o_orderkey").alias("rid"), F.col("o_totalprice").alias("x"), F.col("c_acctbal").alias("y"))
+    return knn.ksg_by_cells(points, ["segment"], ["x"], ["y"], k=4)
 
 
 # ---- surrogates -----------------------------------------------------------------------------
