@@ -126,7 +126,7 @@ def test_series_slices(spark):
 def test_slices_of_replications_and_samples(spark):
     x = np.repeat(np.arange(4.0)[:, None], 20, axis=1)
     df = array_frame(spark, x, "rs")
-    got = permutation.slice_surrogates(df, 0, permutation.replication_map(spark, 4, 3, 1), "repl").collect()
+    got = permutation.slice_surrogates(df, 0, permutation.Surrogates(4, 3, 1, axis="repl")).collect()
     for p in range(3):
         rows = {}
         for r in got:

@@ -1,17 +1,19 @@
-"""Surrogates as index maps with keyed, reproducible orders.
+"""Surrogates by keyed, reproducible permutations.
 
-A permutation is a map from a sample (or replication) to the one whose value takes
-its place; it is the same for every column, and sample permutations are the same
-for every replication.  Maps are joined to a series; permuted copies aren't kept.
+A permutation sends a sample (or replication) to the place that its value takes; it is
+the same for every column, and sample permutations are the same for every replication.
+The place is worked out from the index (``functions/bijection.py``): rows are dealt to
+their places as they stand, without a map, a sort or a window.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.bijection import key_of, with_bijection
 from tidewire.functions.scalar import keyed
 
 TYPES = ("random", "circular", "block", "local")
@@ -37,37 +39,47 @@ class Permutation:
             raise ValueError("local shuffles need a perm_range of 2 samples or more")
 
 
-def _grid(spark: SparkSession, n_perm: int, n: int) -> DataFrame:
-    return spark.range(n_perm).select(F.col("id").cast("int").alias("perm")).crossJoin(spark.range(n).select(F.col("id").cast("int").alias("i")))
+@dataclass(frozen=True)
+class Surrogates:
+    """``n_perm`` permutations of n samples (from ``offset`` on) or replications."""
+
+    n: int
+    n_perm: int
+    seed: int
+    how: Permutation = Permutation()
+    axis: str = "sample"
+    offset: int = 0
 
 
-def _shuffled(grid: DataFrame, within: list[str], index: str, order: Column) -> DataFrame:
-    """Item of rank r by its key goes to the r-th place of its window."""
-    by_key = Window.partitionBy(*within).orderBy(order, index)
-    by_place = Window.partitionBy(*within).orderBy(index)
-    return grid.withColumn("__r", F.row_number().over(by_key)).withColumn("__p", F.row_number().over(by_place))
+def with_place(df: DataFrame, out: str, i: Column, perm: Column, n: int, seed: int, how: Permutation = Permutation()) -> DataFrame:
+    """``df`` with the place from 0 on that item i of n takes in a permutation."""
+    how.check(n)
+    i = i.cast("long")
+    div = lambda x, y: F.call_function("div", x, F.lit(y).cast("long"))
+    if how.type == "circular":
+        return df.withColumn(out, (i + key_of(seed, perm) % how.max_shift + 1) % n)
+    if how.type == "random":
+        return with_bijection(df, out, i, n, key_of(seed, perm))
+    if how.type == "local":
+        first = div(i, how.perm_range) * how.perm_range
+        own = with_bijection(df.withColumn("__first", first), "__to", i - first, F.least(F.lit(how.perm_range).cast("long"), n - first), key_of(seed, perm, div(i, how.perm_range)))
+        return own.withColumn(out, F.col("__first") + F.col("__to")).drop("__first", "__to")
+    blocks = -(-n // how.block_size)
+    block = div(i, how.block_size)
+    first = div(block, how.perm_range) * how.perm_range
+    many, key = F.least(F.lit(how.perm_range).cast("long"), F.lit(blocks).cast("long") - first), key_of(seed, perm, div(block, how.perm_range))
+    own = with_bijection(df.withColumns({"__block": block, "__first": first}), "__to", block - first, many, key)
+    own = own.withColumn("__at", (F.col("__first") + F.col("__to")) * how.block_size + i % how.block_size)
+    if short := blocks * how.block_size - n:  # what the last block lacks moves those behind it
+        own = with_bijection(own, "__last", many - 1, many, key)
+        own = own.withColumn("__at", F.col("__at") - F.when((F.col("__first") + many == blocks) & (F.col("__to") > F.col("__last")), short).otherwise(0))
+    return own.withColumn(out, F.col("__at")).drop("__block", "__first", "__to", "__last", "__at")
 
 
 def sample_map(spark: SparkSession, n: int, n_perm: int, seed: int, how: Permutation = Permutation()) -> DataFrame:
     """perm, i, src: in permutation ``perm``, place i takes the value of src."""
-    how.check(n)
-    if how.type == "circular":
-        shift = spark.range(n_perm).select(F.col("id").cast("int").alias("perm"), (F.conv(F.substring(keyed(seed, "id"), 1, 12), 16, 10).cast("long") % how.max_shift + 1).cast("int").alias("shift"))
-        return _grid(spark, n_perm, n).join(F.broadcast(shift), "perm").select("perm", "i", F.pmod(F.col("i") - F.col("shift"), F.lit(n)).cast("int").alias("src"))
-    if how.type == "block":
-        blocks = -(-n // how.block_size)
-        grid = _grid(spark, n_perm, blocks).withColumn("w", F.floor(F.col("i") / how.perm_range).cast("int"))
-        placed = _shuffled(grid, ["perm", "w"], "i", keyed(seed, "perm", "i"))
-        size = F.least(F.lit(how.block_size), F.lit(n) - F.col("i") * how.block_size)
-        order = Window.partitionBy("perm").orderBy("w", "__r").rowsBetween(Window.unboundedPreceding, -1)
-        begun = placed.withColumn("size", size).withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0)))
-        inside = begun.select("perm", "begin", (F.col("i") * how.block_size).alias("from"), F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("o"))
-        return inside.select("perm", (F.col("begin") + F.col("o")).cast("int").alias("i"), (F.col("from") + F.col("o")).cast("int").alias("src"))
-    width = n if how.type == "random" else how.perm_range
-    grid = _grid(spark, n_perm, n).withColumn("w", F.floor(F.col("i") / width).cast("int"))
-    placed = _shuffled(grid, ["perm", "w"], "i", keyed(seed, "perm", "i"))
-    # the item of rank r takes place w * width + r - 1
-    return placed.select("perm", (F.col("w") * width + F.col("__r") - 1).cast("int").alias("i"), F.col("i").alias("src"))
+    grid = spark.range(n_perm * n).select(F.call_function("div", F.col("id"), F.lit(n).cast("long")).cast("int").alias("perm"), (F.col("id") % n).cast("int").alias("src"))
+    return with_place(grid, "i", F.col("src"), F.col("perm"), n, seed, how).select("perm", F.col("i").cast("int").alias("i"), "src")
 
 
 def replication_map(spark: SparkSession, n: int, n_perm: int, seed: int) -> DataFrame:
@@ -75,35 +87,41 @@ def replication_map(spark: SparkSession, n: int, n_perm: int, seed: int) -> Data
     return sample_map(spark, n, n_perm, seed)
 
 
-def permuted(embedded: DataFrame, columns: list[str], maps: DataFrame, axis: str, offset: int = 0) -> DataFrame:
-    """For each permutation, the rows with ``columns`` taken from the row that the map names.
+def moved(rows: DataFrame, s: Surrogates) -> DataFrame:
+    """The rows of every permutation (perm), at their new places."""
+    each = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(s.n_perm - 1))))
+    placed = with_place(each, "__place", F.col(s.axis) - s.offset, F.col("perm"), s.n, s.seed, s.how)
+    return placed.withColumn(s.axis, (F.col("__place") + s.offset).cast("int")).drop("__place")
 
-    ``axis`` is ``sample`` (places count from ``offset``) or ``repl``.
-    """
-    other = "repl" if axis == "sample" else "sample"
-    kept = embedded.drop(*columns)
-    source = embedded.select(other, F.col(axis).alias("__src"), *columns)
-    moved = maps.select("perm", (F.col("i") + offset).alias(axis), (F.col("src") + offset).alias("__src"))
-    dealt = source.join(moved, "__src").drop("__src")
-    return kept.join(dealt, [other, axis])
+
+def permuted(embedded: DataFrame, columns: list[str], s: Surrogates) -> DataFrame:
+    """For each permutation, the rows with ``columns`` taken from the rows that were sent to their places."""
+    other = "repl" if s.axis == "sample" else "sample"
+    return embedded.drop(*columns).join(moved(embedded.select(other, s.axis, *columns), s), [other, s.axis])
 
 
-def slice_surrogates(series: DataFrame, proc: int, maps: DataFrame, axis: str = "sample") -> DataFrame:
+def slice_surrogates(series: DataFrame, proc: int, s: Surrogates) -> DataFrame:
     """perm, repl, sample, value of one process under each permutation of samples or replications."""
     own = series.where(F.col("proc") == proc).select("repl", "sample", "value")
-    return permuted(own, ["value"], maps, axis).select("perm", "repl", "sample", "value")
+    return moved(own, s).select("perm", "repl", "sample", "value")
 
 
-def swapped_replications(spark: SparkSession, n: int, n_perm: int, seed: int, dependent: bool) -> DataFrame:
-    """perm, group_id, i, from_group, src: the replication that takes place i of group 0 or 1.
+def with_swapped(df: DataFrame, group: Column, i: Column, perm: Column, n: int, seed: int, dependent: bool) -> DataFrame:
+    """``df`` with new_group and new_i: the group (0 or 1) and the place that replication i of a group takes.
 
     Dependent conditions exchange a replication's two versions by the toss of a coin;
     independent ones deal all 2 n replications anew.
     """
-    grid = _grid(spark, n_perm, n).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("group_id")))
     if dependent:
-        toss = F.conv(F.substring(keyed(seed, "perm", "i"), 1, 8), 16, 10).cast("long") % 2
-        return grid.select("perm", "group_id", "i", F.when(toss == 1, 1 - F.col("group_id")).otherwise(F.col("group_id")).cast("int").alias("from_group"), F.col("i").alias("src"))
-    order = Window.partitionBy("perm").orderBy(keyed(seed, "perm", "group_id", "i"), "group_id", "i")
-    place = F.row_number().over(order) - 1
-    return grid.select("perm", F.floor(place / n).cast("int").alias("group_id"), (place % n).cast("int").alias("i"), F.col("group_id").alias("from_group"), F.col("i").alias("src"))
+        toss = F.conv(F.substring(keyed(seed, perm, i), 1, 8), 16, 10).cast("long") % 2
+        return df.withColumns({"new_group": F.when(toss == 1, 1 - group).otherwise(group).cast("int"), "new_i": i.cast("int")})
+    to = with_bijection(df, "__to", group * n + i, 2 * n, key_of(seed, perm))
+    return to.withColumns({"new_group": F.call_function("div", F.col("__to"), F.lit(n).cast("long")).cast("int"), "new_i": (F.col("__to") % n).cast("int")}).drop("__to")
+
+
+def swapped_replications(spark: SparkSession, n: int, n_perm: int, seed: int, dependent: bool) -> DataFrame:
+    """perm, group_id, i, from_group, src: the replication that takes place i of group 0 or 1."""
+    div = lambda c, m: F.call_function("div", c, F.lit(m).cast("long"))
+    grid = spark.range(n_perm * 2 * n).select(div(F.col("id"), 2 * n).cast("int").alias("perm"), (div(F.col("id"), n) % 2).cast("int").alias("from_group"), (F.col("id") % n).cast("int").alias("src"))
+    found = with_swapped(grid, F.col("from_group"), F.col("src"), F.col("perm"), n, seed, dependent)
+    return found.select("perm", F.col("new_group").alias("group_id"), F.col("new_i").alias("i"), "from_group", "src")

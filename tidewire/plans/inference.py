@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.embedding import Var, column, lag_embed
-from tidewire.operators.permutation import permuted, replication_map, sample_map
+from tidewire.operators.permutation import Surrogates, permuted
 from tidewire.operators.significance import fdr_of, p_value_of
 from tidewire.plans.estimators import Estimator, Job, Stats, get_estimator
 from tidewire.plans.settings import Settings
@@ -79,12 +79,12 @@ class Evaluator:
         """Replications are permuted only if there are more orders of them than permutations."""
         return self.settings.permute_in_time or math.lgamma(self.n_replications + 1) <= math.log(n_perm)
 
-    def _map(self, n_perm: int) -> tuple[DataFrame, str, int]:
-        spark, seed = self.frame.sparkSession, self.settings.seed * 1_000 + self.rounds
+    def _surrogates(self, n_perm: int) -> Surrogates:
+        seed = self.settings.seed * 1_000 + self.rounds
         if not self._in_time(n_perm):
-            return replication_map(spark, self.n_replications, n_perm, seed), "repl", 0
+            return Surrogates(self.n_replications, n_perm, seed, axis="repl")
         how = self.settings.permutation() if self.settings.permute_in_time else replace(self.settings.permutation(), type="random")
-        return sample_map(spark, self.n_samples - self.max_lag, n_perm, seed, how), "sample", self.max_lag
+        return Surrogates(self.n_samples - self.max_lag, n_perm, seed, how, offset=self.max_lag)
 
     def run(self, jobs: Sequence[tuple[Sequence[Var], Sequence[Var]]], n_perm: int = 0, of: str = "x") -> tuple[np.ndarray, np.ndarray]:
         """Statistics of the jobs (x variables, z variables), and of their surrogates (job x permutation).
@@ -105,8 +105,7 @@ class Evaluator:
         copy = {c: f"q_{c}" for c in under}
         moved = [Job(tuple(copy.get(c, c) for c in j.x), j.y, j.z) if of == "x" else Job(j.x, tuple(copy[c] for c in j.y), j.z) for j in plain]
         with_copies = self.frame.withColumns({q: F.col(c) for c, q in copy.items()})
-        maps, axis, offset = self._map(n_perm)
-        both = with_copies.withColumn("perm", F.lit(-1)).unionByName(permuted(with_copies, list(copy.values()), maps, axis, offset))
+        both = with_copies.withColumn("perm", F.lit(-1)).unionByName(permuted(with_copies, list(copy.values()), self._surrogates(n_perm)))
         got = self.estimator.evaluate(both, moved)
         return np.array([got[k, -1] for k in range(len(plain))]), np.array([[got[k, p] for p in range(n_perm)] for k in range(len(plain))])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.discrete import pmf
 from tidewire.operators.embedding import column, lag_embed
-from tidewire.operators.permutation import permuted, sample_map
+from tidewire.operators.permutation import Surrogates, permuted
 from tidewire.operators.significance import check_n_perm, p_value
 
 Antichain = tuple[tuple[int, ...], ...]
@@ -257,7 +257,6 @@ def against_surrogates(series: DataFrame, target: int, sources: Sequence[int], n
     All permutations are decomposed in one grouped job.
     """
     check_n_perm(n_perm, alpha)
-    spark = series.sparkSession
     most = max([*(lags or [1] * len(sources)), 0])
     embedding = [(target, 0), *zip(sources, lags or [1] * len(sources), strict=True)]
     names = dict(zip(map(column, embedding), ("t", "s1", "s2"), strict=True))
@@ -265,10 +264,10 @@ def against_surrogates(series: DataFrame, target: int, sources: Sequence[int], n
     rows = wide.select("repl", "sample", *(F.col(c).cast("int").alias(n) for c, n in names.items())).cache()
     n = rows.agg(F.max("sample")).first()[0] - most + 1
     observed = decompose_two(rows.drop("repl", "sample")).select("unq_s1", "unq_s2", "shd_s1_s2", "syn_s1_s2")
-    maps = sample_map(spark, n, n_perm, seed)
+    draws = Surrogates(n, n_perm, seed, offset=most)
     tables = None
     for under, atoms in (("s1", ["unq_s1"]), ("s2", ["unq_s2"]), ("t", ["shd_s1_s2", "syn_s1_s2"])):
-        moved = permuted(rows, [under], maps, "sample", most).select("perm", "s1", "s2", "t")
+        moved = permuted(rows, [under], draws).select("perm", "s1", "s2", "t")
         each = F.array(*(F.struct(F.lit(a).alias("atom"), F.col(a).alias("s")) for a in atoms))
         part = decompose_two(moved, ["perm"]).select("perm", F.explode(each).alias("e")).select("perm", "e.*")
         tables = part if tables is None else tables.unionByName(part)

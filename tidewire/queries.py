@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidewire.functions import bijection
 from tidewire.functions.scalar import equal_width, max_entropy, psi, radix, standardise
 from tidewire.operators import discrete, gaussian, knn, permutation, significance
 from tidewire.operators.embedding import column, lag_embed, realisations
@@ -325,45 +326,64 @@ def _(spark, sf_dir):
 
 # ---- surrogates -----------------------------------------------------------------------------
 
-_GRID = f"grid2 AS (SELECT CAST(p AS INTEGER) AS perm, CAST(i AS INTEGER) AS i, md5(concat_ws('|', '{SEED}', p, i)) AS h FROM unnest(range(0, {PERMS})) a(p), unnest(range(0, {{n}})) b(i))"
 
 
-def _map_sql(width: str, n: str) -> str:
-    return f"{_GRID.format(n=n)}, moved AS (SELECT perm, CAST((i // {width}) * {width} + row_number() OVER (PARTITION BY perm, i // {width} ORDER BY h, i) - 1 AS INTEGER) AS i, i AS src FROM grid2)"
+def _mixed_sql(h: str) -> str:
+    for _ in range(2):
+        h = f"((xor({h}, ({h}) >> 16) * {bijection.FACTOR}) & {bijection.MASK})"
+    return h
 
 
-@query("permutation_random", f"WITH {_map_sql('24', '24')} SELECT perm, i, src FROM moved")
-def _(spark, sf_dir):
-    return permutation.sample_map(spark, 24, PERMS, SEED)
+def _key_sql(*parts: str) -> str:
+    """A key from SEED and columns; every part has to be a column's name or a number."""
+    out = str(bijection.mixed_number(SEED))
+    for p in parts:
+        out = _mixed_sql(f"(({out} + {p} + 1) & {bijection.MASK})")
+    return out
 
 
-@query("permutation_local", f"WITH {_map_sql('5', '24')} SELECT perm, i, src FROM moved")
-def _(spark, sf_dir):
-    return permutation.sample_map(spark, 24, PERMS, SEED, permutation.Permutation("local", perm_range=5))
+def _turns_sql(x: str) -> str:
+    high, low = _mixed_sql("xor(e >> 1, x % b)"), _mixed_sql("xor(e >> 1, x // b)")
+    return f"list_reduce(ks, lambda x, e: CASE WHEN e % 2 = 1 THEN ((x // b + {high}) % a) * b + x % b ELSE (x // b) * b + (x % b + {low}) % b END, {x})"
 
 
-@query(
-    "permutation_circular",
-    f"""WITH s AS (SELECT CAST(p AS INTEGER) AS perm, CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', p)), 1, 12)) AS BIGINT) % 10 + 1 AS shift FROM unnest(range(0, {PERMS})) a(p))
-    SELECT perm, CAST(i AS INTEGER) AS i, CAST((i - shift + 24) % 24 AS INTEGER) AS src FROM s, unnest(range(0, 24)) b(i)""",
-)
-def _(spark, sf_dir):
-    return permutation.sample_map(spark, 24, PERMS, SEED, permutation.Permutation("circular", max_shift=10))
+def _moved_sql(n: str, width: int | None = None, name: str = "moved") -> str:
+    """Tables that end with ``name`` (perm, i, src): item src takes place i of all n, or of its window of ``width``."""
+    window = f"src // {width}" if width else "0"
+    key = _key_sql("perm", "w") if width else _key_sql("perm")
+    round_key = _mixed_sql(f"((key + r * {bijection.APART}) & {bijection.MASK})")
+    return f"""{name}_g AS (SELECT perm, src, w, w * {width or 0} AS first, {f"least({width}, n - w * {width})" if width else "n"} AS size FROM (
+        SELECT CAST(p AS BIGINT) AS perm, CAST(j AS BIGINT) AS src, CAST({window.replace("src", "j")} AS BIGINT) AS w, CAST({n} AS BIGINT) AS n FROM unnest(range(0, {PERMS})) x(p), unnest(range(0, {n})) y(j))),
+    {name}_k AS (SELECT perm, src, first, size, a, CAST(ceil(size / a) AS BIGINT) AS b, list_transform(range(1, {bijection.ROUNDS + 1}), lambda r: {round_key} * 2 + r % 2) AS ks
+        FROM (SELECT *, {key} AS key, CAST(ceil(sqrt(size)) AS BIGINT) AS a FROM {name}_g)),
+    {name} AS (SELECT CAST(perm AS INTEGER) AS perm, CAST(first + list_reduce(range(1, {bijection.STEPS + 1}), lambda y, t: CASE WHEN y < size THEN y ELSE {_turns_sql("y")} END, {_turns_sql("src - first")}) AS INTEGER) AS i, CAST(src AS INTEGER) AS src FROM {name}_k)"""
 
 
-@query(
+_SLICE = "SELECT m.perm, s.repl, m.i AS sample, round(s.value, 8) + 0.0 AS value FROM moved m JOIN series s ON s.sample = m.src AND s.proc = 1"
+
+
+def _slices(how: permutation.Permutation) -> Query:
+    return lambda spark, sf_dir: permutation.slice_surrogates(views.daily_series(spark, sf_dir), 1, permutation.Surrogates(24, PERMS, SEED, how))
+
+
+query("permutation_random", f"WITH {_DAILY}, {_moved_sql('24')} {_SLICE}")(_slices(permutation.Permutation()))
+query("permutation_local", f"WITH {_DAILY}, {_moved_sql('24', 5)} {_SLICE}")(_slices(permutation.Permutation("local", perm_range=5)))
+query(
+    "permutation_circular",
+    f"WITH {_DAILY}, moved AS (SELECT CAST(p AS INTEGER) AS perm, CAST(j AS INTEGER) AS src, CAST((j + {_key_sql('p')} % 10 + 1) % 24 AS INTEGER) AS i FROM unnest(range(0, {PERMS})) a(p), unnest(range(0, 24)) b(j)) {_SLICE}",
+)(_slices(permutation.Permutation("circular", max_shift=10)))
+query(
     "permutation_block",
-    f"""WITH {_GRID.format(n="7")},
-    o AS (SELECT perm, i, i // 3 AS w, row_number() OVER (PARTITION BY perm, i // 3 ORDER BY h, i) AS r, least(4, 26 - i * 4) AS size FROM grid2),
-    b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY perm ORDER BY w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM o)
-    SELECT perm, CAST(begin + k AS INTEGER) AS i, CAST(i * 4 + k AS INTEGER) AS src FROM b, unnest(range(0, size)) t(k)""",
-)
-def _(spark, sf_dir):
-    return permutation.sample_map(spark, 26, PERMS, SEED, permutation.Permutation("block", block_size=4, perm_range=3))
+    f"""WITH {_DAILY}, {_moved_sql('5', 3, 'blocks')},
+    moved AS (
+        SELECT b.perm, CAST(j AS INTEGER) AS src, CAST(b.i * 5 + j % 5 - CASE WHEN b.src // 3 = 1 AND b.i > e.i THEN 1 ELSE 0 END AS INTEGER) AS i
+        FROM blocks b JOIN blocks e ON e.perm = b.perm AND e.src = 4 JOIN (SELECT unnest(range(0, 24)) AS j) ON j // 5 = b.src
+    ) {_SLICE}""",
+)(_slices(permutation.Permutation("block", block_size=5, perm_range=3)))
 
 
 _TESTED = f"""{_BINNED},
-{_map_sql('100000', '(SELECT max(sample) FROM bins)')},
+{_moved_sql('(SELECT max(sample) FROM bins)')},
 now AS (SELECT y.proc AS target, y.sample, y.value AS y, w.value AS w FROM bins y JOIN bins w ON w.proc = y.proc AND w.sample = y.sample - 1),
 past AS (SELECT proc AS source, sample + 1 AS sample, value AS x FROM bins),
 both_ AS (
@@ -381,9 +401,9 @@ def surrogate_te(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     bins = hourly_bins(spark, sf_dir)
     pairs = discrete.pair_table(bins, (1,)).select("source", "target", "repl", "sample", "x", "y", "w")
     n = bins.agg(F.max("sample")).first()[0]
-    maps = permutation.sample_map(spark, n, PERMS, SEED).select("perm", (F.col("i") + 1).alias("sample"), (F.col("src") + 1).alias("from"))
-    past = bins.select(F.col("proc").alias("source"), "repl", (F.col("sample") + 1).alias("from"), F.col("value").alias("x"))
-    moved = pairs.drop("x").join(maps, "sample").join(past, ["source", "repl", "from"])
+    past = bins.where(F.col("sample") < n).select(F.col("proc").alias("source"), "repl", (F.col("sample") + 1).alias("sample"), F.col("value").alias("x"))
+    now = discrete.history(bins, 1).select(F.col("proc").alias("target"), "repl", "sample", "y", F.col("h1").alias("w"))
+    moved = now.join(permutation.moved(past, permutation.Surrogates(n, PERMS, SEED, offset=1)), ["repl", "sample"]).where("source <> target")
     keys = ["perm", "source", "target"]
     return discrete.cmi(pairs, ["x"], ["y"], ["w"], ["source", "target"], "stat"), discrete.cmi(moved, ["x"], ["y"], ["w"], keys, "stat").select(*keys, "stat")
 
@@ -550,23 +570,40 @@ def _(spark, sf_dir):
     return pid.decompose(pid.sources_frame(hourly_bins(spark, sf_dir), 3, [0, 1, 2]), 3)
 
 
+query("slice_surrogates", f"WITH {_DAILY}, {_moved_sql('24')} {_SLICE}")(_slices(permutation.Permutation()))
+
+
 @query(
-    "slice_surrogates",
-    f"""WITH {_DAILY}, {_map_sql('24', '24')}
-    SELECT m.perm, s.repl, m.i AS sample, round(s.value, 8) + 0.0 AS value FROM moved m JOIN series s ON s.sample = m.src AND s.proc = 1""",
+    "swapped_replications",
+    f"""WITH {_DAILY},
+    half AS (SELECT (max(repl) + 1) // 2 AS h FROM series),
+    two AS (SELECT CAST(repl // h AS INTEGER) AS g, repl % h AS i, proc, sample, value FROM series, half WHERE repl < 2 * h),
+    dealt AS (SELECT CAST(p AS INTEGER) AS perm, CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', p, i)), 1, 8)) AS BIGINT) % 2 = 1 THEN 1 - g ELSE g END AS g, proc, sample, value FROM two, unnest(range(0, {PERMS})) a(p))
+    SELECT perm, CAST(g AS INTEGER) AS group_id, proc, count(*) AS n, round(avg(value), 8) + 0.0 AS mean FROM dealt GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    return permutation.slice_surrogates(views.daily_series(spark, sf_dir), 1, permutation.sample_map(spark, 24, PERMS, SEED))
+    """The first and the second half of the days as two conditions: the processes' means under swaps of paired days."""
+    days = views.daily_series(spark, sf_dir)
+    h = (days.agg(F.max("repl")).first()[0] + 1) // 2
+    two = days.where(F.col("repl") < 2 * h).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMS - 1))))
+    dealt = permutation.with_swapped(two, F.floor(F.col("repl") / h).cast("int"), F.col("repl") % h, F.col("perm"), h, SEED, True)
+    return dealt.groupBy("perm", F.col("new_group").alias("group_id"), "proc").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
 @query(
-    "swapped_replications",
-    f"""SELECT CAST(p AS INTEGER) AS perm, CAST(g AS INTEGER) AS group_id, CAST(i AS INTEGER) AS i,
-        CAST(CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', p, i)), 1, 8)) AS BIGINT) % 2 = 1 THEN 1 - g ELSE g END AS INTEGER) AS from_group, CAST(i AS INTEGER) AS src
-    FROM unnest(range(0, {PERMS})) a(p), unnest(range(0, 30)) b(i), unnest(range(0, 2)) c(g)""",
+    "dealt_replications",
+    f"""WITH {_DAILY},
+    half AS (SELECT (max(repl) + 1) // 2 AS h FROM series),
+    {_moved_sql('(SELECT 2 * h FROM half)')}
+    SELECT m.perm, CAST(m.i // h AS INTEGER) AS group_id, proc, count(*) AS n, round(avg(value), 8) + 0.0 AS mean FROM series JOIN moved m ON m.src = repl, half GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    return permutation.swapped_replications(spark, 30, PERMS, SEED, True)
+    """The same with days dealt anew to both conditions."""
+    days = views.daily_series(spark, sf_dir)
+    h = (days.agg(F.max("repl")).first()[0] + 1) // 2
+    two = days.where(F.col("repl") < 2 * h).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMS - 1))))
+    dealt = permutation.with_swapped(two, F.floor(F.col("repl") / h).cast("int"), F.col("repl") % h, F.col("perm"), h, SEED, False)
+    return dealt.groupBy("perm", F.col("new_group").alias("group_id"), "proc").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
 @query(
