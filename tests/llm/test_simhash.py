@@ -201,3 +201,39 @@ def test_near_stage_links_by_the_fingerprint_index(documents, monkeypatch):
             if x.count(0) >= 9 and int.from_bytes(x, "little").bit_count() <= near.most_bits:
                 assert find(a) == find(b)
         assert len({find(n) for n in f}) <= 33
+
+
+def thue_morse(order):
+    word = "a"
+    for _ in range(order):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(documents):
+    one = thue_morse(10)
+    other = one.translate(str.maketrans("ab", "ba"))
+    apart = [one, other, "quite other words", " ".join(one), " ".join(other)]
+    frame = "six other words stand on each"
+    rows = list(enumerate(apart + [f"{frame} {t} {frame}" for t in (one, other)]))
+    # the two sets of single letters hold the same shingles: Thue-Morse words have the factors of their complements
+    assert shingles(apart[3]) == shingles(apart[4])
+    assert {r["doc_id"] for r in simhash.near_dedup(documents(rows)).collect()} == {0, 1, 2, 3, 5, 6}
+
+
+def test_sequence_hashes_tell_sequences_apart():
+    rng = random.Random(3)
+    texts = [("".join(rng.choice("ab") for _ in range(rng.randint(1, 90))) + " ") * rng.randint(1, 3) for _ in range(3_000)] + ["a" * n for n in range(1, 140)] + ["\x00" * n for n in range(1, 70)] + ["a\x00", "a", "a\x00\x00"]
+    w = jaccard.Words([t.encode() for t in texts])
+    values = w.word_values()
+    words = [t for text in texts for t in text.split(" ") if t]
+    assert len(words) == len(values)
+    seen = {}
+    for word, v in zip(words, values.tolist(), strict=True):
+        assert seen.setdefault(word, v) == v
+    assert len(set(seen.values())) == len(seen)
+    at = np.arange(len(w) - 2)
+    triples = {}
+    for k, h in zip(at.tolist(), w.sequence_hashes(values, at, 3).tolist(), strict=True):
+        assert triples.setdefault(tuple(words[k : k + 3]), h) == h
+    assert len(set(triples.values())) == len(triples)

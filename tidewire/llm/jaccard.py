@@ -1,8 +1,8 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles: pairs that fingerprints
 link (``simhash``) are verified, and a join by prefixes finds what they leave.
 
-A text is the set of its shingles' 64-bit hashes, and texts with equal sets are one
-node.  All sets are put in one order, shingles that are frequent in a sample last
+A text is the set of its shingles' 64-bit hashes (``Words.sequence_hashes``; the hashes
+decide, shingles aren't compared beyond them), and texts with equal sets are one node.  All sets are put in one order, shingles that are frequent in a sample last
 (the sample decides on speed, never on results).  Two sets of similarity 0.8 or more
 share at least ``wanted`` hashes among the first ``prefix`` of each, so postings are
 kept for prefixes only and no link is lost.  Nodes that are in enough lists with
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import LOWER, pieces, texts, written
 from tidewire.llm.components import components
-from tidewire.llm.words import Hasher, Words
+from tidewire.llm.words import Words
 
 #: Documents and hashes that decide which shingles count as frequent.
 SAMPLE_DOCS = 20_000
@@ -65,16 +65,16 @@ def prefix(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n - -(-4 * n // 5) + wanted(n))
 
 
-def shingle_sets(batch: list[bytes], shingle: int, hasher: Hasher) -> list[np.ndarray]:
+def shingle_sets(batch: list[bytes], shingle: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles."""
-    w = Words([t.translate(LOWER) for t in batch], hasher)
-    out = []
+    w = Words([t.translate(LOWER) for t in batch])
+    values, out = w.word_values(), []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if a == b:
             out.append(np.zeros(0, dtype=np.int64))
             continue
         size = min(shingle, b - a)
-        out.append(np.unique(w.hashes(np.arange(a, b - size + 1), size).view(np.int64)))
+        out.append(np.unique(w.sequence_hashes(values, np.arange(a, b - size + 1), size).view(np.int64)))
     return out
 
 
@@ -82,10 +82,9 @@ def _each_set(shingle: int, names: list[str], rows_of: Callable) -> Callable:
     """rows_of(ids, sets, nodes) gives the columns of one piece of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
-                sets = shingle_sets(texts(part.column("text")), shingle, hasher)
+                sets = shingle_sets(texts(part.column("text")), shingle)
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows_of(part.column("doc_id"), sets, nodes)], names)
 

@@ -3,15 +3,26 @@
 A word is a run of bytes other than space and 0x09 to 0x0D.  The words of a
 batch are laid out with one space after each; prefix sums of a polynomial hash
 (random byte values, arithmetic modulo 2**64) then give the hash of any sequence
-of words from two look-ups, in numpy throughout.
+of words from two look-ups, in numpy throughout.  Long sequences of a certain build
+collide in it whatever the base, so it serves to look for candidates alone.
+``sequence_hashes`` tell sequences apart: a word's bytes, eight at a time, and then the
+words' values go one by one into a state that a bijection mixes after each, so that
+what collides does so by chance, at one in 2**64.
+
+Defined cases: texts without words have no sequence; words that repeat, and equal
+sequences, have equal hashes wherever they stand; no text is too long.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from tidewire.llm.common import IS_SPACE
 
+#: Bytes of words that are hashed in numpy; longer ones are hashed one by one.
+LONG_WORD = 64
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20_240_501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,6 +87,29 @@ class Words:
         s, e = self.starts[at], self.ends[at + length - 1]
         return mix((self.prefix[e] - self.prefix[s]) * self.down[s])
 
+    def word_values(self) -> np.ndarray:
+        """A 64-bit value of each word."""
+        size = self.ends - self.starts
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray((len(self.data),), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+        out = mix(size.astype(np.uint64) * np.uint64(_BASE))
+        for done in range(0, LONG_WORD, 8):
+            at = np.flatnonzero(size > done)
+            if not len(at):
+                break
+            beyond = np.maximum(8 - (size[at] - done), 0).astype(np.uint64) * np.uint64(8)
+            out[at] = mix(out[at] ^ (eight[self.starts[at] + done] << beyond)) + np.uint64(1)
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes())
+        return out
+
+    def sequence_hashes(self, values: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        """Of the ``length`` words from each word of ``at`` on, by the words' values."""
+        out = np.full(len(at), mix(np.array([length], dtype=np.uint64))[0], dtype=np.uint64)
+        for k in range(length):
+            out = mix(out ^ values[at + k]) + np.uint64(1)
+        return out
+
     def within(self, at: np.ndarray, length: int) -> np.ndarray:
         """Whether ``length`` words from each word of ``at`` on are of one text."""
         last = at + length - 1
