@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def mixed(h: Column) -> Column:
     return h
 
 
-def mixed_number(h: int) -> int:
+def mixed_number(h: int | np.ndarray) -> int | np.ndarray:
     for _ in range(2):
         h = ((h ^ h >> 16) * FACTOR) & MASK
     return h
@@ -85,3 +86,30 @@ def bijection(i: Column, n: int | Column, key: Column) -> Column:
 def with_bijection(df: DataFrame, out: str, i: Column, n: int | Column, key: Column) -> DataFrame:
     """``df`` with the place below n of each i below n."""
     return df.withColumn(out, bijection(i, n, key))
+
+
+def places(i: np.ndarray, n: int, key: np.ndarray | int) -> np.ndarray:
+    """The same bijection in numpy, for tasks that hold arrays anyway; a key for all, or one for each i."""
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = max(1, -(-n // a))
+    i, key = np.broadcast_arrays(np.asarray(i, dtype=np.int64), np.asarray(key, dtype=np.int64))
+    keys = [mixed_number((key.ravel() + r * APART) & MASK) for r in range(1, ROUNDS + 1)]
+
+    def walk(x: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        for r, e in enumerate(keys, 1):
+            high, low = x // b, x % b
+            x = (high + mixed_number(e[at] ^ low)) % a * b + low if r % 2 else high * b + (low + mixed_number(e[at] ^ high)) % b
+        return x
+
+    x = walk(i.ravel(), slice(None))
+    while len(at := np.flatnonzero(x >= n)):
+        x[at] = walk(x[at], at)
+    return x.reshape(i.shape)
+
+
+def key_number(seed: int, *parts: np.ndarray | int) -> np.ndarray | int:
+    """``key_of`` in numpy."""
+    key = mixed_number(seed & MASK)
+    for p in parts:
+        key = mixed_number((key + p + 1) & MASK)
+    return key

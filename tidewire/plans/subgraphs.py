@@ -1,20 +1,39 @@
 """Significant subgraph mining between two groups of graphs.
 
-Graphs are rows (group_id, subject, link_id).  A subgraph is a set of links; the
-sets that enough subjects have are found level by level, by joining the subjects of
-a set with their further links, so candidates are never compared with all graphs.
+Graphs are rows (group_id, subject, link_id).  A subgraph is a set of links.  Sets are
+enumerated in parts: which of the ``SPLIT`` most frequent links a set holds names its
+part, and a part's task gets the graphs that hold those, with their other links as
+bits over graphs.  A set grows by later links; the bits of its graphs are the bits of
+what it grew from and the new link's, and a set that too few graphs hold is not grown,
+as no larger one is held by more.  So sets of any size are found, each in one task, and
+no list of occurrences is ever made.
+
+Tarone's factor needs the number of sets for each count alone, which tasks sum up.
+Westfall and Young's level needs the smallest p-value of each permutation: a task
+multiplies the bits of a set with those of all permuted groups, and leaves out sets
+whose smallest possible p-value is beyond the level that its permutations have reached
+so far, as these can't change the level.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.scalar import keyed
+from tidewire.functions.bijection import MASK, key_number, mixed_number, places
+from tidewire.functions.ranks import numbered
 from tidewire.functions.special import binomial_pmf, hypergeometric_pmf
+from tidewire.sources.shared import kept
+
+#: Links that name the parts (2**SPLIT tasks at most); sets that a task hands over together; bits of permuted groups that it holds.
+SPLIT, ROWS_AT_ONCE, LABEL_BITS = 6, 1 << 14, 1 << 29
+#: Places of graphs that a task works out together.
+LABELS_AT_ONCE = 1 << 19
 
 DESIGNS, METHODS = ("between", "within"), ("Hommel", "Tarone", "Westfall-Young")
 
@@ -50,6 +69,93 @@ def p_of(design: str, n_a: int, n_b: int, in_a: int, occurrences: int) -> float:
     return 2 * min(left, right)
 
 
+def p_values(design: str, n_a: int, n_b: int, total: int) -> np.ndarray:
+    """``p_of`` for every in_a from 0 to total (1 for tables that can't be)."""
+    k = np.arange(total + 1)
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    if design == "within":
+        pmf = np.exp(math.lgamma(total + 1) - lg(k + 1) - lg(total - k + 1) - total * math.log(2))
+        return 2 * np.minimum(np.cumsum(pmf[::-1])[::-1], pmf)
+    n = n_a + n_b
+    if n_a == n_b:
+        t = min(total, n - total)
+        a = np.clip(n_a - k if total > n // 2 else k, 0, t)
+        a = np.maximum(a, t - a)
+    else:
+        t, a = total, k
+    j = np.arange(t + 1)
+    can = (j <= n_a) & (t - j <= n_b)
+    log = np.full(t + 1, -np.inf)
+    log[can] = math.lgamma(t + 1) + math.lgamma(n - t + 1) + math.lgamma(n_a + 1) + math.lgamma(n_b + 1) - math.lgamma(n + 1) - lg(j[can] + 1) - lg(t - j[can] + 1) - lg(n_a - j[can] + 1) - lg(n_b - t + j[can] + 1)
+    pmf = np.exp(log)
+    p = 2 * np.minimum(np.cumsum(pmf), np.cumsum(pmf[::-1])[::-1])[a]
+    if n_a == n_b and t % 2:
+        p[a == (t + 1) // 2] = 1.0
+    return p
+
+
+class _Part:
+    """The sets of one part: bits of the graphs of each group that hold each link, over graphs (pairs of them within subjects)."""
+
+    def __init__(self, table: pa.Table, design: str, least: int, most_links: int | None) -> None:
+        self.design, self.least, self.most_links = design, least, most_links
+        self.fixed = sorted(table["fixed"][0].as_py())
+        group, self.subject = table["group_id"].to_numpy(), table["number"].to_numpy()
+        unit = np.unique(self.subject, return_inverse=True)[1]
+        self.units = np.unique(self.subject)
+        words = -(-len(self.units) // 64)
+        rest = table["rest"].combine_chunks()
+        link = rest.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(group)), np.diff(rest.offsets.to_numpy()))
+        self.links, which = np.unique(link, return_inverse=True)
+
+        def bits(rows: np.ndarray, lines: np.ndarray, many: int) -> np.ndarray:
+            out = np.zeros((many, words), dtype=np.uint64)
+            np.bitwise_or.at(out, (lines, unit[rows] // 64), np.uint64(1) << (unit[rows] % 64).astype(np.uint64))
+            return out
+
+        self.base, self.planes = [], []
+        for g in (0, 1):
+            mine = np.flatnonzero(group == g)
+            self.base.append(bits(mine, np.zeros(len(mine), dtype=int), 1)[0])
+            own = group[row] == g
+            self.planes.append(bits(row[own], which[own], len(self.links)))
+
+    def counts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """in_a, total and occurrences of rows of bits."""
+        pop = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        if self.design == "between":
+            in_a, in_b = pop(a), pop(b)
+            return in_a, in_a + in_b, in_a + in_b
+        return pop(a & ~b), pop(a ^ b), pop(a) + pop(b)
+
+    def sets(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Sets that grow from one: its links, and for each new link its place, bits of both groups, in_a, total."""
+        a, b = self.base
+        in_a, total, held = self.counts(a[None], b[None])
+        if held[0] < self.least:
+            return
+        if self.fixed:
+            yield self.fixed, np.array([-1]), a[None], b[None], in_a, total
+        todo = [(self.fixed, -1, a, b)]
+        while todo:
+            links, last, a, b = todo.pop()
+            later = np.arange(last + 1, len(self.links))
+            if not len(later) or self.most_links is not None and len(links) >= self.most_links:
+                continue
+            new_a, new_b = self.planes[0][later] & a, self.planes[1][later] & b
+            in_a, total, held = self.counts(new_a, new_b)
+            on = held >= self.least
+            if not on.any():
+                continue
+            later, new_a, new_b, in_a, total = later[on], new_a[on], new_b[on], in_a[on], total[on]
+            yield links, later, new_a, new_b, in_a, total
+            todo += [([*links, int(self.links[k])], int(k), x, y) for k, x, y in zip(later, new_a, new_b, strict=True)]
+
+    def named(self, links: list[int], k: int) -> list[int]:
+        return sorted(links if k < 0 else [*links, int(self.links[k])])
+
+
 class SubgraphMining:
     """Mining of the graphs of two groups, ``a`` (group_id 0) and ``b`` (group_id 1)."""
 
@@ -58,66 +164,79 @@ class SubgraphMining:
             raise ValueError(f"unknown design {design!r}")
         if design == "within" and n_a != n_b:
             raise ValueError("paired groups are of one size")
-        self.graphs = graphs.select("group_id", "subject", "link_id").distinct()
         self.n_a, self.n_b, self.alpha, self.design, self.most_links = n_a, n_b, alpha, design, most_links
         self.spark: SparkSession = graphs.sparkSession
-        self._found: dict[int, DataFrame] = {}
-        self._held: list[DataFrame] = []
+        by = ["subject"] if design == "within" else ["group_id", "subject"]
+        rows = graphs.select("group_id", "subject", F.col("link_id").cast("int").alias("link_id")).distinct()
+        people = numbered(rows.select(*by).distinct(), by, "number")
+        self.graphs = kept(rows.join(people, by).groupBy("group_id", "number").agg(F.sort_array(F.collect_list("link_id")).alias("links")), "graphs")
 
     @property
     def most(self) -> int:
         return self.n_a if self.design == "within" else self.n_a + self.n_b
 
-    def _totals(self, rows: DataFrame) -> DataFrame:
-        """links, in_a, total: occurrences by group, or pairs that differ and those of them where a has the subgraph."""
-        if self.design == "between":
-            return rows.groupBy("links").agg(F.count_if(F.col("group_id") == 0).alias("in_a"), F.count("*").alias("total"))
-        pairs = rows.groupBy("links", "subject").agg(F.count_if(F.col("group_id") == 0).alias("a"), F.count_if(F.col("group_id") == 1).alias("b"))
-        return pairs.groupBy("links").agg(F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("in_a"), F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("total"))
-
-    def occurrences(self, least: int) -> DataFrame:
-        """links, group_id, subject of every subgraph with at least ``least`` occurrences."""
-        if least in self._found:
-            return self._found[least]
-        single = self.graphs.select(F.array("link_id").alias("links"), "group_id", "subject")
-        level, out, size = self._frequent(single, least), None, 1
-        while level is not None:
-            out = level if out is None else out.unionByName(level)
-            if self.most_links is not None and size >= self.most_links:
-                break
-            more = self.graphs.select("group_id", "subject", F.col("link_id").alias("__more"))
-            grown = level.join(more, ["group_id", "subject"]).where(F.col("__more") > F.element_at("links", -1))
-            level = self._frequent(grown.select(F.concat("links", F.array("__more")).alias("links"), "group_id", "subject"), least)
-            size += 1
-        self._found[least] = out if out is not None else single.limit(0)
-        return self._found[least]
-
-    def _frequent(self, rows: DataFrame, least: int) -> DataFrame | None:
-        """Rows of the subgraphs that occur often enough.  Pairs that differ don't shrink with the graph, so within subjects all occurrences count."""
-        if least > 1:
-            kept = rows.groupBy("links").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("links")
-            rows = rows.join(kept, "links", "left_semi")
-        out = rows.cache()
-        self._held.append(out)
-        return None if out.isEmpty() else out
+    def _parts(self) -> DataFrame:
+        """group_id, number, rest, fixed: each graph in the parts of all subsets of its frequent links."""
+        top = [r[0] for r in self.graphs.select(F.explode("links").alias("l")).groupBy("l").count().orderBy(F.desc("count"), "l").limit(SPLIT).collect()]
+        mine = F.filter("links", lambda x: x.isin(top)) if top else F.array().cast("array<int>")
+        empty = F.array(F.array().cast("array<int>"))
+        subsets = F.aggregate(mine, empty, lambda found, x: F.concat(found, F.transform(found, lambda s: F.concat(s, F.array(x)))))
+        return self.graphs.select("group_id", "number", F.array_except("links", F.lit(top).cast("array<int>") if top else F.array().cast("array<int>")).alias("rest"), F.explode(subsets).alias("fixed"))
+
+    def _each_part(self, least: int, kernel: Callable, schema: str) -> DataFrame:
+        design, most_links = self.design, self.most_links
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = _Part(pa.Table.from_batches(batches), design, least, most_links)
+            if most_links is None or len(part.fixed) <= most_links:
+                yield from kernel(part)
+
+        return self._parts().groupBy("fixed").applyInArrow(run, schema)
+
+    def _tables(self) -> Callable[[int], tuple[np.ndarray, float]]:
+        """p-values by in_a, and the smallest one, for a total; worked out once in a task."""
+        design, n_a, n_b = self.design, self.n_a, self.n_b
+        known: dict[int, tuple[np.ndarray, float]] = {}
+
+        def table(total: int) -> tuple[np.ndarray, float]:
+            if total not in known:
+                known[total] = p_values(design, n_a, n_b, total), min_p(design, n_a, n_b, total)
+            return known[total]
+
+        return table
+
+    def counted(self, least: int = 1, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+        """links, in_a, total, p_value, min_p of the sets with at least ``least`` occurrences (those that ``keep`` takes by p_value and min_p)."""
+        tables = self._tables()
+
+        def rows(part: _Part) -> Iterator[pa.RecordBatch]:
+            own: list[tuple] = []
+            for links, later, _, _, in_a, total in part.sets():
+                p, low = (np.array([tables(t)[which][i] if which == 0 else tables(t)[1] for i, t in zip(in_a.tolist(), total.tolist(), strict=True)]) for which in (0, 1))
+                for k in np.flatnonzero(keep(p, low)) if keep else range(len(later)):
+                    own.append((part.named(links, int(later[k])), int(in_a[k]), int(total[k]), float(p[k]), float(low[k])))
+                if len(own) >= ROWS_AT_ONCE:
+                    yield _counted_batch(own)
+                    own = []
+            yield _counted_batch(own)
+
+        return self._each_part(least, rows, "links array<int>, in_a long, total long, p_value double, min_p double")
 
     def totals(self, least: int = 1) -> DataFrame:
         """links, in_a, total."""
-        return self._totals(self.occurrences(least))
-
-    def close(self) -> None:
-        """Release the levels that are held."""
-        for held in self._held:
-            held.unpersist()
-        self._held, self._found = [], {}
-
-    def counted(self, least: int = 1) -> DataFrame:
-        """links, in_a, total, p_value, min_p."""
-        totals = self.totals(least)
-        pairs = totals.select("in_a", "total").distinct().collect()  # at most (n_a + 1) (n_a + n_b + 1) rows
-        rows = [(a, t, p_of(self.design, self.n_a, self.n_b, a, t), min_p(self.design, self.n_a, self.n_b, t)) for a, t in pairs]
-        table = self.spark.createDataFrame(rows, "in_a long, total long, p_value double, min_p double")
-        return totals.join(F.broadcast(table), ["in_a", "total"]).select("links", "in_a", "total", "p_value", "min_p")
+        return self.counted(least).select("links", "in_a", "total")
+
+    def histogram(self, least: int = 1) -> dict[int, int]:
+        """Sets by total."""
+
+        def rows(part: _Part) -> Iterator[pa.RecordBatch]:
+            many: dict[int, int] = {}
+            for *_, total in part.sets():
+                for t, n in zip(*np.unique(total, return_counts=True), strict=True):
+                    many[int(t)] = many.get(int(t), 0) + int(n)
+            yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.int64()), pa.array(list(many.values()), pa.int64())], ["total", "n"])
+
+        return {r[0]: r[1] for r in self._each_part(least, rows, "total long, n long").groupBy("total").agg(F.sum("n")).collect()}
 
     def least_for(self, level: float) -> int:
         """The fewest occurrences with which a p-value can reach ``level``."""
@@ -125,10 +244,10 @@ class SubgraphMining:
 
     def tarone_factor(self) -> int:
         """The smallest k such that at most k subgraphs can reach alpha / k."""
-        found = self.counted(self.least_for(self.alpha)).groupBy("min_p").agg(F.count("*").alias("n")).collect()
+        found = [(min_p(self.design, self.n_a, self.n_b, t), n) for t, n in self.histogram(self.least_for(self.alpha)).items()]
 
         def testable(k: int) -> int:
-            return sum(r["n"] for r in found if r["min_p"] <= self.alpha / k)
+            return sum(n for p, n in found if p <= self.alpha / k)
 
         low, high = 1, max(1, testable(1))
         while low < high:
@@ -142,45 +261,81 @@ class SubgraphMining:
             raise ValueError(f"unknown method {method!r}")
         if method == "Westfall-Young":
             level = self.westfall_young_level(n_perm, seed)
-            return self.counted(self.least_for(max(level, 1e-300))).where(F.col("p_value") <= level).select("links", "p_value")
-        k = self.tarone_factor()
-        found = self.counted(self.least_for(self.alpha / k)).where(F.col("min_p") <= self.alpha / k)
+            return self.counted(self.least_for(max(level, 1e-300)), lambda p, low: p <= level).select("links", "p_value")
+        k, alpha = self.tarone_factor(), self.alpha
+        least = self.least_for(alpha / k)
         if method == "Tarone":
-            return found.where(F.col("p_value") * k <= self.alpha).select("links", "p_value")
-        return hommel(found, k, self.alpha)
+            return self.counted(least, lambda p, low: (low <= alpha / k) & (p * k <= alpha)).select("links", "p_value")
+        return hommel(self.counted(least, lambda p, low: low <= alpha / k), k, alpha)
 
     def westfall_young_level(self, n_perm: int, seed: int) -> float:
-        """The largest level at which the smallest p-values of permuted groups reach it in at most alpha of the cases."""
-        rows = self.occurrences(self.least_for(self.alpha))
-        perms = self.spark.range(n_perm).select(F.col("id").cast("int").alias("perm"))
-        people = self.graphs.select("group_id", "subject").distinct()
-        if self.design == "within":
-            swap = F.conv(F.substring(keyed(seed, "perm", "subject"), 1, 8), 16, 10).cast("long") % 2
-            dealt = perms.crossJoin(people).withColumn("new", F.when((swap == 1) & (F.col("perm") > 0), 1 - F.col("group_id")).otherwise(F.col("group_id")))
-        else:
-            # subjects without a link are in the groups too
-            empty_a = self.n_a - people.where("group_id = 0").count()
-            empty_b = self.n_b - people.where("group_id = 1").count()
-            blank = self.spark.createDataFrame([(0, -1 - k) for k in range(empty_a)] + [(1, -1 - k) for k in range(empty_b)], people.schema) if empty_a + empty_b else people.limit(0)
-            order = Window.partitionBy("perm").orderBy(keyed(seed, "perm", "group_id", "subject"), "group_id", "subject")
-            dealt = perms.crossJoin(people.unionByName(blank)).withColumn("new", F.when(F.col("perm") == 0, F.col("group_id")).otherwise((F.row_number().over(order) > self.n_a).cast("int")))
-        if self.design == "between":
-            counts = rows.join(dealt, ["group_id", "subject"]).groupBy("perm", "links").agg(F.count_if(F.col("new") == 0).alias("in_a"), F.count("*").alias("total"))
-        else:
-            single = rows.groupBy("links", "subject").agg(F.count("*").alias("n"), F.min("group_id").alias("group_id")).where("n = 1").drop("n")
-            counts = single.join(dealt, ["group_id", "subject"]).groupBy("perm", "links").agg(F.count_if(F.col("new") == 0).alias("in_a"), F.count("*").alias("total"))
-        pairs = counts.select("in_a", "total").distinct().collect()
-        table = self.spark.createDataFrame([(a, t, p_of(self.design, self.n_a, self.n_b, a, t)) for a, t in pairs], "in_a long, total long, p double")
-        least = counts.join(F.broadcast(table), ["in_a", "total"]).groupBy("perm").agg(F.min("p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
+        """The largest level at which the smallest p-values of permuted groups reach it in at most alpha of the cases; the first permutation is the groups as they are."""
+        tables, design, alpha, n_a, n = self._tables(), self.design, self.alpha, self.n_a, self.n_a + self.n_b
+        first_b = self.graphs.where("group_id = 0").agg(F.count("*")).first()[0] if design == "between" else 0
+
+        def smallest(part: _Part) -> Iterator[pa.RecordBatch]:
+            units, words = len(part.units), part.base[0].shape[0]
+            step = max(1, LABEL_BITS // max(1, 64 * words))
+            for begin in range(0, n_perm, step):
+                perms = np.arange(begin, min(n_perm, begin + step))
+                labels = _labels(part, perms, seed, design, n_a, n, first_b)
+                best, reached = np.full(len(perms), np.inf), np.inf
+                for _, later, a, b, _, total in part.sets():
+                    for k in range(len(later)):
+                        p, low = tables(int(total[k]))
+                        if low > reached:
+                            continue
+                        if design == "between":
+                            in_a = labels & (a[k] | b[k])
+                        else:  # a pair counts for a if its graph of a alone holds the set and isn't swapped, or the other way about
+                            in_a = (labels & (b[k] & ~a[k])) | (~labels & (a[k] & ~b[k]))
+                        own = p[np.bitwise_count(in_a).sum(axis=1, dtype=np.int64)]
+                        if (own < best).any():
+                            best = np.minimum(best, own)
+                            # in all, permutations reach what these alone reach in too many cases
+                            place = int(alpha * n_perm)
+                            reached = np.partition(best, place)[place] if place < len(best) else np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(perms, pa.int32()), pa.array(best)], ["perm", "p"])
+
+        found = self._each_part(self.least_for(self.alpha), smallest, "perm int, p double").groupBy("perm").agg(F.min("p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
         seen, level = 0, 0.0
-        for r in least:
+        for r in found:
             seen += r["n"]
-            if seen / n_perm > self.alpha:
+            if seen / n_perm > self.alpha or math.isinf(r["p"]):
                 break
             level = r["p"]
         return level
 
 
+def _counted_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["links", "in_a", "total", "p_value", "min_p"])
+
+
+def _labels(part: _Part, perms: np.ndarray, seed: int, design: str, n_a: int, n: int, first_b: int) -> np.ndarray:
+    """Bits over a part's graphs: in group a (swapped, for pairs), for each permutation; from a keyed bijection of all graphs' numbers."""
+    out = np.zeros((len(perms), part.base[0].shape[0] * 8), dtype=np.uint8)
+    units = part.units
+    # graphs of a come first, then what a lacks (graphs without links), then b
+    numbers = np.where(units < first_b, units, units - first_b + n_a)
+    step = max(1, LABELS_AT_ONCE // max(1, len(units)))
+    for at in range(0, len(perms), step):
+        own = perms[at : at + step, None]
+        if design == "between":
+            labels = np.where(own == 0, numbers, places(numbers, n, key_number(seed, own))) < n_a
+        else:
+            labels = np.where(own == 0, 0, mixed_bits(units, key_number(seed, own))) > 0
+        packed = np.packbits(labels, axis=1, bitorder="little")
+        out[at : at + step, : packed.shape[1]] = packed
+    return out.view("<u8")
+
+
+def mixed_bits(i: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A coin for each number."""
+    return mixed_number((mixed_number(key) + i + 1) & MASK) >> 13 & 1
+
+
 def hommel(found: DataFrame, k: int, alpha: float) -> DataFrame:
     """Hommel's level over the testable subgraphs; reported p-values are scaled by the correction."""
     rows = [(tuple(r["links"]), r["p_value"]) for r in found.select("links", "p_value").collect()]  # at most k rows
@@ -203,5 +358,5 @@ def links_of_results(networks: Sequence[DataFrame], group_id: int) -> DataFrame:
 
 def coded(links: DataFrame, columns: Sequence[str] = ("target", "source", "lag")) -> DataFrame:
     """``links`` with link_id: the rank of the link among all, from 0."""
-    order = links.select(*columns).distinct().withColumn("link_id", (F.row_number().over(Window.orderBy(*columns)) - 1).cast("int"))
+    order = numbered(links.select(*columns).distinct(), columns, "link_id").withColumn("link_id", F.col("link_id").cast("int"))
     return links.join(order, list(columns))

@@ -659,37 +659,61 @@ def _(spark, sf_dir):
     return comparison.between_groups(transition_shares(spark, sf_dir), PERMS, 0.2, "two", SEED).select("target", "source", "diff", "pval", "significant")
 
 
-_GRAPHS = f"{_STEPS}, graphs AS (SELECT DISTINCT CAST(user_id % 2 AS INTEGER) AS group_id, user_id AS subject, CAST(proc * 5 + next AS INTEGER) AS link_id FROM steps)"
+_GRAPHS = f"""{_EVENTS},
+day_steps AS (
+    SELECT subject, many, proc, next FROM (
+        SELECT user_id * 100000 + us // 86400000000 AS subject, proc, lead(proc) OVER (PARTITION BY user_id, us // 86400000000 ORDER BY us, event_id) AS next, count(*) OVER (PARTITION BY user_id, us // 86400000000) AS many FROM ev
+    ) WHERE next IS NOT NULL
+),
+graphs AS (SELECT DISTINCT CASE WHEN many < {views.BUSY} THEN 1 ELSE 0 END AS group_id, subject, CAST(proc * 5 + next AS INTEGER) AS link_id FROM day_steps),
+occurrences AS (
+    SELECT group_id, subject, [link_id] AS links FROM graphs
+    UNION ALL
+    SELECT o.group_id, o.subject, list_append(o.links, g.link_id) FROM occurrences o JOIN graphs g ON g.subject = o.subject AND g.link_id > o.links[-1]
+),
+counts AS (SELECT links, count(*) FILTER (group_id = 0) AS in_a, count(*) AS total FROM occurrences GROUP BY links)"""
 
 
-@query(
-    "subgraph_counts",
-    f"""WITH {_GRAPHS},
-    one AS (SELECT [link_id] AS links, count(*) FILTER (group_id = 0) AS in_a, count(*) AS total FROM graphs GROUP BY link_id),
-    two AS (SELECT [a.link_id, b.link_id] AS links, count(*) FILTER (a.group_id = 0) AS in_a, count(*) AS total FROM graphs a JOIN graphs b ON a.subject = b.subject AND a.link_id < b.link_id GROUP BY a.link_id, b.link_id)
-    SELECT array_to_string(links, ',') AS links, in_a, total FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""",
-)
+@query("subgraph_counts", f"WITH RECURSIVE {_GRAPHS} SELECT array_to_string(links, ',') AS links, in_a, total FROM counts")
 def _(spark, sf_dir):
-    mining = subgraphs.SubgraphMining(views.user_graphs(spark, sf_dir), *_group_sizes(spark, sf_dir), most_links=2)
-    return mining.totals().select(F.array_join("links", ",").alias("links"), "in_a", "total")
+    return _mining(spark, sf_dir).totals().select(F.array_join("links", ",").alias("links"), "in_a", "total")
 
 
-def _group_sizes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    got = views.user_graphs(spark, sf_dir).groupBy("group_id").agg(F.count_distinct("subject")).collect()
-    sizes = {r[0]: r[1] for r in got}
-    return sizes.get(0, 0), sizes.get(1, 0)
+def _mining(spark: SparkSession, sf_dir: str) -> subgraphs.SubgraphMining:
+    graphs = views.user_day_graphs(spark, sf_dir)
+    sizes = {r[0]: r[1] for r in graphs.groupBy("group_id").agg(F.count_distinct("subject")).collect()}
+    return subgraphs.SubgraphMining(graphs, sizes.get(0, 0), sizes.get(1, 0))
 
 
-def _significant(method: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        mining = subgraphs.SubgraphMining(views.user_graphs(spark, sf_dir), *_group_sizes(spark, sf_dir), most_links=2)
-        return mining.significant(method, 100, SEED).select(F.array_join("links", ",").alias("links"), "p_value")
+#: Fisher's exact test by counts (groups of different sizes), and Tarone's factor.
+_TESTED_SETS = f"""{_GRAPHS},
+size AS (SELECT count(DISTINCT subject) FILTER (group_id = 0) AS n_a, count(DISTINCT subject) FILTER (group_id = 1) AS n_b FROM graphs),
+tables AS (SELECT DISTINCT total FROM counts),
+pmf AS (
+    SELECT total, j, exp(lgamma(total + 1) + lgamma(n_a + n_b - total + 1) + lgamma(n_a + 1) + lgamma(n_b + 1) - lgamma(n_a + n_b + 1) - lgamma(j + 1) - lgamma(total - j + 1) - lgamma(n_a - j + 1) - lgamma(n_b - total + j + 1)) AS f
+    FROM (SELECT total, n_a, n_b, unnest(range(greatest(0, total - n_b), least(n_a, total) + 1)) AS j FROM tables, size)
+),
+tails AS (SELECT total, j, 2 * least(sum(f) OVER (PARTITION BY total ORDER BY j), sum(f) OVER (PARTITION BY total ORDER BY j DESC)) AS p_value FROM pmf),
+lows AS (SELECT total, 2 * least(arg_max(f, j), arg_min(f, j)) AS min_p FROM pmf GROUP BY total),
+sets AS (SELECT links, p_value, min_p FROM counts JOIN tails ON tails.total = counts.total AND j = in_a JOIN lows ON lows.total = counts.total),
+factor AS (SELECT min(k) AS k FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM sets))) AS k) WHERE (SELECT count(*) FROM sets WHERE min_p <= 0.05 / k) <= k),
+testable AS (SELECT links, p_value, k FROM sets, factor WHERE min_p <= 0.05 / k)"""
 
-    return run
 
+def _significant(method: str) -> Query:
+    return lambda spark, sf_dir: _mining(spark, sf_dir).significant(method, 10_000, SEED).select(F.array_join("links", ",").alias("links"), "p_value")
 
-for _m in subgraphs.METHODS:
-    query(f"significant_subgraphs_{_m.lower().replace('-', '_')}")(_significant(_m))
+
+query("significant_subgraphs_tarone", f"WITH RECURSIVE {_TESTED_SETS} SELECT array_to_string(links, ',') AS links, round(p_value, 8) + 0.0 AS p_value FROM testable WHERE p_value * k <= 0.05")(_significant("Tarone"))
+query(
+    "significant_subgraphs_hommel",
+    f"""WITH RECURSIVE {_TESTED_SETS},
+    ranked AS (SELECT *, row_number() OVER (ORDER BY p_value) AS r, count(*) OVER () AS n FROM testable),
+    trials AS (SELECT m, bool_and(p_value > (r - (n - m)) * 0.05 / m) AS ok FROM ranked, (SELECT unnest(range(1, (SELECT count(*) + 1 FROM testable))) AS m) WHERE r > n - m GROUP BY m),
+    level AS (SELECT coalesce(0.05 / max(m), 0.05) AS level FROM trials WHERE ok)
+    SELECT array_to_string(links, ',') AS links, round(p_value * 0.05 / greatest(level, 0.05 / k), 8) + 0.0 AS p_value FROM testable, level WHERE p_value <= 0.05 / k OR p_value <= level""",
+)(_significant("Hommel"))
+query("significant_subgraphs_westfall_young")(_significant("Westfall-Young"))
 
 
 # ---- history dependence ---------------------------------------------------------------------

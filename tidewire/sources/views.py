@@ -55,3 +55,16 @@ def user_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("us", "event_id")
     steps = _events(spark, sf_dir).select("user_id", "proc", F.lead("proc").over(order).alias("next")).where("next is not null")
     return steps.select((F.col("user_id") % 2).cast("int").alias("group_id"), F.col("user_id").alias("subject"), (F.col("proc") * 5 + F.col("next")).cast("int").alias("link_id")).distinct()
+
+
+#: Events of a day from which on a user's day counts as busy.
+BUSY = 4
+
+
+def user_day_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_id, subject, link_id: the transitions between event types within a user's day; busy days are group 0, all others with a transition group 1."""
+    day = F.floor(F.col("us") / (24 * _HOUR)).cast("long")
+    own = _events(spark, sf_dir).withColumn("subject", F.col("user_id") * 100_000 + day)
+    by = Window.partitionBy("subject")
+    steps = own.select("subject", "proc", F.lead("proc").over(by.orderBy("us", "event_id")).alias("next"), F.count("*").over(by).alias("many")).where("next is not null")
+    return steps.select((F.col("many") < BUSY).cast("int").alias("group_id"), "subject", (F.col("proc") * 5 + F.col("next")).cast("int").alias("link_id")).distinct()
