@@ -164,3 +164,20 @@ def test_wide_covariances_equal_single_ones(spark):
         assert one.keys() == many.keys()
         for k in one:
             assert one[k][0] == many[k][0] and np.allclose(one[k][1], many[k][1])
+
+
+def test_closed_nulls_equal_many_drawn_ones():
+    from tidewire.functions.special import chi2_sf
+
+    rng = np.random.default_rng(6)
+    table = rng.chisquare([[1], [1], [3]], (3, 40_000))
+    drawn = significance.Drawn(table)
+    closed = significance.Closed((lambda x: chi2_sf(x, 1), lambda x: chi2_sf(x, 1), lambda x: chi2_sf(x, 3)), 40_000)
+    for stat in (0.05, 0.5, 2.0, 6.0):
+        for name, args in (("largest", (stat,)), ("smallest", (stat,)), *(("ranked", (r, stat)) for r in range(3))):
+            assert abs(getattr(drawn, name)(*args, 0.05)[1] - getattr(closed, name)(*args, 0.05)[1]) < 0.01
+    assert closed.of([2]).largest(2.0, 0.05)[1] == pytest.approx(chi2_sf(2.0, 3)) and drawn.of([2]).table.shape == (1, 40_000)
+    few = significance.Closed((lambda x: 0.0,), 50)
+    assert few.largest(1.0, 0.05) == (True, 1 / 50)
+    with pytest.raises(RuntimeError):
+        few.largest(1.0, 0.01)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,59 @@ def p_value_of(statistic: float, surrogates: Sequence[float], alpha: float = 0.0
     return p < (alpha / 2 if tail == "two" else alpha), float(p)
 
 
+@dataclass(frozen=True)
+class Drawn:
+    """A null distribution of several candidates by their surrogates (candidate x permutation)."""
+
+    table: np.ndarray
+
+    def largest(self, stat: float, alpha: float) -> tuple[bool, float]:
+        return p_value_of(stat, self.table.max(axis=0), alpha)
+
+    def smallest(self, stat: float, alpha: float) -> tuple[bool, float]:
+        return p_value_of(stat, self.table.min(axis=0), alpha)
+
+    def ranked(self, rank: int, stat: float, alpha: float) -> tuple[bool, float]:
+        """Against the surrogates' largest but ``rank``."""
+        return p_value_of(stat, -np.sort(-self.table, axis=0)[rank], alpha)
+
+    def of(self, at: Sequence[int]) -> Drawn:
+        return Drawn(self.table[at])
+
+
+@dataclass(frozen=True)
+class Closed:
+    """The same in closed form: the probability that a candidate's surrogate reaches a value, candidates being independent.
+
+    No p-value is below 1 / n_perm, which is what that many surrogates could show.
+    """
+
+    tails: tuple[Callable[[float], float], ...]
+    n_perm: int
+
+    def _held(self, p: float, alpha: float) -> tuple[bool, float]:
+        check_n_perm(self.n_perm, alpha)
+        p = min(1.0, max(p, 1 / self.n_perm))
+        return p < alpha, p
+
+    def largest(self, stat: float, alpha: float) -> tuple[bool, float]:
+        return self._held(1 - math.prod(1 - t(stat) for t in self.tails), alpha)
+
+    def smallest(self, stat: float, alpha: float) -> tuple[bool, float]:
+        return self._held(math.prod(t(stat) for t in self.tails), alpha)
+
+    def ranked(self, rank: int, stat: float, alpha: float) -> tuple[bool, float]:
+        """That more than ``rank`` of the surrogates reach the value."""
+        some = [1.0]  # by how many do
+        for t in self.tails:
+            q = t(stat)
+            some = [a * (1 - q) + b * q for a, b in zip([*some, 0.0], [0.0, *some], strict=True)]
+        return self._held(math.fsum(some[rank + 1 :]), alpha)
+
+    def of(self, at: Sequence[int]) -> Closed:
+        return Closed(tuple(self.tails[k] for k in at), self.n_perm)
+
+
 def p_value(statistic: Column, surrogate: Column, tail: str = "one_bigger") -> Column:
     """The p-value as an aggregate over rows of surrogates."""
     if tail not in TAILS:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalar import equal_width, max_entropy
-from tidewire.functions.special import chi2_quantiles
+from tidewire.functions.special import chi2_quantiles, chi2_sf
 from tidewire.operators import discrete, gaussian
 from tidewire.operators.knn import ksg
 
@@ -62,6 +62,10 @@ class Estimator:
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
         raise RuntimeError(f"{self.name} has no closed-form null distribution")
 
+    def tail(self, stat: float, job: Job, n: int, levels: int) -> float:
+        """The probability that a surrogate reaches ``stat``, where there is a closed form."""
+        raise RuntimeError(f"{self.name} has no closed-form null distribution")
+
 
 class GaussianCMI(Estimator):
     """nats; 2 N I is chi-square with |x| |y| degrees of freedom without dependence."""
@@ -88,6 +92,9 @@ class GaussianCMI(Estimator):
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
         return chi2_quantiles(u, len(job.x) * len(job.y)) / (2 * n)
 
+    def tail(self, stat: float, job: Job, n: int, levels: int) -> float:
+        return chi2_sf(2 * n * stat, len(job.x) * len(job.y))
+
 
 class DiscreteCMI(Estimator):
     """bits; values are binned first (equal_width or max_entropy with n_bins) unless they are symbols already (none)."""
@@ -108,8 +115,14 @@ class DiscreteCMI(Estimator):
         return discrete.local_cmi(frame, job.x, job.y, job.z).select("repl", "sample", "local")
 
     def null_quantiles(self, u: np.ndarray, job: Job, n: int, levels: int) -> np.ndarray:
-        dof = (levels ** len(job.x) - 1) * (levels ** len(job.y) - 1) * levels ** len(job.z)
-        return chi2_quantiles(u, dof) / (2 * n * np.log(2))
+        return chi2_quantiles(u, self._dof(job, levels)) / (2 * n * np.log(2))
+
+    @staticmethod
+    def _dof(job: Job, levels: int) -> int:
+        return (levels ** len(job.x) - 1) * (levels ** len(job.y) - 1) * levels ** len(job.z)
+
+    def tail(self, stat: float, job: Job, n: int, levels: int) -> float:
+        return chi2_sf(2 * n * np.log(2) * stat, self._dof(job, levels))
 
 
 class KernelCMI(Estimator):

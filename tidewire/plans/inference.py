@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.embedding import Var, column, lag_embed
 from tidewire.operators.permutation import Surrogates, permuted
-from tidewire.operators.significance import fdr_of, p_value_of
+from tidewire.operators.significance import Closed, Drawn, fdr_of
 from tidewire.plans.estimators import Estimator, Job, Stats, get_estimator
 from tidewire.plans.settings import Settings
 from tidewire.sources.series import TimeSeries
@@ -109,6 +109,15 @@ class Evaluator:
         got = self.estimator.evaluate(both, moved)
         return np.array([got[k, -1] for k in range(len(plain))]), np.array([[got[k, p] for p in range(n_perm)] for k in range(len(plain))])
 
+    def test(self, jobs: Sequence[tuple[Sequence[Var], Sequence[Var]]], n_perm: int, of: str = "x") -> tuple[np.ndarray, Drawn | Closed]:
+        """Statistics of the jobs and their null distribution: tail probabilities where the estimator has them and samples may be permuted, else surrogates."""
+        if not (self.estimator.analytic and self.settings.permute_in_time):
+            stats, table = self.run(jobs, n_perm, of)
+            return stats, Drawn(table)
+        stats = self.run(jobs)[0]
+        plain = [Job(tuple(column(v) for v in x), (self.current,), tuple(column(v) for v in z)) for x, z in jobs]
+        return stats, Closed(tuple(lambda stat, j=j: self.estimator.tail(stat, j, self.n, self.levels) for j in plain), n_perm)
+
     def _observed(self, jobs: Sequence[Job]) -> Stats:
         """Unpermuted statistics: from one summary of the frame for all rounds, where the estimator has one."""
         if self._summary is None:
@@ -131,9 +140,9 @@ def include(ev: Evaluator, candidates: Sequence[Var], selected: list[Var], fixed
     left = [c for c in candidates if c not in selected and c not in fixed]
     while left:
         given = [*fixed, *selected]
-        stats, table = ev.run([([c], given) for c in left], s.n_perm_max_stat)
+        stats, null = ev.test([([c], given) for c in left], s.n_perm_max_stat)
         best = int(np.argmax(stats))
-        if not p_value_of(stats[best], table.max(axis=0), s.alpha_max_stat)[0]:
+        if not null.largest(stats[best], s.alpha_max_stat)[0]:
             return
         selected.append(left.pop(best))
 
@@ -141,20 +150,19 @@ def include(ev: Evaluator, candidates: Sequence[Var], selected: list[Var], fixed
 def prune(ev: Evaluator, selected: list[Var], fixed: Sequence[Var], s: Settings) -> None:
     """Drop the variable with the least information, given all others, while it isn't significant."""
     while len(selected) > 1:
-        stats, table = ev.run([([v], [*fixed, *(w for w in selected if w != v)]) for v in selected], s.n_perm_min_stat)
+        stats, null = ev.test([([v], [*fixed, *(w for w in selected if w != v)]) for v in selected], s.n_perm_min_stat)
         worst = int(np.argmin(stats))
-        if p_value_of(stats[worst], table.min(axis=0), s.alpha_min_stat)[0]:
+        if null.smallest(stats[worst], s.alpha_min_stat)[0]:
             return
         del selected[worst]
 
 
-def max_sequential(stats: np.ndarray, table: np.ndarray, alpha: float, keep_failing_p: bool = True) -> tuple[list[bool], list[float]]:
+def max_sequential(stats: np.ndarray, null: Drawn | Closed, alpha: float, keep_failing_p: bool = True) -> tuple[list[bool], list[float]]:
     """Ranks against ranks; stops at the first failure, whose p is kept or (in the bivariate form) stays 1."""
     order = np.argsort(-stats, kind="stable")
-    ranked = -np.sort(-table, axis=0)
     sign, p = [False] * len(stats), [1.0] * len(stats)
     for rank, k in enumerate(order.tolist()):
-        ok, value = p_value_of(stats[k], ranked[rank], alpha)
+        ok, value = null.ranked(rank, stats[k], alpha)
         if ok or keep_failing_p:
             p[k] = value
         if not ok:
@@ -249,20 +257,20 @@ class NetworkInference:
         """Omnibus test of all sources together, then each variable by ranks, then the information of each link."""
         if not chosen:
             return
-        stats, table = ev.run([(chosen, fixed)], s.n_perm_omnibus)
+        stats, null = ev.test([(chosen, fixed)], s.n_perm_omnibus)
         out.omnibus_stat = float(stats[0])
-        out.omnibus_sign, out.omnibus_pval = p_value_of(stats[0], table[0], s.alpha_omnibus)
+        out.omnibus_sign, out.omnibus_pval = null.largest(stats[0], s.alpha_omnibus)
         if not out.omnibus_sign:
             return
         if self.multivariate:
-            stats, table = ev.run([([v], [*fixed, *(w for w in chosen if w != v)]) for v in chosen], s.n_perm_max_seq)
-            sign, p = max_sequential(stats, table, s.alpha_max_seq)
+            stats, null = ev.test([([v], [*fixed, *(w for w in chosen if w != v)]) for v in chosen], s.n_perm_max_seq)
+            sign, p = max_sequential(stats, null, s.alpha_max_seq)
         else:
-            stats, table = ev.run([([v], [*fixed, *(w for w in chosen if w != v and w[0] == v[0])]) for v in chosen], s.n_perm_max_seq)
+            stats, null = ev.test([([v], [*fixed, *(w for w in chosen if w != v and w[0] == v[0])]) for v in chosen], s.n_perm_max_seq)
             sign, p = [False] * len(chosen), [1.0] * len(chosen)
             for source in {v[0] for v in chosen}:
                 at = [k for k, v in enumerate(chosen) if v[0] == source]
-                for k, a, b in zip(at, *max_sequential(stats[at], table[at], s.alpha_max_seq, keep_failing_p=False), strict=True):
+                for k, a, b in zip(at, *max_sequential(stats[at], null.of(at), s.alpha_max_seq, keep_failing_p=False), strict=True):
                     sign[k], p[k] = a, b
         kept = [k for k in range(len(chosen)) if sign[k]]
         out.selected_vars_sources = [chosen[k] for k in kept]
@@ -342,9 +350,9 @@ class InformationStorage:
                 write_progress(series.df.sparkSession, s.checkpoint_path, process, chosen)
             prune(ev, chosen, (), s)
             if chosen:
-                stats, table = ev.run([(chosen, ())], s.n_perm_mi, of="y")
+                stats, null = ev.test([(chosen, ())], s.n_perm_mi, of="y")
                 out.ais = float(stats[0])
-                out.ais_sign, out.ais_pval = p_value_of(stats[0], table[0], s.alpha_mi)
+                out.ais_sign, out.ais_pval = null.largest(stats[0], s.alpha_mi)
                 out.selected_vars = chosen if out.ais_sign else []
         finally:
             ev.close()

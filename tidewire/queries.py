@@ -794,21 +794,127 @@ def _(spark, sf_dir):
 # ---- network analyses -----------------------------------------------------------------------
 
 _NETWORK = dict(estimator="gaussian", max_lag_sources=2, max_lag_target=2, n_perm_max_stat=100, n_perm_min_stat=100, n_perm_omnibus=100, n_perm_max_seq=100, permute_in_time=True)
+_STORAGE = dict(estimator="gaussian", max_lag=3, permute_in_time=True, n_perm_max_stat=100, n_perm_min_stat=100, n_perm_mi=100)
+
+_FLOW = """
+o AS (SELECT epoch_us(o_orderdate) // 86400000000 AS d, sum(o_totalprice) AS value FROM orders GROUP BY 1),
+b AS (SELECT min(d) AS f, max(d) AS l FROM o),
+li AS (SELECT epoch_us(l_shipdate) // 86400000000 AS d, sum(l_quantity) AS value FROM lineitem GROUP BY 1),
+days AS (SELECT unnest(range(0, (SELECT l - f + 1 FROM b))) AS t),
+flow AS (
+    SELECT 0 AS proc, t, coalesce(value, 0.0) AS value FROM days JOIN b ON true LEFT JOIN o ON o.d = f + t
+    UNION ALL SELECT 1, t, coalesce(value, 0.0) FROM days JOIN b ON true LEFT JOIN li ON li.d = f + t
+),
+units AS (SELECT proc, avg(value) AS m FROM flow GROUP BY proc),
+adds(proc, later, to_proc) AS (VALUES (0, 1, 2), (0, 2, 2), (1, 0, 2), (1, 0, 3), (1, 1, 3), (1, 2, 3)),
+series AS (
+    SELECT proc, t, value FROM flow
+    UNION ALL
+    SELECT to_proc, t + later, sum(CASE WHEN to_proc = 3 THEN value ELSE value / m END) FROM flow JOIN adds USING (proc) JOIN units USING (proc) WHERE t + later <= (SELECT max(t) FROM days) GROUP BY ALL
+)"""
+
+
+def _tail_sql(stat: str, dof: str) -> str:
+    """The chi-square tail of 2 n times a statistic (n a column), by the series of the incomplete gamma function."""
+    x, a = f"(n * ({stat}))", f"(({dof}) / 2.0)"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 300 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 900), lambda i: exp((i + {a}) * ln({x}) - {x} - lgamma(i + {a} + 1))))) END"
+
+
+def _selection_sql(variables: str, k: int, most: int, past: str, allowed: str, start: int, starts: str) -> str:
+    """Greedy selection in SQL, for Gaussian variables (target, v, t, value) with v below k, and the target's value as k.
+
+    Log-determinants of all subsets come from Schur complements; a state is two masks,
+    what is fixed and what is selected; phases 0 and 1 include, 2 prunes, 3 is the end.
+    """
+    held = "greatest({p}, 0.01) < 0.05"
+    return f"""{_FLOW},
+    x AS ({variables} UNION ALL SELECT proc, {k}, t, value FROM series WHERE t >= {most}),
+    rows_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM series WHERE proc = 0 AND t >= {most}),
+    cov AS (SELECT a.target, a.v AS i, c.v AS j, covar_samp(a.value, c.value) AS c FROM x a JOIN x c ON a.target = c.target AND a.t = c.t GROUP BY ALL),
+    lines AS (SELECT target, i, list(c ORDER BY j) AS line FROM cov GROUP BY target, i),
+    subsets AS (
+        SELECT target, CAST(0 AS BIGINT) AS mask, -1 AS top, CAST(0 AS DOUBLE) AS ld, list(line ORDER BY i) AS m FROM lines GROUP BY target
+        UNION ALL
+        SELECT target, mask + (1 << q), q, ld + ln(m[q + 1][q + 1]),
+               list_transform(range(1, {k + 2}), lambda i: list_transform(range(1, {k + 2}), lambda j: m[i][j] - m[i][q + 1] * m[q + 1][j] / m[q + 1][q + 1]))
+        FROM subsets, (SELECT CAST(unnest(range(0, {k + 1})) AS INTEGER) AS q) WHERE q > top
+    ),
+    ld AS (SELECT target, mask, ld FROM subsets),
+    cmi AS (
+        SELECT z.target, v, z.mask AS z, 0.5 * (zx.ld + zy.ld - z.ld - zxy.ld) AS c, n
+        FROM rows_n, ld z, (SELECT CAST(unnest(range(0, {k})) AS INTEGER) AS v), ld zx, ld zy, ld zxy
+        WHERE z.mask < (1 << {k}) AND (z.mask >> v) & 1 = 0 AND zx.target = z.target AND zx.mask = z.mask + (1 << v) AND zy.target = z.target AND zy.mask = z.mask + (1 << {k}) AND zxy.target = z.target AND zxy.mask = zx.mask + (1 << {k})
+    ),
+    st AS (
+        SELECT target, source, {start} AS phase, CAST(0 AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS sel FROM ({starts})
+        UNION ALL
+        SELECT target, source,
+               CASE WHEN phase < 2 THEN CASE WHEN ok THEN phase ELSE phase + 1 END ELSE CASE WHEN gone THEN 2 ELSE 3 END END,
+               CASE WHEN phase = 0 AND ok THEN fixed + (1 << best) WHEN phase = 0 AND fixed = 0 THEN 1 << (target * {most}) ELSE fixed END,
+               CASE WHEN phase = 1 AND ok THEN sel + (1 << best) WHEN phase = 2 AND gone THEN sel - (1 << worst) ELSE sel END
+        FROM (
+            SELECT *, m > 0 AND {held.format(p=f"1 - pow(1 - {_tail_sql('most', '1')}, m)")} AS ok, m > 1 AND NOT {held.format(p=f"pow({_tail_sql('least', '1')}, m)")} AS gone
+            FROM (
+                SELECT s.target, s.source, s.phase, s.fixed, s.sel, arg_max(v, c) AS best, max(c) AS most, arg_min(v, c) AS worst, min(c) AS least, count(v) AS m, max(n) AS n
+                FROM st s LEFT JOIN cmi ON cmi.target = s.target AND CASE s.phase
+                    WHEN 0 THEN {past} AND (s.fixed >> v) & 1 = 0 AND z = s.fixed
+                    WHEN 1 THEN {allowed} AND (s.sel >> v) & 1 = 0 AND z = s.fixed + s.sel
+                    ELSE (s.sel >> v) & 1 = 1 AND z = s.fixed + s.sel - (1 << v) END
+                WHERE s.phase < 3 GROUP BY s.target, s.source, s.phase, s.fixed, s.sel
+            )
+        )
+    ),
+    chosen AS (SELECT target, source, fixed, sel FROM st WHERE phase = 3 AND sel > 0),
+    together AS (SELECT target, any_value(fixed) AS fixed, CAST(bit_or(sel) AS BIGINT) AS sel FROM chosen GROUP BY target),
+    omnibus AS (
+        SELECT *, greatest({_tail_sql("stat", "bit_count(sel)")}, 0.01) AS p FROM (
+            SELECT g.target, g.fixed, g.sel, 0.5 * (a.ld + b.ld - c.ld - d.ld) AS stat, n FROM rows_n, together g
+            JOIN ld a ON a.target = g.target AND a.mask = g.fixed + g.sel JOIN ld b ON b.target = g.target AND b.mask = g.fixed + (1 << {k})
+            JOIN ld c ON c.target = g.target AND c.mask = g.fixed JOIN ld d ON d.target = g.target AND d.mask = g.fixed + g.sel + (1 << {k})
+        )
+    )"""
+
+
+def _network_sql(te: bool, multivariate: bool) -> str:
+    variables = "SELECT y.proc AS target, s.proc * 2 + lag - 1 AS v, s.t + lag AS t, s.value FROM series s JOIN (VALUES (1), (2)) l(lag) ON s.t + lag BETWEEN 2 AND (SELECT max(t) FROM days) JOIN (SELECT DISTINCT proc FROM series) y ON true"
+    allowed = "v // 2 <> s.target" if multivariate else "v // 2 = s.source"
+    starts = "SELECT proc AS target, -1 AS source FROM units UNION ALL SELECT unnest([2, 3]), -1" if multivariate else "SELECT a.p AS target, b.p AS source FROM (SELECT unnest(range(0, 4)) AS p) a JOIN (SELECT unnest(range(0, 4)) AS p) b ON a.p <> b.p"
+    return f"""WITH RECURSIVE {_selection_sql(variables, 8, 2, "v // 2 = s.target", allowed, 0 if te else 1, starts)},
+    each AS (
+        SELECT *, greatest(list_sum(list_transform(range(r, m + 1), lambda j: round(exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1))) * pow(q, j) * pow(1 - q, m - j))), 0.01) AS p FROM (
+            SELECT h.target, h.source AS own, v, c, {_tail_sql("c", "1")} AS q, row_number() OVER (PARTITION BY h.target, h.source ORDER BY c DESC) AS r, CAST(bit_count(h.sel) AS BIGINT) AS m
+            FROM chosen h JOIN (SELECT target FROM omnibus WHERE p < 0.05) o ON o.target = h.target JOIN cmi ON cmi.target = h.target AND (h.sel >> v) & 1 = 1 AND z = h.fixed + h.sel - (1 << v)
+        )
+    ),
+    kept AS (SELECT *, max(CASE WHEN p >= 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY target, own ORDER BY r) AS failed FROM each)
+    SELECT CAST(target AS INTEGER) AS target, CAST(v // 2 AS INTEGER) AS source, CAST(v % 2 + 1 AS INTEGER) AS lag, round(c, 8) + 0.0 AS stat, round(p, 8) + 0.0 AS pval FROM kept WHERE failed = 0"""
 
 
 def network(spark: SparkSession, sf_dir: str, measure: str = "te", multivariate: bool = True, targets: list[int] | str = "all", **more) -> list[inference.TargetResult]:
-    return inference.NetworkInference(measure, multivariate).analyse_network({**_NETWORK, **more}, TimeSeries.from_frame(hourly(spark, sf_dir)), targets)
+    return inference.NetworkInference(measure, multivariate).analyse_network({**_NETWORK, **more}, TimeSeries.from_frame(views.order_flow(spark, sf_dir)), targets)
 
 
 for _measure in ("te", "mi"):
     for _multi in (True, False):
-        query(f"{'multivariate' if _multi else 'bivariate'}_{_measure}")(lambda spark, sf_dir, m=_measure, v=_multi: results.variables_frame(spark, network(spark, sf_dir, m, v)))
+        query(f"{'multivariate' if _multi else 'bivariate'}_{_measure}", _network_sql(_measure == "te", _multi))(lambda spark, sf_dir, m=_measure, v=_multi: results.variables_frame(spark, network(spark, sf_dir, m, v)))
+
+
+def _stored_sql() -> str:
+    variables = "SELECT proc AS target, lag - 1 AS v, t + lag AS t, value FROM series JOIN (VALUES (1), (2), (3)) l(lag) ON t + lag BETWEEN 3 AND (SELECT max(t) FROM days)"
+    return f"""WITH RECURSIVE {_selection_sql(variables, 3, 3, "false", "true", 1, "SELECT unnest(range(0, 4)) AS target, -1 AS source")}
+    SELECT CAST(target AS INTEGER) AS process, CAST(v + 1 AS INTEGER) AS lag, round(stat, 8) + 0.0 AS ais, round(p, 8) + 0.0 AS pval
+    FROM omnibus JOIN (SELECT unnest(range(0, 3)) AS v) ON (sel >> CAST(v AS INTEGER)) & 1 = 1 WHERE p < 0.05"""
+
+
+@query("information_storage", _stored_sql())
+def _(spark, sf_dir):
+    found = results.storage_frame(spark, inference.InformationStorage().analyse_network(_STORAGE, TimeSeries.from_frame(views.order_flow(spark, sf_dir))))
+    return found.select("process", F.explode("selected_vars.lag").alias("lag"), "ais", F.col("ais_pval").alias("pval"))
 
 
-@query("information_storage")
+@query("order_flow", f"WITH {_FLOW} SELECT CAST(proc AS INTEGER) AS proc, 0 AS repl, CAST(t AS INTEGER) AS sample, round(value, 6) + 0.0 AS value FROM series")
 def _(spark, sf_dir):
-    s = dict(estimator="gaussian", max_lag=3, permute_in_time=True, n_perm_max_stat=100, n_perm_min_stat=100, n_perm_mi=100)
-    return results.storage_frame(spark, inference.InformationStorage().analyse_network(s, TimeSeries.from_frame(hourly(spark, sf_dir)))).withColumn("selected_vars", F.to_json("selected_vars"))
+    return views.order_flow(spark, sf_dir).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("benchmark_network")

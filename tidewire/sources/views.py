@@ -68,3 +68,31 @@ def user_day_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("subject")
     steps = own.select("subject", "proc", F.lead("proc").over(by.orderBy("us", "event_id")).alias("next"), F.count("*").over(by).alias("many")).where("next is not null")
     return steps.select((F.col("many") < BUSY).cast("int").alias("group_id"), "subject", (F.col("proc") * 5 + F.col("next")).cast("int").alias("link_id")).distinct()
+
+
+_DAY = 24 * _HOUR
+
+
+def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One replication; a sample is a day from the first order to the last.
+
+    0: sum of the prices of the orders placed; 1: quantity shipped; 2: the work of a day,
+    what was ordered on the two days before and what is shipped on it, in units of their
+    means; 3: quantity shipped on the day and the two before.
+    """
+    day = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / _DAY)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(day("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("value"))
+    bounds = orders.agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(day("l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("value"))
+    found = orders.withColumn("proc", F.lit(0)).unionByName(lines.withColumn("proc", F.lit(1)))
+    found = found.crossJoin(bounds).where("d BETWEEN first AND last").select("proc", F.lit(0).alias("repl"), (F.col("d") - F.col("first")).cast("int").alias("sample"), "value")
+    samples = bounds.select(F.lit(0).alias("repl"), F.explode(F.sequence(F.lit(0), (F.col("last") - F.col("first")).cast("int"))).alias("sample"))
+    flow = _dense(found, samples)
+    means = flow.groupBy().agg(*(F.avg(F.when(F.col("proc") == p, F.col("value"))).alias(f"m{p}") for p in (0, 1)), F.max("sample").alias("end"))
+    # process, days later, process that it adds to
+    adds = [(0, 1, 2), (0, 2, 2), (1, 0, 2), (1, 0, 3), (1, 1, 3), (1, 2, 3)]
+    each = F.explode(F.filter(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(a, ("of", "later", "to"), strict=True))) for a in adds)), lambda e: e["of"] == F.col("proc")))
+    share = F.when(F.col("e.to") == 3, F.col("value")).when(F.col("proc") == 0, F.col("value") / F.col("m0")).otherwise(F.col("value") / F.col("m1"))
+    made = flow.crossJoin(F.broadcast(means)).withColumn("e", each).select(F.col("e.to").alias("proc"), "repl", (F.col("sample") + F.col("e.later")).alias("sample"), share.alias("value"), "end")
+    sums = made.where("sample <= end").groupBy("proc", "repl", "sample").agg(F.sum("value").alias("value"))
+    return flow.unionByName(sums)
