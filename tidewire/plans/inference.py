@@ -157,9 +157,10 @@ def prune(ev: Evaluator, selected: list[Var], fixed: Sequence[Var], s: Settings)
         del selected[worst]
 
 
-def max_sequential(stats: np.ndarray, null: Drawn | Closed, alpha: float, keep_failing_p: bool = True) -> tuple[list[bool], list[float]]:
+def max_sequential(stats: np.ndarray, null: np.ndarray | Drawn | Closed, alpha: float, keep_failing_p: bool = True) -> tuple[list[bool], list[float]]:
     """Ranks against ranks; stops at the first failure, whose p is kept or (in the bivariate form) stays 1."""
     order = np.argsort(-stats, kind="stable")
+    null = Drawn(null) if isinstance(null, np.ndarray) else null
     sign, p = [False] * len(stats), [1.0] * len(stats)
     for rank, k in enumerate(order.tolist()):
         ok, value = null.ranked(rank, stats[k], alpha)
