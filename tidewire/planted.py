@@ -1,4 +1,4 @@
-"""Queries whose right answer is known: data with planted structure, and closed forms.
+"""Cases whose right answer is known, for the tests: data with planted structure, and closed forms; and some queries.
 
 Series are made from keyed digits, the same on every cluster, so what an analysis finds
 doesn't depend on how the data are dealt out.  The SQL states what was planted.
@@ -17,7 +17,7 @@ from tidewire.operators import discrete
 from tidewire.operators.embedding import lag_embed
 from tidewire.plans import comparison, inference, pid, results, subgraphs
 from tidewire.plans.estimators import Job, get_estimator
-from tidewire.queries import _BINNED, _HOURLY, QUERIES, SQL, _cmi_sql, hourly, hourly_bins, query
+from tidewire.queries import _BINNED, _HOURLY, QUERIES, SQL, _cmi_sql, hourly, hourly_bins, known, query
 from tidewire.sources import generators
 from tidewire.sources.series import TimeSeries, array_frame
 
@@ -56,42 +56,42 @@ def _found(spark: SparkSession, measure: str, multivariate: bool, estimator: str
     return inference.NetworkInference(measure, multivariate).analyse_network({**_TESTS, "estimator": estimator, **more}, series)
 
 
-@query("planted_te_discrete", _TRUTH)
+@known("planted_te_discrete", _TRUTH)
 def _(spark, sf_dir):
     return _links(spark, _found(spark, "te", True, "discrete", planted(spark, 40, 10, kind="binary", n_proc=3)))
 
 
-@query("planted_te_discrete_in_time", _TRUTH)
+@known("planted_te_discrete_in_time", _TRUTH)
 def _(spark, sf_dir):
     return _links(spark, _found(spark, "te", True, "discrete", planted(spark, 300, kind="binary", n_proc=3)))
 
 
-@query("planted_te_gaussian", _TRUTH)
+@known("planted_te_gaussian", _TRUTH)
 def _(spark, sf_dir):
     return _links(spark, _found(spark, "te", True, "gaussian", planted(spark, 40, 10)))
 
 
-@query("planted_te_kraskov", _TRUTH)
+@known("planted_te_kraskov", _TRUTH)
 def _(spark, sf_dir):
     return _links(spark, _found(spark, "te", True, "kraskov", planted(spark, 150, n_proc=3)))
 
 
-@query("planted_te_bivariate", _TRUTH)
+@known("planted_te_bivariate", _TRUTH)
 def _(spark, sf_dir):
     return _links(spark, _found(spark, "te", False, "gaussian", planted(spark, 40, 10, n_proc=3)))
 
 
-@query("planted_mi_multivariate", _TRUTH)
+@known("planted_mi_multivariate", _TRUTH)
 def _(spark, sf_dir):
     return _links(spark, _found(spark, "mi", True, "gaussian", planted(spark, 40, 10, n_proc=3)))
 
 
-@query("planted_mi_bivariate", _TRUTH)
+@known("planted_mi_bivariate", _TRUTH)
 def _(spark, sf_dir):
     return _links(spark, _found(spark, "mi", False, "discrete", planted(spark, 40, 10, kind="binary", n_proc=3)))
 
 
-@query("planted_te_conditionals", f"SELECT * FROM ({_TRUTH}) WHERE target = 2")
+@known("planted_te_conditionals", f"SELECT * FROM ({_TRUTH}) WHERE target = 2")
 def _(spark, sf_dir):
     """A variable that is in from the start, but tells nothing more, is pruned."""
     series = planted(spark, 40, 10, n_proc=3)
@@ -99,19 +99,19 @@ def _(spark, sf_dir):
     return _links(spark, [inference.NetworkInference("te").analyse_single_target(s, series, 2)])
 
 
-@query("planted_omnibus", "SELECT CAST(target AS INTEGER) AS target, omnibus_sign FROM (VALUES (0, false), (1, true), (2, true)) t(target, omnibus_sign)")
+@known("planted_omnibus", "SELECT CAST(target AS INTEGER) AS target, omnibus_sign FROM (VALUES (0, false), (1, true), (2, true)) t(target, omnibus_sign)")
 def _(spark, sf_dir):
     return results.targets_frame(spark, _found(spark, "te", True, "gaussian", planted(spark, 40, 10, n_proc=3))).select("target", "omnibus_sign")
 
 
-@query("planted_network_fdr", _TRUTH)
+@known("planted_network_fdr", _TRUTH)
 def _(spark, sf_dir):
     more = {"n_perm_omnibus": 300, "permute_in_time": True}
     found = _found(spark, "te", True, "gaussian", planted(spark, 400, n_proc=3), **more)
     return _links(spark, inference.network_fdr({**_TESTS, "estimator": "gaussian", **more}, found))
 
 
-@query("planted_combined_results", _TRUTH)
+@known("planted_combined_results", _TRUTH)
 def _(spark, sf_dir):
     """Targets analysed apart are put together again."""
     series, s = planted(spark, 40, 10, n_proc=3), {**_TESTS, "estimator": "gaussian"}
@@ -136,18 +136,18 @@ def _stored(spark: SparkSession, found: Sequence[inference.StorageResult]) -> Da
     return results.storage_frame(spark, found).select("process", F.explode("selected_vars").alias("v")).select("process", F.col("v.proc").alias("proc"), F.col("v.lag").alias("lag"))
 
 
-@query("planted_storage", _STORED)
+@known("planted_storage", _STORED)
 def _(spark, sf_dir):
     return _stored(spark, inference.InformationStorage().analyse_network(_STORAGE, remembering(spark, 30, 12)))
 
 
-@query("planted_storage_fdr", _STORED)
+@known("planted_storage_fdr", _STORED)
 def _(spark, sf_dir):
     found = inference.InformationStorage().analyse_network(_STORAGE, remembering(spark, 30, 12))
     return _stored(spark, inference.storage_fdr(_STORAGE, found))
 
 
-@query("planted_storage_conditionals", _STORED)
+@known("planted_storage_conditionals", _STORED)
 def _(spark, sf_dir):
     """A past value that is in from the start, but tells nothing more, is pruned."""
     return _stored(spark, [inference.InformationStorage().analyse_single_process({**_STORAGE, "add_conditionals": [(0, 2)]}, remembering(spark, 30, 12), 0)])
@@ -166,7 +166,7 @@ def _(spark, sf_dir):
 # ---- estimators -------------------------------------------------------------------------------
 
 
-@query("closed_form_null", "SELECT u, round(-ln(1 - u) / (100 * ln(2)), 8) + 0.0 AS quantile FROM (SELECT CAST(k / 20.0 AS DOUBLE) AS u FROM unnest(range(1, 20)) t(k))")
+@known("closed_form_null", "SELECT u, round(-ln(1 - u) / (100 * ln(2)), 8) + 0.0 AS quantile FROM (SELECT CAST(k / 20.0 AS DOUBLE) AS u FROM unnest(range(1, 20)) t(k))")
 def _(spark, sf_dir):
     """Two symbols and one condition of two: chi-square of two degrees of freedom."""
     u = np.arange(1, 20) / 20
@@ -186,7 +186,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(pid._conditional(p), pid._information(p.sum(axis=2)))], "cmi double, mi double")
 
 
-@query(
+@known(
     "series_reordered",
     "SELECT CAST(p AS INTEGER) AS proc, CAST(r AS INTEGER) AS repl, CAST(s AS INTEGER) AS sample, CAST(100 * p + 10 * r + s AS DOUBLE) AS value FROM unnest(range(0, 3)) a(p), unnest(range(0, 4)) b(r), unnest(range(0, 5)) c(s)",
 )
@@ -203,7 +203,7 @@ def _(spark, sf_dir):
     return lag_embed(hourly(spark, sf_dir), [(0, 0), (3, 1), (1, 2)], 2).drop("v0_0", "v1_2")
 
 
-@query(
+@known(
     "generated_coupling",
     "SELECT CAST(kind AS INTEGER) AS kind, CAST(repl AS INTEGER) AS repl, CAST(n AS BIGINT) AS n, true AS coupled FROM (VALUES (0, 0, 398), (0, 1, 398), (1, 0, 399), (1, 1, 399), (2, 0, 399), (2, 1, 399)) t(kind, repl, n)",
 )
@@ -225,7 +225,7 @@ def _(spark, sf_dir):
 _ATOMS = ("unq_s1", "unq_s2", "shd_s1_s2", "syn_s1_s2")
 
 
-@query("pid_gates", f"SELECT gate, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ATOMS)} FROM (VALUES ('and', 0, 0, 0.31128, 0.5), ('copy', 1, 0, 0, 0), ('same', 0, 0, 1, 0), ('xor', 0, 0, 0, 1)) t(gate, {', '.join(_ATOMS)})")
+@known("pid_gates", f"SELECT gate, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ATOMS)} FROM (VALUES ('and', 0, 0, 0.31128, 0.5), ('copy', 1, 0, 0, 0), ('same', 0, 0, 1, 0), ('xor', 0, 0, 0, 1)) t(gate, {', '.join(_ATOMS)})")
 def _(spark, sf_dir):
     rows = [(name, a, b, t) for a, b in itertools.product((0, 1), repeat=2) for name, t in (("and", a & b), ("xor", a ^ b), ("copy", a))]
     rows += [("same", a, a, a) for a in (0, 1)]
@@ -233,7 +233,7 @@ def _(spark, sf_dir):
     return found.select("gate", *((F.round(c, 5) + 0.0).alias(c) for c in _ATOMS))
 
 
-@query("planted_synergy", "SELECT atom, significant FROM (VALUES ('shd_s1_s2', false), ('syn_s1_s2', true), ('unq_s1', false), ('unq_s2', false)) t(atom, significant)")
+@known("planted_synergy", "SELECT atom, significant FROM (VALUES ('shd_s1_s2', false), ('syn_s1_s2', true), ('unq_s1', false), ('unq_s2', false)) t(atom, significant)")
 def _(spark, sf_dir):
     """The exclusive or of two independent sources."""
     u = (_digits(3, 200, 1, 5) < 0.5).astype(int)
@@ -254,12 +254,12 @@ def _compared(spark: SparkSession) -> DataFrame:
     return comparison.NetworkComparison(settings).compare_within(own, own, coupled, free)
 
 
-@query("planted_compare_within", f"SELECT CAST(target AS INTEGER) AS target, CAST(source AS INTEGER) AS source, a_larger, significant {_CHANGED}")
+@known("planted_compare_within", f"SELECT CAST(target AS INTEGER) AS target, CAST(source AS INTEGER) AS source, a_larger, significant {_CHANGED}")
 def _(spark, sf_dir):
     return _compared(spark).select("target", "source", "a_larger", "significant")
 
 
-@query("planted_compare_links", f"SELECT CAST(target AS INTEGER) AS target, CAST(source AS INTEGER) AS source, a_larger, significant {_CHANGED}")
+@known("planted_compare_links", f"SELECT CAST(target AS INTEGER) AS target, CAST(source AS INTEGER) AS source, a_larger, significant {_CHANGED}")
 def _(spark, sf_dir):
     """A planted link against one that isn't."""
     series = planted(spark, 60, 8, n_proc=3, links=[(0, 1, 1)])
@@ -268,7 +268,7 @@ def _(spark, sf_dir):
     return comparison.NetworkComparison(settings).compare_links_within((0, 1), (0, 2), own, series).select("target", "source", "a_larger", "significant")
 
 
-@query("planted_comparison_adjacency", "SELECT CAST(0 AS INTEGER) AS source, CAST(1 AS INTEGER) AS target, kind, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('comparison', 1), ('union', 1)) t(kind, weight)")
+@known("planted_comparison_adjacency", "SELECT CAST(0 AS INTEGER) AS source, CAST(1 AS INTEGER) AS target, kind, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('comparison', 1), ('union', 1)) t(kind, weight)")
 def _(spark, sf_dir):
     found = _compared(spark)
     return comparison.adjacency(found, "comparison").withColumn("kind", F.lit("comparison")).unionByName(comparison.adjacency(found, "union").withColumn("kind", F.lit("union"))).select("source", "target", "kind", "weight")
@@ -284,12 +284,12 @@ for _design, _p in (("between", "2.0 / 2704156"), ("within", "2.0 / 4096")):
     for _method in subgraphs.METHODS:
         _name = f"planted_subgraphs_{_design}_{_method.lower().replace('-', '_')}"
         _column = "" if _method == "Hommel" else f", round({_p}, 8) + 0.0 AS p_value"
-        query(_name, f"SELECT '0' AS links{_column}")(
+        known(_name, f"SELECT '0' AS links{_column}")(
             lambda spark, sf_dir, d=_design, m=_method: _mined(spark, d).significant(m, 200, 3).select(F.array_join("links", ",").alias("links"), *([] if m == "Hommel" else ["p_value"]))
         )
 
 
-@query(
+@known(
     "coded_links",
     "SELECT subject, CAST(target AS INTEGER) AS target, CAST(source AS INTEGER) AS source, CAST(lag AS INTEGER) AS lag, CAST(dense_rank() OVER (ORDER BY target, source, lag) - 1 AS INTEGER) AS link_id FROM (VALUES (0, 1, 0, 1), (0, 2, 1, 2), (1, 1, 0, 1), (1, 1, 0, 2)) t(subject, target, source, lag)",
 )
@@ -299,7 +299,7 @@ def _(spark, sf_dir):
     return subgraphs.coded(subgraphs.links_of_results(networks, 0)).select("subject", "target", "source", "lag", "link_id")
 
 
-@query("edges_replaced", "SELECT CAST(source AS INTEGER) AS source, CAST(target AS INTEGER) AS target, CAST(weight AS INTEGER) AS weight FROM (VALUES (0, 1, 5), (1, 2, 2), (2, 0, 7)) t(source, target, weight)")
+@known("edges_replaced", "SELECT CAST(source AS INTEGER) AS source, CAST(target AS INTEGER) AS target, CAST(weight AS INTEGER) AS weight FROM (VALUES (0, 1, 5), (1, 2, 2), (2, 0, 7)) t(source, target, weight)")
 def _(spark, sf_dir):
     kinds = "source int, target int, weight int"
     return results.edge_list(results.add_edge_list(spark.createDataFrame([(0, 1, 1), (1, 2, 2)], kinds), spark.createDataFrame([(0, 1, 5), (2, 0, 7)], kinds)))

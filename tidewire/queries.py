@@ -43,6 +43,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+#: Cases whose right answer is known, over made series: tests, not queries, as they read none of the tables.
+KNOWN: dict[str, Query] = {}
+KNOWN_SQL: dict[str, str] = {}
+
+
+def known(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a case for the tests."""
+
+    def keep(f: Query) -> Query:
+        KNOWN[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql is not None:
+            KNOWN_SQL[name] = sql
+        return f
+
+    return keep
+
+
 # ---- series ---------------------------------------------------------------------------------
 
 _EVENTS = """
@@ -518,6 +535,19 @@ def _(spark, sf_dir):
     return results.source_graph(link_variables(spark, sf_dir), 1).select(F.col("src.proc").alias("proc"), F.col("src.lag").alias("lag"), F.col("dst.proc").alias("target"), "stat", "pval")
 
 
+@query(
+    "edge_replacement",
+    f"""WITH {_VARIABLES},
+    edges AS (SELECT source, target, lag AS weight FROM (SELECT *, row_number() OVER (PARTITION BY target, source ORDER BY stat DESC, lag) AS k FROM v) WHERE k = 1),
+    other AS (SELECT source, target, CAST(count(*) AS INTEGER) AS weight FROM v WHERE target = 1 GROUP BY ALL)
+    SELECT * FROM other UNION ALL SELECT * FROM edges WHERE (source, target) NOT IN (SELECT source, target FROM other)""",
+)
+def _(spark, sf_dir):
+    """Edges by lag, those into one target replaced by counts."""
+    v = link_variables(spark, sf_dir)
+    return results.edge_list(results.add_edge_list(results.adjacency(v, "max_te_lag"), results.adjacency(v.where("target = 1"), "vars_count")))
+
+
 # ---- decomposition --------------------------------------------------------------------------
 
 _PID_ROWS = f"{_BINNED}, q AS (SELECT a.value AS s1, b.value AS s2, t.value AS t FROM bins t JOIN bins a ON a.proc = 0 AND a.sample = t.sample - 1 JOIN bins b ON b.proc = 1 AND b.sample = t.sample - 1 WHERE t.proc = 2)"
@@ -679,6 +709,13 @@ def _(spark, sf_dir):
     return _mining(spark, sf_dir).totals().select(F.array_join("links", ",").alias("links"), "in_a", "total")
 
 
+@query("coded_transitions", f"WITH {_STEPS} SELECT DISTINCT user_id AS subject, proc AS source, next AS target, CAST(dense_rank() OVER (ORDER BY proc, next) - 1 AS INTEGER) AS link_id FROM steps")
+def _(spark, sf_dir):
+    """Links of users' graphs with their numbers among all links."""
+    links = transition_shares(spark, sf_dir).select("subject", "source", "target")
+    return subgraphs.coded(links, ["source", "target"]).select("subject", "source", "target", "link_id")
+
+
 def _mining(spark: SparkSession, sf_dir: str) -> subgraphs.SubgraphMining:
     graphs = views.user_day_graphs(spark, sf_dir)
     sizes = {r[0]: r[1] for r in graphs.groupBy("group_id").agg(F.count_distinct("subject")).collect()}
@@ -820,7 +857,7 @@ def _tail_sql(stat: str, dof: str) -> str:
     return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 300 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 900), lambda i: exp((i + {a}) * ln({x}) - {x} - lgamma(i + {a} + 1))))) END"
 
 
-def _selection_sql(variables: str, k: int, most: int, past: str, allowed: str, start: int, starts: str) -> str:
+def _selection_sql(variables: str, k: int, most: int, past: str, allowed: str, start: int, starts: str, floor: float = 0.01) -> str:
     """Greedy selection in SQL, for Gaussian variables (target, v, t, value) with v below k, and the target's value as k.
 
     Log-determinants of all subsets come from Schur complements; a state is two masks,
@@ -867,7 +904,7 @@ def _selection_sql(variables: str, k: int, most: int, past: str, allowed: str, s
     chosen AS (SELECT target, source, fixed, sel FROM st WHERE phase = 3 AND sel > 0),
     together AS (SELECT target, any_value(fixed) AS fixed, CAST(bit_or(sel) AS BIGINT) AS sel FROM chosen GROUP BY target),
     omnibus AS (
-        SELECT *, greatest({_tail_sql("stat", "bit_count(sel)")}, 0.01) AS p FROM (
+        SELECT *, greatest({_tail_sql("stat", "bit_count(sel)")}, {floor}) AS p FROM (
             SELECT g.target, g.fixed, g.sel, 0.5 * (a.ld + b.ld - c.ld - d.ld) AS stat, n FROM rows_n, together g
             JOIN ld a ON a.target = g.target AND a.mask = g.fixed + g.sel JOIN ld b ON b.target = g.target AND b.mask = g.fixed + (1 << {k})
             JOIN ld c ON c.target = g.target AND c.mask = g.fixed JOIN ld d ON d.target = g.target AND d.mask = g.fixed + g.sel + (1 << {k})
@@ -875,11 +912,20 @@ def _selection_sql(variables: str, k: int, most: int, past: str, allowed: str, s
     )"""
 
 
-def _network_sql(te: bool, multivariate: bool) -> str:
+def _fdr_sql(targets: str) -> str:
+    """kept_targets: those whose omnibus p-values pass Benjamini and Yekutieli's steps among all ``targets``."""
+    return f""",
+    all_p AS (SELECT t.target, coalesce(p, 1.0) AS p FROM ({targets}) t LEFT JOIN omnibus USING (target)),
+    steps AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS many FROM all_p),
+    reached AS (SELECT coalesce(max(CASE WHEN p <= r / many * 0.05 / (SELECT sum(1.0 / i) FROM unnest(range(1, (SELECT count(*) + 1 FROM all_p))) u(i)) THEN r END), 0) AS upto FROM steps),
+    kept_targets AS (SELECT target FROM steps, reached WHERE r <= upto AND p < 1)"""
+
+
+def _network_sql(te: bool, multivariate: bool, fdr: bool = False) -> str:
     variables = "SELECT y.proc AS target, s.proc * 2 + lag - 1 AS v, s.t + lag AS t, s.value FROM series s JOIN (VALUES (1), (2)) l(lag) ON s.t + lag BETWEEN 2 AND (SELECT max(t) FROM days) JOIN (SELECT DISTINCT proc FROM series) y ON true"
     allowed = "v // 2 <> s.target" if multivariate else "v // 2 = s.source"
     starts = "SELECT proc AS target, -1 AS source FROM units UNION ALL SELECT unnest([2, 3]), -1" if multivariate else "SELECT a.p AS target, b.p AS source FROM (SELECT unnest(range(0, 4)) AS p) a JOIN (SELECT unnest(range(0, 4)) AS p) b ON a.p <> b.p"
-    return f"""WITH RECURSIVE {_selection_sql(variables, 8, 2, "v // 2 = s.target", allowed, 0 if te else 1, starts)},
+    return f"""WITH RECURSIVE {_selection_sql(variables, 8, 2, "v // 2 = s.target", allowed, 0 if te else 1, starts, 0.001 if fdr else 0.01)}{_fdr_sql("SELECT DISTINCT proc AS target FROM series") if fdr else ""},
     each AS (
         SELECT *, greatest(list_sum(list_transform(range(r, m + 1), lambda j: round(exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1))) * pow(q, j) * pow(1 - q, m - j))), 0.01) AS p FROM (
             SELECT h.target, h.source AS own, v, c, {_tail_sql("c", "1")} AS q, row_number() OVER (PARTITION BY h.target, h.source ORDER BY c DESC) AS r, CAST(bit_count(h.sel) AS BIGINT) AS m
@@ -887,7 +933,7 @@ def _network_sql(te: bool, multivariate: bool) -> str:
         )
     ),
     kept AS (SELECT *, max(CASE WHEN p >= 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY target, own ORDER BY r) AS failed FROM each)
-    SELECT CAST(target AS INTEGER) AS target, CAST(v // 2 AS INTEGER) AS source, CAST(v % 2 + 1 AS INTEGER) AS lag, round(c, 8) + 0.0 AS stat, round(p, 8) + 0.0 AS pval FROM kept WHERE failed = 0"""
+    SELECT CAST(target AS INTEGER) AS target, CAST(v // 2 AS INTEGER) AS source, CAST(v % 2 + 1 AS INTEGER) AS lag, round(c, 8) + 0.0 AS stat, round(p, 8) + 0.0 AS pval FROM kept WHERE failed = 0{" AND target IN (SELECT target FROM kept_targets)" if fdr else ""}"""
 
 
 def network(spark: SparkSession, sf_dir: str, measure: str = "te", multivariate: bool = True, targets: list[int] | str = "all", **more) -> list[inference.TargetResult]:
@@ -899,32 +945,54 @@ for _measure in ("te", "mi"):
         query(f"{'multivariate' if _multi else 'bivariate'}_{_measure}", _network_sql(_measure == "te", _multi))(lambda spark, sf_dir, m=_measure, v=_multi: results.variables_frame(spark, network(spark, sf_dir, m, v)))
 
 
-def _stored_sql() -> str:
+@query("network_fdr", _network_sql(True, True, fdr=True))
+def _(spark, sf_dir):
+    """Multivariate transfer entropy, corrected over the targets."""
+    more = {"n_perm_omnibus": 1_000}
+    found = inference.network_fdr({**_NETWORK, **more}, network(spark, sf_dir, **more))
+    return results.variables_frame(spark, found)
+
+
+@query("target_omnibus", f"""WITH RECURSIVE {_selection_sql("SELECT y.proc AS target, s.proc * 2 + lag - 1 AS v, s.t + lag AS t, s.value FROM series s JOIN (VALUES (1), (2)) l(lag) ON s.t + lag BETWEEN 2 AND (SELECT max(t) FROM days) JOIN (SELECT DISTINCT proc FROM series) y ON true", 8, 2, "v // 2 = s.target", "v // 2 <> s.target", 0, "SELECT unnest(range(0, 4)) AS target, -1 AS source")}
+    SELECT CAST(target AS INTEGER) AS target, array_to_string(list_filter(range(1, 3), lambda lag: (fixed >> CAST(target * 2 + lag - 1 AS INTEGER)) & 1 = 1), ',') AS past, round(stat, 8) + 0.0 AS stat, round(p, 8) + 0.0 AS pval, p < 0.05 AS significant FROM omnibus""")
+def _(spark, sf_dir):
+    """The test of all selected sources together, and the target's own past, of targets with any."""
+    found = results.targets_frame(spark, network(spark, sf_dir)).where("omnibus_stat is not null")
+    past = F.array_join(F.array_sort(F.transform("selected_vars_target", lambda v: v["lag"])).cast("array<string>"), ",")
+    return found.select("target", past.alias("past"), F.col("omnibus_stat").alias("stat"), F.col("omnibus_pval").alias("pval"), F.col("omnibus_sign").alias("significant"))
+
+
+def _stored_sql(fdr: bool = False) -> str:
     variables = "SELECT proc AS target, lag - 1 AS v, t + lag AS t, value FROM series JOIN (VALUES (1), (2), (3)) l(lag) ON t + lag BETWEEN 3 AND (SELECT max(t) FROM days)"
-    return f"""WITH RECURSIVE {_selection_sql(variables, 3, 3, "false", "true", 1, "SELECT unnest(range(0, 4)) AS target, -1 AS source")}
+    return f"""WITH RECURSIVE {_selection_sql(variables, 3, 3, "false", "true", 1, "SELECT unnest(range(0, 4)) AS target, -1 AS source", 0.001 if fdr else 0.01)}{_fdr_sql("SELECT DISTINCT proc AS target FROM series") if fdr else ""}
     SELECT CAST(target AS INTEGER) AS process, CAST(v + 1 AS INTEGER) AS lag, round(stat, 8) + 0.0 AS ais, round(p, 8) + 0.0 AS pval
-    FROM omnibus JOIN (SELECT unnest(range(0, 3)) AS v) ON (sel >> CAST(v AS INTEGER)) & 1 = 1 WHERE p < 0.05"""
+    FROM omnibus JOIN (SELECT unnest(range(0, 3)) AS v) ON (sel >> CAST(v AS INTEGER)) & 1 = 1 WHERE p < 0.05{" AND target IN (SELECT target FROM kept_targets)" if fdr else ""}"""
 
 
-@query("information_storage", _stored_sql())
-def _(spark, sf_dir):
-    found = results.storage_frame(spark, inference.InformationStorage().analyse_network(_STORAGE, TimeSeries.from_frame(views.order_flow(spark, sf_dir))))
+def _stored(spark: SparkSession, sf_dir: str, fdr: bool) -> DataFrame:
+    s = {**_STORAGE, "n_perm_mi": 1_000} if fdr else _STORAGE
+    found = inference.InformationStorage().analyse_network(s, TimeSeries.from_frame(views.order_flow(spark, sf_dir)))
+    found = results.storage_frame(spark, inference.storage_fdr(s, found) if fdr else found)
     return found.select("process", F.explode("selected_vars.lag").alias("lag"), "ais", F.col("ais_pval").alias("pval"))
 
 
+query("information_storage", _stored_sql())(lambda spark, sf_dir: _stored(spark, sf_dir, False))
+query("storage_fdr", _stored_sql(fdr=True))(lambda spark, sf_dir: _stored(spark, sf_dir, True))
+
+
 @query("order_flow", f"WITH {_FLOW} SELECT CAST(proc AS INTEGER) AS proc, 0 AS repl, CAST(t AS INTEGER) AS sample, round(value, 6) + 0.0 AS value FROM series")
 def _(spark, sf_dir):
     return views.order_flow(spark, sf_dir).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("benchmark_network")
+@known("benchmark_network")
 def _(spark, sf_dir):
     series = TimeSeries.from_frame(generators.coupled_network(spark, 300, 5))
     found = inference.NetworkInference("te").analyse_network({**_NETWORK, "max_lag_sources": 3}, series)
     return results.variables_frame(spark, inference.network_fdr({**_NETWORK, "max_lag_sources": 3}, found) or found)
 
 
-@query("generated_series")
+@known("generated_series")
 def _(spark, sf_dir):
     a = np.array([[[0.5, 0.0], [0.4, 0.5]]])
     frames = [generators.coupled_network(spark, 50, 2), generators.autoregressive(spark, a, 50, 2), generators.logistic_maps(spark, a, 50, 2)]
