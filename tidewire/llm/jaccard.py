@@ -83,7 +83,7 @@ def _each_set(shingle: int, names: list[str], rows_of: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 sets = shingle_sets(texts(part.column("text")), shingle)
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows_of(part.column("doc_id"), sets, nodes)], names)

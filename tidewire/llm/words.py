@@ -6,7 +6,7 @@ batch are laid out with one space after each; prefix sums of a polynomial hash
 of words from two look-ups, in numpy throughout.  Long sequences of a certain build
 collide in it whatever the base, so it serves to look for candidates alone.
 ``sequence_hashes`` tell sequences apart: a word's bytes, eight at a time, and then the
-words' values go one by one into a state that a bijection mixes after each, so that
+words' values go one by one into a state that a bijection moves after each, so that
 what collides does so by chance, at one in 2**64.
 
 Defined cases: texts without words have no sequence; words that repeat, and equal
@@ -37,6 +37,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def absorb(state: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values into a state, in place; for any value this is a bijection of states."""
+    state ^= values
+    state *= np.uint64(0xC4CEB9FE1A85EC53)
+    state ^= state >> np.uint64(32)
+    return state
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -92,23 +100,27 @@ class Words:
         size = self.ends - self.starts
         padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
         eight = np.ndarray((len(self.data),), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
-        out = mix(size.astype(np.uint64) * np.uint64(_BASE))
+        state = mix(size.astype(np.uint64) * np.uint64(_BASE))
+        at = np.arange(len(size))
         for done in range(0, LONG_WORD, 8):
-            at = np.flatnonzero(size > done)
+            at = at[size[at] > done]
             if not len(at):
                 break
-            beyond = np.maximum(8 - (size[at] - done), 0).astype(np.uint64) * np.uint64(8)
-            out[at] = mix(out[at] ^ (eight[self.starts[at] + done] << beyond)) + np.uint64(1)
+            chunk = eight[self.starts[at] + done]
+            chunk <<= np.maximum(8 - (size[at] - done), 0).astype(np.uint64) << np.uint64(3)
+            state[at] = absorb(chunk, state[at])
+        out = mix(state)
         for k in np.flatnonzero(size > LONG_WORD).tolist():
             out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes())
         return out
 
     def sequence_hashes(self, values: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        """Of the ``length`` words from each word of ``at`` on, by the words' values."""
-        out = np.full(len(at), mix(np.array([length], dtype=np.uint64))[0], dtype=np.uint64)
+        """Of the ``length`` words from each word of ``at`` on (neighbours), by the words' values."""
+        state = np.full(len(at), mix(np.array([length], dtype=np.uint64))[0], dtype=np.uint64)
+        first = int(at[0]) if len(at) else 0
         for k in range(length):
-            out = mix(out ^ values[at + k]) + np.uint64(1)
-        return out
+            absorb(state, values[first + k : first + k + len(at)])
+        return mix(state)
 
     def within(self, at: np.ndarray, length: int) -> np.ndarray:
         """Whether ``length`` words from each word of ``at`` on are of one text."""
