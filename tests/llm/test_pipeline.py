@@ -34,5 +34,5 @@ def test_stages_stand_odd_rows(spark, odd, empty):
 def test_all_operators_are_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")}
     assert "pipeline" in entry.queries()
