@@ -98,11 +98,39 @@ def test_rates_equal_brute_force_where_they_are_clipped(spark, most, budget, wei
     assert float(((got - target) ** 2 / whole).sum() / 2) <= want + 1e-6 * target.sum() and np.allclose(got, totals, atol=2e-4 * target.sum())
 
 
-def test_many_passes_are_taken_where_they_are_needed(spark):
-    parts = [[34, 30], [30, 34], [33, 31]] * 5  # posteriors that hardly differ
+def test_few_passes_where_posteriors_hardly_differ(spark):
+    parts = [[34, 30], [30, 34], [33, 31]] * 5
     domains = mixing.Domains(["a", "b"], np.zeros(2), np.zeros((2, mixing.BUCKETS)))
     mix = mixing.fit_mix(members_of(spark, parts, [100] * 15), domains, {"a": 0.51, "b": 0.49}, budget=1_400.0)
-    assert len(mix.steps) > 15 and np.abs(mix.gap).max() < 2e-4
+    assert len(mix.steps) < 15 and np.abs(mix.gap).max() < mixing.TOLERANCE and mix.end == "met"
+
+
+def test_eight_blurred_domains(spark):
+    rng = np.random.default_rng(5)
+    names = "abcdefgh"
+    parts = np.round(rng.dirichlet(np.full(8, 8.0), 60) * 64).astype(int)
+    tokens = rng.integers(20, 200, 60)
+    domains = mixing.Domains(list(names), np.zeros(8), np.zeros((8, mixing.BUCKETS)))
+    members = members_of(spark, parts, tokens)
+    weights = dict(zip(names, (0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05), strict=True))
+    mix = mixing.fit_mix(members, domains, weights)
+    p = parts / parts.sum(axis=1, keepdims=True)
+    whole = (p.T * tokens).sum(axis=1)
+    target = np.array([weights[x] for x in names]) * min(w / weights[x] for w, x in zip(whole, names, strict=True))
+    rate = np.array([r["rate"] for r in mixing.rates(members, mix).orderBy("doc_id").collect()])
+    got = (p.T * tokens) @ rate
+    want, _ = least_squares(p, tokens, target, None)
+    assert len(mix.steps) <= mixing.MOST_PASSES and (rate >= 0).all()
+    assert np.allclose((got - target) / target.sum(), mix.gap, atol=1e-6)
+    assert float(((got - target) ** 2 / whole).sum() / 2) <= want + 1e-5 * target.sum()
+
+
+def test_passes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PASSES", 2)
+    parts = [[60, 2, 2], [20, 24, 20], [2, 2, 60], [30, 4, 30]]
+    domains = mixing.Domains(["a", "b", "c"], np.zeros(3), np.zeros((3, mixing.BUCKETS)))
+    mix = mixing.fit_mix(members_of(spark, parts, [100] * 4), domains, {"a": 0.01, "b": 0.98, "c": 0.01}, most=1.0)
+    assert len(mix.steps) <= 2 and np.abs(mix.gap).max() > 0 and mix.end in ("passes", "still")
 
 
 def test_copies(documents):

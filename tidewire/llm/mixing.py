@@ -6,15 +6,19 @@ posteriors over domains.  Rates r >= 0 then minimise half the sum over domains o
 
     (sum over documents of r * tokens * posterior - target)**2 / tokens at rate 1
 
-by projected gradient with momentum, which is dropped whenever the sum has grown.
-Posteriors are rounded to multiples of 1 / ``GRID``, so that a
-pass reads one row for each posterior vector that occurs, with the tokens it stands
-for, instead of documents, and brings the driver one number per domain.  Steps are
-scaled by a document's tokens; as posteriors sum to one, the curvature in that measure
-is at most one, and the step of length one never overshoots, whatever rates are clipped
-at 0 or at ``most``.  Passes end when the totals meet the targets or, where no rates
-can meet them, when they move no more; ``Mix.gap`` says what is left.  A document's
-rate follows from its posteriors and the vectors of the passes, so no state is kept.
+by projected gradient.  A pass tries five steps from the present rates, all clipped at 0
+or at ``most``: the plain gradient, the gradient with momentum, and the gradient scaled
+by the inverse of the Gram matrix of the domains over the rates that aren't held at a
+bound, with three ridges; the one with the smallest sum is taken.  Posteriors are rounded
+to multiples of 1 / ``GRID``, so that a pass reads one row (a cell) for each posterior
+vector that occurs, with the tokens it stands for, instead of documents, and brings the
+driver sums by domain.  Steps are measured by a document's tokens; as posteriors sum to
+one, the curvature in that measure is at most one, so the plain gradient of length one
+never overshoots and the sum falls with every pass.  Passes end when the totals meet the
+targets; where no rates can meet them, when a gradient moves no total; and after
+``MOST_PASSES`` in any case.  ``Mix.end`` says which, ``Mix.gap`` what is left.  Cells
+keep their rates from pass to pass, so each costs the same; a document's rate follows
+from its posteriors and the steps taken, so no table of rates is joined.
 
 Domains are the labels that have a weight (``lang`` in the query: a document's source
 leaves no trace in its text, so posteriors over sources would all equal the prior and
@@ -48,6 +52,10 @@ EFFECTIVE_GRAMS = 60.0
 GRID = 64
 #: Share of all tokens that a domain's total may be off its target, and the largest movement of a fit that has ended.
 TOLERANCE, STILL = 1e-6, 1e-7
+#: Passes of a fit, at most, and passes after which the cells are written anew.
+MOST_PASSES, LINEAGE = 200, 4
+#: Ridges of the scaled steps, in units of the domains' tokens.
+RIDGES = (1e-8, 1e-4, 1e-2)
 
 
 @dataclass
@@ -61,11 +69,12 @@ class Domains:
 
 @dataclass
 class Mix:
-    """Steps (a vector, the momentum after it, and whether the momentum before it is dropped), the bound of the rates, and by how much of all tokens the totals of domains are off their targets."""
+    """Steps (a vector, and how far momentum goes before it), the bound of the rates, by how much of all tokens the totals of domains are off their targets, and why passes ended: ``met``, ``still`` or ``passes``."""
 
-    steps: list[tuple[np.ndarray, float, bool]] = field(default_factory=list)
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
     most: float | None = None
     gap: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    end: str = "met"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -143,23 +152,22 @@ def member_table(docs: DataFrame, domains: Domains, *, id_col: str = "doc_id", l
     return written(docs.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("string").alias("label"), own).select("doc_id", "label", "m.*"), "mix-members")
 
 
+def _moved(p: Column, rate: Column, before: Column, step: Column, push: Column, most: float | None) -> Column:
+    """The rate after a step against ``step`` (an array by domain) from where momentum leads, within the bounds."""
+    new = F.greatest(F.lit(0.0), rate + push * (rate - before) - _sum(F.zip_with(p, step, lambda x, y: x * y)))
+    return new if most is None else F.least(F.lit(float(most)), new)
+
+
 def _state(mix: Mix, p: Column) -> Column:
-    """From posteriors, a struct of the rate that the steps so far lead to and of the place that momentum takes it to."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    if not mix.steps:
-        return start
+    """From posteriors, a struct of the rate that the steps lead to and of the rate before the last."""
     n = len(mix.steps[0][0])
-    flat = _literal(np.concatenate([[*step, push, float(fresh)] for step, push, fresh in mix.steps]))
+    flat = _literal(np.concatenate([[*step, push] for step, push in mix.steps]))
 
     def moved(own: Column, k: Column) -> Column:
-        at = k * (n + 2)
-        begin = F.when(flat[at + n + 1] > 0, own["rate"]).otherwise(own["ahead"])
-        rate = F.greatest(F.lit(0.0), begin - _sum(F.zip_with(p, F.slice(flat, at + 1, F.lit(n)), lambda x, y: x * y)))
-        if mix.most is not None:
-            rate = F.least(F.lit(float(mix.most)), rate)
-        return _let(rate, lambda r: F.struct(r.alias("rate"), (r + flat[at + n] * (r - own["rate"])).alias("ahead")))
+        at = k * (n + 1)
+        return F.struct(_moved(p, own["rate"], own["before"], F.slice(flat, at + 1, F.lit(n)), flat[at + n], mix.most).alias("rate"), own["rate"].alias("before"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(mix.steps) - 1)), start, moved)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(mix.steps) - 1)), F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), moved)
 
 
 def _rate(mix: Mix, parts: Column) -> Column:
@@ -180,35 +188,77 @@ def fit_mix(members: DataFrame, domains: Domains, weights: dict[str, float], *,
     """
     mix = Mix([], most)
     n = len(domains.names)
-    cells = written(members.where("tokens > 0").groupBy("parts").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-cells").select("tokens", "parts", _shares(F.col("parts")).alias("p"))
+    cells = written(members.where("tokens > 0").groupBy("parts").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-cells")
+    cells = cells.select("tokens", _shares(F.col("parts")).alias("p"), F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
     wanted = np.array([0.0 if d is None else max(0.0, weights[d]) for d in domains.names])
     if not n or cells.isEmpty():
         return mix
+    p, tokens, rate, before = (F.col(x) for x in ("p", "tokens", "rate", "before"))
+
+    def sums(*values: Column) -> np.ndarray:
+        """The sums over the cells of arrays' places, one array after the other."""
+        placed = cells.select(F.posexplode(F.flatten(F.array(*values)))).groupBy("pos").agg(F.sum("col").alias("s"))
+        return np.array([r["s"] for r in sorted(placed.collect())])
 
-    def totals() -> tuple[np.ndarray, np.ndarray]:
-        """Tokens by domain at the rates, and where momentum takes them."""
-        got = cells.withColumn("own", _state(mix, F.col("p"))).agg(*(F.sum(F.col("tokens") * F.col("own")[x] * F.col("p")[d]) for x in ("rate", "ahead") for d in range(n))).first()
-        return np.array(got[:n], dtype=float), np.array(got[n:], dtype=float)
+    def at_rate(own: Column) -> Column:
+        """Tokens of a cell by domain at a rate."""
+        return _let(tokens * own, lambda t: F.transform(p, lambda x: t * x))
 
-    now, ahead = totals()
-    whole = now
+    def height(off: np.ndarray) -> float:
+        return float((off * off * weight).sum())
+
+    whole = sums(at_rate(F.lit(1.0)))
+    weight = 1 / np.maximum(whole, 1e-300)
     wanted /= wanted.sum()
     asked = wanted > 0
     target = wanted * (budget if budget is not None else float((whole[asked] / wanted[asked]).min()))
     unit = max(float(target.sum()), 1e-300)
-    before, best, t = None, np.inf, 1.0
+    t = 1.0
+    if most is not None and most < 1:  # rates begin within their bound
+        mix.steps.append((np.full(n, 1.0 - most), 0.0))
+        cells = cells.withColumn("rate", F.lit(float(most)))
+        now = whole * most
+    else:
+        now = whole
     while True:
-        mix.gap = (now - target) / unit
-        if np.abs(mix.gap).max() < TOLERANCE or (before is not None and np.abs(mix.gap - before).max() < STILL):
+        off = now - target
+        mix.gap = off / unit
+        if np.abs(mix.gap).max() < TOLERANCE:
+            return mix
+        if len(mix.steps) >= MOST_PASSES:
+            mix.end = "passes"
             return mix
-        height = float(((now - target) ** 2 / np.maximum(whole, 1e-300)).sum())
-        fresh = height > best
-        if fresh:
-            ahead, t = now, 1.0
-        before, best = mix.gap, height
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        mix.steps.append(((ahead - target) / np.maximum(whole, 1e-300), (last - 1) / t, fresh))
-        now, ahead = totals()
+        push = (last - 1) / t
+        slope = _sum(F.zip_with(p, _literal(weight * off), lambda x, y: x * y))
+        held = (rate <= 0) & (slope > 0)
+        if most is not None:
+            held = held | ((rate >= float(most)) & (slope < 0))
+        free = F.when(held, 0.0).otherwise(tokens)
+        ahead = at_rate(rate + F.lit(float(push)) * (rate - before))
+        got = sums(_let(free, lambda f: F.flatten(F.transform(p, lambda x: F.transform(p, lambda y: f * x * y)))), ahead)
+        gram, there = got[: n * n].reshape(n, n), got[n * n :]
+        root = np.sqrt(weight)
+        scaled = root[:, None] * gram * root
+        steps = [(root * np.linalg.solve(scaled + ridge * np.eye(n), root * off), 0.0) for ridge in RIDGES]
+        steps += [(weight * off, 0.0), (weight * (there - target), push)]
+
+        def after(step: np.ndarray, push: float) -> Column:
+            return _moved(p, rate, before, _literal(step), F.lit(float(push)), most)
+
+        totals = sums(*(at_rate(after(*s)) for s in steps)).reshape(len(steps), n)
+        heights = [height(x - target) for x in totals]
+        best = int(np.argmin(heights))
+        if np.abs(totals[len(RIDGES)] - now).max() / unit < STILL or heights[best] >= height(off):
+            mix.end = "still"
+            return mix
+        if best != len(steps) - 1:
+            t = 1.0
+        mix.steps.append(steps[best])
+        now = totals[best]
+        cells = cells.select("tokens", "p", after(*steps[best]).alias("rate"), rate.alias("before"))
+        if len(mix.steps) % LINEAGE == 0:
+            cells = written(cells, "mix-cells")
 
 
 def rates(members: DataFrame, mix: Mix) -> DataFrame:
