@@ -205,6 +205,89 @@ def test_symbols_equal_a_scan(spark):
     assert got == dict(zip(code.astype(int).tolist(), count.tolist(), strict=True))
 
 
+def train_table(spark):
+    rng = np.random.default_rng(4)
+    regular = np.cumsum(0.1 + 0.01 * rng.random(200))
+    free = np.sort(rng.random(150) * 20)
+    rows = [(0, x) for x in regular - regular[0]] + [(1, x) for x in free - free[0]] + [(2, 0.0), (2, 0.3)]
+    return rows, spark.createDataFrame([(p, float(t)) for p, t in rows], "proc int, t double")
+
+
+def counted(rows, proc, e, step):
+    """Symbol counts of one process, window by window."""
+    t = np.array([x for p, x in rows if p == proc])
+    edges = [0.0, *e.delimiters(step)]
+    windows = int(np.floor((t.max() - edges[-1]) / step))
+    counts = np.zeros((max(windows, 0), e.bins + 1), dtype=int)
+    for k in range(windows):
+        own = t[(t >= k * step) & (t < k * step + edges[-1])]
+        for x in own:
+            counts[k, min(sum(x > k * step + end for end in edges[1:]), e.bins)] += 1
+    out = {}
+    for row in counts > np.median(counts, axis=0) if windows > 0 else []:
+        s = int("".join("1" if b else "0" for b in row), 2)
+        out[s] = out.get(s, 0) + 1
+    return out
+
+
+GRID = [history.Embedding(0.05, 1), history.Embedding(0.1, 2), history.Embedding(0.2, 3, 0.2), history.Embedding(0.9, 2)]
+
+
+def test_all_embeddings_in_one_pass_equal_brute_force(spark):
+    rows, spikes = train_table(spark)
+    got = {}
+    for r in history.grid_counts(history.grid_symbols(spikes, GRID, 0.02)).collect():
+        got.setdefault((r["e"], r["proc"]), {})[r["symbol"]] = r["n"]
+    want = {(k, p): c for k, e in enumerate(GRID) for p in range(3) if (c := counted(rows, p, e, 0.02)) and set(c) != {0}}
+    assert got == want and (3, 2) not in got  # the third train is shorter than the last embedding's window
+    empty = spikes.limit(0)
+    assert history.grid_symbols(empty, GRID, 0.02).count() == 0 and history.optimised(empty, GRID, n_boot=2, step=0.02).count() == 0
+
+
+@pytest.mark.parametrize("method", ["shuffling", "bbc"])
+def test_optimised_embeddings_equal_brute_force(spark, method):
+    rows, spikes = train_table(spark)
+    found = {r.process: r for r in history.optimise(spikes, GRID, method, 0.02, tolerance=0.5, n_boot=6, least_range=0.0)}
+    assert 0 in found
+    for proc in range(3):
+        best = {}
+        for k, e in enumerate(GRID):
+            c = counted(rows, proc, e, 0.02)
+            if not set(c) - {0}:
+                continue
+            plain, nsb = history.plug_in_of(c)[1], history.nsb_of(c, e.bins)[1]
+            r = nsb if method == "bbc" else history.shuffling_of(c, e.bins)[1]
+            if method == "bbc" and history.bias_term(nsb, plain) >= 0.5:
+                continue
+            if e.past_range not in best or r > best[e.past_range][0]:
+                best[e.past_range] = (r, k)
+        assert (proc in found) == bool(best)
+        if best:
+            own = found[proc]
+            assert own.max_r.keys() == best.keys() and all(abs(own.max_r[t] - r) < 1e-9 for t, (r, _) in best.items())
+            r, k = best[own.best.past_range]
+            assert own.best == GRID[k] and r >= max(best.values())[0] - 1e-12 and own.r_tot_interval[0] <= own.r_tot <= own.r_tot_interval[1]
+
+
+def test_nsb_equals_integration_over_expected_entropy():
+    """The same estimate with the prior flat in the expected entropy itself, by its own grid and digamma."""
+    from math import lgamma
+
+    def psi(x, h=1e-5):
+        return (lgamma(x * (1 + h)) - lgamma(x * (1 - h))) / (2 * h * x)
+
+    for counts, states in (([5, 3, 1], 8), ([20, 1, 1, 1], 16), ([7, 7], 2)):
+        beta = np.exp(np.linspace(-14, 12, 4_001))
+        expected = np.array([psi(states * b + 1) - psi(b + 1) for b in beta])
+        log_evidence = np.array([lgamma(states * b) - lgamma(sum(counts) + states * b) + sum(lgamma(n + b) - lgamma(b) for n in counts) for b in beta])
+        full = [*counts, *[0] * (states - len(counts))]
+        mean = np.array([psi(sum(full) + states * b + 1) - sum((n + b) / (sum(full) + states * b) * psi(n + b + 1) for n in full) for b in beta])
+        w = np.exp(log_evidence - log_evidence.max())
+        width = np.diff(expected)
+        top, bottom = (width * (w * mean)[1:]).sum() + (width * (w * mean)[:-1]).sum(), (width * w[1:]).sum() + (width * w[:-1]).sum()
+        assert abs(history.nsb_entropy(np.array(counts), states) - top / bottom) < 2e-3
+
+
 def test_history_estimators_agree_on_many_symbols():
     rng = np.random.default_rng(1)
     counts = {s: int(v) for s, v in enumerate(rng.multinomial(20_000, [0.8, 0.1, 0.07, 0.03]))}

@@ -3,23 +3,29 @@
 Symbols come from spikes: each spike is dealt to the windows that hold it, bins are
 counted, and a window's symbol has a bit for each bin with more spikes than the
 bin's median.  Windows without any spike are known by their number.  What estimators
-get are counts of symbols, at most 2 ** (d + 1) rows per embedding.
+get are counts of symbols, at most 2 ** (d + 1) rows per embedding.  All embeddings of
+a grid are counted in one pass over the spikes, and estimators run in one task for
+each process and embedding, or each replicate of a bootstrap.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalar import beside, uniform
 from tidewire.functions.special import digamma
+from tidewire.sources.shared import kept
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x), float, len(x))
 
 
 @dataclass(frozen=True)
@@ -61,23 +67,27 @@ def embeddings(past_ranges: Sequence[float], bins: Sequence[int], n_scalings: in
     return out
 
 
-def symbols(spikes: DataFrame, e: Embedding, step: float = 0.005) -> DataFrame:
-    """proc, k, symbol of the windows whose symbol isn't 0, and n_windows (spikes: proc, t from 0)."""
-    ends = e.delimiters(step)
-    length = ends[-1]
-    counts = spikes.groupBy("proc").agg(F.max("t").alias("__last")).select("proc", F.floor((F.col("__last") - length) / step).cast("long").alias("n_windows")).where("n_windows > 0")
-    first = F.greatest(F.floor((F.col("t") - length) / step) - 1, F.lit(0))
-    last = F.least(F.floor(F.col("t") / step) + 1, F.col("n_windows") - 1)
-    dealt = beside(spikes, counts, ["proc"]).where(first <= last).select("proc", "n_windows", "t", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("k"))
+def grid_symbols(spikes: DataFrame, grid: Sequence[Embedding], step: float = 0.005) -> DataFrame:
+    """e (place in the grid), proc, n_windows, k, symbol of the windows whose symbol isn't 0 (spikes: proc, t from 0).
+
+    A spike is dealt to the windows of every embedding in one pass; processes that are
+    shorter than an embedding's window have no rows of it.
+    """
+    ends = [e.delimiters(step) for e in grid]
+    plans = F.array(*(F.struct(F.lit(k).alias("e"), F.lit(e.bins).alias("bins"), F.array(*map(F.lit, own)).alias("ends"), F.lit(own[-1]).alias("length")) for k, (e, own) in enumerate(zip(grid, ends, strict=True))))
+    last = spikes.groupBy("proc").agg(F.max("t").alias("__last"))
+    met = beside(spikes, last, ["proc"]).select("proc", "t", "__last", F.explode(plans).alias("p")).select("proc", "t", "p.*", F.floor((F.col("__last") - F.col("p.length")) / step).cast("long").alias("n_windows"))
+    first = F.greatest(F.floor((F.col("t") - F.col("length")) / step) - 1, F.lit(0))
+    end = F.least(F.floor(F.col("t") / step) + 1, F.col("n_windows") - 1)
+    dealt = met.where((F.col("n_windows") > 0) & (first <= end)).select("e", "proc", "n_windows", "t", "bins", "ends", "length", F.explode(F.sequence(first.cast("long"), end.cast("long"))).alias("k"))
     begin = F.col("k") * F.lit(step)
-    inside = dealt.where((F.col("t") >= begin) & (F.col("t") < begin + length))
-    place: Column = F.lit(e.bins)
-    for i in reversed(range(e.bins)):
-        place = F.when(F.col("t") <= begin + ends[i], F.lit(i)).otherwise(place)
-    found = inside.groupBy("proc", "n_windows", "k", place.alias("bin")).agg(F.count("*").alias("c"))
+    inside = dealt.where((F.col("t") >= begin) & (F.col("t") < begin + F.col("length")))
+    place = F.least(F.size(F.filter("ends", lambda x: F.col("t") > begin + x)), F.col("bins"))
+    keys = ["e", "proc", "bin"]
+    found = inside.groupBy("e", "proc", "n_windows", "bins", "k", place.alias("bin")).agg(F.count("*").alias("c"))
     # exact medians of counts, windows without spikes in a bin counting as 0
-    histogram = found.groupBy("proc", "n_windows", "bin", "c").agg(F.count("*").alias("m"))
-    own = Window.partitionBy("proc", "bin")
+    histogram = found.groupBy(*keys, "n_windows", "c").agg(F.count("*").alias("m"))
+    own = Window.partitionBy(*keys)
     zeros = F.col("n_windows") - F.sum("m").over(own)
     upto = zeros + F.sum("m").over(own.orderBy("c").rowsBetween(Window.unboundedPreceding, 0))
     ranked = histogram.withColumn("upto", upto).withColumn("zeros", zeros)
@@ -86,9 +96,19 @@ def symbols(spikes: DataFrame, e: Embedding, step: float = 0.005) -> DataFrame:
         return F.when(F.col("zeros") >= rank, F.lit(0)).otherwise(F.min(F.when(F.col("upto") >= rank, F.col("c"))))
 
     n = F.col("n_windows")
-    medians = ranked.groupBy("proc", "bin", "n_windows", "zeros").agg(((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median")).select("proc", "bin", "median")
-    bits = found.join(F.broadcast(medians), ["proc", "bin"]).where(F.col("c") > F.col("median"))
-    return bits.groupBy("proc", "n_windows", "k").agg(F.sum(F.pow(F.lit(2.0), F.lit(e.bins) - F.col("bin"))).cast("long").alias("symbol"))
+    medians = ranked.groupBy(*keys, "n_windows", "zeros").agg(((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median")).select(*keys, "median")
+    bits = beside(found, medians, keys).where(F.col("c") > F.col("median"))
+    return bits.groupBy("e", "proc", "n_windows", "k").agg(F.sum(F.pow(F.lit(2.0), F.col("bins") - F.col("bin"))).cast("long").alias("symbol"))
+
+
+def symbols(spikes: DataFrame, e: Embedding, step: float = 0.005) -> DataFrame:
+    """proc, n_windows, k, symbol of one embedding's windows whose symbol isn't 0."""
+    return grid_symbols(spikes, [e], step).drop("e")
+
+
+def grid_counts(found: DataFrame) -> DataFrame:
+    """e, proc, symbol, n of what ``grid_symbols`` gives, with the windows whose symbol is 0."""
+    return _with_rest(found.groupBy("e", "proc", "n_windows", "symbol").agg(F.count("*").alias("n")), ["e", "proc"], "n_windows")
 
 
 def symbol_counts(spikes: DataFrame, e: Embedding, step: float = 0.005) -> DataFrame:
@@ -104,20 +124,19 @@ def _with_rest(counts: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
     first = F.row_number().over(own.orderBy("symbol")) == 1
     rows = F.array(F.struct(F.col("symbol").cast("long").alias("symbol"), F.col("n").cast("long").alias("n")), F.struct(F.lit(0).cast("long").alias("symbol"), F.col("__rest").cast("long").alias("n")))
     marked = counts.withColumn("__rest", F.when(first, rest).otherwise(0))
-    return marked.select(*keys, F.explode(rows).alias("e")).select(*keys, "e.symbol", "e.n").where("n > 0")
-
+    return marked.select(*keys, F.explode(rows).alias("__row")).select(*keys, "__row.symbol", "__row.n").where("n > 0")
 
-def plug_in(counts: DataFrame) -> DataFrame:
-    """proc, mi (nats), r: I(past; response) and its share of the response's entropy, from symbol counts."""
-    past, response = F.shiftright("symbol", 1), F.col("symbol") % 2
 
-    def entropy_of(key: Column, name: str) -> DataFrame:
-        own = counts.groupBy("proc", key.alias("__k")).agg(F.sum("n").alias("__n")).withColumn("__p", F.col("__n") / F.sum("__n").over(Window.partitionBy("proc")))
-        return own.groupBy("proc").agg((-F.sum(F.col("__p") * F.log("__p"))).alias(name))
-
-    met = entropy_of(response, "h_now").join(entropy_of(past, "h_past"), "proc").join(entropy_of(F.col("symbol"), "h_joint"), "proc")
-    mi = F.col("h_now") + F.col("h_past") - F.col("h_joint")
-    return met.select("proc", mi.alias("mi"), F.when(F.col("h_now") > 0, mi / F.col("h_now")).otherwise(0.0).alias("r"))
+def plug_in(counts: DataFrame, keys: Sequence[str] = ("proc",)) -> DataFrame:
+    """keys, mi (nats), r: I(past; response) and its share of the response's entropy, from symbol counts."""
+    kinds = F.array(F.struct(F.lit("now").alias("kind"), (F.col("symbol") % 2).alias("s")), F.struct(F.lit("past").alias("kind"), F.shiftright("symbol", 1).alias("s")), F.struct(F.lit("joint").alias("kind"), F.col("symbol").alias("s")))
+    dealt = counts.select(*keys, "n", F.explode(kinds).alias("k")).groupBy(*keys, "k.kind", "k.s").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "kind"))
+    rows = dealt.withColumn("p", share).groupBy(*keys)
+    h = {kind: -F.sum(F.when(F.col("kind") == kind, F.col("p") * F.log("p"))) for kind in ("now", "past", "joint")}
+    met = rows.agg(*(x.alias(f"__{kind}") for kind, x in h.items()))
+    mi = F.col("__now") + F.col("__past") - F.col("__joint")
+    return met.select(*keys, mi.alias("mi"), F.when(F.col("__now") > 0, mi / F.col("__now")).otherwise(0.0).alias("r"))
 
 
 def entropy_of_counts(n: np.ndarray) -> float:
@@ -138,7 +157,7 @@ def nsb_entropy(n: np.ndarray, states: int) -> float:
     u = np.linspace(-18, 14, 1_601)
     beta = np.exp(u)
     h = 1e-4
-    evidence = _LGAMMA(states * beta) - _LGAMMA(total + states * beta) + sum(m * (_LGAMMA(v + beta) - _LGAMMA(beta)) for v, m in zip(values, times, strict=True))
+    evidence = _lgamma(states * beta) - _lgamma(total + states * beta) + sum(m * (_lgamma(v + beta) - _lgamma(beta)) for v, m in zip(values, times, strict=True))
 
     def flat(b: np.ndarray) -> np.ndarray:
         return digamma(states * b + 1) - digamma(b + 1)
@@ -266,21 +285,23 @@ def averaged_r_tot(max_r: dict[float, float], depth: float, sd: float = 0.0) ->
     return float(np.mean(kept))
 
 
-def bootstrap_counts(found: DataFrame, n_boot: int, block: int, seed: int = 1) -> DataFrame:
+def bootstrap_counts(found: DataFrame, n_boot: int, block: int | DataFrame, seed: int = 1) -> DataFrame:
     """boot, proc, symbol, n: symbols of windows drawn in blocks; ``found`` is what ``symbols`` gives.
 
-    Each block of a replicate begins at a keyed place; a window's uses are counted by
-    joining block begins with the windows in their range, cut into block-sized cells.
+    ``block`` is the number of windows in a block, or a table (proc, block).  Each block
+    of a replicate begins at a keyed place; a window's uses are counted by joining block
+    begins with the windows in their range, cut into block-sized cells.
     """
     sizes = found.groupBy("proc").agg(F.max("n_windows").alias("n_windows"))
-    blocks = F.ceil(F.col("n_windows") / block).cast("int")
-    replicates = sizes.select("proc", "n_windows", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    begins = replicates.select("proc", "n_windows", "boot", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    start = F.floor(uniform(seed, "proc", "boot", "j") * F.greatest(F.col("n_windows") - block + 1, F.lit(1))).cast("long")
-    length = F.least(F.lit(block), F.col("n_windows") - F.col("j") * block)
-    dealt = begins.select("proc", "boot", "n_windows", start.alias("s"), length.alias("len"))
-    cells = dealt.select("proc", "boot", "s", "len", F.explode(F.sequence(F.floor(F.col("s") / block), F.floor((F.col("s") + F.col("len") - 1) / block))).alias("cell"))
-    windows = found.select("proc", "symbol", "k", F.floor(F.col("k") / block).alias("cell"))
+    sizes = sizes.withColumn("block", F.lit(block)) if isinstance(block, int) else sizes.join(block.select("proc", "block"), "proc")
+    size = F.col("block")
+    replicates = sizes.select("proc", "n_windows", "block", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
+    begins = replicates.select("proc", "n_windows", "block", "boot", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_windows") / size).cast("int") - 1)).alias("j"))
+    start = F.floor(uniform(seed, "proc", "boot", "j") * F.greatest(F.col("n_windows") - size + 1, F.lit(1))).cast("long")
+    length = F.least(size, F.col("n_windows") - F.col("j") * size)
+    dealt = begins.select("proc", "boot", "block", start.alias("s"), length.alias("len"))
+    cells = dealt.select("proc", "boot", "s", "len", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("s") + F.col("len") - 1) / size))).alias("cell"))
+    windows = beside(found, sizes.select("proc", "block"), ["proc"]).select("proc", "symbol", "k", F.floor(F.col("k") / size).alias("cell"))
     used = cells.join(windows, ["proc", "cell"]).where((F.col("k") >= F.col("s")) & (F.col("k") < F.col("s") + F.col("len")))
     totals = dealt.groupBy("proc", "boot").agg(F.sum("len").alias("total"))
     counts = used.groupBy("proc", "boot", "symbol").agg(F.count("*").alias("n")).join(totals, ["proc", "boot"])
@@ -306,48 +327,74 @@ class HistoryResult:
     max_r: dict[float, float] = field(default_factory=dict)
 
 
-def optimise(spikes: DataFrame, grid: Sequence[Embedding], method: str = "shuffling", step: float = 0.005, tolerance: float = 0.05, n_boot: int = 0, seed: int = 1, least_range: float = 0.01) -> list[HistoryResult]:
-    """Per process the embedding with the largest dependence, and the depth and time scale it leads to.
+def _estimator(bins: dict[int, int], keys: Sequence[str], seed: int) -> Callable:
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        counts = dict(zip(own["symbol"].tolist(), own["n"].tolist(), strict=True))
+        d = bins[int(own["e"].iloc[0])]
+        plain, nsb, shuffled = plug_in_of(counts)[1], nsb_of(counts, d)[1], shuffling_of(counts, d, seed)[1]
+        return pd.DataFrame([[*(own[k].iloc[0] for k in keys), plain, nsb, bias_term(nsb, plain), shuffled]], columns=[*keys, "plug_in", "nsb", "bias", "shuffling"])
 
-    All embeddings' symbols are counted in one job.
+    return run
+
+
+def estimates(counts: DataFrame, grid: Sequence[Embedding], keys: Sequence[str] = ("e", "proc"), seed: int = 1) -> DataFrame:
+    """keys, plug_in, nsb, bias (between the two), shuffling: the dependences of symbol counts, a group of keys in a task.
+
+    ``counts`` has the keys, e, symbol and n: a group is at most 2 ** (d + 1) rows.  Without
+    an NSB estimate above 0 the bias is infinite.
+    """
+    types = {f.name: f.dataType.simpleString() for f in counts.schema}
+    out = ", ".join([*(f"{k} {types[k]}" for k in keys), "plug_in double", "nsb double", "bias double", "shuffling double"])
+    return counts.groupBy(*keys).applyInPandas(_estimator({k: e.bins for k, e in enumerate(grid)}, list(keys), seed), out)
+
+
+_RESULT = "proc int, temporal_depth double, timescale double, r_tot double, r_low double, r_high double, e int, max_r map<double,double>"
+
+
+def _scales(least_range: float) -> Callable:
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        """Of one process: the best dependence of each past range, and the bootstraps of the best range."""
+        max_r = dict(sorted(zip(own["past_range"].tolist(), own["r"].tolist(), strict=True)))
+        top = own.sort_values(["r", "past_range"], ascending=[False, True]).iloc[0]
+        boots = [] if own["boots"].iloc[0] is None else sorted(own["boots"].iloc[0])
+        depth = temporal_depth(max_r, float(np.std(boots)) if boots else 0.0)
+        r_tot = max_r[depth]
+        low, high = interval(r_tot, boots) if boots else (r_tot, r_tot)
+        return pd.DataFrame([[int(top["proc"]), depth, information_timescale(max_r, r_tot, least_range), r_tot, low, high, int(top["e"]), max_r]], columns=["proc", "temporal_depth", "timescale", "r_tot", "r_low", "r_high", "e", "max_r"])
+
+    return run
+
+
+def optimised(spikes: DataFrame, grid: Sequence[Embedding], method: str = "shuffling", step: float = 0.005, tolerance: float = 0.05, n_boot: int = 0, seed: int = 1, least_range: float = 0.01) -> DataFrame:
+    """proc, temporal_depth, timescale, r_tot, r_low, r_high, e (the best embedding's place in the grid), max_r (by past range).
+
+    Ties go to the earlier embedding and the shorter range.  With ``bbc``, embeddings
+    whose bias reaches the tolerance are left out, and processes without any other have
+    no row.
     """
     if method not in ("shuffling", "bbc"):
         raise ValueError(f"unknown method {method!r}")
-    all_counts = None
-    for k, e in enumerate(grid):
-        own = symbol_counts(spikes, e, step).withColumn("e", F.lit(k))
-        all_counts = own if all_counts is None else all_counts.unionByName(own)
-    tables: dict[int, dict[int, dict[int, int]]] = {}
-    for r in all_counts.collect():  # counts of symbols: at most 2 ** (d + 1) per embedding and process
-        tables.setdefault(r["proc"], {}).setdefault(r["e"], {})[r["symbol"]] = r["n"]
-    out = []
-    for proc, by in sorted(tables.items()):
-        best: dict[float, tuple[float, int]] = {}
-        for k, counts in sorted(by.items()):
-            e = grid[k]
-            if method == "bbc":
-                r, plain = nsb_of(counts, e.bins)[1], plug_in_of(counts)[1]
-                if bias_term(r, plain) >= tolerance:
-                    continue
-            else:
-                r = shuffling_of(counts, e.bins, seed)[1]
-            if e.past_range not in best or r > best[e.past_range][0]:
-                best[e.past_range] = (r, k)
-        if not best:
-            continue
-        max_r = {t: r for t, (r, _) in sorted(best.items())}
-        top = max(max_r, key=lambda t: (max_r[t], -t))
-        e = grid[best[top][1]]
-        boots: list[float] = []
-        if n_boot:
-            own = spikes.where(F.col("proc") == proc)
-            rate = firing_rate(own, step).first()["rate"]
-            drawn: dict[int, dict[int, int]] = {}
-            for r in bootstrap_counts(symbols(own, e, step), n_boot, max(1, int(1 / (rate * step))), seed).collect():
-                drawn.setdefault(r["boot"], {})[r["symbol"]] = r["n"]
-            boots = [(nsb_of(c, e.bins) if method == "bbc" else shuffling_of(c, e.bins, seed))[1] for c in drawn.values()]
-        sd = float(np.std(boots)) if boots else 0.0
-        depth = temporal_depth(max_r, sd)
-        r_tot = max_r[depth]
-        out.append(HistoryResult(proc, method, depth, information_timescale(max_r, r_tot, least_range), r_tot, interval(r_tot, boots) if boots else (r_tot, r_tot), e, max_r))
-    return out
+    found = grid_symbols(spikes, grid, step)
+    if n_boot:  # read again by the bootstraps
+        found = kept(found, "history-symbols")
+    column = "nsb" if method == "bbc" else "shuffling"
+    scored = estimates(grid_counts(found), grid, seed=seed)
+    if method == "bbc":
+        scored = scored.where(F.col("bias") < tolerance)
+    ranges = F.element_at(F.array(*(F.lit(float(e.past_range)) for e in grid)), F.col("e") + 1)
+    better = F.struct(F.col(column).alias("r"), (-F.col("e")).alias("first"))
+    best = scored.groupBy("proc", ranges.alias("past_range")).agg(F.max(better).alias("b")).select("proc", "past_range", F.col("b.r").alias("r"), (-F.col("b.first")).alias("e"))
+    if not n_boot:
+        return best.withColumn("boots", F.lit(None).cast("array<double>")).groupBy("proc").applyInPandas(_scales(least_range), _RESULT)
+    top = best.groupBy("proc").agg(F.max(F.struct("r", (-F.col("past_range")).alias("near"), "e")).alias("b")).select("proc", F.col("b.e").alias("e"))
+    chosen = beside(found, top, ["proc", "e"])
+    blocks = firing_rate(spikes, step).select("proc", F.greatest(F.lit(1), (1 / (F.col("rate") * step)).cast("int")).alias("block"))
+    drawn = beside(bootstrap_counts(chosen.drop("e"), n_boot, blocks, seed), top, ["proc"])
+    boots = estimates(drawn, grid, ("proc", "boot"), seed).groupBy("proc").agg(F.collect_list(column).alias("boots"))
+    return best.join(boots, "proc", "left").groupBy("proc").applyInPandas(_scales(least_range), _RESULT)
+
+
+def optimise(spikes: DataFrame, grid: Sequence[Embedding], method: str = "shuffling", step: float = 0.005, tolerance: float = 0.05, n_boot: int = 0, seed: int = 1, least_range: float = 0.01) -> list[HistoryResult]:
+    """What ``optimised`` gives, brought to the driver: a result for each process."""
+    rows = optimised(spikes, grid, method, step, tolerance, n_boot, seed, least_range).orderBy("proc").collect()
+    return [HistoryResult(r["proc"], method, r["temporal_depth"], r["timescale"], r["r_tot"], (r["r_low"], r["r_high"]), grid[r["e"]], dict(r["max_r"])) for r in rows]

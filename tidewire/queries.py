@@ -820,12 +820,78 @@ def _(spark, sf_dir):
     return history.auto_information(trains(spark, sf_dir), _STEP, 4)
 
 
+_GRID = history.embeddings([900.0, 1800.0, 3600.0, 7200.0], [1, 2], 3, least_first_bin=450.0)
+
+
+def _grid_values() -> str:
+    """Embeddings as (e, bins, length, end of the first bin, end of the second)."""
+    rows = []
+    for k, e in enumerate(_GRID):
+        ends = e.delimiters(_STEP)
+        rows.append(f"({k}, {e.bins}, {ends[-1]!r}::DOUBLE, {ends[0]!r}::DOUBLE, {ends[1]!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+_GRID_COUNTS = f"""{_TRAINS},
+emb(e, bins, len, e0, e1) AS (VALUES {_grid_values()}),
+wn AS (SELECT proc, e, bins, len, e0, e1, CAST(floor((last - len) / 900.0::DOUBLE) AS BIGINT) AS n_windows FROM (SELECT proc, max(t) AS last FROM trains GROUP BY proc) JOIN emb ON last - len >= 900.0::DOUBLE),
+dealt AS (
+    SELECT e, proc, k, CASE WHEN t <= k * 900.0::DOUBLE + e0 THEN 0 WHEN bins = 1 OR t <= k * 900.0::DOUBLE + e1 THEN 1 ELSE 2 END AS bin
+    FROM (SELECT e, proc, bins, len, e0, e1, t, unnest(range(greatest(CAST(floor((t - len) / 900.0::DOUBLE) AS BIGINT) - 1, 0), least(CAST(floor(t / 900.0::DOUBLE) AS BIGINT) + 1, n_windows - 1) + 1)) AS k FROM trains JOIN wn USING (proc))
+    WHERE t >= k * 900.0::DOUBLE AND t < k * 900.0::DOUBLE + len
+),
+c AS (SELECT e, proc, k, bin, count(*) AS c FROM dealt GROUP BY ALL),
+dense AS (SELECT e, proc, bins, k, bin, coalesce(c, 0) AS c FROM (SELECT e, proc, bins, unnest(range(0, n_windows)) AS k FROM wn) JOIN (VALUES (0), (1), (2)) b(bin) ON bin <= bins LEFT JOIN c USING (e, proc, k, bin)),
+med AS (SELECT e, proc, bin, median(c) AS m FROM dense GROUP BY ALL),
+sym AS (SELECT e, proc, k, CAST(sum(CASE WHEN c > m THEN CAST(pow(2, bins - bin) AS BIGINT) ELSE 0 END) AS BIGINT) AS symbol FROM dense JOIN med USING (e, proc, bin) GROUP BY e, proc, k),
+counts AS (SELECT e, proc, symbol, count(*) AS n FROM sym GROUP BY ALL)"""
+
+
+def _grid_counts(spark, sf_dir):
+    return history.grid_counts(history.grid_symbols(trains(spark, sf_dir), _GRID, _STEP))
+
+
+@query("history_grid_counts", f"WITH {_GRID_COUNTS} SELECT CAST(e AS INTEGER) AS e, proc, symbol, n FROM counts")
+def _(spark, sf_dir):
+    return _grid_counts(spark, sf_dir)
+
+
+@query(
+    "history_grid_plug_in",
+    f"""WITH {_GRID_COUNTS},
+    h AS (
+        SELECT e, proc, kind, -sum(p * ln(p)) AS h FROM (
+            SELECT e, proc, kind, n / CAST(sum(n) OVER (PARTITION BY e, proc, kind) AS DOUBLE) AS p FROM (
+                SELECT e, proc, 'now' AS kind, symbol % 2 AS s, sum(n) AS n FROM counts GROUP BY ALL UNION ALL
+                SELECT e, proc, 'past', symbol // 2, sum(n) FROM counts GROUP BY ALL UNION ALL SELECT e, proc, 'joint', symbol, n FROM counts)) GROUP BY ALL
+    ),
+    w AS (SELECT e, proc, max(CASE WHEN kind = 'now' THEN h END) AS a, max(CASE WHEN kind = 'past' THEN h END) AS b, max(CASE WHEN kind = 'joint' THEN h END) AS c FROM h GROUP BY e, proc)
+    SELECT CAST(e AS INTEGER) AS e, proc, round(a + b - c, 8) + 0.0 AS mi, round(CASE WHEN a > 0 THEN (a + b - c) / a ELSE 0.0 END, 8) + 0.0 AS r FROM w""",
+)
+def _(spark, sf_dir):
+    return history.plug_in(_grid_counts(spark, sf_dir), ("e", "proc"))
+
+
+@query("history_estimates")
+def _(spark, sf_dir):
+    return history.estimates(_grid_counts(spark, sf_dir), _GRID)
+
+
+def _optimised(spark, sf_dir, method):
+    # events remember little, so the two estimates of the criterion lie further apart than the usual 0.05
+    found = history.optimised(trains(spark, sf_dir), _GRID, method, _STEP, tolerance=1.0, n_boot=10, least_range=450.0)
+    at = F.array(*(F.struct(F.lit(e.bins).alias("bins"), F.lit(float(e.scaling)).alias("scaling")) for e in _GRID))[F.col("e")]
+    return found.select("proc", "temporal_depth", "timescale", "r_tot", "r_low", "r_high", at["bins"].alias("bins"), at["scaling"].alias("scaling"))
+
+
 @query("history_optimised")
 def _(spark, sf_dir):
-    grid = history.embeddings([900.0, 1800.0, 3600.0, 7200.0], [1, 2], 3, least_first_bin=450.0)
-    found = history.optimise(trains(spark, sf_dir), grid, "shuffling", _STEP, n_boot=10, least_range=450.0)
-    rows = [(r.process, r.temporal_depth, r.timescale, r.r_tot, r.r_tot_interval[0], r.r_tot_interval[1], r.best.bins, r.best.scaling) for r in found]
-    return spark.createDataFrame(rows, "proc int, temporal_depth double, timescale double, r_tot double, r_low double, r_high double, bins int, scaling double")
+    return _optimised(spark, sf_dir, "shuffling")
+
+
+@query("history_optimised_bbc")
+def _(spark, sf_dir):
+    return _optimised(spark, sf_dir, "bbc")
 
 
 # ---- network analyses -----------------------------------------------------------------------
