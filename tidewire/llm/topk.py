@@ -33,6 +33,8 @@ from tidewire.llm.common import written
 #: Rows in a block of queries and in one of candidates, and candidates that are looked at together.
 BLOCK_ROWS = 4_096
 BUCKET_ROWS = 512
+#: Pairs of a bucket and a block of queries that are broadcast, at most; more are joined.
+FEW_ASKED = 100_000
 #: The shortest length of a bucket, as a share of its longest.
 BUCKET_RATIO = 0.9
 #: From this median cosine threshold on, coordinates prune too.
@@ -186,7 +188,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id
         asking = own.where("is_query").drop("bucket").join(reached, "vec_id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
         reach = F.col("length") * F.col("longest")
         asking = asking.join(plan, "dim").where(reach * (1 + 1e-9) + 1e-6 >= F.col("theta")).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int"))
+        # which blocks of queries ask a bucket: buckets times blocks of queries, broadcast only where that is few rows
         asked = asking.select("dim", "bucket", "q").distinct()
+        if len(wave) * q_blocks <= FEW_ASKED:
+            asked = F.broadcast(asked)
         columns = ["dim", "bucket", "c", "q", "vec_id", "v", "is_query", "theta"]
         queries = asking.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
         candidates = own.withColumn("is_query", F.lit(False)).withColumn("theta", F.lit(float("-inf"))).join(plan, ["dim", "bucket"]).withColumn("c", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).join(asked, ["dim", "bucket"]).select(*columns)
