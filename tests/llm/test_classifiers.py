@@ -75,6 +75,15 @@ def test_toxicity(spark, documents, odd, empty):
     assert {r["__tw_score"] for r in toxicity.with_toxicity(docs, none).collect()} == {0.0}
 
 
+def test_settings_are_compared_by_folds_of_the_given_labels(spark, documents):
+    docs, labels = labelled(spark, documents, lambda bad: prose(80, ["nastyword"] * (3 * bad)), "toxic", 120)
+    found = toxicity.fold_losses(docs, labels, [(1_000, 3.0), (1_000, 1e9)], folds=2)
+    assert [x[:2] for x in found] == [(1_000, 3.0), (1_000, 1e9)]
+    assert found[0][2] < found[1][2] and found[0][3] < 0.05 and abs(found[1][3] - 0.5) < 1e-12  # without features all texts score alike
+    (none,) = toxicity.fold_losses(docs, labels.limit(0), [(1_000, 3.0)], folds=2)
+    assert np.isnan(none[2])
+
+
 def test_grams_end_with_their_text():
     found, first = toxicity.grams(["abcd", "", "efgh"])
     one, _ = toxicity.grams(["abcd"])

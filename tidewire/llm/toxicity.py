@@ -34,7 +34,7 @@ SAMPLE_PER_LABEL = 5_000
 BUCKET_BITS = 22
 SIZES = (4, 5, 6)
 #: Standard errors between the shares of a feature, and texts that hold it, at least.
-CLEAR, LEAST_TEXTS = 3.0, 3
+CLEAR, LEAST_TEXTS = 4.5, 3
 #: Bytes of text that are worked on at once.
 PIECE_BYTES = 1 << 20
 #: Tasks that count the sample; each hands on one row per n-gram it has seen.
@@ -112,11 +112,11 @@ def _kept_only(kept: np.ndarray) -> Callable:
     return run
 
 
-def clear_features(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+def clear_features(counts: DataFrame, n1: int, n0: int, clear: float = CLEAR) -> DataFrame:
     """Of counts (bucket, c1, c0), those of features."""
     p, q, pooled = F.col("c1") / n1, F.col("c0") / n0, (F.col("c1") + F.col("c0")) / (n1 + n0)
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
-    return counts.where((F.col("c1") + F.col("c0") >= LEAST_TEXTS) & (F.abs(p - q) > CLEAR * error))
+    return counts.where((F.col("c1") + F.col("c0") >= LEAST_TEXTS) & (F.abs(p - q) > clear * error))
 
 
 def log_ratios(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def fit_scaled(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: flo
     return ratio * w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_label: int = SAMPLE_PER_LABEL, clear: float = CLEAR) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets of the features, their weights and the intercept, from the texts of ``docs`` whose ids are in ``labels``."""
     sample = written(labelled_texts(docs, labels, id_col, text_col, label_col, sample_per_label).coalesce(FIT_TASKS), "labelled-texts")
     many = dict(sample.groupBy("label").agg(F.count("*")).collect())
@@ -166,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     if not n1 or not n0:
         return np.zeros(0, dtype=np.int64), np.zeros(0), float("-inf")
     counts = sample.mapInArrow(_partial_counts, "bucket int, c1 int, c0 int").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    found = clear_features(counts, n1, n0).toArrow().sort_by("bucket")
+    found = clear_features(counts, n1, n0, clear).toArrow().sort_by("bucket")
     kept = found["bucket"].to_numpy().astype(np.int64)
     got = sample.mapInArrow(_kept_only(kept), "label int, features binary").toArrow()
     order = sorted(zip(got["label"].to_pylist(), got["features"].to_pylist(), strict=True))  # the fit doesn't depend on the order in which tasks end
@@ -215,3 +215,28 @@ def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
     """doc_id and score of every row; no text comes back from the scoring."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_scorer(model, "text", "score", "doc_id"), StructType([own.schema["doc_id"], StructField("score", DoubleType())]))
+
+
+def fold_losses(docs: DataFrame, labels: DataFrame, settings: list[tuple[int, float]], *, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, float, float, float]]:
+    """(rows per label, standard errors, balanced log loss, balanced error) of each setting, over folds of the labelled rows given.
+
+    Each fold is scored by a fit on the others, so no row outside ``labels`` is looked
+    at; folds are dealt by a hash of the id.  Both figures are means over the labels, in
+    which each label has the same weight; a fold whose others lack a label scores 0.
+    """
+    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    known = known.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(folds)))
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id"), "toxic-folds")
+    out = []
+    for many, clear in settings:
+        scored = None
+        for k in range(folds):
+            others = rows.where(F.col("fold") != k)
+            model = fit_toxicity(others, others, id_col="id", label_col="label", sample_per_label=many, clear=clear)
+            own = with_toxicity(rows.where(F.col("fold") == k), model).select("label", "__tw_score")
+            scored = own if scored is None else scored.unionByName(own)
+        right = F.when(F.col("label") == 1, F.col("__tw_score")).otherwise(1 - F.col("__tw_score"))
+        sides = scored.groupBy("label").agg(F.avg(-F.log(F.greatest(right, F.lit(1e-12)))).alias("loss"), F.avg(((F.col("__tw_score") >= 0.5).cast("int") != F.col("label")).cast("int")).alias("error"))
+        got = sides.agg(F.avg("loss"), F.avg("error")).first()
+        out.append((many, clear, float(got[0]), float(got[1])) if got[0] is not None else (many, clear, float("nan"), float("nan")))
+    return out
