@@ -39,3 +39,15 @@ def test_places_look_shuffled():
 def test_many_keys_at_once():
     got = bijection.places(np.arange(50), 50, np.arange(20)[:, None])
     assert got.shape == (20, 50) and all((got[k] == bijection.places(np.arange(50), 50, k)).all() for k in range(20))
+
+
+def test_tables_give_the_same_places():
+    import numpy as np
+
+    from tidewire.functions.bijection import places, places_by_key
+
+    for n in (1, 2, 7, 255, 1000, 30_011):
+        i = np.arange(n)
+        for key in (0, 5, 2**31 - 1):
+            assert (places_by_key(i, n, key) == places(i, n, key)).all()
+        assert (places_by_key(i[: n // 2], n, 9) == places(i[: n // 2], n, 9)).all()

@@ -92,3 +92,17 @@ def test_numbers_over_a_whole_table(spark):
     df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "a int, b int").repartition(6)
     for parts in (1, 5, 50):
         assert [tuple(r) for r in numbered(df, ["a", "b"], "k", parts).orderBy("k").collect()] == [(*r, k) for k, r in enumerate(rows)]
+
+
+def test_tails_of_large_populations_need_no_exact_binomials():
+    import time
+
+    from tidewire.functions.special import binomial_pmf, hypergeometric_pmf
+
+    assert abs(binomial_pmf(2000, 4000) * np.sqrt(np.pi * 2000) - 1) < 1e-3
+    assert abs(hypergeometric_pmf(30_000, 240_000, 60_000, 120_000) / (1 / np.sqrt(2 * np.pi * 120_000 / 4 * 0.75 / 2)) - 1) < 1e-3
+    begin = time.time()
+    low = [subgraphs.min_p("between", 70_000, 170_000, t) for t in range(1, 30_000, 10)]
+    assert time.time() - begin < 5 and low == sorted(low, reverse=True)
+    p = subgraphs.p_values("between", 700_000, 1_700_000, 20_000)
+    assert len(p) == 20_001 and p[0] == 0.0 and 0.9 < p.max() < 1.1

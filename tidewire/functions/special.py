@@ -87,11 +87,37 @@ def chi2_quantiles(p: np.ndarray, dof: float) -> np.ndarray:
     return (low + high) / 2
 
 
+#: Populations from which on probabilities come from logarithms: exact binomials have as many digits as the population has members.
+BY_LOGARITHMS = 1_000
+_SMALL = np.array([math.lgamma(k + 1) for k in range(256)])
+
+
+def log_factorial(k: np.ndarray | int) -> np.ndarray:
+    """Logarithms of factorials: a table, and Stirling's series beyond it."""
+    k = np.asarray(k, dtype=np.int64)
+    x = np.maximum(k, 256) + 1.0
+    y = 1 / (x * x)
+    return np.where(k < 256, _SMALL[np.clip(k, 0, 255)], (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y / 1260)) / x)
+
+
+def log_hypergeometric(k: np.ndarray, population: int, marked: int, drawn: int) -> np.ndarray:
+    """Logarithms of the probabilities of counts that can be."""
+    f = log_factorial
+    ends = f(np.array([marked, population - marked, drawn, population - drawn, population]))
+    return ends[:4].sum() - ends[4] - f(k) - f(marked - k) - f(drawn - k) - f(population - marked - drawn + k)
+
+
 def hypergeometric_pmf(k: int, population: int, marked: int, drawn: int) -> float:
     if k < max(0, drawn - (population - marked)) or k > min(drawn, marked):
         return 0.0
+    if population > BY_LOGARITHMS:
+        return float(np.exp(log_hypergeometric(np.array(k), population, marked, drawn)))
     return math.comb(marked, k) * math.comb(population - marked, drawn - k) / math.comb(population, drawn)
 
 
 def binomial_pmf(k: int, n: int, p: float = 0.5) -> float:
-    return math.comb(n, k) * p**k * (1 - p) ** (n - k) if 0 <= k <= n else 0.0
+    if not 0 <= k <= n:
+        return 0.0
+    if n > BY_LOGARITHMS and 0 < p < 1:
+        return float(np.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)))
+    return math.comb(n, k) * p**k * (1 - p) ** (n - k)

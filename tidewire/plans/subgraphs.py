@@ -1,18 +1,22 @@
 """Significant subgraph mining between two groups of graphs.
 
-Graphs are rows (group_id, subject, link_id).  A subgraph is a set of links.  Sets are
-enumerated in parts: which of the ``SPLIT`` most frequent links a set holds names its
-part, and a part's task gets the graphs that hold those, with their other links as
-bits over graphs.  A set grows by later links; the bits of its graphs are the bits of
-what it grew from and the new link's, and a set that too few graphs hold is not grown,
-as no larger one is held by more.  So sets of any size are found, each in one task, and
-no list of occurrences is ever made.
+Graphs are rows (group_id, subject, link_id).  A subgraph is a set of links.  Graphs
+with the same links are one pattern with a weight for each group (and, for pairs, a
+weight for what both graphs of a pair hold), so counting takes as long for many copies
+of a graph as for one.  Sets are enumerated in parts: which of the ``SPLIT`` most
+frequent links a set holds names its part, and a part's task gets the patterns that
+hold those, with their other links.  A set grows by later links over the patterns that
+hold it, and is not grown where too few graphs hold it, as no larger one is held by
+more.  Where few links are left, the counts of all their sets come at once from sums
+over supersets.  So sets of any size are found, each in one task, and no list of
+occurrences is ever made.
 
 Tarone's factor needs the number of sets for each count alone, which tasks sum up.
-Westfall and Young's level needs the smallest p-value of each permutation: a task
-multiplies the bits of a set with those of all permuted groups, and leaves out sets
-whose smallest possible p-value is beyond the level that its permutations have reached
-so far, as these can't change the level.
+Westfall and Young's level needs the smallest p-value of each permutation: tasks take a
+part and a block of permutations, count each pattern's graphs in the permuted groups
+once, and sum these over the patterns of a set.  Sets whose smallest possible p-value is
+beyond a first guess of the level are left out, as they can't change a level below it;
+where the guess turns out too low, all are taken.
 """
 
 from __future__ import annotations
@@ -25,16 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.bijection import MASK, key_number, mixed_number, places
+from tidewire.functions.bijection import MASK, key_number, mixed_number, places_by_key
 from tidewire.functions.ranks import numbered
-from tidewire.functions.special import binomial_pmf, hypergeometric_pmf
+from tidewire.functions.special import binomial_pmf, hypergeometric_pmf, log_factorial, log_hypergeometric
 from tidewire.sources.shared import kept
 
-#: Links that name the parts (2**SPLIT tasks at most); sets that a task hands over together; bits of permuted groups that it holds.
-SPLIT, ROWS_AT_ONCE, LABEL_BITS = 6, 1 << 14, 1 << 29
-#: Places of graphs that a task works out together.
-LABELS_AT_ONCE = 1 << 19
+#: Links that name the parts (2**SPLIT tasks at most); sets that a task hands over together; links whose sets are summed at once, at most.
+SPLIT, ROWS_AT_ONCE, SUMMED = 6, 1 << 14, 18
+#: p-values that a task remembers; its permutations, at most; bits of counts of permuted groups that it holds.
+REMEMBERED, PERMS_AT_ONCE, LABEL_BITS = 1 << 23, 500, 1 << 31
+#: The first guess of Westfall and Young's level takes so many permutations, and sets of so many links.
+GUESS_PERMS, GUESS_LINKS = 400, 2
 
+WEIGHTS = ("a", "b", "both")
 DESIGNS, METHODS = ("between", "within"), ("Hommel", "Tarone", "Westfall-Young")
 
 
@@ -70,90 +77,110 @@ def p_of(design: str, n_a: int, n_b: int, in_a: int, occurrences: int) -> float:
 
 
 def p_values(design: str, n_a: int, n_b: int, total: int) -> np.ndarray:
-    """``p_of`` for every in_a from 0 to total (1 for tables that can't be)."""
-    k = np.arange(total + 1)
-    lg = np.vectorize(math.lgamma, otypes=[float])
+    """``p_of`` for every in_a from 0 to total (1 for tables that can't be).
+
+    Only counts within sqrt(380 total) of the mean are summed: by Hoeffding's bound
+    what lies beyond has less than exp(-760), which is 0 as a double.
+    """
+    reach = math.isqrt(380 * total) + 2
     if design == "within":
-        pmf = np.exp(math.lgamma(total + 1) - lg(k + 1) - lg(total - k + 1) - total * math.log(2))
-        return 2 * np.minimum(np.cumsum(pmf[::-1])[::-1], pmf)
+        k = np.arange(max(0, total // 2 - reach), min(total, total // 2 + reach) + 1)
+        pmf = np.exp(log_factorial(total) - log_factorial(k) - log_factorial(total - k) - total * math.log(2))
+        p = np.zeros(total + 1)
+        p[k] = 2 * np.minimum(np.cumsum(pmf[::-1])[::-1], pmf)
+        return p
     n = n_a + n_b
-    if n_a == n_b:
-        t = min(total, n - total)
-        a = np.clip(n_a - k if total > n // 2 else k, 0, t)
-        a = np.maximum(a, t - a)
-    else:
-        t, a = total, k
-    j = np.arange(t + 1)
-    can = (j <= n_a) & (t - j <= n_b)
-    log = np.full(t + 1, -np.inf)
-    log[can] = math.lgamma(t + 1) + math.lgamma(n - t + 1) + math.lgamma(n_a + 1) + math.lgamma(n_b + 1) - math.lgamma(n + 1) - lg(j[can] + 1) - lg(t - j[can] + 1) - lg(n_a - j[can] + 1) - lg(n_b - t + j[can] + 1)
-    pmf = np.exp(log)
-    p = 2 * np.minimum(np.cumsum(pmf), np.cumsum(pmf[::-1])[::-1])[a]
-    if n_a == n_b and t % 2:
-        p[a == (t + 1) // 2] = 1.0
-    return p
+    t = min(total, n - total) if n_a == n_b else total
+    mean = t * n_a // n
+    j = np.arange(max(0, t - n_b, mean - reach), min(n_a, t, mean + reach) + 1)
+    pmf = np.exp(log_hypergeometric(j, n, n_a, t))
+    p = np.zeros(t + 1)
+    p[j] = 2 * np.minimum(np.cumsum(pmf), np.cumsum(pmf[::-1])[::-1])
+    if n_a != n_b:
+        return p
+    if t % 2:
+        p[(t + 1) // 2] = 1.0
+    k = np.arange(total + 1)
+    a = np.clip(n_a - k if total > n // 2 else k, 0, t)
+    return p[np.maximum(a, t - a)]
+
+
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Places starts, starts + 1, ... of spans one after another."""
+    return np.arange(lens.sum()) + np.repeat(starts - np.cumsum(lens) + lens, lens)
 
 
 class _Part:
-    """The sets of one part: bits of the graphs of each group that hold each link, over graphs (pairs of them within subjects)."""
+    """The sets of one part: its patterns as runs of links in ascending places, with their weights (in a, in b, in both graphs of a pair)."""
 
     def __init__(self, table: pa.Table, design: str, least: int, most_links: int | None) -> None:
         self.design, self.least, self.most_links = design, least, most_links
-        self.fixed = sorted(table["fixed"][0].as_py())
-        group, self.subject = table["group_id"].to_numpy(), table["number"].to_numpy()
-        unit = np.unique(self.subject, return_inverse=True)[1]
-        self.units = np.unique(self.subject)
-        words = -(-len(self.units) // 64)
+        self.fixed = np.array(sorted(table["fixed"][0].as_py()), dtype=np.int64)
+        self.weights = np.stack([table[c].to_numpy().astype(float) for c in ("a", "b", "both")])  # whole numbers, exact below 2**53
         rest = table["rest"].combine_chunks()
-        link = rest.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(group)), np.diff(rest.offsets.to_numpy()))
-        self.links, which = np.unique(link, return_inverse=True)
-
-        def bits(rows: np.ndarray, lines: np.ndarray, many: int) -> np.ndarray:
-            out = np.zeros((many, words), dtype=np.uint64)
-            np.bitwise_or.at(out, (lines, unit[rows] // 64), np.uint64(1) << (unit[rows] % 64).astype(np.uint64))
-            return out
-
-        self.base, self.planes = [], []
-        for g in (0, 1):
-            mine = np.flatnonzero(group == g)
-            self.base.append(bits(mine, np.zeros(len(mine), dtype=int), 1)[0])
-            own = group[row] == g
-            self.planes.append(bits(row[own], which[own], len(self.links)))
-
-    def counts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """in_a, total and occurrences of rows of bits."""
-        pop = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-        if self.design == "between":
-            in_a, in_b = pop(a), pop(b)
-            return in_a, in_a + in_b, in_a + in_b
-        return pop(a & ~b), pop(a ^ b), pop(a) + pop(b)
-
-    def sets(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Sets that grow from one: its links, and for each new link its place, bits of both groups, in_a, total."""
-        a, b = self.base
-        in_a, total, held = self.counts(a[None], b[None])
-        if held[0] < self.least:
+        self.links, self.flat = np.unique(rest.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        self.lens = np.diff(rest.offsets.to_numpy()).astype(np.int64)
+
+    def counts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """in_a, total and occurrences from sums of weights."""
+        a, b, both = np.rint(w).astype(np.int64)
+        return (a, a + b, a + b) if self.design == "between" else (a - both, a + b - 2 * both, a + b)
+
+    def grown(self, sums_at_once: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Sets that grow from one: its links, later links, the sets as bits over these (none: a link each), in_a, total, and where not summed at once the patterns of each."""
+        in_a, total, held = self.counts(self.weights.sum(axis=1, keepdims=True))
+        if held[0] < self.least or self.most_links is not None and len(self.fixed) > self.most_links:
             return
-        if self.fixed:
-            yield self.fixed, np.array([-1]), a[None], b[None], in_a, total
-        todo = [(self.fixed, -1, a, b)]
+        if len(self.fixed):
+            yield self.fixed[:-1], self.fixed[-1:], None, in_a, total, [np.arange(len(self.lens))]
+        todo = [(self.fixed, np.arange(len(self.lens)), self.flat, self.lens)]
         while todo:
-            links, last, a, b = todo.pop()
-            later = np.arange(last + 1, len(self.links))
-            if not len(later) or self.most_links is not None and len(links) >= self.most_links:
+            own, rows, flat, lens = todo.pop()
+            if self.most_links is not None and len(own) >= self.most_links or not len(flat):
                 continue
-            new_a, new_b = self.planes[0][later] & a, self.planes[1][later] & b
-            in_a, total, held = self.counts(new_a, new_b)
-            on = held >= self.least
-            if not on.any():
+            at = np.repeat(np.arange(len(rows)), lens)
+            w = self.weights[:, rows]
+            in_a, total, held = self.counts(np.stack([np.bincount(flat, x[at], len(self.links)) for x in w]))
+            live = np.flatnonzero(held >= self.least)
+            if not len(live):
                 continue
-            later, new_a, new_b, in_a, total = later[on], new_a[on], new_b[on], in_a[on], total[on]
-            yield links, later, new_a, new_b, in_a, total
-            todo += [([*links, int(self.links[k])], int(k), x, y) for k, x, y in zip(later, new_a, new_b, strict=True)]
-
-    def named(self, links: list[int], k: int) -> list[int]:
-        return sorted(links if k < 0 else [*links, int(self.links[k])])
+            on = held[flat] >= self.least
+            flat, at = flat[on], at[on]
+            lens = np.bincount(at, minlength=len(rows))
+            many = len(live)
+            if sums_at_once and many <= SUMMED and (many <= 12 or 1 << many <= 64 * np.exp2(np.minimum(lens, 50)).sum()):
+                rank = np.zeros(len(self.links), dtype=np.int64)
+                rank[live] = np.arange(many)
+                code = np.bincount(at, (1 << rank[flat]).astype(float), len(rows)).astype(np.int64)
+                sums = np.stack([np.bincount(code, x, 1 << many) for x in w])
+                for k in range(many):
+                    view = sums.reshape(3, -1, 2, 1 << k)
+                    view[:, :, 0] += view[:, :, 1]
+                in_a, total, held = self.counts(sums)
+                take = held >= self.least
+                take[0] = False
+                sets = np.flatnonzero(take)
+                if self.most_links is not None:
+                    sets = sets[np.bitwise_count(sets) <= self.most_links - len(own)]
+                yield own, self.links[live], sets, in_a[sets], total[sets], []
+                continue
+            order = np.argsort(flat, kind="stable")
+            each = np.bincount(flat, minlength=len(self.links))
+            groups = [order[e - n : e] for n, e in zip(each[live], np.cumsum(each)[live], strict=True)]
+            yield own, self.links[live], None, in_a[live], total[live], [rows[at[g]] for g in groups]
+            stop = np.cumsum(lens)
+            for k, g in zip(live, groups, strict=True):
+                left = stop[at[g]] - g - 1
+                todo.append((np.append(own, self.links[k]), rows[at[g]], flat[_spans(g + 1, left)], left))
+
+    def named(self, own: np.ndarray, later: np.ndarray, sets: np.ndarray | None, take: np.ndarray) -> pa.ListArray:
+        """Links in ascending order of the sets that are taken."""
+        links = np.concatenate([own, later])
+        has = np.ones((len(take), len(links)), dtype=bool)
+        has[:, len(own) :] = take[:, None] == np.arange(len(later)) if sets is None else sets[take, None] >> np.arange(len(later)) & 1
+        order = np.argsort(links)
+        has = has[:, order]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has.sum(axis=1))), pa.int32()), pa.array(links[order][np.nonzero(has)[1]], pa.int32()))
 
 
 class SubgraphMining:
@@ -170,37 +197,47 @@ class SubgraphMining:
         rows = graphs.select("group_id", "subject", F.col("link_id").cast("int").alias("link_id")).distinct()
         people = numbered(rows.select(*by).distinct(), by, "number")
         self.graphs = kept(rows.join(people, by).groupBy("group_id", "number").agg(F.sort_array(F.collect_list("link_id")).alias("links")), "graphs")
+        own = self.graphs.select("links", (F.col("group_id") == 0).cast("long").alias("a"), (F.col("group_id") == 1).cast("long").alias("b"), F.lit(0).cast("long").alias("both"))
+        if design == "within":
+            pairs = self.graphs.groupBy("number").agg(F.max(F.when(F.col("group_id") == 0, F.col("links"))).alias("x"), F.max(F.when(F.col("group_id") == 1, F.col("links"))).alias("y"))
+            zero = F.lit(0).cast("long")
+            own = own.unionByName(pairs.where("x IS NOT NULL AND y IS NOT NULL").select(F.array_sort(F.array_intersect("x", "y")).alias("links"), zero.alias("a"), zero.alias("b"), F.lit(1).cast("long").alias("both")))
+        self.patterns = kept(own.groupBy("links").agg(*(F.sum(c).alias(c) for c in WEIGHTS)), "patterns")
 
     @property
     def most(self) -> int:
         return self.n_a if self.design == "within" else self.n_a + self.n_b
 
-    def _parts(self) -> DataFrame:
-        """group_id, number, rest, fixed: each graph in the parts of all subsets of its frequent links."""
-        top = [r[0] for r in self.graphs.select(F.explode("links").alias("l")).groupBy("l").count().orderBy(F.desc("count"), "l").limit(SPLIT).collect()]
-        mine = F.filter("links", lambda x: x.isin(top)) if top else F.array().cast("array<int>")
+    def _dealt(self, table: DataFrame) -> DataFrame:
+        """``table`` with fixed and rest in place of links: each row in the parts of all subsets of its frequent links."""
+        often = self.patterns.select(F.explode("links").alias("l"), (F.col("a") + F.col("b")).alias("n")).groupBy("l").agg(F.sum("n").alias("n"))
+        top = F.array(*(F.lit(r[0]) for r in often.orderBy(F.desc("n"), "l").limit(SPLIT).collect())).cast("array<int>")
         empty = F.array(F.array().cast("array<int>"))
-        subsets = F.aggregate(mine, empty, lambda found, x: F.concat(found, F.transform(found, lambda s: F.concat(s, F.array(x)))))
-        return self.graphs.select("group_id", "number", F.array_except("links", F.lit(top).cast("array<int>") if top else F.array().cast("array<int>")).alias("rest"), F.explode(subsets).alias("fixed"))
+        subsets = F.aggregate(F.array_intersect(top, "links"), empty, lambda found, x: F.concat(found, F.transform(found, lambda s: F.concat(s, F.array(x)))))
+        return table.withColumn("rest", F.array_except("links", top)).withColumn("fixed", F.explode(subsets)).drop("links")
 
     def _each_part(self, least: int, kernel: Callable, schema: str) -> DataFrame:
         design, most_links = self.design, self.most_links
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = _Part(pa.Table.from_batches(batches), design, least, most_links)
-            if most_links is None or len(part.fixed) <= most_links:
-                yield from kernel(part)
+            yield from kernel(_Part(pa.Table.from_batches(batches), design, least, most_links))
 
-        return self._parts().groupBy("fixed").applyInArrow(run, schema)
+        parts = self._dealt(self.patterns).groupBy("fixed", "rest").agg(*(F.sum(c).alias(c) for c in WEIGHTS))
+        return parts.groupBy("fixed").applyInArrow(run, schema)
 
     def _tables(self) -> Callable[[int], tuple[np.ndarray, float]]:
-        """p-values by in_a, and the smallest one, for a total; worked out once in a task."""
+        """p-values by in_a, and the smallest one, for a total; worked out once in a task while they are few."""
         design, n_a, n_b = self.design, self.n_a, self.n_b
         known: dict[int, tuple[np.ndarray, float]] = {}
+        held = [0]
 
         def table(total: int) -> tuple[np.ndarray, float]:
             if total not in known:
+                if held[0] + total > REMEMBERED:
+                    known.clear()
+                    held[0] = 0
                 known[total] = p_values(design, n_a, n_b, total), min_p(design, n_a, n_b, total)
+                held[0] += total + 1
             return known[total]
 
         return table
@@ -210,28 +247,38 @@ class SubgraphMining:
         tables = self._tables()
 
         def rows(part: _Part) -> Iterator[pa.RecordBatch]:
-            own: list[tuple] = []
-            for links, later, _, _, in_a, total in part.sets():
-                p, low = (np.array([tables(t)[which][i] if which == 0 else tables(t)[1] for i, t in zip(in_a.tolist(), total.tolist(), strict=True)]) for which in (0, 1))
-                for k in np.flatnonzero(keep(p, low)) if keep else range(len(later)):
-                    own.append((part.named(links, int(later[k])), int(in_a[k]), int(total[k]), float(p[k]), float(low[k])))
-                if len(own) >= ROWS_AT_ONCE:
-                    yield _counted_batch(own)
-                    own = []
-            yield _counted_batch(own)
+            for own, later, sets, in_a, total, _ in part.grown():
+                p, low = np.empty(len(total)), np.empty(len(total))
+                order = np.argsort(total, kind="stable")
+                kinds, starts = np.unique(total[order], return_index=True)
+                for t, at in zip(kinds, np.split(order, starts[1:]), strict=True):
+                    by_count, low[at] = tables(int(t))
+                    p[at] = by_count[in_a[at]]
+                take = np.flatnonzero(keep(p, low)) if keep else np.arange(len(total))
+                for at in range(0, len(take), ROWS_AT_ONCE):
+                    k = take[at : at + ROWS_AT_ONCE]
+                    columns = [part.named(own, later, sets, k), *(pa.array(x[k]) for x in (in_a, total, p, low))]
+                    yield pa.RecordBatch.from_arrays(columns, ["links", "in_a", "total", "p_value", "min_p"])
 
         return self._each_part(least, rows, "links array<int>, in_a long, total long, p_value double, min_p double")
 
     def totals(self, least: int = 1) -> DataFrame:
         """links, in_a, total."""
-        return self.counted(least).select("links", "in_a", "total")
+
+        def rows(part: _Part) -> Iterator[pa.RecordBatch]:
+            for own, later, sets, in_a, total, _ in part.grown():
+                for at in range(0, len(total), ROWS_AT_ONCE):
+                    k = np.arange(at, min(len(total), at + ROWS_AT_ONCE))
+                    yield pa.RecordBatch.from_arrays([part.named(own, later, sets, k), pa.array(in_a[k]), pa.array(total[k])], ["links", "in_a", "total"])
+
+        return self._each_part(least, rows, "links array<int>, in_a long, total long")
 
     def histogram(self, least: int = 1) -> dict[int, int]:
         """Sets by total."""
 
         def rows(part: _Part) -> Iterator[pa.RecordBatch]:
             many: dict[int, int] = {}
-            for *_, total in part.sets():
+            for *_, total, _ in part.grown():
                 for t, n in zip(*np.unique(total, return_counts=True), strict=True):
                     many[int(t)] = many.get(int(t), 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.int64()), pa.array(list(many.values()), pa.int64())], ["total", "n"])
@@ -270,65 +317,94 @@ class SubgraphMining:
 
     def westfall_young_level(self, n_perm: int, seed: int) -> float:
         """The largest level at which the smallest p-values of permuted groups reach it in at most alpha of the cases; the first permutation is the groups as they are."""
-        tables, design, alpha, n_a, n = self._tables(), self.design, self.alpha, self.n_a, self.n_a + self.n_b
-        first_b = self.graphs.where("group_id = 0").agg(F.count("*")).first()[0] if design == "between" else 0
-
-        def smallest(part: _Part) -> Iterator[pa.RecordBatch]:
-            units, words = len(part.units), part.base[0].shape[0]
-            step = max(1, LABEL_BITS // max(1, 64 * words))
-            for begin in range(0, n_perm, step):
-                perms = np.arange(begin, min(n_perm, begin + step))
-                labels = _labels(part, perms, seed, design, n_a, n, first_b)
-                best, reached = np.full(len(perms), np.inf), np.inf
-                for _, later, a, b, _, total in part.sets():
-                    for k in range(len(later)):
-                        p, low = tables(int(total[k]))
-                        if low > reached:
-                            continue
-                        if design == "between":
-                            in_a = labels & (a[k] | b[k])
-                        else:  # a pair counts for a if its graph of a alone holds the set and isn't swapped, or the other way about
-                            in_a = (labels & (b[k] & ~a[k])) | (~labels & (a[k] & ~b[k]))
-                        own = p[np.bitwise_count(in_a).sum(axis=1, dtype=np.int64)]
-                        if (own < best).any():
-                            best = np.minimum(best, own)
-                            # in all, permutations reach what these alone reach in too many cases
-                            place = int(alpha * n_perm)
-                            reached = np.partition(best, place)[place] if place < len(best) else np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(perms, pa.int32()), pa.array(best)], ["perm", "p"])
+        guess = self._level(self._smallest(min(n_perm, GUESS_PERMS), seed, self.alpha, GUESS_LINKS), min(n_perm, GUESS_PERMS))[1]
+        for most in sorted({min(self.alpha, 2 * guess), self.alpha}):
+            level, beyond = self._level(self._smallest(n_perm, seed, most), n_perm)
+            if beyond <= most:  # sets left out have larger p-values alone
+                break
+        return level
 
-        found = self._each_part(self.least_for(self.alpha), smallest, "perm int, p double").groupBy("perm").agg(F.min("p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
+    def _level(self, smallest: DataFrame, n_perm: int) -> tuple[float, float]:
+        """The level, and the next larger value, which too many permutations reach (infinite: none)."""
+        found = smallest.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()  # a row for each permutation at most
         seen, level = 0, 0.0
         for r in found:
             seen += r["n"]
             if seen / n_perm > self.alpha or math.isinf(r["p"]):
-                break
+                return level, r["p"]
             level = r["p"]
-        return level
+        return level, math.inf
 
+    def _smallest(self, n_perm: int, seed: int, most: float, most_links: int | None = None) -> DataFrame:
+        """perm, p: the smallest p-value of each permutation over the sets that can reach ``most`` (infinite: none)."""
+        tables, design, n_a, n = self._tables(), self.design, self.n_a, self.n_a + self.n_b
+        first_b = self.graphs.where("group_id = 0").agg(F.count("*")).first()[0] if design == "between" else 0
+        bounds = [x for x in (most_links, self.most_links) if x is not None]
+        most_links, least = min(bounds, default=None), self.least_for(most)
+        tasks = 4 * self.spark.sparkContext.defaultParallelism
+        blocks = -(-n_perm // max(1, min(PERMS_AT_ONCE, -(-n_perm // tasks))))
+        block = -(-n_perm // blocks)
+
+        def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches)
+            part = _Part(table, design, least, most_links)
+            begin = table["block"][0].as_py() * block
+            step = max(1, LABEL_BITS // (64 * max(1, len(part.lens))))
+            for at in range(begin, min(n_perm, begin + block), step):
+                perms = np.arange(at, min(n_perm, begin + block, at + step))
+                best, counts = np.full(len(perms), np.inf), None
+                for *_, total, patterns in part.grown(sums_at_once=False):
+                    for t, rows in zip(total.tolist(), patterns, strict=True):
+                        p, low = tables(t)
+                        if low > most:
+                            continue
+                        if counts is None:
+                            counts = _permuted(table, perms, seed, design, n_a, n, first_b)
+                        np.minimum(best, p[counts[rows].sum(axis=0)], out=best)
+                yield pa.RecordBatch.from_arrays([pa.array(perms, pa.int32()), pa.array(best)], ["perm", "p"])
 
-def _counted_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["links", "in_a", "total", "p_value", "min_p"])
-
-
-def _labels(part: _Part, perms: np.ndarray, seed: int, design: str, n_a: int, n: int, first_b: int) -> np.ndarray:
-    """Bits over a part's graphs: in group a (swapped, for pairs), for each permutation; from a keyed bijection of all graphs' numbers."""
-    out = np.zeros((len(perms), part.base[0].shape[0] * 8), dtype=np.uint8)
-    units = part.units
-    # graphs of a come first, then what a lacks (graphs without links), then b
-    numbers = np.where(units < first_b, units, units - first_b + n_a)
-    step = max(1, LABELS_AT_ONCE // max(1, len(units)))
-    for at in range(0, len(perms), step):
-        own = perms[at : at + step, None]
-        if design == "between":
-            labels = np.where(own == 0, numbers, places(numbers, n, key_number(seed, own))) < n_a
-        else:
-            labels = np.where(own == 0, 0, mixed_bits(units, key_number(seed, own))) > 0
-        packed = np.packbits(labels, axis=1, bitorder="little")
-        out[at : at + step, : packed.shape[1]] = packed
-    return out.view("<u8")
+        dealt = self._numbers().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return dealt.repartition(2 * tasks, "fixed", "block").groupBy("fixed", "block").applyInArrow(smallest, "perm int, p double").groupBy("perm").agg(F.min("p").alias("p"))
+
+    def _numbers(self) -> DataFrame:
+        """fixed, rest, weights, plus, minus: the patterns of each part with the graphs' numbers.
+
+        Between, graphs of a pattern have their numbers in plus.  Within, a pair counts
+        where one graph alone holds a set: for a if it is that of a and not swapped, or
+        that of b and swapped.  plus and minus are the pairs whose graph of a (b) holds
+        the pattern, and both those whose two graphs do.
+        """
+        g = self.graphs.select("links", "number", "group_id")
+        if self.design == "within":
+            pairs = self.graphs.groupBy("number").agg(F.max(F.when(F.col("group_id") == 0, F.col("links"))).alias("x"), F.max(F.when(F.col("group_id") == 1, F.col("links"))).alias("y"))
+            g = g.unionByName(pairs.where("x IS NOT NULL AND y IS NOT NULL").select(F.array_sort(F.array_intersect("x", "y")).alias("links"), "number", F.lit(2).alias("group_id")))
+        each = [F.collect_list(F.when(F.col("group_id") == k, F.col("number"))).alias(f"n_{c}") for k, c in enumerate(WEIGHTS)]
+        per = self._dealt(g).groupBy("fixed", "rest").agg(*each)
+        return per.select("*", *(F.size(f"n_{c}").cast("long").alias(c) for c in WEIGHTS))
+
+
+def _permuted(table: pa.Table, perms: np.ndarray, seed: int, design: str, n_a: int, n: int, first_b: int) -> np.ndarray:
+    """Graphs (pairs) of each pattern that are in a after each permutation, from a keyed bijection of all graphs' numbers."""
+    out = np.zeros((table.num_rows, len(perms)), dtype=np.int32)
+    for c in WEIGHTS:
+        numbers = table[f"n_{c}"].combine_chunks()
+        lens = np.diff(numbers.offsets.to_numpy())
+        units, rows = numbers.flatten().to_numpy(zero_copy_only=False), np.flatnonzero(lens)
+        if not len(rows):
+            continue
+        starts = np.append(0, np.cumsum(lens[rows]))[:-1]
+        # graphs of a come first, then what a lacks (graphs without links), then b
+        place = np.where(units < first_b, units, units - first_b + n_a) if design == "between" else units
+        for k, perm in enumerate(perms.tolist()):
+            key = key_number(seed, perm)
+            if design == "between":
+                in_a = (places_by_key(place, n, key) if perm else place) < n_a
+                out[rows, k] += np.add.reduceat(in_a, starts, dtype=np.int32)
+            else:  # swapped pairs; what both graphs hold counts for neither
+                swapped = (mixed_bits(units, key) if perm else np.zeros(len(units))).astype(np.int32)
+                own = {"a": 1 - swapped, "b": swapped, "both": np.full_like(swapped, -1)}[c]
+                out[rows, k] += np.add.reduceat(own, starts)
+    return out
 
 
 def mixed_bits(i: np.ndarray, key: np.ndarray) -> np.ndarray:
