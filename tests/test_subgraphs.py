@@ -106,3 +106,25 @@ def test_tails_of_large_populations_need_no_exact_binomials():
     assert time.time() - begin < 5 and low == sorted(low, reverse=True)
     p = subgraphs.p_values("between", 700_000, 1_700_000, 20_000)
     assert len(p) == 20_001 and p[0] == 0.0 and 0.9 < p.max() < 1.1
+
+
+@pytest.mark.parametrize("design", subgraphs.DESIGNS)
+def test_copies_of_graphs_are_one_pattern(spark, design):
+    rows, _ = dense(6, 6, 14, 4, 0.3)
+    once = subgraphs.SubgraphMining(spark.createDataFrame(rows, KIND), 6, 6, design=design)
+    copies = subgraphs.SubgraphMining(spark.createDataFrame([(g, s + 100 * c, k) for g, s, k in rows for c in range(50)], KIND), 300, 300, design=design)
+    assert copies.graphs.count() > 25 * once.graphs.count() and copies.patterns.count() == once.patterns.count()
+    want = {tuple(r["links"]): (50 * r["in_a"], 50 * r["total"]) for r in once.totals().collect()}
+    assert {tuple(r["links"]): (r["in_a"], r["total"]) for r in copies.totals().collect()} == want
+    for size in (1, 20):  # sums over supersets, and growth by single links, of few and of many links
+        part = subgraphs.SubgraphMining(spark.createDataFrame([(g, s, k * size) for g, s, k in rows], KIND), 6, 6, design=design, most_links=3)
+        assert {tuple(k // size for k in r["links"]) for r in part.totals().collect()} == {k for k in want if len(k) <= 3}
+
+
+def test_sets_of_many_links_grow_like_sums(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(s % 2), s, int(k)) for s in range(40) for k in np.unique(rng.integers(0, 60, 7))]
+    mining = subgraphs.SubgraphMining(spark.createDataFrame(rows, KIND), 20, 20)
+    found = sorted((r["links"], r["in_a"], r["total"]) for r in mining.totals().collect())
+    monkeypatch.setattr(subgraphs, "SUMMED", 0)
+    assert sorted((r["links"], r["in_a"], r["total"]) for r in mining.totals().collect()) == found and len(found) > 1000
