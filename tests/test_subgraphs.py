@@ -128,3 +128,20 @@ def test_sets_of_many_links_grow_like_sums(spark, monkeypatch):
     found = sorted((r["links"], r["in_a"], r["total"]) for r in mining.totals().collect())
     monkeypatch.setattr(subgraphs, "SUMMED", 0)
     assert sorted((r["links"], r["in_a"], r["total"]) for r in mining.totals().collect()) == found and len(found) > 1000
+
+
+def test_hommel_level_equals_its_definition(spark):
+    rng = np.random.default_rng(3)
+    for trial in range(6):
+        n = int(rng.integers(5, 60))
+        p = np.round(rng.random(n) ** rng.choice([1, 4]) * rng.choice([0.06, 1.0]), 4) + 1e-9
+        order = sorted(p.tolist())
+        j = next((m for m in range(n, 0, -1) if all(order[n - m + i - 1] > i * 0.05 / m for i in range(1, m + 1))), 0)
+        level = 0.05 / j if j else 0.05
+        df = spark.createDataFrame([([k], float(x)) for k, x in enumerate(p)], "links array<int>, p_value double")
+        got = subgraphs.hommel(df, n, 0.05)
+        assert got.count() == sum(x <= 0.05 / n or x <= level for x in order)
+        for r in got.collect():
+            assert abs(r["p_value"] - p[r["links"][0]] * 0.05 / max(level, 0.05 / n)) < 1e-12
+    many = spark.range(30_000).selectExpr("array(cast(id as int)) AS links", "(id + 1) * 0.05 / 30001 AS p_value")
+    assert subgraphs.hommel(many, 30_000, 0.05).count() == 30_000

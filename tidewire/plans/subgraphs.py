@@ -413,14 +413,21 @@ def mixed_bits(i: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def hommel(found: DataFrame, k: int, alpha: float) -> DataFrame:
-    """Hommel's level over the testable subgraphs; reported p-values are scaled by the correction."""
-    rows = [(tuple(r["links"]), r["p_value"]) for r in found.select("links", "p_value").collect()]  # at most k rows
-    p = sorted(x for _, x in rows)
-    n = len(p)
-    j = next((m for m in range(n, 0, -1) if all(p[n - m + i - 1] > i * alpha / m for i in range(1, m + 1))), 0)
-    level = alpha / j if j else alpha
-    kept = [(list(links), x * alpha / max(level, alpha / k)) for links, x in rows if x <= alpha / k or x <= level]
-    return found.sparkSession.createDataFrame(kept, "links array<int>, p_value double")
+    """Hommel's level over the testable subgraphs; reported p-values are scaled by the correction.
+
+    The level is alpha / m for the largest m at which the i-th smallest of the m largest
+    p-values is above i alpha / m, for every i.  For the s-th of all n that is
+    m (alpha - p) < (n - s) alpha, which also holds for those before the m largest, so
+    each p-value below alpha bounds m by itself.
+    """
+    ranked = numbered(found.select("links", "p_value"), ["p_value", "links"], "s")
+    n = ranked.count()
+    after = n - 1 - F.col("s")
+    bound = F.when(F.col("p_value") < alpha, after * alpha / (alpha - F.col("p_value"))).when((F.col("p_value") == alpha) & (after == 0), F.lit(0.0))
+    least = ranked.agg(F.min(bound)).first()[0]
+    j = n if least is None else min(n, math.ceil(least) - 1)
+    level = alpha / j if j > 0 else alpha
+    return ranked.where((F.col("p_value") <= alpha / k) | (F.col("p_value") <= level)).select("links", (F.col("p_value") * alpha / max(level, alpha / k)).alias("p_value"))
 
 
 def links_of_results(networks: Sequence[DataFrame], group_id: int) -> DataFrame:
