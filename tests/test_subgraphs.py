@@ -145,3 +145,24 @@ def test_hommel_level_equals_its_definition(spark):
             assert abs(r["p_value"] - p[r["links"][0]] * 0.05 / max(level, 0.05 / n)) < 1e-12
     many = spark.range(30_000).selectExpr("array(cast(id as int)) AS links", "(id + 1) * 0.05 / 30001 AS p_value")
     assert subgraphs.hommel(many, 30_000, 0.05).count() == 30_000
+
+
+def test_permuted_pairs_equal_brute_force_in_blocks(spark, monkeypatch):
+    n, links, perms, seed = 30, 4, 60, 4
+    rows, held = dense(n, n, links, 6, 0.5)
+    monkeypatch.setattr(subgraphs, "PERMS_AT_ONCE", 25)
+    mining = subgraphs.SubgraphMining(spark.createDataFrame(rows, KIND), n, n, alpha=0.2, design="within")
+    best = np.full(perms, np.inf)
+    for perm in range(perms):
+        swapped = subgraphs.mixed_bits(np.arange(n), key_number(seed, perm)) > 0 if perm else np.zeros(n, dtype=bool)
+        for size in range(1, links + 1):
+            for own in itertools.combinations(range(links), size):
+                a, b = held[:n, own].all(axis=1), held[n:, own].all(axis=1)
+                t = int((a ^ b).sum())
+                if (a | b).any() and subgraphs.min_p("within", n, n, t) <= 0.2:
+                    best[perm] = min(best[perm], subgraphs.p_values("within", n, n, t)[int((np.where(swapped, b, a) & ~np.where(swapped, a, b)).sum())])
+    got = {r["perm"]: r["p"] for r in mining._smallest(perms, seed, 0.2).collect()}
+    assert np.allclose([got[k] for k in range(perms)], best)
+    level = max((p for p in np.unique(best) if (best <= p).sum() / perms <= 0.2), default=0.0)
+    monkeypatch.setattr(subgraphs, "GUESS_PERMS", 3)  # a poor guess leads to another search, not to another level
+    assert abs(mining.westfall_young_level(perms, seed) - level) < 1e-12
