@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from oracle import connect, rows_of, rows_of_sql
 
@@ -18,6 +19,24 @@ def test_query_equals_its_sql(spark, con, name):
     assert rows_of(queries.QUERIES[name](spark, SF)) == rows_of_sql(con, queries.SQL[name])
 
 
+def test_neighbours_do_not_hang_on_the_order_of_sums(spark, tmp_path):
+    import datetime as dt
+
+    import pandas as pd
+
+    begin, rows = dt.datetime(2024, 1, 1), []
+    for h in range(40):
+        for kind, parts in (("a", [0.1, 0.2, 0.3]), ("b", [0.7, 0.1, 0.3])):
+            for k, v in enumerate(parts if h % 2 else parts[::-1]):
+                rows.append((len(rows), begin + dt.timedelta(hours=h, minutes=k), h % 5, kind, v * (1 + h * (3 + (kind == "b")) % 7), "{}"))
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    assert all(r[c] == round(r[c], 6) for r in queries._lagged_points(spark, str(tmp_path)).collect() for c in "xyz")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("knn_neighbour_counts", "kraskov_ais"):
+        assert rows_of(queries.QUERIES[name](spark, str(tmp_path))) == rows_of_sql(con, queries.SQL[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.KNOWN_SQL) - LONG))
 def test_known_answers(spark, con, name):
     assert rows_of(queries.KNOWN[name](spark, SF)) == rows_of_sql(con, queries.KNOWN_SQL[name])

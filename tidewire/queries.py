@@ -259,13 +259,15 @@ def _(spark, sf_dir):
 # ---- nearest neighbours ---------------------------------------------------------------------
 
 
-_LAGGED = f"""{_HOURLY},
+#: Hourly sums to six places: what is closer than a k-th neighbour must not hang on the order in which doubles were added.
+_STEADY_HOURLY = f"{_HOURLY}, steady AS (SELECT proc, repl, sample, round(value, 6) AS value FROM series)"
+_LAGGED = f"""{_STEADY_HOURLY},
 points AS (
     SELECT a.proc AS source, b.proc AS target, b.sample AS rid, a.value AS x, b.value AS y, c.value AS z
-    FROM series a JOIN series b ON a.proc <> b.proc AND a.sample = b.sample - 1 JOIN series c ON c.proc = b.proc AND c.sample = b.sample - 1
+    FROM steady a JOIN steady b ON a.proc <> b.proc AND a.sample = b.sample - 1 JOIN steady c ON c.proc = b.proc AND c.sample = b.sample - 1
 )"""
 #: Each process's value and the one before.
-_OWN_PAST = f"{_HOURLY}, points AS (SELECT a.proc, a.sample AS rid, b.value AS x, a.value AS y, 0 AS z FROM series a JOIN series b ON b.proc = a.proc AND b.sample = a.sample - 1)"
+_OWN_PAST = f"{_STEADY_HOURLY}, points AS (SELECT a.proc, a.sample AS rid, b.value AS x, a.value AS y, 0 AS z FROM steady a JOIN steady b ON b.proc = a.proc AND b.sample = a.sample - 1)"
 
 
 def _neighbours_sql(points: str, keys: str, joint: str, counts: str, least_gap: int = 1) -> str:
@@ -287,8 +289,13 @@ def _mi_sql(points: str, keys: str, name: str, least_gap: int = 1) -> str:
     FROM (SELECT {keys}, avg(a.psi + b.psi) AS w, count(*) AS size FROM n JOIN psi a ON a.n = n_x + 1 JOIN psi b ON b.n = n_y + 1 GROUP BY {keys}) JOIN psi ON psi.n = size"""
 
 
+def steady_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly sums to six places, so that distances that tie don't hang on the order of sums."""
+    return hourly(spark, sf_dir).withColumn("value", F.round("value", 6))
+
+
 def _lagged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discrete.pair_table(hourly(spark, sf_dir), (1,)).select("source", "target", F.col("sample").alias("rid"), "x", "y", F.col("w").alias("z"))
+    return discrete.pair_table(steady_hourly(spark, sf_dir), (1,)).select("source", "target", F.col("sample").alias("rid"), "x", "y", F.col("w").alias("z"))
 
 
 @query("knn_neighbour_counts", f"WITH {_neighbours_sql(_LAGGED, 'source, target', *_XY)} SELECT source, target, rid, round(radius, 8) + 0.0 AS radius, n_x, n_y FROM n")
@@ -320,13 +327,13 @@ def _(spark, sf_dir):
 
 @query("kraskov_ais", _mi_sql(_OWN_PAST, "proc", "ais"))
 def _(spark, sf_dir):
-    return knn.ais_by_process(hourly(spark, sf_dir), 1, k=4)
+    return knn.ais_by_process(steady_hourly(spark, sf_dir), 1, k=4)
 
 
 @query("kraskov_theiler", _mi_sql(_OWN_PAST, "proc", "mi", 6))
 def _(spark, sf_dir):
     """Neighbours are at least six samples away."""
-    past = discrete.history(hourly(spark, sf_dir), 1).select("proc", F.col("sample").alias("rid"), F.col("h1").alias("x"), "y")
+    past = discrete.history(steady_hourly(spark, sf_dir), 1).select("proc", F.col("sample").alias("rid"), F.col("h1").alias("x"), "y")
     return knn.ksg_by_cells(past, ["proc"], ["x"], ["y"], k=4, theiler=5)
 
 
