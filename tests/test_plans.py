@@ -244,6 +244,19 @@ def test_all_embeddings_in_one_pass_equal_brute_force(spark):
     assert history.grid_symbols(empty, GRID, 0.02).count() == 0 and history.optimised(empty, GRID, n_boot=2, step=0.02).count() == 0
 
 
+def test_spikes_between_the_same_ends_are_merged(spark):
+    rng = np.random.default_rng(9)
+    t = np.concatenate([rng.integers(0, 600, 4_000) * 0.005, rng.random(4_000) * 3])  # on ends of bins and between them
+    rows = [(0, float(x)) for x in t - t.min()]
+    spikes = spark.createDataFrame(rows, "proc int, t double")
+    few = history.merged(spikes, [e.delimiters(0.02) for e in GRID], 0.02)
+    assert few.count() < 4_000 and few.groupBy().sum("m").first()[0] == 8_000
+    got = {}
+    for r in history.grid_counts(history.grid_symbols(spikes, GRID, 0.02)).collect():
+        got.setdefault(r["e"], {})[r["symbol"]] = r["n"]
+    assert got == {k: counted(rows, 0, e, 0.02) for k, e in enumerate(GRID)}
+
+
 @pytest.mark.parametrize("method", ["shuffling", "bbc"])
 def test_optimised_embeddings_equal_brute_force(spark, method):
     rows, spikes = train_table(spark)

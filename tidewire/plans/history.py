@@ -67,24 +67,52 @@ def embeddings(past_ranges: Sequence[float], bins: Sequence[int], n_scalings: in
     return out
 
 
+#: Different ends of bins up to which spikes are merged before they are dealt to windows.
+MERGED_ENDS = 64
+
+
+def merged(spikes: DataFrame, ends: Sequence[Sequence[float]], step: float) -> DataFrame:
+    """proc, t, m, last: the spikes between the same two ends of bins of all windows as one spike at the first one's time, and the last one's time.
+
+    For each offset x, windows' ends lie at k * step + x, and a spike's class is the last
+    k whose end is before it and whether one is at it, by the comparisons that deal spikes
+    to windows; so spikes of a class lie in the same bins of the same windows, and there
+    are no more classes than steps times offsets, whatever the number of spikes.
+    """
+    offsets = sorted({0.0, *(x for own in ends for x in own)})
+    if len(offsets) > MERGED_ENDS:
+        return spikes.select("proc", "t", F.lit(1).cast("long").alias("m"), F.col("t").alias("last"))
+
+    def of(x: float) -> Column:
+        q = F.floor((F.col("t") - F.lit(x)) / F.lit(step)).cast("long")
+        at, after = (k * F.lit(step) + F.lit(x) for k in (q, q + 1))
+        before = q + (F.col("t") > at).cast("long") + (F.col("t") > after).cast("long")
+        return before * 2 + ((F.col("t") == at) | (F.col("t") == after)).cast("long")
+
+    found = spikes.groupBy("proc", F.array(*map(of, offsets)).alias("__class")).agg(F.min("t").alias("t"), F.count("*").alias("m"), F.max("t").alias("last"))
+    return kept(found.drop("__class"), "merged-spikes")
+
+
 def grid_symbols(spikes: DataFrame, grid: Sequence[Embedding], step: float = 0.005) -> DataFrame:
     """e (place in the grid), proc, n_windows, k, symbol of the windows whose symbol isn't 0 (spikes: proc, t from 0).
 
-    A spike is dealt to the windows of every embedding in one pass; processes that are
-    shorter than an embedding's window have no rows of it.
+    Spikes between the same ends of bins are merged, and dealt to the windows of every
+    embedding in one pass; processes that are shorter than an embedding's window have no
+    rows of it.
     """
     ends = [e.delimiters(step) for e in grid]
     plans = F.array(*(F.struct(F.lit(k).alias("e"), F.lit(e.bins).alias("bins"), F.array(*map(F.lit, own)).alias("ends"), F.lit(own[-1]).alias("length")) for k, (e, own) in enumerate(zip(grid, ends, strict=True))))
-    last = spikes.groupBy("proc").agg(F.max("t").alias("__last"))
-    met = beside(spikes, last, ["proc"]).select("proc", "t", "__last", F.explode(plans).alias("p")).select("proc", "t", "p.*", F.floor((F.col("__last") - F.col("p.length")) / step).cast("long").alias("n_windows"))
+    own = merged(spikes, ends, step)
+    last = own.groupBy("proc").agg(F.max("last").alias("__last"))
+    met = beside(own, last, ["proc"]).select("proc", "t", "m", "__last", F.explode(plans).alias("p")).select("proc", "t", "m", "p.*", F.floor((F.col("__last") - F.col("p.length")) / step).cast("long").alias("n_windows"))
     first = F.greatest(F.floor((F.col("t") - F.col("length")) / step) - 1, F.lit(0))
     end = F.least(F.floor(F.col("t") / step) + 1, F.col("n_windows") - 1)
-    dealt = met.where((F.col("n_windows") > 0) & (first <= end)).select("e", "proc", "n_windows", "t", "bins", "ends", "length", F.explode(F.sequence(first.cast("long"), end.cast("long"))).alias("k"))
+    dealt = met.where((F.col("n_windows") > 0) & (first <= end)).select("e", "proc", "n_windows", "t", "m", "bins", "ends", "length", F.explode(F.sequence(first.cast("long"), end.cast("long"))).alias("k"))
     begin = F.col("k") * F.lit(step)
     inside = dealt.where((F.col("t") >= begin) & (F.col("t") < begin + F.col("length")))
     place = F.least(F.size(F.filter("ends", lambda x: F.col("t") > begin + x)), F.col("bins"))
     keys = ["e", "proc", "bin"]
-    found = inside.groupBy("e", "proc", "n_windows", "bins", "k", place.alias("bin")).agg(F.count("*").alias("c"))
+    found = inside.groupBy("e", "proc", "n_windows", "bins", "k", place.alias("bin")).agg(F.sum("m").alias("c"))
     # exact medians of counts, windows without spikes in a bin counting as 0
     histogram = found.groupBy(*keys, "n_windows", "c").agg(F.count("*").alias("m"))
     own = Window.partitionBy(*keys)
