@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import exact, mixing, packing, quality, simhash
-from tidewire.llm.common import free_name, id_residue, table, written
+from tidewire.llm.common import bounded_batches, free_name, id_residue, table, written
 from tidewire.llm.queries import MIX_WEIGHTS
 
 #: Documents whose score is below are rejected.
@@ -25,6 +25,7 @@ QUALITY_CUT = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality classifier accepts."""
+    bounded_batches(spark)
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(id_residue("doc_id", 5) != 0))
     score = free_name(docs, "__tw_score")
     return quality.with_quality(docs, model, out_col=score, cut=QUALITY_CUT).where(F.col(score) >= QUALITY_CUT).drop(score)

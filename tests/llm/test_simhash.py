@@ -237,3 +237,39 @@ def test_sequence_hashes_tell_sequences_apart():
     for k, h in zip(at.tolist(), w.sequence_hashes(values, at, 3).tolist(), strict=True):
         assert triples.setdefault(tuple(words[k : k + 3]), h) == h
     assert len(set(triples.values())) == len(triples)
+
+
+def test_pairs_of_lists_come_in_small_batches():
+    """Many lists, and one with a large component, give all their counted pairs, and never very many at once."""
+    lists = [[(k * 1_000 + m, 10, k * 1_000 + m) for m in range(90)] for k in range(110)] + [[(500_000 + m, 10, 7) for m in range(40_000)] + [(600_000 + m, 10 + m, 8 + m) for m in range(20)]]
+    rows = [(key, *member) for key, members in enumerate(lists + lists[:5]) for member in members]
+    table = jaccard.pa.table(dict(zip(["key", "node", "n", "component"], np.array(rows).T, strict=True)))
+    found = list(jaccard._cross(table, ["a", "b", "many", "least"]))
+    assert max(b.num_rows for b in found) <= 2 * jaccard.PAIRS_HELD
+    got = defaultdict(int)
+    for b in found:
+        for a, other, many, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert least in (2, 3, 4)
+            got[a, other] += many
+    want = defaultdict(int)
+    for members in lists + lists[:5]:
+        by = members if len(members) < 1_000 else members[40_000:]
+        pairs = list(combinations(by, 2)) + [(x, y) for x in members[:40_000] for y in members[40_000:] if len(members) > 1_000]
+        for x, y in pairs:
+            if jaccard.similar(min(x[1], y[1]), x[1], y[1]):
+                want[min(x[0], y[0]), max(x[0], y[0])] += 1
+    assert got == want
+
+
+def test_batches_of_texts_are_bounded(spark, documents):
+    """The session's batches follow the bytes of their rows once the stage has run."""
+
+    def sizes(batches):
+        for b in batches:
+            yield jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array([b.nbytes])], ["b"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    simhash.near_dedup(documents([(1, "one text")])).count()
+    texts = spark.range(0, 9_000, 1, 1).select("id", F.repeat(F.lit("x "), 2_000).alias("text"))
+    found = [r["b"] for r in texts.mapInArrow(sizes, "b long").collect()]
+    assert sum(found) > 30 << 20 and max(found) < 5 << 20

@@ -41,6 +41,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, about: 10,000 rows with texts or sets of shingles would be tens of MB, in an executor's JVM and in its Python workers.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session have at most BATCH_BYTES, unless it names a size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def id_residue(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -47,6 +47,8 @@ MOST_FREQUENT = 100_000
 STARS = 2
 #: Lists with up to this many pairs of different components for each member give counted pairs.
 PAIRS_EACH = 48
+#: Pairs that a task holds at once, about.
+PAIRS_HELD = 1 << 16
 #: Candidates whose ids are broadcast to the texts, at most.
 FEW_CANDIDATES = 1 << 20
 
@@ -151,7 +153,21 @@ def _shared(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
 def _cross(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Counted pairs of different components (a, b, many, least); members of lists with too many (meeting, node, null, null)."""
     (key, node, n, component), cut, size = _distinct(table)
-    us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        us.clear()
+        vs.clear()
+        near = similar(np.minimum(n[u], n[v]), n[u], n[v])
+        u, v = u[near], v[near]
+        a, b = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
+        pair = pa.table({"a": a, "b": b, "least": wanted(np.minimum(n[u], n[v])), "many": np.ones(len(u), dtype=np.int64)})
+        found = pair.group_by(["a", "b", "least"]).aggregate([("many", "sum")]).rename_columns({"many_sum": "many"}).select(names)
+        yield from found.combine_chunks().to_batches()
+
+    held = 0
     for first, length in zip(cut.tolist(), size.tolist(), strict=True):
         own = component[first : first + length]
         by, counts = np.unique(own, return_counts=True)
@@ -164,18 +180,23 @@ def _cross(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
             continue
         largest = by[counts.argmax()]
         inside = np.flatnonzero(own == largest)
-        outside = np.flatnonzero(own != largest)
+        outside = np.flatnonzero(own != largest)  # few, or the list would be a meeting
         i, j = np.triu_indices(len(outside), 1)
         apart = own[outside[i]] != own[outside[j]]
-        us += [first + np.repeat(inside, len(outside)), first + outside[i[apart]]]
-        vs += [first + np.tile(outside, len(inside)), first + outside[j[apart]]]
-    u, v = np.concatenate(us), np.concatenate(vs)
-    near = similar(np.minimum(n[u], n[v]), n[u], n[v])
-    u, v = u[near], v[near]
-    a, b = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
-    pair = pa.table({"a": a, "b": b, "least": wanted(np.minimum(n[u], n[v])), "many": np.ones(len(u), dtype=np.int64)})
-    counted = pair.group_by(["a", "b", "least"]).aggregate([("many", "sum")]).rename_columns({"many_sum": "many"}).select(names)
-    yield from counted.combine_chunks().to_batches()
+        us.append(first + outside[i[apart]])
+        vs.append(first + outside[j[apart]])
+        held += len(us[-1])
+        step = max(1, PAIRS_HELD // len(outside))
+        for at in range(0, len(inside), step):
+            some = inside[at : at + step]
+            us.append(first + np.repeat(some, len(outside)))
+            vs.append(first + np.tile(outside, len(some)))
+            held += len(us[-1])
+            if held >= PAIRS_HELD:
+                yield from counted()
+                held = 0
+    if us:
+        yield from counted()
 
 
 def sketch(s: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import LOWER, pieces, texts, written
+from tidewire.llm.common import LOWER, bounded_batches, pieces, texts, written
 from tidewire.llm.components import components
 from tidewire.llm.jaccard import _each_set, similar_links
 from tidewire.llm.words import Words, mix
@@ -319,6 +319,7 @@ def similar_components(docs: DataFrame, near: Near = LIKELY, *, id_col: str = "d
     Pairs come from the fingerprints' index; ``similar_links`` compares their whole sets
     and adds the links that the index leaves.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     found = written(set_nodes(own, near), "sets")
     parts = [f"f{k}" for k in range(near.parts)]
