@@ -88,3 +88,53 @@ def test_edges_on_a_line(seed):
         asked = cell[q == i].tolist()
         assert len(asked) == len(set(asked)) <= 2
         assert inside[i] + sum((np.abs(x[i] - parts[c]) < r[i]).sum() for c in asked) == (np.abs(x[i] - p) < r[i]).sum()
+
+
+def test_counts_on_a_line_equal_comparing_all(spark, monkeypatch):
+    """Several cells on a line, each asked by search, in copies."""
+    monkeypatch.setattr(cells, "LINE_ASKED", 300)
+    monkeypatch.setattr(cells, "LINE_PLANNED", 500)
+    rng = np.random.default_rng(4)
+    p = np.unique(np.round(rng.normal(size=3_000), 3)) * 0.1
+    m = rng.integers(1, 5, len(p))
+    x = rng.choice(p, 2_000)
+    r = np.where(np.arange(2_000) % 9 == 0, 0.0, np.abs(x - rng.choice(p, 2_000)))
+    points = spark.createDataFrame([(0, float(a), int(b)) for a, b in zip(p, m, strict=True)], "g int, x double, m long")
+    queries = spark.createDataFrame([(0, i, float(a), float(b), 0) for i, (a, b) in enumerate(zip(x, r, strict=True))], "g int, qid long, x double, r double, home int")
+    space = cells.make_space(points, ["g"], ["x"], 100)
+    assert len(space.boxes[0,][0]) > 5
+    got = {q["qid"]: q["n"] for q in cells.range_counts(space, queries, "home").collect()}
+    assert got == {i: int((np.abs(x[i] - p) < r[i]) @ m) for i in range(2_000)}
+
+
+def test_a_cell_on_a_line_is_searched(monkeypatch):
+    """Ranges that end on points, rounded sums and what isn't finite; no matrix of all distances."""
+    monkeypatch.setattr(cells, "distances", None)
+    rng = np.random.default_rng(7)
+    for scale in (1.0, 0.1, 1e6):
+        p = np.append(np.unique(np.round(rng.normal(size=500), 2)) * scale, [np.inf, -np.inf])
+        x = np.append(rng.choice(p, 2_000), [np.inf, 0.0, 0.5])
+        with np.errstate(invalid="ignore"):
+            r = np.abs(x - rng.choice(p, len(x)))
+            m = rng.integers(1, 9, len(p))
+            want = [int((np.abs(a - p) < b) @ m) for a, b in zip(x, r, strict=True)]
+            assert cells.closer_on_line(x, r, p, m).tolist() == want
+
+
+def test_cells_on_a_line_grow_few(spark):
+    """Cells of a line hold many points: what is planned and asked doesn't come in as many groups as the joint space has cells."""
+    df = spark.createDataFrame([(0, i, float(i), float(i * 7919 % 20_011), 0.0) for i in range(20_000)], KIND)
+    seen, make = [], cells.make_space
+
+    def spy(*args):
+        seen.append(make(*args))
+        return seen[-1]
+
+    cells.make_space = spy
+    try:
+        found = knn.neighbour_counts(df, ["g"], {"x": ["x"], "y": ["y"]}, 4, cell_rows=64)
+    finally:
+        cells.make_space = make
+    many = [sum(len(b[0]) for b in s.boxes.values()) for s in seen]
+    assert many[0] > 200 and max(many[1:]) < 10
+    assert found.count() == 20_000

@@ -9,7 +9,8 @@ The k-th neighbour is bounded by the points of the own cell; only cells whose bo
 bound reaches are asked further (a ring around the point, most often nothing).  A
 range count takes the whole count of every cell whose box lies inside the range, and
 asks the cells that its edge cuts; on a line these are the two ends, and what lies
-between comes from prefix sums of the cells' counts.  A cell that is asked very often
+between comes from prefix sums of the cells' counts.  A cell on a line is searched and
+not compared, so it may be large, and its questions many.  A cell that is asked very often
 is copied, so that its questions are spread over tasks.  Work grows with the number of
 points times the cells' size, never with the square of a group, and one group spreads
 over as many tasks as it has cells.
@@ -38,6 +39,8 @@ from tidewire.sources.shared import kept
 CELL_ROWS, MOST_CELLS, PARTS, MOST_CUTS = 512, 1 << 17, 64, 9
 #: Questions to a copy of a cell; distances that a task holds at once; cuts up to which they are broadcast.
 ASKED, AT_ONCE, FEW_CUTS = 8_192, 1 << 20, 20_000
+#: On a line: how much larger cells are, questions to a copy of a cell, queries that a task plans together, about.
+LINE, LINE_ASKED, LINE_PLANNED = 64, 1 << 17, 1 << 16
 
 Box = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # cells, lowest and highest coordinates, counts
 
@@ -209,7 +212,7 @@ def _answering(space: Space, need: int) -> Callable:
 def _met(space: Space, asks: DataFrame, kernel: Callable, schema: StructType | str) -> DataFrame:
     """Questions with the points of the cell that they are asked; cells that are asked often in copies."""
     by = [*space.keys, "cell"]
-    copies = asks.groupBy(*by).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("copies"))
+    copies = asks.groupBy(*by).agg(F.ceil(F.count("*") / (LINE_ASKED if len(space.coords) == 1 else ASKED)).cast("int").alias("copies"))
     points = space.data.select(*by, *space.coords, "m").join(copies, by).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     dealt = asks.join(copies, by).withColumn("copy", F.pmod(F.xxhash64("qid"), F.col("copies")).cast("int")).drop("copies")
     return dealt.unionByName(points, allowMissingColumns=True).groupBy(*by, "copy").applyInArrow(kernel, schema)
@@ -297,6 +300,29 @@ def _planning(space: Space) -> Callable:
     return plan
 
 
+def closer_on_line(x: np.ndarray, r: np.ndarray, p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Weight of the points p with |x - p| < r, by search."""
+    order = np.argsort(p, kind="stable")
+    p, upto = p[order], np.concatenate([[0], np.cumsum(m[order])])
+    out, finite = np.zeros(len(x), dtype=np.int64), np.isfinite(x) & np.isfinite(r)
+    for k in np.flatnonzero(~finite):
+        out[k] = (np.abs(x[k] - p) < r[k]) @ m[order]
+    x, r, end = x[finite], r[finite], len(p) - 1
+    # what the rounding of x - r and x + r misses is a step or two
+    first = np.searchsorted(p, x - r, side="right")
+    while (back := (first > 0) & (x - p[np.maximum(first - 1, 0)] < r)).any():
+        first -= back
+    while (on := (first <= end) & ~(x - p[np.minimum(first, end)] < r)).any():
+        first += on
+    last = np.searchsorted(p, x + r, side="left")
+    while (on := (last <= end) & (p[np.minimum(last, end)] - x < r)).any():
+        last += on
+    while (back := (last > 0) & ~(p[np.maximum(last - 1, 0)] - x < r)).any():
+        last -= back
+    out[finite] = upto[np.maximum(last, first)] - upto[first]
+    return out
+
+
 def _counting(space: Space) -> Callable:
     keys, coords = space.keys, space.coords
 
@@ -306,7 +332,9 @@ def _counting(space: Space) -> Callable:
         points, asked = table.filter(is_point), table.filter(pa.compute.invert(is_point))
         x, p, m, r = _matrix(asked, coords), _matrix(points, coords), points["m"].to_numpy(), asked["r"].to_numpy()
         step, n = max(1, AT_ONCE // max(1, len(p))), []
-        for at in range(0, len(x), step):
+        if len(coords) == 1:
+            n.append(closer_on_line(x[:, 0], r, p[:, 0], m))
+        for at in range(0, len(x) if len(coords) > 1 else 0, step):
             n.append((distances(x[at : at + step], p) < r[at : at + step, None]) @ m)
         rows = [*_repeated(table, keys, len(x)), asked["qid"], pa.array(np.concatenate(n) if n else np.zeros(0, dtype=np.int64), pa.int64())]
         yield from pa.table(rows, [*keys, "qid", "n"]).combine_chunks().to_batches()
@@ -314,13 +342,22 @@ def _counting(space: Space) -> Callable:
     return count
 
 
-def range_counts(space: Space, queries: DataFrame, home: str) -> DataFrame:
-    """keys, qid, n: weight of the points closer than r to each query (keys, qid, coordinates, r).
+def range_parts(space: Space, queries: DataFrame, home: str) -> DataFrame:
+    """keys, qid, n: parts of the weight of the points closer than r to each query (keys, qid, coordinates, r).
 
-    Queries that share ``home`` are near each other, and few enough for a task.
+    Queries that share ``home`` are near each other, and few enough for a task; on a line
+    they needn't be near.
     """
     own = _kinds(space.data, space.keys)
     places = "".join(f"{c} double, " for c in space.coords)
-    planned = kept(queries.select(*space.keys, F.col(home).alias("home"), "qid", *space.coords, "r").groupBy(*space.keys, "home").applyInArrow(_planning(space), f"{own}cell long, qid long, {places}r double, n long"), "ranges")
+    near = F.col(home)
+    if len(space.coords) == 1:
+        near = F.pmod(F.xxhash64("qid"), F.lit(1 + queries.count() // LINE_PLANNED))
+    planned = kept(queries.select(*space.keys, near.alias("home"), "qid", *space.coords, "r").groupBy(*space.keys, "home").applyInArrow(_planning(space), f"{own}cell long, qid long, {places}r double, n long"), "ranges")
     answers = _met(space, planned.where("cell is not null").drop("n"), _counting(space), f"{own}qid long, n long")
-    return planned.where("cell is null").select(*space.keys, "qid", "n").unionByName(answers).groupBy(*space.keys, "qid").agg(F.sum("n").alias("n"))
+    return planned.where("cell is null").select(*space.keys, "qid", "n").unionByName(answers)
+
+
+def range_counts(space: Space, queries: DataFrame, home: str) -> DataFrame:
+    """keys, qid, n: weight of the points closer than r to each query (keys, qid, coordinates, r), see ``range_parts``."""
+    return range_parts(space, queries, home).groupBy(*space.keys, "qid").agg(F.sum("n").alias("n"))

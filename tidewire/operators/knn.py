@@ -121,10 +121,10 @@ def _counted(points: DataFrame, keys: Sequence[str], spaces: dict[str, Sequence[
     queries = kept(queries, "queries")
     counts = None
     for s, cs in spaces.items():
-        space = cells.make_space(joint.data.groupBy(*keys, *cs).agg(F.sum("m").alias("m")), keys, cs, cell_rows)
-        found = cells.range_counts(space, queries.where("radius is not null").withColumnRenamed("radius", "r"), "home").withColumn("space", F.lit(s))
+        space = cells.make_space(joint.data.groupBy(*keys, *cs).agg(F.sum("m").alias("m")), keys, cs, cell_rows * (cells.LINE if len(cs) == 1 else 1))
+        found = cells.range_parts(space, queries.where("radius is not null").withColumnRenamed("radius", "r"), "home").withColumn("space", F.lit(s))
         counts = found if counts is None else counts.unionByName(found)
-    met = queries.join(counts.groupBy(*keys, "qid").agg(*(F.max(F.when(F.col("space") == s, F.col("n"))).alias(f"__n_{s}") for s in spaces)), [*keys, "qid"], "left")
+    met = queries.join(counts.groupBy(*keys, "qid").agg(*(F.sum(F.when(F.col("space") == s, F.col("n"))).alias(f"__n_{s}") for s in spaces)), [*keys, "qid"], "left")
     return rows, met.select(*keys, "qid", *coords, "m", "radius", *(F.coalesce(F.col(f"__n_{s}") - F.col(f"own_{s}"), F.lit(0)).cast("long").alias(f"n_{s}") for s in spaces))
 
 
